@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from .chunk_store import op1_token_store
 from .exact_dedup import OP10_SQL, op10_exact_dedup
+from .packing import op9_packing
 from .sharding import op4_sharding
 from .url_filter import OP7_SQL, op7_url_filters
 
 QUERIES = {
+    "op1_token_store": op1_token_store,
     "op4_sharding": op4_sharding,
     "op7_url_filters": op7_url_filters,
+    "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
