@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from .chunk_store import op1_token_store
 from .exact_dedup import OP10_SQL, op10_exact_dedup
+from .language_id import op5_language_id
 from .packing import op9_packing
 from .sharding import op4_sharding
 from .simhash import op3_simhash_near_dedup
 from .url_filter import OP7_SQL, op7_url_filters
+from .weighted_sampling import op6_document_fingerprints
 
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_sharding": op4_sharding,
+    "op5_language_id": op5_language_id,
+    "op6_document_fingerprints": op6_document_fingerprints,
     "op7_url_filters": op7_url_filters,
     "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
