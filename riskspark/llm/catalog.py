@@ -6,6 +6,7 @@ from .chunk_store import op1_token_store
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .language_id import op5_language_id
 from .packing import op9_packing
+from .pii import op8_pii
 from .sharding import op4_sharding
 from .simhash import op3_simhash_near_dedup
 from .url_filter import OP7_SQL, op7_url_filters
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_document_fingerprints": op6_document_fingerprints,
     "op7_url_filters": op7_url_filters,
+    "op8_pii": op8_pii,
     "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
