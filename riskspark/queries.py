@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .plans import cleaning
+
+_PARTS = (cleaning,)
+QUERIES: dict = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+SQL: dict = {k: v for p in _PARTS for k, v in p.SQL.items()}
