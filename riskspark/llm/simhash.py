@@ -1,6 +1,6 @@
 """SimHash near-deduplication with a segment-popcount embedding.
 
-A fingerprint is embedded as the bit counts of its sixteen 4-bit segments. Flipping a bit moves one count by one, so the
+A fingerprint is embedded as the bit counts of its thirty-two 2-bit segments. Flipping a bit moves one count by one, so the
 Manhattan distance of two embeddings is a lower bound for the Hamming distance of the fingerprints. A grid range-join finds
 fingerprints whose embeddings lie within two: each is put into its own cell and the cells one step away, and two that share
 no cell are further apart. The fingerprints that share a cell with another are then verified exactly: each goes to the hubs of all values one flipped bit away,
@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, saved
+from .common import in_order, mixed, read_table, saved, small
 from .components import with_component
 
 SEED, BITS = 42, 64
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, words_each: int = 3) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed 64-bit integer. A null text has no words, and so fingerprint zero."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             fps = np.array([fingerprint_of(t, words_each) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.record_batch([b.column(0), pa.array(fps)], ["doc_id", "fp"])
 
@@ -61,28 +61,32 @@ def fingerprints(docs: DataFrame, words_each: int = 3) -> DataFrame:
 
 
 def embedding(fp: Column) -> Column:
-    """The bit counts of the sixteen 4-bit segments, each in four bits of one number."""
-    out = F.lit(0).cast("long")
-    for k in range(16):
-        out = out.bitwiseOR(F.shiftleft(F.bit_count(F.shiftrightunsigned(fp, 4 * k).bitwiseAND(F.lit(15))).cast("long"), 4 * k))
-    return out
+    """The bit counts of the 2-bit segments, each in two bits of one number."""
+    low = F.lit(0x5555555555555555)
+    a, b = fp.bitwiseAND(low), F.shiftrightunsigned(fp, 1).bitwiseAND(low)
+    return a.bitwiseXOR(b).bitwiseOR(F.shiftleft(a.bitwiseAND(b), 1))
+
+
+def signed(x: int) -> Column:
+    return F.lit(x - (1 << 64) if x >> 63 else x).cast("long")
 
 
 def cells(e: Column) -> Column:
-    """The embedding's own cell and those one step away in one segment."""
+    """The embedding's own cell and those one step away in one segment: counts 0 and 1, and 1 and 2, are neighbours."""
     out = [e]
-    for k in range(16):
-        count = F.shiftrightunsigned(e, 4 * k).bitwiseAND(F.lit(15))
-        out += [F.when(count < 4, e + F.lit(1 << 4 * k)), F.when(count > 0, e - F.lit(1 << 4 * k))]
+    for k in range(32):
+        one, two = e.bitwiseAND(signed(1 << 2 * k)) != 0, e.bitwiseAND(signed(2 << 2 * k)) != 0
+        out += [F.when(~two, e.bitwiseXOR(signed(1 << 2 * k))), F.when(one | two, e.bitwiseXOR(signed(3 << 2 * k)))]
     return F.array_compact(F.array(*out))
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Edges (a, b), a > b, that connect any distinct fps at Hamming distance one or two, through the least at a hub."""
-    placed = fps.select("fp", F.explode(cells(embedding(F.col("fp")))).alias("cell"))
+    """fps: fp, distinct, and cell, its embedding. Edges (a, b), a > b, that connect any distinct fps at Hamming distance one or two, through the least at a hub."""
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = fps.repartition(n, "fp").select("fp", F.explode(cells(F.col("cell"))).alias("cell"))
     shared = placed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
     near = saved(placed.join(shared, "cell", "left_semi").select("fp").distinct(), "simhash-near")
-    flips = [F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit((1 << k) - (1 << 64 if k == 63 else 0))) for k in range(BITS))]
+    flips = [F.col("fp"), *(F.col("fp").bitwiseXOR(signed(1 << k)) for k in range(BITS))]
     hubs = near.select("fp", F.explode(F.array(*flips)).alias("hub"))
     least = saved(hubs.groupBy("hub").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n"), "simhash-hubs")
     return hubs.join(least, "hub").where("fp > b").select(F.col("fp").alias("a"), "b").distinct()
@@ -95,15 +99,116 @@ def near_groups(docs: DataFrame, words_each: int = 3) -> DataFrame:
     rows; a group without any identifier has a null component. An empty table gives no rows; other columns are not read.
     """
     rows = saved(fingerprints(docs, words_each), "simhash")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    nodes = saved(nodes, "simhash-nodes")
-    edges = saved(links(nodes.select("fp")), "simhash-links")
-    rooted = with_component(nodes.withColumnRenamed("fp", "node"), edges)
+    nodes = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("cell", embedding(F.col("fp"))), "simhash-nodes")
+    edges = saved(links(nodes.select("fp", "cell")), "simhash-links")
+    rooted = with_component(nodes.select(F.col("fp").alias("node"), "least"), edges)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select(F.col("node").alias("fp"), "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+#: For copies whose similarity is far from 1: so many fingerprints of 32 bits, over the set of a text's words.
+TABLES, NEXT = 40, 4
+
+
+def word_codes(text: bytes) -> np.ndarray:
+    """TABLES independent 32-bit fingerprints of the set of words."""
+    import xxhash
+
+    words = list(set(text.lower().split()))
+    if not words:
+        return np.zeros(TABLES, np.uint32)
+    counts = np.zeros(32 * TABLES, np.float32)
+    salts = mixed(np.arange(TABLES // 2, dtype=np.uint64))
+    for k in range(0, len(words), 2048):
+        some = words[k : k + 2048]
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in some), np.uint64, len(some))
+        bits = np.unpackbits(mixed(hashes[:, None] ^ salts[None, :]).view(np.uint8), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.int32)
+    return np.packbits(counts * 2 > len(words), bitorder="little").view("<u4")
+
+
+def shingle_set(text: bytes, words_each: int) -> np.ndarray:
+    """Hashes of the distinct shingles of a text, sorted; fewer words than that are one shingle, no words none."""
+    import xxhash
+
+    words = text.lower().split()
+    whole = [b" ".join(words[k : k + words_each]) for k in range(max(1, len(words) - words_each + 1))] if words else []
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in whole), np.uint64, len(whole))).view(np.int64)
+
+
+def following(rows: DataFrame, bucket: str, order: list[str], value: str) -> DataFrame:
+    """Pairs (a, b) of values of rows in one bucket of which one follows within NEXT places in the order given.
+
+    A bucket of up to NEXT + 1 rows gives all its pairs; a large one, of which many are like one another, gives NEXT for each row. The rows are
+    dealt by order, not by bucket, so that no bucket has to fit one task; each range sees the first rows of the next.
+    """
+    ranged = in_order(rows.select(bucket, *order, value), [bucket, *order, value], "simhash-order")
+    within = Window.partitionBy("_range").orderBy(bucket, *order, value)
+    placed = ranged.withColumn("_k", F.row_number().over(within))
+    heads = placed.where(F.col("_k") <= NEXT).withColumn("_range", F.col("_range") - 1).withColumn("_head", F.lit(True))
+    both = placed.withColumn("_head", F.lit(False)).unionByName(heads)
+    then = Window.partitionBy("_range").orderBy("_head", bucket, *order, value)
+    ahead = F.array_compact(F.array(*[F.when(F.lead(bucket, k).over(then) == F.col(bucket), F.lead(value, k).over(then)) for k in range(1, NEXT + 1)]))
+    pairs = both.withColumn("_ahead", ahead).where(~F.col("_head")).select(F.col(value).alias("x"), F.explode("_ahead").alias("y"))
+    return pairs.where("x != y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
+def drop_near_copies(docs: DataFrame, words_each: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs, all its columns, with one row, that of the least doc_id, of each group of near copies.
+
+    Two texts are linked if their sets of word shingles have a Jaccard similarity of `similarity` or more, which is verified on the whole texts; groups are
+    what links connect. Candidates agree in one of many short fingerprints of their words: an edited word spoils `words_each` shingles but one word, so that
+    fingerprints of words hold where those of shingles fall apart. Rows with equal text are one node; of rows that repeat an identifier and a text one stays.
+    A null text has no words and is linked to others without words; null identifiers sort first.
+    """
+    spark = docs.sparkSession
+    text = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
+    keyed = docs.withColumn("_key", F.xxhash64(text, F.length(text), F.crc32(text)))
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            codes = [word_codes(t).astype(np.int64).tolist() for t in b.column(2).to_pylist()]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(codes, pa.list_(pa.int64()))], ["doc_id", "key", "codes"])
+
+    rows = saved(keyed.select(F.col("doc_id").cast("long"), "_key", text.alias("text")).mapInArrow(compute, "doc_id long, key long, codes array<long>"), "near-codes")
+    nodes = rows.groupBy("key").agg(F.min(F.struct("doc_id"))["doc_id"].alias("least"), F.first("codes").alias("codes"))
+    nodes = saved(nodes, "near-nodes")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    places = nodes.repartition(n, "key").select("key", "codes", F.posexplode("codes").alias("table", "code")).select(
+        "key", (F.col("table") * F.lit(1 << 32) + F.col("code")).alias("bucket"), F.element_at("codes", (F.col("table") + 1) % TABLES + 1).alias("then")
+    )
+    shared = places.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    pairs = saved(following(places.join(shared, "bucket", "left_semi"), "bucket", ["then"], "key"), "near-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            yield pa.record_batch([b.column(0), pa.array([shingle_set(t, words_each) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], ["key", "shingles"])
+
+    firsts = nodes.join(wanted, "key").select(F.col("key"), F.col("least"))
+    texts = keyed.select("_key", F.col("doc_id").cast("long").alias("_id"), text.alias("text")).join(firsts, (F.col("_key") == F.col("key")) & F.col("_id").eqNullSafe(F.col("least")), "left_semi")
+    sets = saved(texts.select("_key", "text").mapInArrow(shingles, "key long, shingles array<long>").dropDuplicates(["key"]), "near-sets")
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for k in range(b.num_rows):
+                s, t = (b.column(c)[k].values.to_numpy() for c in (2, 3))
+                shared_ones = len(np.intersect1d(s, t, assume_unique=True))
+                keep.append(shared_ones >= similarity * (len(s) + len(t) - shared_ones))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    held = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("t")), "b")
+    edges = saved(held.select("a", "b", "s", "t").mapInArrow(verify, "a long, b long"), "near-links")
+    rooted = with_component(nodes.select(F.col("key").alias("node"), "least"), edges)
+    stays = rooted.groupBy("root").agg(F.min(F.struct(F.col("least"), F.col("node"))).alias("m")).select(F.col("m.node").alias("_node"), F.col("m.least").alias("_least"))
+    kept = keyed.join(stays, (F.col("_key") == F.col("_node")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_least")))
+    again = rows.groupBy("key", "doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if not again.isEmpty():
+        kept = kept.dropDuplicates(["_key", "_least"])
+    return kept.select(*[docs[c] for c in docs.columns])
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_groups(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
