@@ -11,13 +11,14 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import mixed, read_table, small
 
 HASHES = 64
 MEMO_ROWS = 100_000
@@ -25,24 +26,17 @@ MEMO_ROWS = 100_000
 RANGE_DOCS, MOST_RANGES = 1000, 2048
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A fixed pseudo-random 64-bit value for each of x."""
-    x = x + np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def draws(terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For (term hash, weight) pairs and each hash function: the race value, and 16 bits of the sample."""
     base = mixed(terms[:, None] ^ mixed(np.arange(HASHES, dtype=np.uint64))[None, :])
 
-    def uniform(k: int) -> np.ndarray:
-        return ((mixed(base + np.uint64(k)) >> np.uint64(12)).astype(np.float64) + 0.5) / 2.0**52
+    def uniforms(k: int) -> tuple[np.ndarray, np.ndarray]:
+        h = mixed(base + np.uint64(k))
+        return ((h >> np.uint64(32)) + 0.5) / 2.0**32, ((h & np.uint64(0xFFFFFFFF)) + 0.5) / 2.0**32
 
-    r = -np.log(uniform(1) * uniform(2))  # gamma with shape 2
-    log_c = np.log(-np.log(uniform(3) * uniform(4)))
-    beta = uniform(5)
+    (a, b), (c, d), (beta, _) = uniforms(1), uniforms(2), uniforms(3)
+    r = -np.log(a * b)  # gamma with shape 2
+    log_c = np.log(-np.log(c * d))
     step = np.floor(np.log(weights)[:, None] / r + beta)
     race = log_c - r * (step - beta) - r
     return race.astype(np.float32), (mixed(base ^ mixed(step.astype(np.int64).astype(np.uint64))) >> np.uint64(48)).astype(np.uint16)
@@ -88,6 +82,12 @@ class Sampler:
         return out
 
 
+@lru_cache(1)
+def sampler() -> Sampler:
+    """One for each worker process."""
+    return Sampler()
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float((a == b).mean())
 
@@ -128,15 +128,15 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
     """
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler, last = Sampler(), None
-        for b in batches:
+        own_sampler, last = sampler(), None
+        for b in small(batches):
             rows = []
             for i, text, at, extra in zip(*(c.to_pylist() for c in b.columns)):
-                own = sampler.fingerprint(text)
+                own = own_sampler.fingerprint(text)
                 if last is not None and last[2] == at and not last[4]:
                     j, t, _, f, _ = last
                     e = edited(t, text)
-                    g = sampler.fingerprint(e)
+                    g = own_sampler.fingerprint(e)
                     rows.append((j, len(t), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), f.tobytes().hex(), g.tobytes().hex(), likeness(f, g), likeness(f, own)))
                 last = (i, text, at, own, extra)
             yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
