@@ -117,13 +117,11 @@ def panel_checks(spark, sf):
     """Rules of the validator over the return panel: rule, severity, value, passed."""
     rets = clean.returns(lineitem_panel(spark, sf))
     one = rets.agg(F.countDistinct("t").alias("rows"), F.countDistinct("j").alias("features"), F.count_if(F.isnan("x") | F.col("x").isNull()).alias("bad"), F.avg(F.abs("x")).alias("size"), F.max(F.abs("x")).alias("largest"))
+    rule = lambda name, severity, value, passed: F.struct(F.lit(name).alias("rule"), F.lit(severity).alias("severity"), value.cast("double").alias("value"), passed.alias("passed"))
     rules = F.array(
-        F.struct(F.lit("rows").alias("rule"), F.lit("fail").alias("severity"), F.col("rows").cast("double").alias("value"), (F.col("rows") >= 250).alias("passed")),
-        F.struct(F.lit("features"), F.lit("warn"), F.col("features").cast("double"), F.col("features") >= 2),
-        F.struct(F.lit("finite"), F.lit("fail"), F.col("bad").cast("double"), F.col("bad") == 0),
-        F.struct(F.lit("mean size"), F.lit("fail"), F.round("size", 8), F.col("size") <= 1),
-        F.struct(F.lit("largest"), F.lit("warn"), F.round("largest", 8), F.col("largest") <= 1),
-    )
+        rule("rows", "fail", F.col("rows"), F.col("rows") >= 250), rule("features", "warn", F.col("features"), F.col("features") >= 2), rule("finite", "fail", F.col("bad"), F.col("bad") == 0),
+        rule("mean size", "fail", F.round("size", 8), F.col("size") <= 1), rule("largest", "warn", F.round("largest", 8), F.col("largest") <= 1),
+    )
     return one.select(F.inline(rules))
 
 

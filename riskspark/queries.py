@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import cleaning
+from .plans import cleaning, risk_queries, vol_queries
 
-_PARTS = (cleaning,)
+_PARTS = (cleaning, risk_queries, vol_queries)
 QUERIES: dict = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 SQL: dict = {k: v for p in _PARTS for k, v in p.SQL.items()}
