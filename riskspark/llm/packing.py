@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, saved, with_running_total
+from .common import read_table, saved, small, with_running_total
 from .wordbpe import encoder, tokenizer_file
 
 WINDOW, END_ID = 4096, 2
@@ -68,7 +68,7 @@ def piece_sums(docs: DataFrame, tokenizer: str, window: int, end_id: int) -> Dat
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(spec.value)
-        for b in batches:
+        for b in small(batches):
             ids = [x + end for x in enc.encode(b.column(1).to_pylist())]
             sums = [[zlib.crc32(x[k : k + size]) for k in range(0, len(x), size)] for x in ids]
             yield pa.record_batch([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(sums, pa.list_(pa.int64()))], ["doc_id", "doc_tokens", "sums"])

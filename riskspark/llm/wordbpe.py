@@ -7,14 +7,12 @@ only new ones go through the library, many in one call; the ids are those of the
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterable
 
 import numpy as np
 
-MEMO_WORDS = 300_000
+MEMO_WORDS = 600_000
 MEMO_LETTERS = 48
-_SPACES = re.compile("[ \n]")
 
 
 def tokenizer_file(name: str) -> str:
@@ -27,64 +25,79 @@ def tokenizer_file(name: str) -> str:
         return f.read()
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level models use for each byte: itself if it prints, else the next free one from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class Encoder:
-    """encode() gives ids as little-endian unsigned 32-bit integers. The memo is cleared when it holds MEMO_WORDS words."""
+    """encode() gives ids as little-endian unsigned 32-bit integers. The memo is cleared when it holds MEMO_WORDS words.
+
+    New words that are all Latin letters go to the library's model directly, as lower case in byte letters; others through all of it. What the
+    tokenizer does with white space, full stops and letters is tried out first, and where it differs texts go through it whole.
+    """
 
     def __init__(self, spec: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.four = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
         self.memo: dict[str, bytes] = {}
         probe = ["ab", "cd", "ef", ".", ",."]
         parts = [self._ids(x) for x in probe]
         self.by_word = self._ids("ab cd\nef . ,.  ") == b"".join(parts)
-        self.by_tail = self._ids("ab,.") == parts[0] + parts[4]
+        self.by_tail = self._ids("ab,.") == parts[0] + parts[4] and self._ids("ab.cd") == parts[0] + parts[3] + parts[1]
+        self.tails = {c: self._ids(c) for c in ".,"} if self.by_tail else {}
+        self.by_model = all(self._of_model(w) == self._ids(w) for w in ("the", "Reading", "Éléphantö", "straßenñ", "QuizzicallY", "xqzj"))
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _of_model(self, word: str) -> bytes:
+        low = word.lower()
+        if not low.isascii():
+            low = low.encode().decode("latin-1").translate(self.letters)
+        four = self.four
+        return b"".join([four[t.id] for t in self.model.tokenize(low)])
+
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         texts = list(texts)
         if not self.by_word:
             return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         out = []
-        for k in range(0, len(texts), 256):
-            words = [t.replace("\n", " ").split(" ") for t in texts[k : k + 256]]
+        for k in range(0, len(texts), 512):
+            words = [t.replace("\n", " ").split(" ") for t in texts[k : k + 512]]
             if len(self.memo) > MEMO_WORDS:
                 self.memo.clear()
             memo = self.memo
             new = set().union(*words).difference(memo)
-            long = {w: self._ids(w) for w in new if len(w) > MEMO_LETTERS}
-            self._learn(w for w in new if len(w) <= MEMO_LETTERS)
-            out += [b"".join([memo[w] if len(w) <= MEMO_LETTERS else long[w] for w in ws]) if long else b"".join(map(memo.__getitem__, ws)) for ws in words]
+            self._learn(new)
+            out += [b"".join(map(memo.__getitem__, ws)) for ws in words]
+            for w in new:
+                if len(w) > MEMO_LETTERS:
+                    del memo[w]
         return out
 
     def _learn(self, words: Iterable[str]) -> None:
-        memo, tails, plain, odd = self.memo, [], set(), set()
+        memo, tails, by_model, odd = self.memo, self.tails, self.by_model, []
         for w in words:
-            body = w.rstrip(".,") if self.by_tail else w
-            if len(body) < len(w) and body and body[-1].isalnum():
-                tails.append((w, body, w[len(body) :]))
-                odd.add(w[len(body) :])
-                w = body
-            (plain if w.isascii() and w.isalpha() else odd).add(w)
-        plain = [w for w in plain if w not in memo]
-        for k in range(0, len(plain), 1000):
-            some = plain[k : k + 1000]
-            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids, of = np.array(e.ids, "<u4"), e.word_ids
-            cuts = [0, *(i for i in range(1, len(of)) if of[i] != of[i - 1]), len(of)]
-            if len(cuts) == len(some) + 1:
-                for w, a, b in zip(some, cuts, cuts[1:]):
-                    memo[w] = ids[a:b].tobytes()
+            body, tail = (w[:-1], tails[w[-1]]) if w and w[-1] in tails else (w, None)
+            if not by_model or not body.isalpha() or not (body.isascii() or max(body) < "\u0130"):
+                odd.append(w)
+            elif tail is None:
+                if w not in memo:
+                    memo[w] = self._of_model(w)
             else:
-                odd.update(some)
-        odd = [w for w in odd if w not in memo]
+                ids = memo.get(body)
+                if ids is None:
+                    ids = memo[body] = self._of_model(body)
+                memo[w] = ids + tail
         for w, e in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False)):
             memo[w] = np.array(e.ids, "<u4").tobytes()
-        for w, body, tail in tails:
-            memo[w] = memo[body] + memo[tail]
 
 
 _encoders: dict[int, Encoder] = {}
