@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RANGE_ROWS, new_dir, read_table, saved, with_running_total
+from .common import RANGE_ROWS, mixed, new_dir, read_table, saved, small, with_running_total
 from .wordbpe import encoder, tokenizer_file
 
 END_ID = 2
@@ -29,14 +29,6 @@ CUT_BITS, SHORTEST, LONGEST = 8, 64, 1024
 POLY = np.uint64(0xEDB88320)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A fixed pseudo-random 64-bit value for each of x."""
-    x = x.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 GEAR = mixed(np.arange(1 << 16)).astype(np.uint32)
 
 
@@ -108,7 +100,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, sent = encoder(spec.value), set()
-        for b in batches:
+        for b in small(batches):
             out = []
             for x in enc.encode(b.column(1).to_pylist()):
                 ids = np.frombuffer(x + end, "<u4")
@@ -116,7 +108,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json"
                 digests, own = [digest_of(p) for p in parts], []
                 for d, p in zip(digests, parts):
                     own.append(None if d in sent else p)
-                    if len(sent) < 1_000_000:  # a task sends a chunk once, or as often as it likes when it has sent many
+                    if len(sent) < 200_000:  # a task sends a chunk once, or as often as it likes when it has sent many
                         sent.add(d)
                 out.append((len(ids), merkle_root(digests), digests, own))
             n, root, digests, own = zip(*out) if out else ((), (), (), ())

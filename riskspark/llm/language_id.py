@@ -7,111 +7,76 @@ that the language's profile lacks. The nearest language wins.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, saved
+from .common import read_table, saved, small
 
 #: N-grams in a profile.
 PROFILE = 300
 #: Languages that a model may have; it is sent to all tasks, and has PROFILE rows for each.
 MOST_LANGUAGES = 4096
 UNKNOWN = "und"
-MEMO_WORDS, MEMO_GRAMS = 200_000, 120_000
-#: Letters of a word that make n-grams at once; longer runs of letters are counted piece by piece, no n-gram is lost.
-_SPAN = 1 << 16
-
-
-def letter_runs(word: str) -> list[str]:
-    """The runs of letters in a word, in lower case."""
-    if word.isalpha():
-        return [word]
-    return "".join(c if c.isalpha() else " " for c in word).split()
-
-
-def gram_codes(run: str) -> np.ndarray:
-    """Codes of all n-grams of one to three letters of a run between two word ends; a code holds the code points, 21 bits each."""
-    x = np.frombuffer(f" {run} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    pair = x[:-1] << 21 | x[1:]
-    return np.concatenate([x[1:-1], pair, pair[:-1] << 21 | x[2:]])
-
-
-class GramCounter:
-    """Counts n-grams of texts. n-grams have places in arrays, by code, for as long as the memo holds."""
-
-    def __init__(self) -> None:
-        self.words: dict[str, np.ndarray] = {}
-        self.place: dict[int, int] = {}
-        self.codes: list[int] = []
-
-    @property
-    def full(self) -> bool:
-        return len(self.words) > MEMO_WORDS or len(self.codes) > MEMO_GRAMS
-
-    def places(self, word: str) -> np.ndarray:
-        got = self.words.get(word)
-        if got is None:
-            runs = letter_runs(word)
-            codes = np.concatenate([gram_codes(r) for r in runs]).tolist() if runs else []
-            for c in codes:
-                if c not in self.place:
-                    self.place[c] = len(self.codes)
-                    self.codes.append(c)
-            got = np.array([self.place[c] for c in codes], np.int64)
-            if len(word) <= 32:
-                self.words[word] = got
-        return got
-
-    def count(self, text: str) -> np.ndarray | None:
-        """Counts by place, or None if the text has no letter."""
-        words = Counter(text.lower().split())
-        lists = [self.places(w) for w in words]
-        sizes = [len(x) for x in lists]
-        if not any(sizes):
-            return None
-        return np.bincount(np.concatenate(lists), weights=np.repeat(np.fromiter(words.values(), np.float64), sizes), minlength=len(self.codes)).astype(np.int64)
-
-
-def ranked(counts: np.ndarray, codes: np.ndarray, most: int) -> np.ndarray:
-    """Places of the `most` most frequent, by count and then by code."""
-    at = np.flatnonzero(counts)
-    if len(at) > 4 * most:
-        c = counts[at]
-        at = at[c >= np.partition(c, len(c) - most)[len(c) - most]]
-    return at[np.lexsort((codes[at], -counts[at]))][:most]
-
-
-def learn(docs: DataFrame, lang: str = "lang") -> list[tuple[str, list[int]]]:
+#: Code points whose n-grams are made at once.
+SPAN = 1 << 20
+#: N-grams that a task holds for one language before it sends them on.
+HELD = 500_000
+
+
+@lru_cache(1)
+def letters() -> np.ndarray:
+    """Each code point itself if it is a letter, else a space."""
+    return np.array([c if chr(c).isalpha() else 32 for c in range(0x110000)], np.int64)
+
+
+def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Codes, in ascending order, of all n-grams of one to three letters in lower case, and how often each occurs.
+
+    A code holds the code points, 21 bits each. A word's end counts as a space, and no n-gram spans two words.
+    """
+    x = letters()[np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), "<u4")]
+    found = []
+    for k in range(0, len(x), SPAN):  # each span makes the n-grams that begin in it
+        a = x[k : k + SPAN + 2]
+        is_letter, n = a != 32, min(SPAN, len(a))
+        pair = a[:-1] << 21 | a[1:]
+        both, middle = is_letter[:-1] | is_letter[1:], is_letter[1:-1]
+        found += [a[:n][is_letter[:n]], pair[:n][both[:n]], (pair[:-1] << 21 | a[2:])[:n][middle[:n]]]
+    codes = np.concatenate(found)
+    codes.sort()
+    starts = np.flatnonzero(np.diff(codes, prepend=-1))
+    return codes[starts], np.diff(np.append(starts, len(codes)))
+
+
+def learn(docs: DataFrame, lang: str = "lang") -> list[tuple[str, np.ndarray]]:
     """(language, codes of its profile by rank) of rows that have text and language, from all their text, by language."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, sums = GramCounter(), {}
-
-        def out() -> pa.RecordBatch:
-            rows = [(x, counter.codes[k], int(s[k])) for x, s in sums.items() for k in np.flatnonzero(s).tolist()]
-            return pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["lang", "gram", "n"])
-
-        for b in batches:
-            for x, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                got = counter.count(text)
-                if got is None:
-                    continue
-                own = sums.get(x)
-                if own is None or len(own) < len(got):
-                    more = np.zeros(max(1024, 2 * len(got)), np.int64)
-                    if own is not None:
-                        more[: len(own)] = own
-                    own = sums[x] = more
-                own[: len(got)] += got
-                if counter.full:
-                    yield out()
-                    counter, sums = GramCounter(), {}
-        yield out()
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+        def out(name: str) -> pa.RecordBatch:
+            codes, n = held.pop(name)
+            return pa.record_batch([pa.array([name] * len(codes), pa.string()), pa.array(codes, pa.int64()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
+
+        for b in small(batches, 250):
+            texts: dict[str, list[str]] = {}
+            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                texts.setdefault(name, []).append(text)
+            for name, own in texts.items():
+                more = [gram_counts(" ".join(own))]
+                if name in held:
+                    more.append(held[name])
+                codes, where = np.unique(np.concatenate([c for c, _ in more]), return_inverse=True)
+                held[name] = codes, np.bincount(where, np.concatenate([n for _, n in more]), len(codes)).astype(np.int64)
+                if len(codes) > HELD:
+                    yield out(name)
+        for name in list(held):
+            yield out(name)
 
     rows = docs.select(F.col(lang).alias("lang"), "text").where("lang IS NOT NULL AND text IS NOT NULL")
     total = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -126,68 +91,55 @@ def learn(docs: DataFrame, lang: str = "lang") -> list[tuple[str, list[int]]]:
     model: dict[str, list] = {}
     for r in best.collect():  # PROFILE rows for each language
         model.setdefault(r["lang"], []).append((r["k"], r["gram"]))
-    return [(x, [g for _, g in sorted(model[x])]) for x in sorted(model)]
+    return [(x, np.array([g for _, g in sorted(model[x])], np.int64)) for x in sorted(model)]
 
 
-def with_language(docs: DataFrame, model: list[tuple[str, list[int]]]) -> DataFrame:
+def nearest(text: str | None, codes: np.ndarray, ranks: np.ndarray) -> tuple[int, float] | None:
+    """The place of the nearest language and the score, or None if the text has no letter. ranks: of each of codes by language, -1 if it has none."""
+    if text is None or not len(codes):
+        return None
+    grams, counts = gram_counts(text)
+    if not len(grams):
+        return None
+    top = grams[np.argsort(-counts, kind="stable")[:PROFILE]]
+    at = np.minimum(np.searchsorted(codes, top), len(codes) - 1)
+    theirs = np.where((codes[at] == top)[:, None], ranks[at], -1)
+    apart = np.where(theirs < 0, PROFILE, np.abs(theirs - np.arange(len(top))[:, None])).sum(axis=0)
+    best = int(apart.argmin())
+    return best, 1 - float(apart[best]) / (PROFILE * len(top))
+
+
+def with_language(docs: DataFrame, model: list[tuple[str, np.ndarray]]) -> DataFrame:
     """docs with lang_pred and lang_score, from the text alone.
 
     Texts that are null or have no letter get `und` and score 0; so do all texts if the model is empty. Of languages at the same distance the
     first in alphabetical order wins. The score is 1 less the distance as a part of the largest possible. Columns of these names are replaced.
     """
     languages = [x for x, _ in model]
-    ranks: dict[int, list[tuple[int, int]]] = {}
+    codes = np.unique(np.concatenate([g for _, g in model])) if model else np.zeros(0, np.int64)
+    ranks = np.full((len(codes), len(model)), -1, np.int64)
     for k, (_, grams) in enumerate(model):
-        for rank, g in enumerate(grams):
-            ranks.setdefault(g, []).append((k, rank))
-
-    def predict(texts: pa.Array, counter: GramCounter, table: np.ndarray) -> tuple[list, list, np.ndarray]:
-        langs, scores = [], []
-        for text in texts:
-            got = counter.count(text) if text is not None and languages else None
-            if got is None:
-                langs.append(UNKNOWN)
-                scores.append(0.0)
-                continue
-            if len(counter.codes) > len(table):
-                more = np.full((2 * len(counter.codes), len(languages)), -1, np.int32)
-                more[: len(table)] = table
-                table = more
-            while counter.known < len(counter.codes):
-                for k, rank in ranks.get(counter.codes[counter.known], ()):
-                    table[counter.known, k] = rank
-                counter.known += 1
-            at = ranked(got, np.array(counter.codes, np.int64) if len(counter.codes) != len(counter.array) else counter.array, PROFILE)
-            if len(counter.codes) != len(counter.array):
-                counter.array = np.array(counter.codes, np.int64)
-            theirs = table[at]
-            apart = np.where(theirs < 0, PROFILE, np.abs(theirs - np.arange(len(at))[:, None])).sum(axis=0)
-            k = int(apart.argmin())
-            langs.append(languages[k])
-            scores.append(1 - float(apart[k]) / (PROFILE * len(at)))
-        return langs, scores, table
-
+        ranks[np.searchsorted(codes, grams), k] = np.arange(len(grams))
     names = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
     place = names.index("text")
     kept = docs.select(*names)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def fresh():
-            c = GramCounter()
-            c.known, c.array = 0, np.zeros(0, np.int64)
-            return c, np.full((1, len(languages)), -1, np.int32)
-
-        counter, table = fresh()
-        for b in batches:
-            if counter.full:
-                counter, table = fresh()
-            langs, scores, table = predict(b.column(place).to_pylist(), counter, table)
+        for b in small(batches):
+            found = [nearest(t, codes, ranks) for t in b.column(place).to_pylist()]
+            langs, scores = [languages[f[0]] if f else UNKNOWN for f in found], [f[1] if f else 0.0 for f in found]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "lang_score"])
 
     schema = kept.withColumn("lang_pred", F.lit("")).withColumn("lang_score", F.lit(0.0)).schema
     return kept.mapInArrow(apply, schema)
 
 
+def accept_language(docs: DataFrame, least: float = 0.15) -> DataFrame:
+    """docs, all its columns, without the rows whose text has no letter, or is nearer than `least` to no profile learned from docs itself."""
+    found = with_language(docs, learn(docs))
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= least)).select(*docs.columns)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1)
     model = learn(docs.where(~F.coalesce("held_out", F.lit(False))))
