@@ -7,6 +7,7 @@ from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .language_id import op5_language_id
 from .packing import op9_packing
 from .pii import op8_pii
+from .sentence_pieces import op2_sentencepiece
 from .sharding import op4_sharding
 from .simhash import op3_simhash_near_dedup
 from .url_filter import OP7_SQL, op7_url_filters
@@ -14,6 +15,7 @@ from .weighted_sampling import op6_document_fingerprints
 
 QUERIES = {
     "op1_token_store": op1_token_store,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_sharding": op4_sharding,
     "op5_language_id": op5_language_id,
