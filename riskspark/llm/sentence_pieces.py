@@ -34,6 +34,9 @@ from .common import read_table, saved, small
 SPACE = "▁"
 #: Units in the dictionary of a block, about.
 BLOCK_UNITS = 250_000
+#: Units whose edges a task groups in memory; if it has more, Spark goes on by sorting.
+GROUPED_UNITS = 150_000
+IN_MEMORY = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 #: Units up to this length keep their boundaries in the bits of one number.
 SHORT = 61
 #: Codes of code points without a piece begin here; codes of pieces are their places in the piece table.
@@ -167,9 +170,9 @@ def edges(units: DataFrame, pieces: Pieces) -> DataFrame:
     blocks = F.transform(F.sequence(F.lit(0), F.floor((size - 1) / 64).cast("int")), lambda k: F.struct((k * 64).alias("from"), F.substring("unit", k * 64 + 1, F.lit(63 + pieces.longest)).alias("part")))
     whole = F.array(F.struct(F.lit(0).alias("from"), F.col("unit").alias("part")))
     parts = units.select("unit", F.explode(F.when(size <= 64, whole).otherwise(blocks)).alias("b")).select("unit", "b.from", "b.part")
-    starts = F.sequence(F.lit(1), F.least(F.length("part"), F.lit(64)))
-    spans = F.flatten(F.transform(starts, lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length("part") - s + 1)), lambda n: F.struct((s - 1).alias("s"), F.substring("part", s, n).alias("piece")))))
-    found = parts.select("unit", "from", F.explode(spans).alias("x")).select("unit", (F.col("from") + F.col("x.s")).alias("at"), "x.piece")
+    begun = parts.select("unit", "from", "part", F.explode(F.sequence(F.lit(1), F.least(F.length("part"), F.lit(64)))).alias("s"))
+    spans = begun.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length("part") - F.col("s") + 1))).alias("n"))
+    found = spans.select("unit", (F.col("from") + F.col("s") - 1).alias("at"), F.substring("part", F.col("s"), F.col("n")).alias("piece"))
     joined = found.join(F.broadcast(table), "piece", "left").where("code IS NOT NULL OR length(piece) = 1")  # the piece table has a fixed size
     # A code point's number, from its bytes in UTF-32.
     point = F.conv(F.hex(F.encode("piece", "UTF-32")), 16, 10).cast("int") + ODD
@@ -278,7 +281,13 @@ def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
     """
     rows = staged(docs, pieces)
     entries = rows.select("block", "first", F.posexplode("units").alias("k", "unit")).select("block", (F.col("first") + F.col("k")).alias("k"), "unit")
-    encoded = saved(encode_units(entries.select("unit").distinct(), pieces), "pieces-units")
+    conf = docs.sparkSession.conf
+    before = conf.get(IN_MEMORY)
+    conf.set(IN_MEMORY, str(GROUPED_UNITS))
+    try:
+        encoded = saved(encode_units(entries.select("unit").distinct(), pieces), "pieces-units")
+    finally:
+        conf.set(IN_MEMORY, before)
     dictionary = entries.join(encoded, "unit").select(F.col("block").alias("of"), "k", "codes")
 
     def look_up(texts: pa.Table, words: pa.Table) -> pa.Table:
