@@ -46,10 +46,11 @@ def ks_uniform(u: DataFrame, by: str = "j") -> DataFrame:
 
 
 def two_samples(both: DataFrame, by: str) -> DataFrame:
-    """by, ks, w1 of samples s = 0 and 1 of x: the largest gap between their distribution functions, and the area between them, from running counts over the union."""
+    """by, ks, w1 of samples s = 0 and 1 of x: the largest gap between their distribution functions, and the area between them, from running counts over the union. Both are null if a sample is empty."""
     up = Window.partitionBy(by).orderBy("x").rangeBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(by)
-    gap = F.abs(F.sum(F.when(F.col("s") == 0, 1).otherwise(0)).over(up) / F.sum(F.when(F.col("s") == 0, 1).otherwise(0)).over(whole) - F.sum(F.when(F.col("s") == 1, 1).otherwise(0)).over(up) / F.sum(F.when(F.col("s") == 1, 1).otherwise(0)).over(whole))
+    below = lambda s: F.sum(F.when(F.col("s") == s, 1).otherwise(0))
+    gap = F.abs(F.try_divide(below(0).over(up), below(0).over(whole)) - F.try_divide(below(1).over(up), below(1).over(whole)))
     each = both.withColumn("gap", gap).withColumn("step", F.lead("x").over(Window.partitionBy(by).orderBy("x")) - F.col("x"))
     return each.groupBy(by).agg(F.max("gap").alias("ks"), F.sum(F.col("gap") * F.coalesce("step", F.lit(0.0))).alias("w1"))
 

@@ -236,7 +236,7 @@ def lam(src: str, q: str, upper: bool = False) -> str:
 
 
 RANKS = f"{R10}, ranks AS (SELECT t, j, (SELECT count(*) FROM ret10 e WHERE e.j = q.j AND e.t < 1200 AND e.x <= q.x) / 1200::DOUBLE AS u FROM ret10 q WHERE t >= 1200)"
-SAMP = f"{R10}, sa AS (SELECT j, x, CASE WHEN t >= 1200 THEN 1 ELSE 0 END AS s FROM ret10), ga AS (SELECT j, x, abs(sum(1 - s) OVER w::DOUBLE / sum(1 - s) OVER (PARTITION BY j) - sum(s) OVER w::DOUBLE / sum(s) OVER (PARTITION BY j)) AS gap, lead(x) OVER (PARTITION BY j ORDER BY x) - x AS st FROM sa WINDOW w AS (PARTITION BY j ORDER BY x RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))".replace("sum(1 - s) OVER w::DOUBLE", "CAST(sum(1 - s) OVER w AS DOUBLE)").replace("sum(s) OVER w::DOUBLE", "CAST(sum(s) OVER w AS DOUBLE)")
+SAMP = f"{R10}, sa AS (SELECT j, x, CASE WHEN t >= 1200 THEN 1 ELSE 0 END AS s FROM ret10), ga AS (SELECT j, x, abs(sum(1 - s) OVER w::DOUBLE / nullif(sum(1 - s) OVER (PARTITION BY j), 0) - sum(s) OVER w::DOUBLE / nullif(sum(s) OVER (PARTITION BY j), 0)) AS gap, lead(x) OVER (PARTITION BY j ORDER BY x) - x AS st FROM sa WINDOW w AS (PARTITION BY j ORDER BY x RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))".replace("sum(1 - s) OVER w::DOUBLE", "CAST(sum(1 - s) OVER w AS DOUBLE)").replace("sum(s) OVER w::DOUBLE", "CAST(sum(s) OVER w AS DOUBLE)")
 WIN = f"{BASE}, {SPLIT}, {STARTS}, {WINDOWS}"
 PRICES = f"{WIN}, pr AS (SELECT w, j, k, round(p, 10) AS p FROM (SELECT w, j, 0 AS k, 1.0::DOUBLE AS p FROM wins WHERE k = 0 UNION ALL SELECT w, j, k + 1, 1.0 + sum(x) OVER (PARTITION BY w, j ORDER BY k) FROM wins WHERE k < 23))"
 BH = "bh AS (SELECT w, j, arg_max(p, k) - arg_min(p, k) AS pnl FROM pr GROUP BY w, j)"
