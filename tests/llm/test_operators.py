@@ -191,6 +191,35 @@ def test_near_copies_one_of_each_group_stays(docs, empty):
     assert simhash.drop_near_copies(empty).count() == 0
 
 
+def shingled(t):
+    words = t.split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+def jaccard(a, b):
+    a, b = shingled(a), shingled(b)
+    return len(a & b) / len(a | b)
+
+
+def one_of_each_is_kept(spark, texts):
+    groups = components(list(range(len(texts))), lambda i, j: jaccard(texts[i], texts[j]) >= 0.8)
+    kept = simhash.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(groups))
+
+
+def test_near_copies_edited_in_one_block_are_found(spark):
+    rng = np.random.default_rng(5)
+    prose = lambda n: [f"w{int(x)}" for x in rng.integers(0, 3000, n)]
+    texts = []
+    for k in range(60):
+        base = prose(300)
+        cut = int(rng.integers(0, 250))
+        near = (base + prose(70), base[:245], base[:cut] + prose(28) + base[cut + 28 :])[k % 3]
+        texts += [" ".join(base), " ".join(near)]
+        assert 0.8 <= jaccard(*texts[-2:]) < 0.86
+    one_of_each_is_kept(spark, texts)
+
+
 @pytest.mark.parametrize("law_shards", [24, 3])
 def test_shards(docs, empty, law_shards):
     got = sharding.assign_shards(docs, law_shards).collect()
