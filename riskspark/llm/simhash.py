@@ -10,14 +10,14 @@ a cell is, no pairs are listed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_order, mixed, read_table, saved, small
+from .common import mixed, read_table, saved, small
 from .components import with_component
 
 SEED, BITS = 42, 64
@@ -109,7 +109,7 @@ def near_groups(docs: DataFrame, words_each: int = 3) -> DataFrame:
 
 #: A text's shingles give TABLES codes of MINIMA smallest hashes each. Two texts of Jaccard similarity J share a code with chance 1 - (1 - J**MINIMA)**TABLES:
 #: at 0.8 all but 1.3e-7 do, at 0.5 72 %, at 0.2 1.3 %.
-TABLES, MINIMA, NEXT = 40, 5, 4
+TABLES, MINIMA = 40, 5
 
 
 def min_codes(shingles: np.ndarray) -> np.ndarray:
@@ -135,29 +135,45 @@ def shingle_set(text: bytes, words_each: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in whole), np.uint64, len(whole))).view(np.int64)
 
 
-def following(rows: DataFrame, bucket: str, order: list[str], value: str) -> DataFrame:
-    """Pairs (a, b) of values of rows in one bucket of which one follows within NEXT places in the order given.
+def crossing(active: DataFrame, slices: int) -> tuple[DataFrame, DataFrame]:
+    """Of active (bucket, key, root): pivots (bucket, pivot, pivot_root), the least key of each of so many slices of a bucket, and the pairs (a, b), a > b, of a pivot with members of its bucket in other components."""
+    part = F.pmod(F.xxhash64("key"), F.lit(slices))
+    pivots = active.groupBy("bucket", part.alias("slice")).agg(F.min(F.struct("key", "root")).alias("p")).select("bucket", F.col("p.key").alias("pivot"), F.col("p.root").alias("pivot_root"))
+    pivots = saved(pivots, "near-pivots")
+    met = active.join(pivots, "bucket").where("root != pivot_root")
+    return pivots, met.select(F.greatest("key", "pivot").alias("a"), F.least("key", "pivot").alias("b")).distinct()
 
-    A bucket of up to NEXT + 1 rows gives all its pairs; a large one, of which many are like one another, gives NEXT for each row. The rows are
-    dealt by order, not by bucket, so that no bucket has to fit one task; each range sees the first rows of the next.
+
+def near_components(nodes: DataFrame, places: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """nodes (node, least) with root, by the links that verified() finds among the pairs that share a bucket of places (bucket, key).
+
+    Pairs that links already connect need no check. In each round every bucket that still spans several components has some of its members, the pivots, held
+    against all of its members in other components, and then the pivots are done; with sixteen times as many pivots a round, a bucket ends when its rest is one
+    component. So no pair is left out, a bucket of copies costs its size only, and one of unrelated texts its pairs.
     """
-    ranged = in_order(rows.select(bucket, *order, value), [bucket, *order, value], "simhash-order")
-    within = Window.partitionBy("_range").orderBy(bucket, *order, value)
-    placed = ranged.withColumn("_k", F.row_number().over(within))
-    heads = placed.where(F.col("_k") <= NEXT).withColumn("_range", F.col("_range") - 1).withColumn("_head", F.lit(True))
-    both = placed.withColumn("_head", F.lit(False)).unionByName(heads)
-    then = Window.partitionBy("_range").orderBy("_head", bucket, *order, value)
-    ahead = F.array_compact(F.array(*[F.when(F.lead(bucket, k).over(then) == F.col(bucket), F.lead(value, k).over(then)) for k in range(1, NEXT + 1)]))
-    pairs = both.withColumn("_ahead", ahead).where(~F.col("_head")).select(F.col(value).alias("x"), F.explode("_ahead").alias("y"))
-    return pairs.where("x != y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    shared = places.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    active, edges, slices = saved(places.join(shared, "bucket", "left_semi").withColumn("root", F.col("key")), "near-places"), None, 1
+    while True:
+        pivots, pairs = crossing(active, slices)
+        new = saved(verified(saved(pairs, "near-pairs")), "near-links")
+        edges = new if edges is None else edges.unionByName(new)
+        rooted = saved(with_component(nodes, edges), "near-roots")
+        rest = active.drop("root").join(pivots.select("bucket", F.col("pivot").alias("key")), ["bucket", "key"], "left_anti")
+        rest = rest.join(rooted.select(F.col("node").alias("key"), "root"), "key").select("bucket", "key", "root")
+        rest = saved(rest, "near-rest")
+        mixed_ones = rest.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
+        active = saved(rest.join(mixed_ones, "bucket", "left_semi"), "near-places")
+        if active.isEmpty():
+            return rooted
+        slices *= 16
 
 
 def drop_near_copies(docs: DataFrame, words_each: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs, all its columns, with one row, that of the least doc_id, of each group of near copies.
 
-    Two texts are linked if their sets of word shingles have a Jaccard similarity of `similarity` or more, which is verified on the whole texts; groups are
-    what links connect. Candidates share one of TABLES codes of their shingles, see there for the chance. Rows with equal text are one node; of rows that repeat an identifier and a text one stays.
-    A null text has no words and is linked to others without words; null identifiers sort first.
+    Two texts are linked if their sets of word shingles have a Jaccard similarity of `similarity` or more, which is verified on the whole sets; groups are
+    what links connect. Candidates share one of TABLES codes of their shingles, see there for the chance; of those none is left out. Rows with equal text are one
+    node; of rows that repeat an identifier and a text one stays. A null text has no words and is linked to others without words; null identifiers sort first.
     """
     spark = docs.sparkSession
     text = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
@@ -172,20 +188,12 @@ def drop_near_copies(docs: DataFrame, words_each: int = 5, similarity: float = 0
     nodes = rows.groupBy("key").agg(F.min(F.struct("doc_id"))["doc_id"].alias("least"), F.first("codes").alias("codes"))
     nodes = saved(nodes, "near-nodes")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    places = nodes.repartition(n, "key").select("key", "codes", F.posexplode("codes").alias("table", "code")).select(
-        "key", F.col("code").alias("bucket"), F.element_at("codes", (F.col("table") + 1) % TABLES + 1).alias("then")
-    )
-    shared = places.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    pairs = saved(following(places.join(shared, "bucket", "left_semi"), "bucket", ["then"], "key"), "near-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    places = nodes.repartition(n, "key").select("key", F.explode("codes").alias("bucket"))
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
             yield pa.record_batch([b.column(0), pa.array([shingle_set(t, words_each) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], ["key", "shingles"])
 
-    firsts = nodes.join(wanted, "key").select(F.col("key"), F.col("least"))
-    texts = keyed.select("_key", F.col("doc_id").cast("long").alias("_id"), text.alias("text")).join(firsts, (F.col("_key") == F.col("key")) & F.col("_id").eqNullSafe(F.col("least")), "left_semi")
-    sets = saved(texts.select("_key", "text").mapInArrow(shingles, "key long, shingles array<long>").dropDuplicates(["key"]), "near-sets")
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
@@ -195,9 +203,15 @@ def drop_near_copies(docs: DataFrame, words_each: int = 5, similarity: float = 0
                 keep.append(shared_ones >= similarity * (len(s) + len(t) - shared_ones))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    held = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("t")), "b")
-    edges = saved(held.select("a", "b", "s", "t").mapInArrow(verify, "a long, b long"), "near-links")
-    rooted = with_component(nodes.select(F.col("key").alias("node"), "least"), edges)
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        firsts = nodes.join(wanted, "key").select(F.col("key"), F.col("least"))
+        texts = keyed.select("_key", F.col("doc_id").cast("long").alias("_id"), text.alias("text")).join(firsts, (F.col("_key") == F.col("key")) & F.col("_id").eqNullSafe(F.col("least")), "left_semi")
+        sets = saved(texts.select("_key", "text").mapInArrow(shingles, "key long, shingles array<long>").dropDuplicates(["key"]), "near-sets")
+        held = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("t")), "b")
+        return held.select("a", "b", "s", "t").mapInArrow(verify, "a long, b long")
+
+    rooted = near_components(nodes.select(F.col("key").alias("node"), "least"), places, verified)
     stays = rooted.groupBy("root").agg(F.min(F.struct(F.col("least"), F.col("node"))).alias("m")).select(F.col("m.node").alias("_node"), F.col("m.least").alias("_least"))
     kept = keyed.join(stays, (F.col("_key") == F.col("_node")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_least")))
     again = rows.groupBy("key", "doc_id").agg(F.count("*").alias("n")).where("n > 1")

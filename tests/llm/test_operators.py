@@ -220,6 +220,31 @@ def test_near_copies_edited_in_one_block_are_found(spark):
     one_of_each_is_kept(spark, texts)
 
 
+def test_near_copies_among_texts_of_one_word_set_are_found(spark):
+    rng = np.random.default_rng(6)
+    words, texts = [f"w{k}" for k in range(400)], []
+    for _ in range(60):
+        base = [words[k] for k in rng.permutation(400)]
+        near = base[:200] + [base[201], base[200]] + base[202:]
+        texts += [" ".join(base), " ".join(near)]
+    one_of_each_is_kept(spark, texts)
+
+
+def test_a_large_group_with_pairs_on_both_sides_of_the_bound(spark):
+    rng = np.random.default_rng(7)
+    base, texts = [f"w{k}" for k in range(150)], []
+    for k in range(120):
+        edited = list(base)
+        for at in rng.choice(150, int(rng.integers(1, 8)), replace=False):
+            edited[at] = f"x{k}y{at}"
+        texts.append(" ".join(edited))
+    one_of_each_is_kept(spark, texts)
+
+
+def test_a_chain_that_only_its_neighbours_link(spark):
+    one_of_each_is_kept(spark, [" ".join(f"w{k}" for k in range(9 * s, 9 * s + 100)) for s in range(30)] + [" ".join(f"w{k}" for k in range(1000 + 15 * s, 1100 + 15 * s)) for s in range(8)])
+
+
 @pytest.mark.parametrize("law_shards", [24, 3])
 def test_shards(docs, empty, law_shards):
     got = sharding.assign_shards(docs, law_shards).collect()
