@@ -109,6 +109,15 @@ def nearest(text: str | None, codes: np.ndarray, ranks: np.ndarray) -> tuple[int
     return best, 1 - float(apart[best]) / (PROFILE * len(top))
 
 
+def places(model: list[tuple[str, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """All codes of the model in order, and of each its rank by language, -1 if the language lacks it."""
+    codes = np.unique(np.concatenate([g for _, g in model])) if model else np.zeros(0, np.int64)
+    ranks = np.full((len(codes), len(model)), -1, np.int64)
+    for k, (_, grams) in enumerate(model):
+        ranks[np.searchsorted(codes, grams), k] = np.arange(len(grams))
+    return codes, ranks
+
+
 def with_language(docs: DataFrame, model: list[tuple[str, np.ndarray]]) -> DataFrame:
     """docs with lang_pred and lang_score, from the text alone.
 
@@ -116,10 +125,7 @@ def with_language(docs: DataFrame, model: list[tuple[str, np.ndarray]]) -> DataF
     first in alphabetical order wins. The score is 1 less the distance as a part of the largest possible. Columns of these names are replaced.
     """
     languages = [x for x, _ in model]
-    codes = np.unique(np.concatenate([g for _, g in model])) if model else np.zeros(0, np.int64)
-    ranks = np.full((len(codes), len(model)), -1, np.int64)
-    for k, (_, grams) in enumerate(model):
-        ranks[np.searchsorted(codes, grams), k] = np.arange(len(grams))
+    codes, ranks = places(model)
     names = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
     place = names.index("text")
     kept = docs.select(*names)
@@ -134,10 +140,45 @@ def with_language(docs: DataFrame, model: list[tuple[str, np.ndarray]]) -> DataF
     return kept.mapInArrow(apply, schema)
 
 
+def grade(text: str) -> int:
+    """The binary logarithm of how many of a text's n-grams are ranked."""
+    return min(len(gram_counts(text)[0]), PROFILE).bit_length()
+
+
+def bars(docs: DataFrame, model: list[tuple[str, np.ndarray]], lang: str = "lang") -> dict[int, float]:
+    """The least score, by grade, that a text in a learned language has.
+
+    It lies as far below the half-percent quantile as that lies below the median of the scores of all labelled texts nearest to their own label, and of their
+    beginnings of 1, 2, 4 to 128 words: so that a short text is held against texts as short.
+    """
+    names = [x for x, _ in model]
+    codes, ranks = places(model)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            out = []
+            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words = text.split(maxsplit=129)
+                for piece in [text, *(" ".join(words[: 1 << k]) for k in range(8) if 1 << k < len(words))]:
+                    found = nearest(piece, codes, ranks)
+                    if found and names[found[0]] == name:
+                        out.append((grade(piece), found[1]))
+            yield pa.record_batch([pa.array([g for g, _ in out], pa.int32()), pa.array([x for _, x in out], pa.float64())], ["grade", "score"])
+
+    rows = docs.select(F.col(lang).alias("lang"), "text").where("lang IS NOT NULL AND text IS NOT NULL").mapInArrow(score, "grade int, score double")
+    cuts = rows.groupBy("grade").agg(F.percentile_approx("score", [0.005, 0.5], 10_000).alias("q")).collect()  # nine grades
+    return {r["grade"]: 2 * r["q"][0] - r["q"][1] for r in cuts}
+
+
 def accept_language(docs: DataFrame, least: float = 0.15) -> DataFrame:
-    """docs, all its columns, without the rows whose text has no letter, or is nearer than `least` to no profile learned from docs itself."""
-    found = with_language(docs, learn(docs))
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= least)).select(*docs.columns)
+    """docs, all its columns, without the rows whose text has no letter, or is further from every profile learned from docs itself than labelled texts of
+    its number of n-grams are, or than `least`. A grade that no labelled text has takes the bar of the nearest that one has."""
+    model = learn(docs)
+    known = bars(docs, model)
+    bar = {g: max(least, known[min(known, key=lambda h: (abs(h - g), h))]) if known else least for g in range(PROFILE.bit_length() + 1)}
+    graded = F.udf(lambda t: bar[grade(t or "")], "double")
+    found = with_language(docs, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= least))
+    return found.where(F.col("lang_score") >= graded("text")).select(*docs.columns)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

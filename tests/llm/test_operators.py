@@ -298,6 +298,22 @@ def test_languages_held_out(spark):
     assert len(held) > 20 and sum(r["lang"] == r["lang_pred"] for r in held) >= 0.9 * len(held)
 
 
+def test_other_languages_and_noise_are_dropped_and_short_texts_stay(spark):
+    rng = np.random.default_rng(8)
+    typed = " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(3, 10)))) for _ in range(60))
+    strange = [
+        "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ja heidän on toimittava toisiaan kohtaan veljeyden hengessä",
+        "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa",
+        "bütün insanlar hür haysiyet ve haklar bakımından eşit doğarlar akıl ve vicdana sahiptirler", typed, rng.bytes(400).hex(), "123 456",
+    ]
+    clean = ["Hello", "Hello world", "The cat sat on the mat.", "Water boils at one hundred degrees.", "Der Hund schläft.", "Guten Tag", "el perro come"]
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    more = spark.createDataFrame([(-k - 1, t, None) for k, t in enumerate(strange + clean)], real.schema)
+    kept = {r["doc_id"] for r in language_id.accept_language(real.unionByName(more)).select("doc_id").collect()}
+    assert {k for k in kept if k < 0} == {-k - 1 for k in range(len(strange), len(strange + clean))}
+    assert len(kept) - len(clean) == real.where("text RLIKE '\\\\p{L}'").count()
+
+
 def test_sampling_collides_like_generalised_jaccard():
     rng = np.random.default_rng(1)
     for _ in range(5):
