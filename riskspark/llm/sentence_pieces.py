@@ -10,21 +10,20 @@ table, and the pieces found are its edges. Edges are grouped by unit and folded
   unit so far make it up. That equals merging the best pair first again and again, if every piece comes about from merges
   of higher priority than its own, which is checked for the whole vocabulary before a model is used.
 
-A document's pieces are read off by the numbers of its units in the dictionary of its block; a block holds a bounded
-number of units, so neither a unit nor a block is ever met by more than one task's share of rows.
+Documents are gathered into blocks of bounded text, each with a dictionary of its distinct units; a document's pieces are read off by
+the numbers of its units there. So a unit is met once a block by any join, however often it occurs.
 """
 
 from __future__ import annotations
 
 import os
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +31,10 @@ from pyspark.sql import functions as F
 from .common import read_table, saved, small
 
 SPACE = "▁"
-#: Units in the dictionary of a block, about.
-BLOCK_UNITS = 250_000
+#: Bytes of text in a block, about; a longer document is a block of its own.
+BLOCK_BYTES = 32 << 20
+#: Bits of a unit's number in the dictionary of its block, and of a block's number in its task.
+NUMBER_BITS, BLOCK_BITS = 26, 12
 #: Units whose edges a task groups in memory; if it has more, Spark goes on by sorting.
 GROUPED_UNITS = 150_000
 IN_MEMORY = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
@@ -117,92 +118,153 @@ def in_priority(pieces: Pieces) -> bool:
     return True
 
 
-def unit_pattern(pieces: Pieces) -> re.Pattern:
-    """Units of a text with SPACE for spaces. Letters of ASCII that are in no longer piece are units of their own."""
-    spanned = {c for t in pieces.text if len(t) > 1 for c in t}
-    alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in spanned)
-    return re.compile(rf"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|[{alone}]" if alone else ""))
+class Cuts:
+    """Cuts words where no piece can span: between two letters that stand side by side in none."""
 
+    def __init__(self, pieces: Pieces) -> None:
+        pairs = {(ord(a), ord(b)) for t in pieces.text for a, b in zip(t, t[1:])}
+        letters = sorted({c for pair in pairs for c in pair})
+        self.kind = np.zeros(0x110000, np.int32)  # 0 is all letters without a pair
+        self.kind[letters] = np.arange(1, len(letters) + 1)
+        self.pair = np.zeros((len(letters) + 1, len(letters) + 1), bool)
+        for a, b in pairs:
+            self.pair[self.kind[a], self.kind[b]] = True
 
-class Numbers(dict):
-    """Gives each new key the next number."""
+    def units(self, words: pa.StringArray) -> tuple[list[str], np.ndarray]:
+        """The units of all words, each word with SPACE before it, one after another, and how many each word has."""
+        whole = "".join(SPACE + w for w in words.to_pylist())
+        kinds = self.kind[np.frombuffer(whole.encode("utf-32-le"), "<u4")]
+        cut = np.append(True, ~self.pair[kinds[:-1], kinds[1:]]) if len(kinds) else np.zeros(0, bool)
+        lengths = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        begins = np.cumsum(lengths) - lengths
+        cut[begins] = True
+        at = np.flatnonzero(cut)
+        edges = [*at.tolist(), len(whole)]
+        return [whole[a:b] for a, b in zip(edges, edges[1:])], np.diff(np.append(np.searchsorted(at, begins), len(at)))
 
-    def __missing__(self, key: str) -> int:
-        n = self[key] = len(self)
-        return n
 
+MORE_SPACES = re.compile("(?<= ) ")
 
-def staged(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """A row for each document: doc_id, block, crc (of the text as decoding gives it), refs (numbers of its units in the block's dictionary), first and units, that dictionary's new entries."""
-    pattern = unit_pattern(pieces)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, blocks, numbers = TaskContext.get().partitionId() << 32, 0, Numbers()
-        for b in small(batches):
-            crc, refs, block, first, new = [], [], [], [], []
-            for text in b.column(1).to_pylist():
-                spaced = SPACE + text.replace(" ", SPACE) if text else ""
-                crc.append(zlib.crc32(spaced[1:].replace(SPACE, " ").encode()))
-                if len(numbers) > BLOCK_UNITS:
-                    blocks, numbers = blocks + 1, Numbers()
-                before = len(numbers)
-                refs.append(np.fromiter(map(numbers.__getitem__, pattern.findall(spaced)), "<u4").tobytes())
-                block.append(task + blocks)
-                first.append(before)
-                new.append(tail(numbers, before))
-            yield pa.record_batch([b.column(0), pa.array(block, pa.int64()), pa.array(crc, pa.int64()), pa.array(refs, pa.binary()), pa.array(first, pa.int32()), pa.array(new, pa.list_(pa.string()))], ["doc_id", "block", "crc", "refs", "first", "units"])
+def spaced(text: str) -> str:
+    """text such that splitting it at spaces gives its words without the SPACE that each begins with: further spaces belong to the word that follows."""
+    text = text.replace(SPACE, " ")
+    out = MORE_SPACES.sub(SPACE, text)
+    return SPACE + out[1:] if text.startswith(" ") else out
+
+
+def spread(at: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of all members of the lists `at`, one list after another, where list k has sizes[k] members from starts[k] on."""
+    n = sizes[at]
+    ends = np.cumsum(n)
+    return np.repeat(starts[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+
 
-    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return saved(thin.mapInArrow(cut, "doc_id long, block long, crc long, refs binary, first int, units array<string>"), "pieces-staged")
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32 in few bytes: all lowest bytes first, then the next ones, compressed."""
+    import zstandard
 
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
-def tail(numbers: Numbers, before: int) -> list[str]:
-    """The keys from number `before` on."""
-    return list(islice(reversed(numbers), len(numbers) - before))[::-1]
+
+def unpacked(data: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows (doc_id, crc, text) in tables of about BLOCK_BYTES of text."""
+    held, size = [], 0
+    for whole in batches:
+        for b in small([whole], 256):
+            if held and size + b.column(2).nbytes > BLOCK_BYTES:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+            held.append(b)
+            size += b.column(2).nbytes
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def staged(docs: DataFrame, pieces: Pieces) -> DataFrame:
+    """A row for each block: block, doc_ids, crcs (of each text as decoding gives it), sizes (units of each document), refs (their numbers in the block's dictionary), and units, that dictionary, the most frequent ones first."""
+    cuts = Cuts(pieces)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, b in enumerate(blocks(batches)):
+            if k >> BLOCK_BITS:
+                raise ValueError("a task has too many blocks")
+            text = pa.concat_arrays(b["text"].chunks)
+            odd = pc.or_(pc.or_(pc.match_substring(text, "  "), pc.starts_with(text, " ")), pc.match_substring(text, SPACE))
+            if pc.any(odd).as_py():
+                text = pa.array([spaced(t) if o else t for t, o in zip(text.to_pylist(), odd.to_pylist())], pa.string())
+            words = pc.split_pattern(pc.if_else(pc.equal(pc.binary_length(text), 0), pa.scalar(None, pa.string()), text), " ")
+            per_doc = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = words.flatten().dictionary_encode()
+            found, sizes = cuts.units(coded.dictionary)
+            units = pa.array(found, pa.string()).dictionary_encode()
+            at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            refs = units.indices.to_numpy(zero_copy_only=False)[spread(at, np.cumsum(sizes) - sizes, sizes)]
+            order = np.argsort(-np.bincount(refs, minlength=len(units.dictionary)), kind="stable")
+            number = np.empty(len(order), np.int64)
+            number[order] = np.arange(len(order))
+            ends = np.append(0, np.cumsum(sizes[at]))[np.append(0, np.cumsum(per_doc))]
+            yield pa.record_batch([
+                pa.array([TaskContext.get().partitionId() << BLOCK_BITS | k], pa.int64()), *(pa.array([b[c].to_pylist()], pa.list_(pa.int64())) for c in ("doc_id", "crc")),
+                pa.array([np.diff(ends)], pa.list_(pa.int64())), pa.array([packed(number[refs])], pa.binary()), pa.array([units.dictionary.take(pa.array(order)).to_pylist()], pa.list_(pa.string())),
+            ], ["block", "doc_ids", "crcs", "sizes", "refs", "units"])
+
+    text = F.coalesce("text", F.lit(""))
+    crc = F.crc32(F.encode(F.translate(text, SPACE, " "), "UTF-8"))
+    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), crc.alias("crc"), text.alias("text"))
+    return saved(thin.mapInArrow(cut, "block long, doc_ids array<long>, crcs array<long>, sizes array<long>, refs binary, units array<string>"), "pieces-staged")
 
 
 def edges(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """unit, code, rank, at, length: a row for each piece, or code point without one, that stands in a unit. units: unit, distinct."""
-    spark = units.sparkSession
+    """The columns of units, which has unit, with code, rank, at, length: a row for each piece, or code point without one, that stands in a unit."""
+    spark, own = units.sparkSession, units.columns
     table = spark.createDataFrame(pa.table({"piece": list(pieces.text), "code": pa.array(range(len(pieces.text)), pa.int32()), "rank": pa.array(pieces.ranks, pa.int32())}))
     size = F.length("unit")
     # From blocks of a long unit, as the place of a letter in a text is found by counting from its start.
     blocks = F.transform(F.sequence(F.lit(0), F.floor((size - 1) / 64).cast("int")), lambda k: F.struct((k * 64).alias("from"), F.substring("unit", k * 64 + 1, F.lit(63 + pieces.longest)).alias("part")))
     whole = F.array(F.struct(F.lit(0).alias("from"), F.col("unit").alias("part")))
-    parts = units.select("unit", F.explode(F.when(size <= 64, whole).otherwise(blocks)).alias("b")).select("unit", "b.from", "b.part")
-    begun = parts.select("unit", "from", "part", F.explode(F.sequence(F.lit(1), F.least(F.length("part"), F.lit(64)))).alias("s"))
+    parts = units.select(*own, F.explode(F.when(size <= 64, whole).otherwise(blocks)).alias("b")).select(*own, "b.from", "b.part")
+    begun = parts.select(*own, "from", "part", F.explode(F.sequence(F.lit(1), F.least(F.length("part"), F.lit(64)))).alias("s"))
     spans = begun.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length("part") - F.col("s") + 1))).alias("n"))
-    found = spans.select("unit", (F.col("from") + F.col("s") - 1).alias("at"), F.substring("part", F.col("s"), F.col("n")).alias("piece"))
+    found = spans.select(*own, (F.col("from") + F.col("s") - 1).alias("at"), F.substring("part", F.col("s"), F.col("n")).alias("piece"))
     joined = found.join(F.broadcast(table), "piece", "left").where("code IS NOT NULL OR length(piece) = 1")  # the piece table has a fixed size
     # A code point's number, from its bytes in UTF-32.
     point = F.conv(F.hex(F.encode("piece", "UTF-32")), 16, 10).cast("int") + ODD
-    return joined.select("unit", F.coalesce("code", point).alias("code"), F.coalesce("rank", F.lit(0)).alias("rank"), "at", F.length("piece").alias("length"))
+    return joined.select(*own, F.coalesce("code", point).alias("code"), F.coalesce("rank", F.lit(0)).alias("rank"), "at", F.length("piece").alias("length"))
 
 
 def bit(k: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), k.cast("int"))
 
 
-def merged_short(keys: Column, size: Column) -> Column:
-    """Codes of a unit of SHORT letters at most. keys: rank, end, length and code of its edges in one number each, sorted; of equal ranks the first end comes first, then the shorter piece."""
-    n = lambda key: F.shiftright(key, 25).bitwiseAND(F.lit(63))
-    at = lambda key: F.shiftright(key, 31).bitwiseAND(F.lit(63)) - n(key)
+def edge_bits() -> Column:
+    """An edge of a unit of SHORT letters at most: key (rank, end, length and code in one number: of equal ranks the first end comes first, then the shorter
+    piece; single letters, which no step makes, come last), ends (the bits of its two boundaries) and span (those and all between)."""
+    at, n = F.col("at").cast("long"), F.col("length").cast("long")
+    rank = F.when(n > 1, F.col("rank").cast("long")).otherwise(F.lit(1 << 24))
+    key = F.shiftleft(rank, 37).bitwiseOR(F.shiftleft(at + n, 31)).bitwiseOR(F.shiftleft(n, 25)).bitwiseOR(F.col("code"))
+    return F.struct(key.alias("key"), bit(at).bitwiseOR(bit(at + n)).alias("ends"), (bit(at + n + 1) - bit(at)).alias("span"))
 
-    def step(mask: Column, key: Column) -> Column:
-        outer = bit(at(key)).bitwiseOR(bit(at(key) + n(key)))
-        inner = mask.bitwiseAND(bit(at(key) + n(key)) - bit(at(key) + 1))
-        makes = (mask.bitwiseAND(outer) == outer) & (inner != 0) & (inner.bitwiseAND(inner - 1) == 0)
-        return F.when(makes, mask.bitwiseXOR(inner)).otherwise(mask)
 
-    def standing(mask: Column) -> Column:
-        def stands(key: Column) -> Column:
-            inside = bit(at(key) + n(key) + 1) - bit(at(key))
-            return mask.bitwiseAND(inside) == bit(at(key)).bitwiseOR(bit(at(key) + n(key)))
+def merged_short(found: Column, size: Column) -> Column:
+    """Codes of a unit of SHORT letters at most. found: edge_bits() of its edges, sorted. A piece is made where just one boundary lies within it."""
 
-        placed = F.transform(F.filter(keys, stands), lambda k: F.shiftleft(at(k), 32).bitwiseOR(k.bitwiseAND(F.lit((1 << 25) - 1))))
-        return F.transform(F.array_sort(placed), lambda k: k.bitwiseAND(F.lit((1 << 25) - 1)).cast("int"))
+    def step(mask: Column, x: Column) -> Column:
+        makes = (F.bit_count(mask.bitwiseAND(x["span"])) == 3) & (mask.bitwiseAND(x["ends"]) == x["ends"])
+        return F.when(makes, mask.bitwiseXOR(mask.bitwiseAND(x["span"])).bitwiseOR(x["ends"])).otherwise(mask)
 
-    return F.aggregate(F.filter(keys, lambda k: n(k) > 1), bit(size + 1) - 1, step, standing)
+    def standing(mask: Column) -> Column:
+        kept = F.filter(found, lambda x: mask.bitwiseAND(x["span"]) == x["ends"])
+        placed = F.sort_array(F.transform(kept, lambda x: F.struct(x["ends"].alias("ends"), x["key"].alias("key"))))
+        return F.transform(placed, lambda x: x["key"].bitwiseAND(F.lit((1 << 25) - 1)).cast("int"))
+
+    return F.aggregate(found, bit(size + 1) - 1, step, standing)
 
 
 def merged_long(found: Column, size: Column) -> Column:
@@ -237,24 +299,22 @@ def best_path(found: Column) -> Column:
     return F.aggregate(found, start, step, lambda paths: F.element_at(paths, -1)["codes"])
 
 
-def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """unit, codes: codes of the pieces of each unit in order. units: unit, distinct, none empty."""
-    size = F.length("unit")
+def encode_units(units: DataFrame, pieces: Pieces, short: bool = False) -> DataFrame:
+    """units with codes, those of the pieces of each unit in order. units: unit, distinct, none empty, and other columns; short: none is longer than SHORT."""
+    size, own = F.length("unit"), units.columns
     if pieces.kind == UNIGRAM:
         spark = units.sparkSession
         scores = spark.createDataFrame(pa.table({"code": pa.array(range(len(pieces.text)), pa.int32()), "score": pa.array(pieces.scores, pa.float64())}))
         unknown = min(pieces.scores) - 10
         scored = edges(units, pieces).join(F.broadcast(scores), "code", "left")  # a fixed size
         x = F.struct((F.col("at") + F.col("length")).alias("end"), "at", "code", F.coalesce("score", F.lit(unknown)).alias("score"))
-        return scored.groupBy("unit").agg(F.sort_array(F.collect_list(x)).alias("found")).select("unit", best_path(F.col("found")).alias("codes"))
-    short, long = units.where(size <= SHORT), units.where(size > SHORT)
-    end = F.col("at") + F.col("length")
-    key = F.shiftleft(F.col("rank").cast("long"), 37).bitwiseOR(F.shiftleft(end.cast("long"), 31)).bitwiseOR(F.shiftleft(F.col("length").cast("long"), 25)).bitwiseOR(F.col("code"))
-    grouped = edges(short, pieces).groupBy("unit").agg(F.sort_array(F.collect_list(key)).alias("keys"))
-    out = grouped.select("unit", merged_short(F.col("keys"), size).alias("codes"))
-    found = edges(long, pieces).groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("rank", end.alias("end"), "length", "code", "at"))).alias("found"))
-    rest = found.select("unit", merged_long(F.col("found"), size).alias("codes"))
-    return out.unionByName(rest)
+        return scored.groupBy(*own).agg(F.sort_array(F.collect_list(x)).alias("found")).select(*own, best_path(F.col("found")).alias("codes"))
+    if short:
+        grouped = edges(units, pieces).groupBy(*own).agg(F.sort_array(F.collect_list(edge_bits())).alias("found"))
+        return grouped.select(*own, merged_short(F.col("found"), size).alias("codes"))
+    end = (F.col("at") + F.col("length")).alias("end")
+    found = edges(units, pieces).groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("rank", end, "length", "code", "at"))).alias("found"))
+    return found.select(*own, merged_long(F.col("found"), size).alias("codes"))
 
 
 def ids_of(codes: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
@@ -273,6 +333,18 @@ def ids_of(codes: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     return out, n
 
 
+def dictionary(entries: DataFrame, pieces: Pieces) -> DataFrame:
+    """key and codes of all entries (key, unit). Each distinct unit is encoded once, where its entries have been brought together."""
+    out = None
+    for short in (True, False):
+        some = entries.where(F.length("unit") <= SHORT if short else F.length("unit") > SHORT).repartition("unit")
+        # Both uses read the same two columns, so that Spark shuffles them once.
+        encoded = encode_units(some.groupBy("unit").agg(F.min("key").alias("least")), pieces, short)
+        part = some.join(encoded, "unit").select("key", "codes")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
     """A row for each row of docs: doc_id, crc, ids (binary, little-endian unsigned 32-bit).
 
@@ -280,35 +352,33 @@ def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
     rows of their own; an empty table gives none; other columns are not read. A code point that is in no piece is spelled in bytes.
     """
     rows = staged(docs, pieces)
-    entries = rows.select("block", "first", F.posexplode("units").alias("k", "unit")).select("block", (F.col("first") + F.col("k")).alias("k"), "unit")
+    entries = rows.select("block", F.posexplode("units").alias("k", "unit")).select(F.shiftleft("block", NUMBER_BITS).bitwiseOR(F.col("k")).alias("key"), "unit")
     conf = docs.sparkSession.conf
     before = conf.get(IN_MEMORY)
-    conf.set(IN_MEMORY, str(GROUPED_UNITS))
+    conf.set(IN_MEMORY, str(GROUPED_UNITS))  # how Spark groups, not what it finds
     try:
-        encoded = saved(encode_units(entries.select("unit").distinct(), pieces), "pieces-units")
+        coded = saved(dictionary(entries, pieces), "pieces-codes")
     finally:
         conf.set(IN_MEMORY, before)
-    dictionary = entries.join(encoded, "unit").select(F.col("block").alias("of"), "k", "codes")
+    codes = coded.select(F.shiftright("key", NUMBER_BITS).alias("of"), F.col("key").bitwiseAND(F.lit((1 << NUMBER_BITS) - 1)).cast("int").alias("k"), "codes")
 
     def look_up(texts: pa.Table, words: pa.Table) -> pa.Table:
         words = words.sort_by("k")
         lists = pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *words["codes"].chunks])
         flat, each = ids_of(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), pieces)
-        ends = np.cumsum(each)
-        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        last = np.cumsum(sizes)
-        stop = np.append(0, ends)[last]
-        start = np.append(0, ends)[last - sizes]
-        out = []
-        for refs in texts["refs"].to_pylist():
-            r = np.frombuffer(refs, "<u4")
-            n = stop[r] - start[r]
-            shift = np.repeat(start[r] - (np.cumsum(n) - n), n)
-            out.append(flat[shift + np.arange(len(shift))].astype("<u4").tobytes())
-        return pa.table({"doc_id": texts["doc_id"], "crc": texts["crc"], "ids": pa.array(out, pa.binary())})
-
-    thin = rows.select("doc_id", "block", "crc", "refs")
-    return thin.groupBy("block").cogroup(dictionary.groupBy("of")).applyInArrow(look_up, "doc_id long, crc long, ids binary")
+        lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.append(0, np.cumsum(each))[np.append(0, np.cumsum(lengths))]
+        starts, sizes = ends[:-1], np.diff(ends)
+        docs, crcs, out = [], [], []
+        for r in texts.select(["doc_ids", "crcs", "sizes", "refs"]).to_pylist():
+            refs = unpacked(r["refs"]).astype(np.int64)
+            for part in np.split(refs, np.cumsum(r["sizes"])[:-1]) if len(r["sizes"]) else []:
+                out.append(flat[spread(part, starts, sizes)].astype("<u4").tobytes())
+            docs += r["doc_ids"]
+            crcs += r["crcs"]
+        return pa.table({"doc_id": pa.array(docs, pa.int64()), "crc": pa.array(crcs, pa.int64()), "ids": pa.array(out, pa.binary())})
+
+    return rows.drop("units").groupBy("block").cogroup(codes.groupBy("of")).applyInArrow(look_up, "doc_id long, crc long, ids binary")
 
 
 def decode(encoded: DataFrame, pieces: Pieces, ids: str = "ids", text: str = "text") -> DataFrame:
