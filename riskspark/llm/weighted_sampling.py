@@ -15,71 +15,93 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mixed, read_table, small
 
 HASHES = 64
-MEMO_ROWS = 100_000
-#: Documents in one range of identifiers, about, and ranges at most.
-RANGE_DOCS, MOST_RANGES = 1000, 2048
+#: Words whose draws a worker remembers.
+MEMO_ROWS = 60_000
+#: Bytes of text in one range of identifiers, about.
+RANGE_BYTES = 16 << 20
+SALTS = mixed(np.arange(HASHES, dtype=np.uint64))
 
 
-def draws(terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For (term hash, weight) pairs and each hash function: the race value, and 16 bits of the sample."""
-    base = mixed(terms[:, None] ^ mixed(np.arange(HASHES, dtype=np.uint64))[None, :])
+def draws(terms: np.ndarray) -> np.ndarray:
+    """For term hashes and each hash function: r and beta, which place the steps of a weight, and the race value at weight one."""
+    first = mixed(terms[:, None] ^ SALTS[None, :])
+    second = mixed(first)
+    third = second * np.uint64(0x9E3779B97F4A7C15) ^ first  # its high bits give beta
+    uniform = lambda h: ((h >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) * np.float32(2**-24)
+    lower = np.uint64(24)
+    r = -np.log(uniform(first) * uniform(first << lower))  # gamma with shape 2
+    beta = uniform(third)
+    return np.stack([r, beta, np.log(-np.log(uniform(second) * uniform(second << lower))) + r * beta - r])
 
-    def uniforms(k: int) -> tuple[np.ndarray, np.ndarray]:
-        h = mixed(base + np.uint64(k))
-        return ((h >> np.uint64(32)) + 0.5) / 2.0**32, ((h & np.uint64(0xFFFFFFFF)) + 0.5) / 2.0**32
 
-    (a, b), (c, d), (beta, _) = uniforms(1), uniforms(2), uniforms(3)
-    r = -np.log(a * b)  # gamma with shape 2
-    log_c = np.log(-np.log(c * d))
-    step = np.floor(np.log(weights)[:, None] / r + beta)
-    race = log_c - r * (step - beta) - r
-    return race.astype(np.float32), (mixed(base ^ mixed(step.astype(np.int64).astype(np.uint64))) >> np.uint64(48)).astype(np.uint16)
+def sample_bits(terms: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """16 bits of each hash function's sample, a term hash and the step of its weight."""
+    return (mixed(mixed(terms ^ SALTS) ^ mixed(steps.astype(np.int64).astype(np.uint64))) >> np.uint64(48)).astype(np.uint16)
 
 
 class Sampler:
-    """Samples of texts. Draws are remembered for (word, count) pairs until there are MEMO_ROWS."""
+    """Samples of texts. Draws are remembered by word; when the memo is full, the half that was met least often goes."""
 
     def __init__(self) -> None:
-        self.place: dict[tuple[str, int], int] = {}
-        self.race = np.empty((MEMO_ROWS, HASHES), np.float32)
-        self.bits = np.empty((MEMO_ROWS, HASHES), np.uint16)
+        self.place: dict[str, int] = {}
+        self.terms = np.empty(MEMO_ROWS, np.uint64)
+        self.drawn = np.empty((3, MEMO_ROWS, HASHES), np.float32)
+        self.met = np.zeros(MEMO_ROWS, np.int64)
+
+    def forget(self) -> None:
+        words = list(self.place)
+        stay = np.sort(np.argsort(-self.met[: len(words)], kind="stable")[: MEMO_ROWS // 2])
+        for table in (self.terms, self.met, *self.drawn):
+            table[: len(stay)] = table[stay]
+        self.met[: len(stay)] //= 2
+        self.place = {words[k]: i for i, k in enumerate(stay.tolist())}
+
+    def places(self, words: list[str]) -> np.ndarray:
+        new = [w for w in words if w not in self.place]
+        if len(self.place) + len(new) > MEMO_ROWS:
+            self.forget()
+            new = [w for w in words if w not in self.place]
+        if new:
+            first = len(self.place)
+            hashes = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in new], np.uint64)
+            self.terms[first : first + len(new)] = hashes
+            self.drawn[:, first : first + len(new)] = draws(hashes)
+            self.met[first : first + len(new)] = 0
+            self.place.update(zip(new, range(first, first + len(new))))
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        self.met[at] += 1
+        return at
 
     def fingerprint(self, text: str) -> np.ndarray:
         """The samples; a text without words has all zeros."""
-        terms = list(Counter(text.split()).items())
-        if not terms:
+        counts = Counter(text.split())
+        if not counts:
             return np.zeros(HASHES, np.uint16)
-        best = out = None
-        for k in range(0, len(terms), 4096):
-            some = terms[k : k + 4096]
-            new = [t for t in some if t not in self.place]
-            if len(self.place) + len(new) > MEMO_ROWS:
-                self.place.clear()
-                new = some
-            if new:
-                hashes = np.array([int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for w, _ in new], np.uint64)
-                first = len(self.place)
-                race, bits = draws(hashes, np.array([n for _, n in new], np.float64))
-                self.race[first : first + len(new)] = race
-                self.bits[first : first + len(new)] = bits
-                for i, t in enumerate(new):
-                    self.place[t] = first + i
-            at = np.fromiter((self.place[t] for t in some), np.int64, len(some))
-            race = self.race[at]
-            least = race.argmin(axis=0)
-            value, bits = race[least, np.arange(HASHES)], self.bits[at[least], np.arange(HASHES)]
-            if best is None:
-                best, out = value, bits.copy()
-            else:
-                out = np.where(value < best, bits, out)
-                best = np.minimum(best, value)
-        return out
+        words, weights = list(counts), np.fromiter(counts.values(), np.float32, len(counts))
+        every = np.arange(HASHES)
+        best, terms, steps = np.full(HASHES, np.inf, np.float32), np.zeros(HASHES, np.uint64), np.zeros(HASHES, np.float32)
+        for k in range(0, len(words), 4096):
+            at, weight = self.places(words[k : k + 4096]), weights[k : k + 4096]
+            race = self.drawn[2][at]
+            many = np.flatnonzero(weight > 1)  # the step of weight one is zero
+            r = self.drawn[0][at[many]]
+            step = np.floor(np.log(weight[many])[:, None] / r + self.drawn[1][at[many]])
+            race[many] -= r * step
+            own = race.argmin(axis=0)
+            value = race[own, every]
+            place = np.full(len(at), -1)
+            place[many] = np.arange(len(many))
+            taken = np.where(place[own] >= 0, step[place[own], every] if len(many) else 0, 0)
+            wins = value < best
+            best, terms, steps = np.where(wins, value, best), np.where(wins, self.terms[at[own]], terms), np.where(wins, taken, steps)
+        return sample_bits(terms, steps)
 
 
 @lru_cache(1)
@@ -92,26 +114,32 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float((a == b).mean())
 
 
+def range_of(value: Column, edges: list[int]) -> Column:
+    """How many of the sorted edges are not above value, by halving."""
+    table = F.lit(np.array(edges, np.int64))
+    powers = [1 << k for k in reversed(range(len(edges).bit_length()))]
+    ahead = lambda at, p: (at + p <= len(edges)) & (F.get(table, F.least(at + p, F.lit(len(edges))) - 1) <= value)
+    return F.aggregate(F.array(*map(F.lit, powers)), F.lit(0), lambda at, p: F.when(ahead(at, p), at + p).otherwise(at))
+
+
 def neighbours(docs: DataFrame) -> DataFrame:
     """Deals docs (doc_id, text) into ranges of identifiers, sorted, with the first row of the next range at the end of each.
 
-    Only ranges' first rows are sent twice. Columns: doc_id, text, range, extra.
+    A range holds about RANGE_BYTES of text, however many there are; only ranges' first rows are sent twice. Columns: doc_id, text, range, extra.
     """
-    rows = docs.count()
-    n = min(MOST_RANGES, max(1, rows // RANGE_DOCS))
-    edges = (docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10_000)).first()[0] or []) if n > 1 else []
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = 1 + size // RANGE_BYTES
+    edges = (docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], max(10_000, 10 * n))).first()[0] or []) if n > 1 else []
     edges = sorted(set(edges))
-    place = F.size(F.filter(F.array(*[F.lit(int(e)).cast("long") for e in edges]), lambda e: e <= F.col("doc_id"))) if edges else F.lit(0)
-    placed = docs.withColumn("range", F.coalesce(place, F.lit(0)) if edges else place)
+    placed = docs.withColumn("range", F.coalesce(range_of(F.col("doc_id"), edges), F.lit(0)) if edges else F.lit(0))
     firsts = sorted(((r["range"], r["doc_id"]) for r in placed.select("range", "doc_id").groupBy("range").agg(F.min(F.struct("doc_id"))["doc_id"].alias("doc_id")).collect()), key=lambda f: f[0])  # one row a range
     if not firsts:
         return placed.withColumn("extra", F.lit(False))
     before = {f: firsts[k - 1][0] for k, (_, f) in enumerate(firsts)}
     ahead = docs.sparkSession.createDataFrame(list(before.items()), "first long, range int")
-    heads = docs.join(F.broadcast(ahead), F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "text", "range", F.lit(True).alias("extra"))
+    heads = docs.join(F.broadcast(ahead), F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "text", "range", F.lit(True).alias("extra"))  # one row a range
     both = placed.select("doc_id", "text", "range", F.lit(False).alias("extra")).unionByName(heads)
-    shuffled = max(len(firsts), 1)
-    return both.repartition(shuffled, "range").sortWithinPartitions("range", "extra", "doc_id", "text")
+    return both.repartitionById(1 + firsts[-1][0], F.col("range")).sortWithinPartitions("range", "extra", "doc_id", "text")
 
 
 def edited(text: str, after: str) -> str:

@@ -1,6 +1,7 @@
 """Operators against plain versions, on a small table of odd documents: nulls, empty and long texts, ties, repeated rows and identifiers, clashing columns."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -324,6 +325,56 @@ def test_sampling_collides_like_generalised_jaccard():
         assert abs(found - exact) < 0.05
 
 
+def mixed_one(x):
+    m = (1 << 64) - 1
+    x = (x + 0x9E3779B97F4A7C15) & m
+    x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & m
+    x = ((x ^ x >> 27) * 0x94D049BB133111EB) & m
+    return x ^ x >> 31
+
+
+def plain_weighted_sample(text):
+    """Each hash function's sample, a word and the step of its weight, term by term."""
+    counts, out = Counter(text.split()), []
+    for k in range(weighted_sampling.HASHES if counts else 0):
+        found = []
+        for w, n in counts.items():
+            term = xxhash.xxh3_64_intdigest(w.encode())
+            first = mixed_one(term ^ mixed_one(k))
+            second, top = mixed_one(first), (1 << 64) - 1
+            a, b, c, d, beta = (((h >> 40) + 0.5) / 2**24 for h in (first, first << 24 & top, second, second << 24 & top, second * 0x9E3779B97F4A7C15 & top ^ first))
+            r, log_c = -math.log(a * b), math.log(-math.log(c * d))
+            found.append((log_c - r * (math.floor(math.log(n) / r + beta) - beta) - r, term, math.floor(math.log(n) / r + beta)))
+        _, term, step = min(found)
+        out.append(mixed_one(mixed_one(term ^ mixed_one(k)) ^ mixed_one(step)) >> 48)
+    return np.array(out or [0] * weighted_sampling.HASHES, "<u2").tobytes().hex()
+
+
+def test_fingerprints_equal_plain_ones(docs, monkeypatch):
+    monkeypatch.setattr(weighted_sampling, "RANGE_BYTES", 40_000)
+    got = weighted_sampling.with_fingerprints(docs).collect()
+    order = sorted(PLAIN, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    want, same = [], lambda f, g: sum(f[k : k + 4] == g[k : k + 4] for k in range(0, len(f), 4)) / weighted_sampling.HASHES
+    for (i, t), (_, u) in zip(order, order[1:] + order[:1]):
+        f, g, h = (plain_weighted_sample(x) for x in (t, t[: len(t) - len(t) // 2] + u[: len(t) // 2], u))
+        want.append((i, f, g, same(f, g), same(f, h)))
+    assert Counter(tuple(r[c] for c in ("doc_id", "fingerprint", "edited_fingerprint", "near_edited", "near_next")) for r in got) == Counter(want)
+
+
+def test_a_full_memo_changes_no_fingerprint(monkeypatch):
+    monkeypatch.setattr(weighted_sampling, "MEMO_ROWS", 5000)
+    texts = [" ".join(f"w{(k * j) % 9000}" for j in range(1500)) for k in range(1, 40)]
+    small = weighted_sampling.Sampler()
+    assert [small.fingerprint(t).tolist() for t in texts] == [weighted_sampling.Sampler().fingerprint(t).tolist() for t in texts]
+    assert len(small.place) < 5000
+
+
+def test_ranges_by_halving(spark):
+    edges = [-5, 0, 3, 3, 9, 70]
+    got = spark.createDataFrame([(x,) for x in range(-8, 80)], "x long").select("x", weighted_sampling.range_of(F.col("x"), edges).alias("k")).collect()
+    assert all(r["k"] == sum(e <= r["x"] for e in edges) for r in got)
+
+
 def test_fingerprints_of_edited_texts(docs, empty):
     got = weighted_sampling.with_fingerprints(docs).collect()
     order = sorted(PLAIN, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
