@@ -1,10 +1,10 @@
 """Exact deduplication over a log-structured merge index of digests, DataFrame operations only.
 
-Each task that scans documents is a memtable: it sorts its digests and flushes them as one run, a Parquet
-file with a Bloom filter on the digest. Compaction merges all runs into one segment that holds, for each
-digest, the identifier that stays and the number of rows. A look-up consults a filter of fixed size over
-the digests that occur more than once; texts that pass it are grouped by their bytes, which verifies the
-hits: a group whose digest stands for several texts is split by text.
+Each batch of documents is dealt over some memtables. A memtable flushes a run: its digests in order, each with the identifier that stays and the number of
+rows. Compaction merges runs level by level, FANOUT at a time: the runs' filters, bitmaps of their digests, tell which digests no other run of
+the merge has; those go on as they are, and only the others are merged. A further batch adds runs, and what was merged before is not read from the
+documents again. A look-up consults a filter over the digests that occur more than once; texts that pass it are grouped by their
+bytes, which verifies the hits: a group whose digest stands for several texts is split by text.
 """
 
 from __future__ import annotations
@@ -12,43 +12,108 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, new_dir, read_table
+from .common import ascii_lower, in_one, new_dir, read_table
 
-#: The look-up filter has this many bits (1 MB), whatever the input; when it fills up it lets more texts through to
+#: Memtables that a batch is dealt over, and runs that are merged at once.
+MEMTABLES, FANOUT = 8, 4
+#: Bits of a filter for each digest, and of the look-up filter at most (8 MB, as it is broadcast); when that fills up it lets more texts through to
 #: verification, and the result is the same.
-FILTER_BITS = 1 << 23
+BITS_EACH, MOST_BITS = 16, 1 << 26
+#: Bits in one bitmap of Spark's bitmap functions.
+BUCKET = 32768
 
 
 def sha256(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
 
+def filter_bits(digests: int) -> int:
+    """A power of two, with BITS_EACH bits for each digest or more."""
+    return max(BUCKET, 1 << (max(1, BITS_EACH * digests) - 1).bit_length())
+
+
+def slot_of(bits: int) -> Column:
+    """The digest's place in a filter of so many bits, from 1."""
+    return F.pmod(F.xxhash64("digest"), F.lit(bits)) + 1
+
+
+def has_bit(bitmap: Column, at: Column) -> Column:
+    byte = F.conv(F.hex(F.substring(bitmap, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.call_function("shiftright", byte, F.pmod(at, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
 class DigestIndex:
-    """Runs and segments under `path`. keep: which of equal texts stays, the "smallest" or the "largest" identifier."""
+    """Runs under `path`. keep: which of equal texts stays, the "smallest" or the "largest" identifier."""
 
     def __init__(self, spark: SparkSession, path: str, keep: str = "smallest", digest=sha256) -> None:
         if keep not in ("smallest", "largest"):
             raise ValueError(f"keep is {keep}")
         self.spark, self.path, self.keep, self.digest = spark, path, keep, digest
+        #: Runs by level: the table that holds them and their numbers in it.
+        self.levels: list[list[tuple[str, int]]] = [[]]
+        self.flushes = 0
 
     def keyed(self, docs: DataFrame) -> DataFrame:
         text = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
         return docs.select("doc_id", text.alias("body")).withColumn("digest", self.digest(F.col("body")))
 
-    def flush(self, docs: DataFrame) -> None:
-        """Adds the rows of docs as sorted runs, one for each task."""
-        rows = self.keyed(docs).select("digest", F.col("doc_id").cast("long").alias("doc_id"))
-        rows.sortWithinPartitions("digest", "doc_id").write.mode("append").option("parquet.bloom.filter.enabled#digest", "true").parquet(f"{self.path}/runs")
+    def best(self, column: str = "doc_id") -> Column:
+        return (F.min if self.keep == "smallest" else F.max)(column)
 
-    def runs(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/runs")
+    def write(self, rows: DataFrame, path: str) -> None:
+        """Sorted by digest in each file, which holds the rows of one task, with a Bloom filter beside."""
+        rows.sortWithinPartitions("run", "digest").write.option("parquet.bloom.filter.enabled#digest", "true").parquet(path)
+
+    def flush(self, docs: DataFrame) -> None:
+        """Adds the rows of docs as MEMTABLES runs; the texts are read once."""
+        path = f"{self.path}/rows/{self.flushes}"
+        rows = self.keyed(docs).select("digest", F.col("doc_id").cast("long").alias("doc_id"), F.pmod(F.spark_partition_id(), F.lit(MEMTABLES)).alias("run"))
+        self.write(rows, path)
+        runs = self.spark.read.parquet(path).groupBy("run", "digest").agg(self.best().alias("keep_id"), F.count("*").alias("group_size"))
+        self.write(runs, f"{self.path}/runs/0-{self.flushes}")
+        self.levels[0] += [(f"{self.path}/runs/0-{self.flushes}", k) for k in range(MEMTABLES)]
+        self.flushes += 1
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.path}/rows/{k}" for k in range(self.flushes)])
+
+    def merge(self, runs: list[tuple[str, int]], to: str) -> None:
+        """Merges runs, FANOUT at a time in their order, into the runs of a new table."""
+        place = {r: k for k, r in enumerate(runs)}
+        parts = None
+        for path in dict(runs):
+            own = self.spark.read.parquet(path)
+            numbers = F.create_map(*[F.lit(x) for p, k in runs if p == path for x in (k, place[p, k])])
+            own = own.withColumn("run", F.element_at(numbers, F.col("run"))).where("run IS NOT NULL")
+            parts = own if parts is None else parts.unionByName(own)
+        bits = filter_bits(parts.count() // len(runs))
+        placed = parts.withColumn("to", F.floor(F.col("run") / FANOUT).cast("int")).withColumn("bucket", F.bitmap_bucket_number(slot_of(bits))).withColumn("at", F.bitmap_bit_position(slot_of(bits)))
+        filters = placed.groupBy("to", "bucket", "run").agg(F.bitmap_construct_agg("at").alias("bits")).groupBy("to", "bucket").agg(F.collect_list(F.struct("run", "bits")).alias("filters"))  # FANOUT bitmaps of 4 KB
+        filters.write.parquet(f"{to}-filters")
+        held = placed.join(self.spark.read.parquet(f"{to}-filters"), ["to", "bucket"])
+        looked_up = held.select("to", "digest", "keep_id", "group_size", F.exists("filters", lambda f: (f["run"] != F.col("run")) & has_bit(f["bits"], F.col("at"))).alias("hit"))
+        looked_up.write.parquet(f"{to}-looked-up")
+        looked_up = self.spark.read.parquet(f"{to}-looked-up")
+        hits = looked_up.where("hit").groupBy("to", "digest").agg(self.best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+        both = hits.unionByName(looked_up.where("NOT hit").drop("hit"))
+        self.write(both.withColumnRenamed("to", "run"), to)
 
     def compact(self) -> DataFrame:
-        """Merges the runs into a segment: digest, keep_id, group_size."""
-        best = F.min("doc_id") if self.keep == "smallest" else F.max("doc_id")
-        segment = self.runs().groupBy("digest").agg(best.alias("keep_id"), F.count("*").alias("group_size"))
-        segment.write.mode("overwrite").parquet(f"{self.path}/segment")
-        return self.spark.read.parquet(f"{self.path}/segment")
+        """Merges all runs, level by level, into one segment: digest, keep_id, group_size."""
+        level = 0
+        while sum(map(len, self.levels)) > 1:
+            if level + 1 == len(self.levels):
+                self.levels.append([])
+            runs, self.levels[level] = self.levels[level], []
+            if len(runs) == 1:
+                self.levels[level + 1] += runs
+            elif runs:
+                to = f"{self.path}/runs/{level + 1}-{self.flushes}"
+                self.merge(runs, to)
+                self.levels[level + 1] += [(to, k) for k in range(-(-len(runs) // FANOUT))]
+            level += 1
+        path, run = next(r for some in self.levels for r in some)
+        return self.spark.read.parquet(path).where(F.col("run") == run).drop("run")
 
     def verify(self, docs: DataFrame, segment: DataFrame) -> DataFrame | None:
         """Groups by bytes the texts whose digest occurs more than once.
@@ -56,20 +121,15 @@ class DigestIndex:
         None if every digest stands for one text, else the texts of digests that stand for several:
         digest, body, keep_id, group_size.
         """
-        slot = F.xxhash64("digest").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1
-        hits = segment.where("group_size > 1").select(slot.alias("slot"))
-        bits = hits.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-        at = F.bitmap_bit_position("slot")
-        byte = F.conv(F.hex(F.expr("substring(bits, cast(at div 8 + 1 as int), 1)")), 16, 10).cast("int")
+        hits = segment.where("group_size > 1")
+        size = min(MOST_BITS, filter_bits(hits.count()))
+        bits = hits.select(slot_of(size).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
         doubtful = (
-            self.keyed(docs).withColumn("slot", slot).withColumn("bucket", F.bitmap_bucket_number("slot")).withColumn("at", at)
-            .join(F.broadcast(bits), "bucket")  # at most FILTER_BITS / 32768 rows of 4 KB
-            .withColumn("byte", byte)
-            .where("shiftright(byte, cast(at % 8 as int)) & 1 = 1")
-            .select("digest", "body", "doc_id")
-        )
-        best = F.min("doc_id") if self.keep == "smallest" else F.max("doc_id")
-        doubtful.groupBy("digest", "body").agg(best.alias("keep_id"), F.count("*").alias("group_size")).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/verified")
+            self.keyed(docs).withColumn("bucket", F.bitmap_bucket_number(slot_of(size))).withColumn("at", F.bitmap_bit_position(slot_of(size)))
+            .join(F.broadcast(bits), "bucket")  # at most MOST_BITS / BUCKET rows of 4 KB
+            .where(has_bit(F.col("bits"), F.col("at"))).select("digest", "body", "doc_id")
+        )
+        doubtful.groupBy("digest", "body").agg(self.best().alias("keep_id"), F.count("*").alias("group_size")).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/verified")
         verified = self.spark.read.parquet(f"{self.path}/verified")
         several = verified.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest")
         if several.isEmpty():
@@ -77,13 +137,13 @@ class DigestIndex:
         return verified.join(several, "digest", "left_semi")
 
     def groups(self, docs: DataFrame) -> DataFrame:
-        """A row for each row of docs, which has been flushed: doc_id, keep_id, group_size, digest, kept, copies.
+        """A row for each row of docs, all that have been flushed: doc_id, keep_id, group_size, digest, kept, copies.
 
         Of rows that repeat both text and identifier one is kept. copies: how many rows have this text and this doc_id.
         """
         segment = self.compact()
         split = self.verify(docs, segment)
-        rows = self.runs().groupBy("digest", "doc_id").agg(F.count("*").alias("copies"))
+        rows = self.rows().groupBy("digest", "doc_id").agg(F.count("*").alias("copies"))
         if split is None:
             found = rows.join(segment, "digest")
         else:
@@ -107,16 +167,15 @@ def exact_groups(docs: DataFrame, keep: str = "largest") -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, keep: str = "largest") -> DataFrame:
-    """docs, all its columns, without the rows that exact_groups() does not keep."""
-    kept = exact_groups(docs, keep).where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "copies").withColumnRenamed("copies", "_copies")
-    digest = sha256(ascii_lower(F.coalesce(docs["text"], F.lit(""))))
-    left = docs.withColumn("_digest_of", digest)
-    joined = left.join(kept, (left["_digest_of"] == kept["_digest"]) & left["doc_id"].eqNullSafe(kept["_id"]))
-    once = joined.where("_copies = 1").select(*[docs[c] for c in docs.columns])
-    if kept.where("_copies > 1").isEmpty():
+    """docs, all its columns, without the rows that exact_groups() does not keep. Of rows that repeat an identifier and a text any one stays."""
+    kept = exact_groups(docs, keep).where("kept").select(F.col("doc_id").alias("id"), "digest", "copies")
+    whole = in_one(docs)
+    left = whole.select("row", sha256(ascii_lower(F.coalesce("row.text", F.lit("")))).alias("own"))
+    joined = left.join(kept, (F.col("own") == F.col("digest")) & F.col("row.doc_id").eqNullSafe(F.col("id")))
+    once = joined.where("copies = 1").select("row.*")
+    if kept.where("copies > 1").isEmpty():
         return once
-    again = joined.where("_copies > 1").dropDuplicates(["_id", "_digest"]).select(*[docs[c] for c in docs.columns])
-    return once.unionByName(again)
+    return once.unionByName(joined.where("copies > 1").dropDuplicates(["id", "digest"]).select("row.*"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
