@@ -1,9 +1,10 @@
 """Personal data by weak supervision, DataFrame operations only.
 
-Base spans, of four kinds, are exact patterns with a check each and always stay. Looser patterns propose further spans. Labelers vote
-on every span: its shape, a gazetteer, words around it that speak for or against it, and whether it stands alone. How often each
-combination of votes occurs in the whole corpus, a table of bounded size, is all that expectation-maximisation needs to estimate the
-labelers' reliabilities; its posteriors are the soft labels of a naive Bayes classifier over the features of a span, which decides on the proposed ones.
+Base spans, of four kinds, are exact patterns with a check each and always stay. Looser patterns propose further spans: national numbers, phones without a plus,
+hidden mail addresses, titled names, account numbers and secrets. Labelers vote on every span: its shape, a gazetteer, words around it that speak for or
+against it, and whether it stands alone; they often disagree. How often each combination of votes occurs in the whole corpus, a table of bounded size, is all
+that expectation-maximisation needs to estimate the labelers' reliabilities; its posteriors are the soft labels of a naive Bayes classifier over other
+features of a span (kind, length, digits, capitals, the mark and the word before it), which decides on the proposed ones.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, saved
+from .common import in_one, read_table, saved
 
 # Fixed values. A run of a class is taken from its start, or from the end of the match before (\G): a later start in the run would meet
 # the same end of the run, so the matches are the leftmost ones, and a long run is read once. Possessive where nothing could be given back.
@@ -28,8 +29,10 @@ BASE = {
 PROPOSED = {
     "national_id": r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])",
     "local_phone": r"(?<![0-9])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
-    "hidden_email": r"\b[A-Za-z0-9._-]{1,64} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63} ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z]{2,24}\b",
-    "name": r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Madame|Sra)\.? \p{Lu}\p{Ll}{1,30}(?: \p{Lu}\p{Ll}{1,30})?",
+    "hidden_email": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]+ ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z]{2,24}\b",
+    "account": r"(?<![0-9A-Za-z+.-])[0-9](?:[ -]?[0-9]){8,}+(?![0-9A-Za-z])",
+    "secret": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+",
+    "name": r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Madame|Sra)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
 }
 KINDS = [*BASE, *PROPOSED]
 STRICT = {
@@ -40,21 +43,26 @@ STRICT = {
     "national_id": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$",
     "local_phone": r"^\(?[2-9]",
     "hidden_email": r"(?i)(com|org|net|edu|de|fr|es)$",
+    "account": r"^(?!([0-9])[ -]?(?:\1[ -]?)+$)(?!0)",
+    "secret": r"^(?:[0-9a-f]{32,}|(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9].*[0-9].*[0-9]).{20,})=*$",
     "name": r"\p{Ll}$",
 }
 GAZETTEER = {
     "email": r"(?i)@(mail|gmail|yahoo|outlook|example|proton)",
     "hidden_email": r"(?i)(mail|gmail|yahoo|outlook|example)",
+    "secret": r"^(?:AKIA|ASIA|gh[pousr]_|github_pat_|sk-|pk_|xox[abprs]-|eyJ|AIza|glpat-)",
     "name": r"\b(James|Mary|John|Anna|Peter|Maria|Paul|Laura|Thomas|Sophie|Hans|Claire|Jean|Carmen|Luis|Smith|Jones|Brown|Müller|Schmidt|Garcia|Martin|Bernard|Lopez)\b",
     "national_id": r"^(?:078-05-1120|219-09-9999)$",
 }
-FOR = r"(?i)\b(e-?mail|mail|phone|tel|telephone|call|mobile|fax|contact|ssn|social security|passport|card|visa|credit|ip|address|name|signed|telefon|anruf|téléphone|appel|correo|teléfono|adresse)\b"
-AGAINST = r"(?i)\b(version|release|page|isbn|issn|section|chapter|figure|table|order|invoice|part|build|serial)\b"
+FOR = r"(?i)\b(e-?mail|mail|phone|tel|telephone|call|mobile|fax|contact|ssn|social security|passport|card|visa|credit|ip|address|account|konto|cuenta|compte|iban|token|secret|password|passwd|api|key|bearer|name|signed|telefon|anruf|téléphone|appel|correo|teléfono|adresse)\b"
+AGAINST = r"(?i)\b(version|release|page|isbn|issn|section|chapter|figure|table|order|invoice|part|build|serial|commit|sha1|sha256|md5|checksum|hash|digest|revision|doi)\b"
 IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: Code points of context on either side.
 CONTEXT = 32
 VOTES = ["shape", "gazetteer", "context", "alone"]
-FEATURES = ["kind", "length", "digits", "around"]
+FEATURES = ["kind", "length", "digits", "capitals", "mark", "word"]
+#: The words before a span fall into so many classes.
+WORD_CLASSES = 64
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -97,6 +105,8 @@ def might_have(kind: str, text: Column) -> Column:
         return F.contains(text, F.lit("+"))
     if kind == "hidden_email":
         return text.rlike(r"(?:[(\[ ]dot[)\] ])")
+    if kind == "secret":
+        return text.rlike(PROPOSED[kind])
     if kind == "name":
         return text.rlike(r"\b(?:M|D|P|H|F|S)[a-z]{1,8}\.? \p{Lu}")
     return text.rlike("[0-9]")
@@ -131,33 +141,42 @@ def judged(span: Column, text: Column) -> Column:
     around = F.when(before.rlike(AGAINST), -1).when(before.rlike(FOR) | after.rlike(FOR), 1).otherwise(0)
     alone = F.when(before.rlike(r"[\p{L}\p{N}]$") | after.rlike(r"^[\p{L}\p{N}]"), -1).otherwise(1)
     digits = F.length(F.regexp_replace(value, "[^0-9]", ""))
+    capitals = F.length(F.regexp_replace(value, "[^A-Z]", ""))
+    mark = F.coalesce(F.nullif(F.instr(F.lit("\"'=:(<@#/"), F.substring(before, -1, 1)), F.lit(0)), F.when(before.rlike(r"\s$"), -1).otherwise(0))
+    word = F.lower(F.regexp_extract(before, r"([\p{L}\p{N}]+)[^\p{L}\p{N}]*$", 1))
     return F.struct(
         span["start"].alias("start"), span["kind"].alias("kind"), span["end"].alias("end"),
         by_kind(STRICT, 1, -1).alias("shape"), by_kind(GAZETTEER, 1, 0).alias("gazetteer"), around.alias("context"), alone.alias("alone"),
-        F.least(F.expr("cast(8 as int)"), F.floor(F.length(value) / 4).cast("int")).alias("length"), F.least(F.lit(20), digits).alias("digits"), around.alias("around"),
+        F.least(F.expr("cast(8 as int)"), F.floor(F.length(value) / 4).cast("int")).alias("length"), F.least(F.lit(20), digits).alias("digits"),
+        F.least(F.lit(8), capitals).alias("capitals"), F.when(before == "", -2).otherwise(mark).cast("int").alias("mark"), F.pmod(F.hash(word), F.lit(WORD_CLASSES)).alias("word"),
     )
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """docs with base and proposed, arrays of judged spans; proposed spans overlap no base span and not one another.
+def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with base and proposed, arrays of judged spans of the column `text`; proposed spans overlap no base span and not one another.
 
-    A null text is empty and has no span.
+    A null text is empty and has no span. Columns of docs called base, proposed, base_found or proposed_found are replaced.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base, proposed = spans_of(text)
-    found = docs.withColumn("_base", base).withColumn("_proposed", proposed)
-    free = F.filter("_proposed", lambda p: ~F.exists("_base", lambda b: (b["start"] < p["end"]) & (p["start"] < b["end"])))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    base, proposed = spans_of(whole)
+    found = docs.withColumn("base_found", base).withColumn("proposed_found", proposed)
+    free = F.filter("proposed_found", lambda p: ~F.exists("base_found", lambda b: (b["start"] < p["end"]) & (p["start"] < b["end"])))
 
     def first_of(acc: Column, p: Column) -> Column:
         return F.when((F.size(acc) == 0) | (F.element_at(acc, -1)["end"] <= p["start"]), F.array_append(acc, p)).otherwise(acc)
 
-    free = F.when(F.size("_proposed") > 0, F.aggregate(free, F.array().cast("array<struct<start: int, kind: int, end: int, value: string>>"), first_of)).otherwise(F.col("_proposed"))
-    return found.withColumn("base", F.transform("_base", lambda s: judged(s, text))).withColumn("proposed", F.transform(free, lambda s: judged(s, text))).drop("_base", "_proposed")
+    free = F.when(F.size("proposed_found") > 0, F.aggregate(free, F.array().cast("array<struct<start: int, kind: int, end: int, value: string>>"), first_of)).otherwise(F.col("proposed_found"))
+    return found.withColumn("base", F.transform("base_found", lambda s: judged(s, whole))).withColumn("proposed", F.transform(free, lambda s: judged(s, whole))).drop("base_found", "proposed_found")
+
+
+def first_guess(votes: tuple[int, ...]) -> float:
+    """Where expectation-maximisation starts; a vote against counts more than one for."""
+    return min(0.95, max(0.05, 0.5 + sum(0.2 if v > 0 else 0.5 * v for v in votes)))
 
 
 def reliabilities(patterns: dict[tuple, int], rounds: int = 50) -> dict[tuple, float]:
     """Posterior of each (kind, votes...) by Dawid-Skene expectation-maximisation over their counts."""
-    post = {p: min(0.95, max(0.05, 0.5 + 0.2 * sum(p[1:]))) for p in patterns}
+    post = {p: first_guess(p[1:]) for p in patterns}
     for _ in range(rounds):
         prior, seen = defaultdict(lambda: 1.0), defaultdict(lambda: 2.0)
         vote = [[defaultdict(lambda: 0.1), defaultdict(lambda: 0.1)] for _ in VOTES]
@@ -181,23 +200,22 @@ def reliabilities(patterns: dict[tuple, int], rounds: int = 50) -> dict[tuple, f
     return post
 
 
-def train(found: DataFrame) -> dict[str, dict]:
-    """Log-odds by feature and value, and under "" the prior's, from with_spans(): votes and features of all spans are counted, and
-    there are at most some ten thousand combinations, however many spans."""
+def train(found: DataFrame, labelers: tuple[str, ...] = tuple(VOTES)) -> dict[str, dict]:
+    """Log-odds by feature and value, and under "" the prior's, from with_spans(). The spans are counted by votes, feature and value: at most some hundred
+    thousand rows, however many spans. labelers: those that vote; the others abstain."""
     spans = found.select(F.explode(F.concat("base", "proposed")).alias("s")).select("s.*")
-    counts = spans.groupBy("kind", *VOTES, "length", "digits", "around").count().collect()
-    votes: dict[tuple, int] = defaultdict(int)
-    for r in counts:
-        votes[(r["kind"], *(r[v] for v in VOTES))] += r["count"]
-    post = reliabilities(votes)
+    votes = [F.col(v) if v in labelers else F.lit(0).alias(v) for v in VOTES]
+    features = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in FEATURES]))
+    counts = spans.select(F.col("kind").alias("of"), *votes, features.alias("x")).groupBy("of", *VOTES, "x").count().select("of", *VOTES, "x.*", "count").collect()
+    pattern = lambda r: (r["of"], *(r[v] for v in VOTES))
+    post = reliabilities({pattern(r): r["count"] for r in counts if r["feature"] == "kind"})
     sums = {f: defaultdict(lambda: [0.5, 0.5]) for f in FEATURES}
     mass = [1.0, 1.0]
     for r in counts:
-        p = post[(r["kind"], *(r[v] for v in VOTES))]
+        p = post[pattern(r)]
         for y, w in ((1, r["count"] * p), (0, r["count"] * (1 - p))):
-            mass[y] += w
-            for f in FEATURES:
-                sums[f][r[f]][y] += w
+            mass[y] += w if r["feature"] == "kind" else 0
+            sums[r["feature"]][r["value"]][y] += w
     return {"": math.log(mass[1] / mass[0])} | {f: {v: math.log((w[1] / mass[1]) / (w[0] / mass[0])) for v, w in by.items()} for f, by in sums.items()}
 
 
@@ -223,13 +241,13 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find_pii(docs: DataFrame) -> DataFrame:
+def find_pii(docs: DataFrame, labelers: tuple[str, ...] = tuple(VOTES)) -> DataFrame:
     """A row for each row of docs: doc_id, base and spans, arrays of (start, kind, end).
 
     The texts are read once. Repeated rows have their own rows, an empty table gives none, other columns are not read.
     """
     found = saved(with_spans(docs.select("doc_id", "text")).drop("text"), "pii")
-    model = train(found)
+    model = train(found, labelers)
     bare = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     return found.withColumn("spans", all_spans(model)).withColumn("base", F.array_sort(bare)).drop("proposed")
 
@@ -237,22 +255,24 @@ def find_pii(docs: DataFrame) -> DataFrame:
 def masked(docs: DataFrame) -> DataFrame:
     """docs, all its columns, with each span of the text replaced by its kind in capitals and brackets; of overlapping spans the first.
 
-    n_chars, if there is one, follows the new text.
+    n_chars, if there is one, follows the new text. A null text stays null, an empty one empty; repeated rows have rows of their own; an empty table gives none.
     """
-    model = train(saved(with_spans(docs.select("text")).drop("text"), "pii-votes"))
+    # The spans are found once; each row keeps them beside it until the classifier is trained.
+    found = saved(with_spans(in_one(docs), "row.text"), "pii-rows")
+    model = train(found.select("base", "proposed"))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = F.col("row.text")
 
     def step(acc: Column, s: Column) -> Column:
         longer = F.struct(F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.element_at(names, s["kind"] + 1)).alias("out"), s["end"].alias("at"))
         return F.when(s["start"] >= acc["at"], longer).otherwise(acc)
 
-    whole = F.aggregate("_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    out = with_spans(docs).withColumn("_spans", all_spans(model)).withColumn("_text", F.when(F.size("_spans") > 0, whole).otherwise(F.col("text")))
-    out = out.withColumn("text", F.col("_text"))
+    whole = F.aggregate("spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    out = found.select("row", all_spans(model).alias("spans")).withColumn("masked", F.when(F.size("spans") > 0, whole).otherwise(text))
+    new = {"text": F.col("masked")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.size("spans") > 0, F.length("masked").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
