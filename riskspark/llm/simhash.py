@@ -3,9 +3,9 @@
 A fingerprint is embedded as the bit counts of its thirty-two 2-bit segments. Flipping a bit moves one count by one, so the
 Manhattan distance of two embeddings is a lower bound for the Hamming distance of the fingerprints. A grid range-join finds
 fingerprints whose embeddings lie within two: each is put into its own cell and the cells one step away, and two that share
-no cell are further apart. The fingerprints that share a cell with another are then verified exactly: each goes to the hubs of all values one flipped bit away,
-and those that meet at a hub differ in two bits at most, so that each is linked to the least there; however dense
-a cell is, no pairs are listed.
+no cell are further apart. Pairs that share a cell are verified, first by the Manhattan distance, then exactly by the bits that differ.
+Members of a dense cell are not paired: each goes to the hubs of all values one flipped bit away, and those that meet at a hub, which differ in two
+bits at most, are linked to the least there.
 """
 
 from __future__ import annotations
@@ -17,7 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mixed, read_table, saved, small
+from riskspark.session import ship
+
+from .common import in_one, mixed, read_table, saved, small
 from .components import with_component
 
 SEED, BITS = 42, 64
@@ -56,6 +58,7 @@ def fingerprints(docs: DataFrame, words_each: int = 3) -> DataFrame:
             fps = np.array([fingerprint_of(t, words_each) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.record_batch([b.column(0), pa.array(fps)], ["doc_id", "fp"])
 
+    ship(docs.sparkSession)
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
     return thin.mapInArrow(compute, "doc_id long, fp long")
 
@@ -67,6 +70,13 @@ def embedding(fp: Column) -> Column:
     return a.bitwiseXOR(b).bitwiseOR(F.shiftleft(a.bitwiseAND(b), 1))
 
 
+def manhattan(e: Column, f: Column) -> Column:
+    """The distance of two embeddings: with each count written as so many ones, the bits in which they differ."""
+    low = F.lit(0x5555555555555555)
+    ones = lambda x: x.bitwiseOR(F.shiftrightunsigned(x, 1).bitwiseAND(low))
+    return F.bit_count(ones(e).bitwiseXOR(ones(f)))
+
+
 def signed(x: int) -> Column:
     return F.lit(x - (1 << 64) if x >> 63 else x).cast("long")
 
@@ -80,16 +90,22 @@ def cells(e: Column) -> Column:
     return F.array_compact(F.array(*out))
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """fps: fp, distinct, and cell, its embedding. Edges (a, b), a > b, that connect any distinct fps at Hamming distance one or two, through the least at a hub."""
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = fps.repartition(n, "fp").select("fp", F.explode(cells(F.col("cell"))).alias("cell"))
-    shared = placed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
-    near = saved(placed.join(shared, "cell", "left_semi").select("fp").distinct(), "simhash-near")
+#: Fingerprints in a cell that are compared pair by pair; those of a denser cell meet at hubs.
+DENSE = 8
+
+
+def links(fps: DataFrame, bits: int = 2) -> DataFrame:
+    """fps: fp, distinct, and cell, its embedding. Edges (a, b), a > b, that connect any fps at Hamming distance one or two."""
+    placed = fps.select("fp", F.explode(cells(F.col("cell"))).alias("at"))
+    crowd = placed.groupBy("at").agg(F.count("*").alias("n")).where("n > 1")
+    near = saved(placed.join(crowd, "at").select("at", "fp", "n"), "simhash-near")
+    few = near.where(F.col("n") <= DENSE)
+    pairs = few.select("at", F.col("fp").alias("a")).join(few.select("at", F.col("fp").alias("b")), "at").where("a > b").select("a", "b").distinct()
+    found = pairs.where(manhattan(embedding(F.col("a")), embedding(F.col("b"))) <= bits).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
     flips = [F.col("fp"), *(F.col("fp").bitwiseXOR(signed(1 << k)) for k in range(BITS))]
-    hubs = near.select("fp", F.explode(F.array(*flips)).alias("hub"))
+    hubs = near.where(F.col("n") > DENSE).select("fp").distinct().select("fp", F.explode(F.array(*flips)).alias("hub"))
     least = saved(hubs.groupBy("hub").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n"), "simhash-hubs")
-    return hubs.join(least, "hub").where("fp > b").select(F.col("fp").alias("a"), "b").distinct()
+    return found.unionByName(hubs.join(least, "hub").where("fp > b").select(F.col("fp").alias("a"), "b")).distinct()
 
 
 def near_groups(docs: DataFrame, words_each: int = 3) -> DataFrame:
@@ -175,20 +191,20 @@ def drop_near_copies(docs: DataFrame, words_each: int = 5, similarity: float = 0
     what links connect. Candidates share one of TABLES codes of their shingles, see there for the chance; of those none is left out. Rows with equal text are one
     node; of rows that repeat an identifier and a text one stays. A null text has no words and is linked to others without words; null identifiers sort first.
     """
-    spark = docs.sparkSession
-    text = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
-    keyed = docs.withColumn("_key", F.xxhash64(text, F.length(text), F.crc32(text)))
+    ship(docs.sparkSession)
+    rows_in = in_one(docs)
+    text = F.encode(F.coalesce(F.col("row.text"), F.lit("")), "UTF-8")
+    keyed = rows_in.select("row", F.col("row.doc_id").cast("long").alias("id"), F.xxhash64(text, F.length(text), F.crc32(text)).alias("key"))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
             codes = [min_codes(shingle_set(t, words_each)).tolist() for t in b.column(2).to_pylist()]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(codes, pa.list_(pa.int64()))], ["doc_id", "key", "codes"])
 
-    rows = saved(keyed.select(F.col("doc_id").cast("long"), "_key", text.alias("text")).mapInArrow(compute, "doc_id long, key long, codes array<long>"), "near-codes")
+    rows = saved(keyed.select(F.col("id").alias("doc_id"), "key", text.alias("text")).mapInArrow(compute, "doc_id long, key long, codes array<long>"), "near-codes")
     nodes = rows.groupBy("key").agg(F.min(F.struct("doc_id"))["doc_id"].alias("least"), F.first("codes").alias("codes"))
     nodes = saved(nodes, "near-nodes")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    places = nodes.repartition(n, "key").select("key", F.explode("codes").alias("bucket"))
+    places = nodes.select("key", F.explode("codes").alias("bucket"))
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
@@ -205,19 +221,19 @@ def drop_near_copies(docs: DataFrame, words_each: int = 5, similarity: float = 0
 
     def verified(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        firsts = nodes.join(wanted, "key").select(F.col("key"), F.col("least"))
-        texts = keyed.select("_key", F.col("doc_id").cast("long").alias("_id"), text.alias("text")).join(firsts, (F.col("_key") == F.col("key")) & F.col("_id").eqNullSafe(F.col("least")), "left_semi")
-        sets = saved(texts.select("_key", "text").mapInArrow(shingles, "key long, shingles array<long>").dropDuplicates(["key"]), "near-sets")
+        firsts = nodes.join(wanted, "key").select(F.col("key").alias("wanted"), "least")
+        texts = keyed.select("key", "id", text.alias("text")).join(firsts, (F.col("key") == F.col("wanted")) & F.col("id").eqNullSafe(F.col("least")), "left_semi")
+        sets = saved(texts.select("key", "text").mapInArrow(shingles, "key long, shingles array<long>").dropDuplicates(["key"]), "near-sets")
         held = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("t")), "b")
         return held.select("a", "b", "s", "t").mapInArrow(verify, "a long, b long")
 
     rooted = near_components(nodes.select(F.col("key").alias("node"), "least"), places, verified)
-    stays = rooted.groupBy("root").agg(F.min(F.struct(F.col("least"), F.col("node"))).alias("m")).select(F.col("m.node").alias("_node"), F.col("m.least").alias("_least"))
-    kept = keyed.join(stays, (F.col("_key") == F.col("_node")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_least")))
+    stays = rooted.groupBy("root").agg(F.min(F.struct("least", "node")).alias("m")).select(F.col("m.node").alias("node"), F.col("m.least").alias("least"))
+    kept = keyed.join(stays, (F.col("key") == F.col("node")) & F.col("id").eqNullSafe(F.col("least")))
     again = rows.groupBy("key", "doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if not again.isEmpty():
-        kept = kept.dropDuplicates(["_key", "_least"])
-    return kept.select(*[docs[c] for c in docs.columns])
+        kept = kept.dropDuplicates(["key", "least"])
+    return kept.select("row.*")
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
