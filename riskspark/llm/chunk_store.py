@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskspark.session import ship
+
 from .common import RANGE_ROWS, mixed, new_dir, read_table, saved, small, with_running_total
 from .wordbpe import encoder, tokenizer_file
 
@@ -32,6 +34,10 @@ POLY = np.uint64(0xEDB88320)
 GEAR = mixed(np.arange(1 << 16)).astype(np.uint32)
 
 
+#: Bytes of ids whose chunks one task makes unique, about.
+CHUNK_BYTES_A_TASK = 16 << 20
+
+
 def cuts(ids: np.ndarray) -> list[int]:
     """Ends of the chunks of one document. The hash at a place depends on the 32 ids before it only."""
     h = GEAR[ids & 0xFFFF]
@@ -115,6 +121,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json"
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(root, pa.binary()), pa.array(digests, pa.list_(pa.binary())), pa.array(own, pa.list_(pa.binary()))], ["doc_id", "n_tokens", "root", "digests", "chunks"])
 
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    ship(docs.sparkSession)
     staged = saved(thin.mapInArrow(encode, "doc_id long, n_tokens long, root binary, digests array<binary>, chunks array<binary>"), "staged")
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +137,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json"
             yield b.take(pa.array(keep, pa.int32()))
 
     sent = staged.select(F.explode(F.arrays_zip("digests", "chunks")).alias("c")).select(F.col("c.digests").alias("digest"), F.col("c.chunks").alias("ids")).where("ids IS NOT NULL")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = 1 + 4 * (staged.agg(F.sum("n_tokens")).first()[0] or 0) // CHUNK_BYTES_A_TASK
     sent.repartition(n, "digest").sortWithinPartitions("digest").mapInArrow(once, "digest binary, ids binary").write.option("compression", "zstd").parquet(f"{path}/chunks")
     recipes = with_running_total(staged.drop("chunks"), ["doc_id", "root"], F.col("n_tokens"), "start", "recipes")
     parts = max(1, staged.count() // RANGE_ROWS)
@@ -150,6 +157,7 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def chunk_sums(spark: SparkSession, path: str) -> DataFrame:
     """digest, n_ids, sum: read from every stored chunk, whose digest is verified; sum is the CRC-32 of its ids at 32 bits each."""
+    ship(spark)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -167,6 +175,7 @@ def chunk_sums(spark: SparkSession, path: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, ids: whole documents put together from their chunks."""
+    ship(spark)
 
     @F.pandas_udf("array<int>")
     def ids(parts):
@@ -184,6 +193,7 @@ def read_sums(spark: SparkSession, path: str) -> DataFrame:
     and the documents' roots against the manifest. CRCs of chunks give the document's by polynomial arithmetic, so that
     ids do not travel again.
     """
+    ship(spark)
     recipes = spark.read.parquet(f"{path}/recipes")
     if not manifest(spark, path).exceptAll(spark.read.parquet(f"{path}/manifest")).isEmpty():
         raise ValueError("the recipes do not give the roots of the manifest")

@@ -27,14 +27,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only if the session names none, as in tests."""
+    """The folder that driver and executors share. It is set here only if the session names none and all tasks run on this machine, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder; on a cluster it has to be one that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='riskspark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
+def in_one(docs: DataFrame) -> DataFrame:
+    """docs with all its columns in one, `row`, so that no name of theirs meets another; `row.*` unpacks them."""
+    return docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row"))
+
+
 def new_dir(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/riskspark/{tag}-{uuid.uuid4().hex}"
 

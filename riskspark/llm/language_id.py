@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, saved, small
+from riskspark.session import ship
+
+from .common import in_one, read_table, saved, small
 
 #: N-grams in a profile.
 PROFILE = 300
-#: Languages that a model may have; it is sent to all tasks, and has PROFILE rows for each.
-MOST_LANGUAGES = 4096
 UNKNOWN = "und"
 #: Code points whose n-grams are made at once.
 SPAN = 1 << 20
@@ -78,24 +78,22 @@ def learn(docs: DataFrame, lang: str = "lang") -> list[tuple[str, np.ndarray]]:
         for name in list(held):
             yield out(name)
 
+    ship(docs.sparkSession)
     rows = docs.select(F.col(lang).alias("lang"), "text").where("lang IS NOT NULL AND text IS NOT NULL")
     total = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = [F.desc("n"), F.asc("gram")]
     # First the most frequent of each of many slices, so that no task gathers all n-grams of a language.
     slices = Window.partitionBy("lang", F.pmod(F.xxhash64("gram"), F.lit(64))).orderBy(*order)
     top = saved(total.withColumn("k", F.row_number().over(slices)).where(F.col("k") <= PROFILE).drop("k"), "profile-slices")
-    languages = top.select("lang").distinct().count()
-    if languages > MOST_LANGUAGES:
-        raise ValueError(f"{languages} languages; the model is built for {MOST_LANGUAGES}")
     best = top.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("k") <= PROFILE)
     model: dict[str, list] = {}
-    for r in best.collect():  # PROFILE rows for each language
+    for r in best.collect():  # PROFILE rows for each language; the model goes to all tasks
         model.setdefault(r["lang"], []).append((r["k"], r["gram"]))
     return [(x, np.array([g for _, g in sorted(model[x])], np.int64)) for x in sorted(model)]
 
 
-def nearest(text: str | None, codes: np.ndarray, ranks: np.ndarray) -> tuple[int, float] | None:
-    """The place of the nearest language and the score, or None if the text has no letter. ranks: of each of codes by language, -1 if it has none."""
+def nearest(text: str | None, codes: np.ndarray, ranks: np.ndarray) -> tuple[int, float, int] | None:
+    """The place of the nearest language, the score and the text's grade, or None if the text has no letter. ranks: of each of codes by language, -1 if it has none."""
     if text is None or not len(codes):
         return None
     grams, counts = gram_counts(text)
@@ -106,7 +104,7 @@ def nearest(text: str | None, codes: np.ndarray, ranks: np.ndarray) -> tuple[int
     theirs = np.where((codes[at] == top)[:, None], ranks[at], -1)
     apart = np.where(theirs < 0, PROFILE, np.abs(theirs - np.arange(len(top))[:, None])).sum(axis=0)
     best = int(apart.argmin())
-    return best, 1 - float(apart[best]) / (PROFILE * len(top))
+    return best, 1 - float(apart[best]) / (PROFILE * len(top)), len(top).bit_length()
 
 
 def places(model: list[tuple[str, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -118,33 +116,31 @@ def places(model: list[tuple[str, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]
     return codes, ranks
 
 
-def with_language(docs: DataFrame, model: list[tuple[str, np.ndarray]]) -> DataFrame:
-    """docs with lang_pred and lang_score, from the text alone.
+def with_language(docs: DataFrame, model: list[tuple[str, np.ndarray]], grade: bool = False) -> DataFrame:
+    """docs with lang_pred and lang_score, from the text alone, and if asked for lang_grade, the binary logarithm of how many of its n-grams are ranked.
 
     Texts that are null or have no letter get `und` and score 0; so do all texts if the model is empty. Of languages at the same distance the
     first in alphabetical order wins. The score is 1 less the distance as a part of the largest possible. Columns of these names are replaced.
+    Repeated rows have rows of their own, an empty table gives none.
     """
+    ship(docs.sparkSession)
     languages = [x for x, _ in model]
     codes, ranks = places(model)
-    names = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
+    new = ["lang_pred", "lang_score"] + ["lang_grade"] * grade
+    names = [c for c in docs.columns if c not in new]
     place = names.index("text")
-    kept = docs.select(*names)
+    kept = docs.select(*[F.col(f"`{c}`") for c in names])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
             found = [nearest(t, codes, ranks) for t in b.column(place).to_pylist()]
-            langs, scores = [languages[f[0]] if f else UNKNOWN for f in found], [f[1] if f else 0.0 for f in found]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "lang_score"])
+            more = pa.array([languages[f[0]] if f else UNKNOWN for f in found], pa.string()), pa.array([f[1] if f else 0.0 for f in found], pa.float64()), pa.array([f[2] if f else 0 for f in found], pa.int32())
+            yield pa.RecordBatch.from_arrays([*b.columns, *more[: len(new)]], [*names, *new])
 
-    schema = kept.withColumn("lang_pred", F.lit("")).withColumn("lang_score", F.lit(0.0)).schema
+    schema = kept.select("*", *[F.lit(x).alias(c) for c, x in zip(new, ("", 0.0, 0))]).schema
     return kept.mapInArrow(apply, schema)
 
 
-def grade(text: str) -> int:
-    """The binary logarithm of how many of a text's n-grams are ranked."""
-    return min(len(gram_counts(text)[0]), PROFILE).bit_length()
-
-
 def bars(docs: DataFrame, model: list[tuple[str, np.ndarray]], lang: str = "lang") -> dict[int, float]:
     """The least score, by grade, that a text in a learned language has.
 
@@ -162,7 +158,7 @@ def bars(docs: DataFrame, model: list[tuple[str, np.ndarray]], lang: str = "lang
                 for piece in [text, *(" ".join(words[: 1 << k]) for k in range(8) if 1 << k < len(words))]:
                     found = nearest(piece, codes, ranks)
                     if found and names[found[0]] == name:
-                        out.append((grade(piece), found[1]))
+                        out.append((found[2], found[1]))
             yield pa.record_batch([pa.array([g for g, _ in out], pa.int32()), pa.array([x for _, x in out], pa.float64())], ["grade", "score"])
 
     rows = docs.select(F.col(lang).alias("lang"), "text").where("lang IS NOT NULL AND text IS NOT NULL").mapInArrow(score, "grade int, score double")
@@ -172,13 +168,16 @@ def bars(docs: DataFrame, model: list[tuple[str, np.ndarray]], lang: str = "lang
 
 def accept_language(docs: DataFrame, least: float = 0.15) -> DataFrame:
     """docs, all its columns, without the rows whose text has no letter, or is further from every profile learned from docs itself than labelled texts of
-    its number of n-grams are, or than `least`. A grade that no labelled text has takes the bar of the nearest that one has."""
+    its number of n-grams are, or than `least`. A grade that no labelled text has takes the bar of the nearest that one has.
+
+    Null texts have no letter and go; so does every row if no row has a language. Repeated rows stay or go together, whatever their other columns; an empty
+    table gives no rows.
+    """
     model = learn(docs)
     known = bars(docs, model)
-    bar = {g: max(least, known[min(known, key=lambda h: (abs(h - g), h))]) if known else least for g in range(PROFILE.bit_length() + 1)}
-    graded = F.udf(lambda t: bar[grade(t or "")], "double")
-    found = with_language(docs, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= least))
-    return found.where(F.col("lang_score") >= graded("text")).select(*docs.columns)
+    bar = [max(least, known[min(known, key=lambda h: (abs(h - g), h))]) if known else least for g in range(PROFILE.bit_length() + 1)]
+    found = with_language(in_one(docs).select("row", F.col("row.text").alias("text")), model, grade=True)
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= F.element_at(F.array(*map(F.lit, bar)), F.col("lang_grade") + 1))).select("row.*")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, saved, with_running_total
+from riskspark.session import ship
+
+from .common import in_one, read_table, saved, with_running_total
 
 BITS = 5
 
@@ -70,6 +72,7 @@ def assign_shards(docs: DataFrame, shards: int) -> DataFrame:
     The law is `rows`: counts of any two shards differ by one at most. A null text has no bytes, null metadata sort first,
     repeated rows take neighbouring places, an empty table gives no rows. Other columns of docs are not read.
     """
+    ship(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     thin = saved(
         docs.select(
@@ -84,11 +87,19 @@ def assign_shards(docs: DataFrame, shards: int) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, shards: int, path: str) -> DataFrame:
-    """Writes docs with shard and slot, one folder a shard in the order of slots, and returns the assignment."""
+    """Writes docs with shard and slot, one folder a shard in the order of slots, and returns the assignment.
+
+    Rows that repeat an identifier and a text take the slots of their number among themselves, any of them the first; columns of docs called shard or slot
+    are replaced; an empty table writes no shard.
+    """
     placed = saved(assign_shards(docs, shards).select("doc_id", "text_crc32", "shard", "slot"), "shard-plan")
-    crc = F.crc32(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8"))
-    same = docs["doc_id"].eqNullSafe(placed["doc_id"]) & (crc == placed["text_crc32"])
-    docs.join(placed.dropDuplicates(["doc_id", "text_crc32"]), same).select(*[docs[c] for c in docs.columns], "shard", "slot").repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    numbered = placed.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "text_crc32").orderBy("slot")))
+    crc = F.crc32(F.encode(F.coalesce(F.col("row.text"), F.lit("")), "UTF-8"))
+    own = in_one(docs.drop("shard", "slot")).select("row", F.col("row.doc_id").cast("long").alias("id"), crc.alias("crc"))
+    own = own.withColumn("own", F.row_number().over(Window.partitionBy("id", "crc").orderBy("crc")))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("crc") == F.col("text_crc32")) & (F.col("own") == F.col("k"))
+    whole = own.join(numbered, same).select("row.*", "shard", "slot")
+    whole.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     return placed
 
 

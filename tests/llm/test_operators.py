@@ -494,3 +494,143 @@ def test_pipeline_stages_keep_columns(spark, tmp_path):
         assert 0 < docs.count() <= before
         before = docs.count()
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= before
+
+
+CLASHING = ["row", "base", "proposed", "lang_pred", "lang_score", "_key", "_least", "_copies", "key", "id", "least", "node", "own", "crc", "shard", "spans", "masked", "a.b", "run", "copies", "digest"]
+
+
+def with_clashes(docs):
+    out = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    for k, c in enumerate(CLASHING):
+        out = out.withColumn(c, F.concat(F.lit(f"{k}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    return out
+
+
+@pytest.mark.parametrize("stage", [language_id.accept_language, exact_dedup.drop_copies, simhash.drop_near_copies, pii.masked])
+def test_stages_leave_columns_of_any_name(docs, empty, stage):
+    rich = with_clashes(docs)
+    got = stage(rich)
+    assert got.columns == rich.columns and [f.dataType for f in got.schema] == [f.dataType for f in rich.schema]
+    rows = got.collect()
+    assert rows and all(r[c] == f"{k}:{'none' if r['doc_id'] is None else r['doc_id']}" for r in rows for k, c in enumerate(CLASHING))
+    assert stage(with_clashes(empty)).count() == 0
+
+
+def test_shards_written_are_gapless(docs, empty, tmp_path):
+    sharding.write_shards(docs, 4, f"file://{tmp_path}/s")
+    spark = docs.sparkSession
+    got = spark.read.parquet(f"file://{tmp_path}/s").collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((r[0], r[1]) for r in rows())
+    for k in range(4):
+        assert sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sum(r["shard"] == k for r in got)))
+    sharding.write_shards(empty, 4, f"file://{tmp_path}/none")
+
+
+def test_segment_counts_bound_the_bits_that_differ(spark):
+    rng = np.random.default_rng(5)
+    a = rng.integers(-(1 << 63), 1 << 63, 300)
+    b = np.array([x ^ sum(1 << int(k) for k in rng.choice(63, int(rng.integers(0, 5)), replace=False)) for x in a.tolist()])
+    pairs = spark.createDataFrame(list(zip(a.tolist(), b.tolist())), "a long, b long")
+    got = pairs.select("a", "b", simhash.manhattan(simhash.embedding(F.col("a")), simhash.embedding(F.col("b"))).alias("d")).collect()
+    count = lambda x, k: bin((x & (1 << 64) - 1) >> 2 * k & 3).count("1")
+    for r in got:
+        assert r["d"] == sum(abs(count(r["a"], k) - count(r["b"], k)) for k in range(32)) <= bin((r["a"] ^ r["b"]) & (1 << 64) - 1).count("1")
+
+
+@pytest.mark.parametrize("dense", [1, 8, 1000])
+def test_links_connect_all_close_fingerprints(spark, monkeypatch, dense):
+    monkeypatch.setattr(simhash, "DENSE", dense)
+    rng = np.random.default_rng(6)
+    fps = {int(x) for x in rng.integers(-(1 << 63), 1 << 63, 20)}
+    for x in list(fps):
+        fps |= {x ^ (1 << int(i)) ^ (1 << int(j)) for i, j in rng.integers(0, 63, (6, 2))} | {x ^ 0b11, x ^ 0b101, x ^ 0b1111}
+    fps = sorted(fps)
+    nodes = spark.createDataFrame([(x,) for x in fps], "fp long").withColumn("cell", simhash.embedding(F.col("fp")))
+    edges = [tuple(r) for r in simhash.links(nodes).collect()]
+    assert all(a > b and bin((a ^ b) & (1 << 64) - 1).count("1") <= 2 for a, b in edges)
+    at = {x: k for k, x in enumerate(fps)}
+    linked = {(at[a], at[b]) for a, b in edges}
+    want = components(list(range(len(fps))), lambda i, j: bin((fps[i] ^ fps[j]) & (1 << 64) - 1).count("1") <= 2)
+    assert components(list(range(len(fps))), lambda i, j: (i, j) in linked or (j, i) in linked) == want
+
+
+def test_a_second_flush_joins_the_first(spark, docs, tmp_path):
+    """The first batch's texts are gone when the second is flushed."""
+    first, second = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 <> 0 OR doc_id IS NULL")
+    first.select("doc_id", "text").write.parquet(f"file://{tmp_path}/first")
+    index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index", "largest")
+    index.flush(spark.read.parquet(f"file://{tmp_path}/first"))
+    index.compact()
+    assert sum(map(len, index.levels)) == 1
+    spark.read.parquet(f"file://{tmp_path}/first").limit(0).write.mode("append").parquet(f"file://{tmp_path}/first")
+    index.flush(second)
+    segment = {r["digest"]: (r["keep_id"], r["group_size"]) for r in index.compact().collect()}
+    want = defaultdict(list)
+    for i, t in PLAIN:
+        want[hashlib.sha256(t.translate(TRANS).encode()).hexdigest()].append(i)
+    assert segment == {d: (max((i for i in ids if i is not None), default=None), len(ids)) for d, ids in want.items()}
+
+
+def secrets(spark, n=240):
+    rng = np.random.default_rng(7)
+    hexes = ["".join(rng.choice(list("0123456789abcdef"), 40)) for _ in range(n)]
+    near = ['the token = "%s" is mine', 'his password: %s was read', 'see commit %s of the code', 'the md5 checksum %s fits', 'we saw %s there']
+    return spark.createDataFrame([(k, near[k % 5] % h) for k, h in enumerate(hexes)], "doc_id long, text string")
+
+
+def test_labelers_decide_on_proposed_spans(spark):
+    docs = secrets(spark)
+    got = {r["doc_id"]: len(r["spans"]) for r in pii.find_pii(docs).collect()}
+    share = lambda found, k: np.mean([found[i] for i in found if i % 5 == k])
+    assert share(got, 0) == share(got, 1) == 1 and share(got, 2) == share(got, 3) == 0
+    without = {r["doc_id"]: len(r["spans"]) for r in pii.find_pii(docs, labelers=("shape", "gazetteer", "alone")).collect()}
+    assert without != got
+
+
+def test_supervision_equals_a_plain_version(spark, docs):
+    found = pii.with_spans(docs.select("doc_id", "text").unionByName(secrets(spark)))
+    spans = [s.asDict() for r in found.collect() for s in [*r["base"], *r["proposed"]]]
+    pattern = lambda s: (s["kind"], *(s[v] for v in pii.VOTES))
+    post = {pattern(s): min(0.95, max(0.05, 0.5 + 0.2 * sum(s[v] == 1 for v in pii.VOTES) - 0.5 * sum(s[v] == -1 for v in pii.VOTES))) for s in spans}
+    for _ in range(50):  # over the spans themselves, not their counts
+        new = {}
+        for q in post:
+            odds = math.log((1 + sum(post[pattern(s)] for s in spans if s["kind"] == q[0])) / (1 + 1e-9 + sum(1 - post[pattern(s)] for s in spans if s["kind"] == q[0])))
+            for j, v in enumerate(pii.VOTES):
+                yes, no = sum(post[pattern(s)] for s in spans), sum(1 - post[pattern(s)] for s in spans)
+                odds += math.log((0.1 + sum(post[pattern(s)] for s in spans if s[v] == q[j + 1])) / (0.3 + yes) / ((0.1 + sum(1 - post[pattern(s)] for s in spans if s[v] == q[j + 1])) / (0.3 + no)))
+            new[q] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
+        change, post = max(abs(new[q] - post[q]) for q in new), new
+        if change < 1e-9:
+            break
+    model = pii.train(found)
+    yes, no = 1 + sum(post[pattern(s)] for s in spans), 1 + sum(1 - post[pattern(s)] for s in spans)
+    assert abs(model[""] - math.log(yes / no)) < 1e-6
+    for f in pii.FEATURES:
+        for value, got in model[f].items():
+            a, b = 0.5 + sum(post[pattern(s)] for s in spans if s[f] == value), 0.5 + sum(1 - post[pattern(s)] for s in spans if s[f] == value)
+            assert abs(got - math.log(a / yes / (b / no))) < 1e-6
+
+
+def test_out_of_place_distances_equal_plain_ones(docs):
+    model = language_id.learn(docs)
+    got = {(r["doc_id"], r["text"]): (r["lang_pred"], r["lang_score"]) for r in language_id.with_language(docs, model).collect()}
+
+    def grams(text):
+        found, x = Counter(), "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+        for n in (1, 2, 3):
+            for k in range(len(x) - n + 1):
+                g = x[k : k + n]
+                if g.strip() and (n == 1 and g != " " or n == 2 or n == 3 and g[1] != " "):
+                    found[g] += 1
+        code = lambda g: int("".join(f"{ord(c):021b}" for c in g), 2)
+        return [code(g) for g in sorted(found, key=lambda g: (-found[g], code(g)))[: language_id.PROFILE]]
+
+    for (i, text), found in got.items():
+        own = grams(text or "")
+        if not own or not model:
+            assert found == ("und", 0.0)
+            continue
+        far = {name: sum(abs(codes.tolist().index(g) - k) if g in codes else language_id.PROFILE for k, g in enumerate(own)) for name, codes in model}
+        name = min(far, key=lambda n: (far[n], n))
+        assert found[0] == name and abs(found[1] - (1 - far[name] / (language_id.PROFILE * len(own)))) < 1e-9
