@@ -163,16 +163,24 @@ def crossing(active: DataFrame, slices: int) -> tuple[DataFrame, DataFrame]:
 def near_components(nodes: DataFrame, places: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """nodes (node, least) with root, by the links that verified() finds among the pairs that share a bucket of places (bucket, key).
 
-    Pairs that links already connect need no check. In each round every bucket that still spans several components has some of its members, the pivots, held
+    Pairs that links already connect need no check. First each member is held against one other only, the least that it shares a bucket with, which connects most
+    copies. Then in each round every bucket that still spans several components has some of its members, the pivots, held
     against all of its members in other components, and then the pivots are done; with sixteen times as many pivots a round, a bucket ends when its rest is one
     component. So no pair is left out, a bucket of copies costs its size only, and one of unrelated texts its pairs.
     """
-    shared = places.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    active, edges, slices = saved(places.join(shared, "bucket", "left_semi").withColumn("root", F.col("key")), "near-places"), None, 1
+    least = saved(places.groupBy("bucket").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "near-shared")
+    near = places.join(least, "bucket").groupBy("key").agg(F.min("first").alias("b")).where("key > b").select(F.col("key").alias("a"), "b")
+    edges = saved(verified(saved(near, "near-pairs")), "near-links")
+    rooted = saved(with_component(nodes, edges), "near-roots")
+    placed = places.join(least, "bucket", "left_semi").join(rooted.select(F.col("node").alias("key"), "root"), "key").select("bucket", "key", "root")
+    mixed_ones = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
+    active, slices = saved(placed.join(mixed_ones, "bucket", "left_semi"), "near-places"), 1
+    if active.isEmpty():
+        return rooted
     while True:
         pivots, pairs = crossing(active, slices)
         new = saved(verified(saved(pairs, "near-pairs")), "near-links")
-        edges = new if edges is None else edges.unionByName(new)
+        edges = edges.unionByName(new)
         rooted = saved(with_component(nodes, edges), "near-roots")
         rest = active.drop("root").join(pivots.select("bucket", F.col("pivot").alias("key")), ["bucket", "key"], "left_anti")
         rest = rest.join(rooted.select(F.col("node").alias("key"), "root"), "key").select("bucket", "key", "root")
