@@ -104,25 +104,27 @@ def fhs_laws(innovations: DataFrame, sigma: DataFrame) -> DataFrame:
 def fhs_path_laws(paths: pd.DataFrame | DataFrame, sigma: DataFrame, start: DataFrame, horizon: int, lam: float = 0.94, floor: float = 0.05) -> DataFrame:
     """t, w, x: horizon-step scenarios. paths: (w, k, j, e) innovation windows; the variance recursion runs along each path.
 
-    A date's scenarios are computed together, from one row that holds the date's sigmas and one array of paths for the features.
+    Windows are dealt into blocks; each date goes to every block, and a block and a slice of the dates are one task's arrays, in which all paths of a date
+    advance together.
     """
-    steps = paths.where(F.col("k") < horizon).groupBy("w").agg(F.sort_array(F.collect_list(F.struct("k", "j", "e"))).alias("p"))
-    states = sigma.join(F.broadcast(start), "j").groupBy("t").agg(F.sort_array(F.collect_list(F.struct("j", "sigma", "v"))).alias("s"))  # start: one row an instrument
-    both = states.withColumn("_k", F.lit(1)).join(steps.withColumn("_k", F.lit(1)), "_k")
-
-    @F.pandas_udf("double")
-    def run(s: pd.Series, p: pd.Series) -> pd.Series:
-        out = np.empty(len(s))
-        for i, (a, b) in enumerate(zip(s, p)):
-            s2 = np.array([q["sigma"] for q in a]) ** 2
-            low = floor**2 * np.array([q["v"] for q in a])
-            e = np.array([q["e"] for q in b]).reshape(horizon, -1)
-            total = 0.0
-            for k in range(horizon):
-                r = np.sqrt(s2) * e[k]
-                total += r.mean()
-                s2 = np.maximum(lam * s2 + (1 - lam) * r**2, low)
-            out[i] = total
-        return pd.Series(out)
-
-    return both.select("t", "w", run("s", "p").alias("x"))
+    steps = paths.where(F.col("k") < horizon).groupBy("w").agg(F.sort_array(F.collect_list(F.struct("k", "j", "e"))).alias("p")).where(F.size("p") > 0)
+    states = sigma.join(start, "j").groupBy("t").agg(F.sort_array(F.collect_list(F.struct("j", "sigma", "v"))).alias("s"))
+    blocks, slices = (max(1, -(-df.select(c).distinct().count() // rows)) for df, c, rows in ((paths, "w", 4096), (sigma, "t", 256)))
+    dealt = steps.withColumn("block", F.pmod(F.xxhash64("w"), F.lit(blocks))).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    each = states.withColumn("slice", F.pmod(F.xxhash64("t"), F.lit(slices)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+
+    def run(dates: pd.DataFrame, paths: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(paths):
+            e = np.array([[q["e"] for q in p] for p in paths["p"]]).reshape(len(paths), horizon, -1)
+            for t, s in zip(dates["t"], dates["s"]):
+                s2 = np.tile(np.array([q["sigma"] for q in s]) ** 2, (len(paths), 1))
+                low, total = floor**2 * np.array([q["v"] for q in s]), np.zeros(len(paths))
+                for k in range(horizon):
+                    r = np.sqrt(s2) * e[:, k]
+                    total += r.mean(axis=1)
+                    s2 = np.maximum(lam * s2 + (1 - lam) * r**2, low)
+                found.append(pd.DataFrame({"t": t, "w": paths["w"].to_numpy(), "x": total}))
+        return pd.concat(found) if found else pd.DataFrame({"t": pd.Series([], dtype="int64"), "w": pd.Series([], dtype="int64"), "x": pd.Series([], dtype="float64")})
+
+    return each.groupBy("block", "slice").cogroup(dealt.groupBy("block", "slice")).applyInPandas(run, "t long, w long, x double")

@@ -9,7 +9,7 @@ from riskspark.operators import dependence, risk, strategies
 from riskspark.session import ship
 from riskspark.sources.panels import table
 
-from .risk_queries import SPLIT, STARTS, WINDOWS, pnl, r8, rets, train_windows
+from .risk_queries import EARLY, SPLIT, STARTS, WINDOWS, first_four_fifths, pnl, r8, rets, train_windows
 from .sql import BASE, PNL
 
 
@@ -33,8 +33,9 @@ def tail_dep_matrix(spark, sf):
 
 def tail_dep_curve_top(spark, sf):
     """Screened at one q, curves only for the pairs that differ most between the two halves."""
-    u = dependence.pseudo_obs(rounded(spark, sf).where("t < 1200"))
-    v = dependence.pseudo_obs(rounded(spark, sf).where("t >= 1200"))
+    r = rounded(spark, sf)
+    early = first_four_fifths(r)
+    u, v = dependence.pseudo_obs(r.where(early)), dependence.pseudo_obs(r.where(~early))
     first, last = dependence.tail_dependence(u, 0.1), dependence.tail_dependence(v, 0.1).withColumnRenamed("lam", "other")
     top = first.join(last, ["i", "j"]).withColumn("gap", F.round(F.abs(F.col("lam") - F.col("other")), 10)).orderBy(F.desc("gap"), "i", "j").limit(5).select("i", "j")
     curves = None
@@ -66,10 +67,10 @@ def eigen_spectrum(spark, sf):
 def normal_ranks(spark, sf):
     """Later rows ranked in the earlier rows of their feature."""
     r = rounded(spark, sf)
-    early = F.col("t") < 1200
+    early = first_four_fifths(r)
     w = Window.partitionBy("j").orderBy("x").rangeBetween(Window.unboundedPreceding, 0)
     n = F.sum(early.cast("int")).over(Window.partitionBy("j"))
-    return r.withColumn("u", F.sum(early.cast("int")).over(w) / n).where("t >= 1200").select("t", "j", "u")
+    return r.withColumn("u", F.sum(early.cast("int")).over(w) / n).where(~early).select("t", "j", "u")
 
 
 def ad_stat(spark, sf):
@@ -81,7 +82,8 @@ def ks_uniform(spark, sf):
 
 
 def samples(spark, sf):
-    return rounded(spark, sf).select("j", "x", (F.col("t") >= 1200).cast("int").alias("s"))
+    r = rounded(spark, sf)
+    return r.select("j", "x", (~first_four_fifths(r)).cast("int").alias("s"))
 
 
 def ks_2samp(spark, sf):
@@ -114,7 +116,7 @@ def histogram(spark, sf):
 
 def kde_grid(spark, sf):
     p = pnl(spark, sf).select(F.col("r").alias("x"))
-    grid = spark.range(64).select((F.lit(-1.0) + F.col("id") * 2.0 / 63).alias("g"))
+    grid = spark.range(512).select((F.lit(-1.0) + F.col("id") * 2.0 / 511).alias("g"))
     return dependence.kde(p, grid).select(r8("g"), r6("density"))
 
 
@@ -125,8 +127,11 @@ def survival_curve(spark, sf):
 
 def qq_points(spark, sf):
     ps = [0.001 + k * (0.049 / 149) for k in range(150)]
-    two = rets(spark, sf).groupBy("j").agg(*[F.percentile(F.when(c, F.col("x")), F.array(*[F.lit(p) for p in ps])).alias(n) for n, c in (("a", F.col("t") < 1200), ("b", F.col("t") >= 1200))])
-    return two.select("j", F.posexplode(F.arrays_zip("a", "b")).alias("k", "q")).select("j", "k", r8("q.a", "first"), r8("q.b", "last"))
+    r = rets(spark, sf)
+    early = first_four_fifths(r)
+    two = r.groupBy("j").agg(*[F.percentile(F.when(c, F.col("x")), F.array(*[F.lit(p) for p in ps])).alias(n) for n, c in (("a", early), ("b", ~early))])
+    places = two.select("j", "a", "b", F.explode(F.sequence(F.lit(0), F.lit(149))).alias("k"))  # a sample without rows has nulls
+    return places.select("j", "k", r8(F.get("a", F.col("k")), "first"), r8(F.get("b", F.col("k")), "last"))
 
 
 def worst_features(spark, sf):
@@ -165,11 +170,11 @@ def static_portfolios(spark, sf):
 
 
 def cumulative_windows(spark, sf):
-    return window_prices(spark, sf).where("w % 60 = 0").select("w", "j", "k", r8("p"))
+    return window_prices(spark, sf).select("w", "j", "k", r8("p"))
 
 
 def smoothed_windows(spark, sf):
-    return strategies.moving_average(window_prices(spark, sf).where("w % 60 = 0"), 5, "ma").select("w", "j", "k", r8("ma"))
+    return strategies.moving_average(window_prices(spark, sf), 5, "ma").select("w", "j", "k", r8("ma"))
 
 
 def signal(spark, sf, trend):
@@ -210,11 +215,11 @@ def var_es_score(spark, sf):
 
 
 def minmax_scale(spark, sf):
-    return strategies.minmax(train_windows(spark, sf)).where("w % 60 = 0").select("w", "k", "j", r8("y"))
+    return strategies.minmax(train_windows(spark, sf)).select("w", "k", "j", r8("y"))
 
 
 def symmetric_scale(spark, sf):
-    return strategies.symmetric(train_windows(spark, sf)).where("w % 60 = 0").select("w", "k", "j", r8("y"))
+    return strategies.symmetric(train_windows(spark, sf)).select("w", "k", "j", r8("y"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -235,8 +240,8 @@ def lam(src: str, q: str, upper: bool = False) -> str:
     return f"(SELECT a.j AS i, b.j AS j, count_if(a.h AND b.h)::DOUBLE / count(*) / {q}::DOUBLE AS lam FROM (SELECT t, j, {c} AS h FROM {src}) a JOIN (SELECT t, j, {c} AS h FROM {src}) b ON a.t = b.t AND a.j < b.j GROUP BY 1, 2)"
 
 
-RANKS = f"{R10}, ranks AS (SELECT t, j, (SELECT count(*) FROM ret10 e WHERE e.j = q.j AND e.t < 1200 AND e.x <= q.x) / 1200::DOUBLE AS u FROM ret10 q WHERE t >= 1200)"
-SAMP = f"{R10}, sa AS (SELECT j, x, CASE WHEN t >= 1200 THEN 1 ELSE 0 END AS s FROM ret10), ga AS (SELECT j, x, abs(sum(1 - s) OVER w::DOUBLE / nullif(sum(1 - s) OVER (PARTITION BY j), 0) - sum(s) OVER w::DOUBLE / nullif(sum(s) OVER (PARTITION BY j), 0)) AS gap, lead(x) OVER (PARTITION BY j ORDER BY x) - x AS st FROM sa WINDOW w AS (PARTITION BY j ORDER BY x RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))".replace("sum(1 - s) OVER w::DOUBLE", "CAST(sum(1 - s) OVER w AS DOUBLE)").replace("sum(s) OVER w::DOUBLE", "CAST(sum(s) OVER w AS DOUBLE)")
+RANKS = f"{R10}, ranks AS (SELECT t, j, sum(CASE WHEN t < {EARLY} THEN 1 ELSE 0 END) OVER (PARTITION BY j ORDER BY x RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / CAST({EARLY} AS DOUBLE) AS u FROM ret10 QUALIFY t >= {EARLY})"
+SAMP = f"{R10}, sa AS (SELECT j, x, CASE WHEN t >= {EARLY} THEN 1 ELSE 0 END AS s FROM ret10), ga AS (SELECT j, x, abs(sum(1 - s) OVER w::DOUBLE / nullif(sum(1 - s) OVER (PARTITION BY j), 0) - sum(s) OVER w::DOUBLE / nullif(sum(s) OVER (PARTITION BY j), 0)) AS gap, lead(x) OVER (PARTITION BY j ORDER BY x) - x AS st FROM sa WINDOW w AS (PARTITION BY j ORDER BY x RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))".replace("sum(1 - s) OVER w::DOUBLE", "CAST(sum(1 - s) OVER w AS DOUBLE)").replace("sum(s) OVER w::DOUBLE", "CAST(sum(s) OVER w AS DOUBLE)")
 WIN = f"{BASE}, {SPLIT}, {STARTS}, {WINDOWS}"
 PRICES = f"{WIN}, pr AS (SELECT w, j, k, round(p, 10) AS p FROM (SELECT w, j, 0 AS k, 1.0::DOUBLE AS p FROM wins WHERE k = 0 UNION ALL SELECT w, j, k + 1, 1.0 + sum(x) OVER (PARTITION BY w, j ORDER BY k) FROM wins WHERE k < 23))"
 BH = "bh AS (SELECT w, j, arg_max(p, k) - arg_min(p, k) AS pnl FROM pr GROUP BY w, j)"
@@ -263,7 +268,7 @@ NN = "e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), nn
 SQL = {
     "pseudo_obs": f"{BASE}, {R10}, {obs('o')} SELECT t, j, round(u, 8) AS u FROM o",
     "tail_dep_matrix": f"{BASE}, {R10}, {obs('o')} SELECT i, j, round(a.lam, 8) AS lower, round(b.lam, 8) AS upper FROM {lam('o', '0.05')} a JOIN {lam('o', '0.05', True)} b USING (i, j)",
-    "tail_dep_curve_top": f"{BASE}, {R10}, {obs('o', 't < 1200')}, {obs('o2', 't >= 1200')}, top AS (SELECT i, j FROM {lam('o', '0.1')} a JOIN {lam('o2', '0.1')} b USING (i, j) ORDER BY round(abs(a.lam - b.lam), 10) DESC, i, j LIMIT 5) SELECT i, j, q, round(lam, 8) AS lam FROM (" + " UNION ALL ".join(f"SELECT *, {q}::DOUBLE AS q FROM {lam('o', q)}" for q in ("0.02", "0.05", "0.1")) + ") SEMI JOIN top USING (i, j)",
+    "tail_dep_curve_top": f"{BASE}, {R10}, {obs('o', f't < {EARLY}')}, {obs('o2', f't >= {EARLY}')}, top AS (SELECT i, j FROM {lam('o', '0.1')} a JOIN {lam('o2', '0.1')} b USING (i, j) ORDER BY round(abs(a.lam - b.lam), 10) DESC, i, j LIMIT 5) SELECT i, j, q, round(lam, 8) AS lam FROM (" + " UNION ALL ".join(f"SELECT *, {q}::DOUBLE AS q FROM {lam('o', q)}" for q in ("0.02", "0.05", "0.1")) + ") SEMI JOIN top USING (i, j)",
     "spearman_pairs": f"{BASE}, {R10}, {obs('o')} SELECT a.j AS i, b.j AS j, round(corr(a.u, b.u), 6) AS rho FROM o a JOIN o b ON a.t = b.t AND a.j < b.j GROUP BY 1, 2",
     "dependence_summary": f"{BASE}, c AS (SELECT a.j AS i, b.j AS j, corr(a.x, b.x) AS c FROM ret a JOIN ret b ON a.t = b.t AND a.j < b.j GROUP BY 1, 2) SELECT count(*) AS pairs, round(avg(c), 6) AS mean, round(quantile_cont(c, 0.95::DOUBLE), 6) AS q95, round(max(c), 6) AS largest, count_if(abs(c) > 0.02) AS n_over FROM c",
     "covariance_sums": f"{BASE} SELECT a.j AS i, b.j AS j, round(sum(a.x * b.x), 6) AS g FROM ret a JOIN ret b ON a.t = b.t AND a.j <= b.j GROUP BY 1, 2",
@@ -275,21 +280,21 @@ SQL = {
     "window_rms": f"{WIN} SELECT j, round(stddev_pop(m), 6) AS sd, round(avg(m), 6) AS mean FROM (SELECT w, j, sqrt(avg(x * x)) AS m FROM wins GROUP BY w, j) GROUP BY j",
     "kurtosis_table": f"{BASE} SELECT j, round(kurtosis_pop(x) + 3, 6) AS kurtosis, round(stddev_pop(x), 6) AS sd, round(quantile_cont(x, 0.01::DOUBLE), 8) AS q01, round(quantile_cont(x, 0.05::DOUBLE), 8) AS q05 FROM ret GROUP BY j",
     "histogram": f"{PNL} SELECT CAST(least(floor((r - lo) / (hi - lo) * 80), 79) AS INT) AS bin, count(*) AS n FROM pnl, (SELECT min(r) AS lo, max(r) AS hi FROM pnl) GROUP BY 1",
-    "kde_grid": f"{PNL}, h AS (SELECT stddev_samp(r) * count(*) ** (-0.2::DOUBLE) AS h, count(*) AS n FROM pnl) SELECT round(g, 8) AS g, round(sum(exp(-0.5 * ((g - r) / h) ** 2)) / (n * h * sqrt(2 * pi())), 6) AS density FROM pnl, h, (SELECT -1.0 + i * 2.0::DOUBLE / 63 AS g FROM range(0, 64) q(i)) GROUP BY g, n, h",
+    "kde_grid": f"{PNL}, h AS (SELECT stddev_samp(r) * count(*) ** (-0.2::DOUBLE) AS h, count(*) AS n FROM pnl) SELECT round(g, 8) AS g, round(sum(exp(-0.5 * ((g - r) / h) ** 2)) / (n * h * sqrt(2 * pi())), 6) AS density FROM pnl, h, (SELECT -1.0 + i * 2.0::DOUBLE / 511 AS g FROM range(0, 512) q(i)) GROUP BY g, n, h",
     "survival_curve": f"{PNL} SELECT round(r, 8) AS r, round(1 - row_number() OVER (ORDER BY r) / (count(*) OVER () + 1.0::DOUBLE), 8) AS s FROM pnl",
-    "qq_points": f"{BASE}, q AS (SELECT j, quantile_cont(x, [{_ps}]) FILTER (t < 1200) AS a, quantile_cont(x, [{_ps}]) FILTER (t >= 1200) AS b FROM ret GROUP BY j) SELECT j, CAST(k AS INT) AS k, round(a[k + 1], 8) AS first, round(b[k + 1], 8) AS last FROM q, range(0, 150) r(k)",
+    "qq_points": f"{BASE}, q AS (SELECT j, quantile_cont(x, [{_ps}]) FILTER (t < {EARLY}) AS a, quantile_cont(x, [{_ps}]) FILTER (t >= {EARLY}) AS b FROM ret GROUP BY j) SELECT j, CAST(k AS INT) AS k, round(a[k + 1], 8) AS first, round(b[k + 1], 8) AS last FROM q, range(0, 150) r(k)",
     "worst_features": f"{BASE} SELECT j, round(quantile_cont(-x, 0.99::DOUBLE), 8) AS loss FROM ret GROUP BY j ORDER BY loss DESC, j LIMIT 3",
     "nn_novelty": f"WITH {NN} SELECT side, count(*) AS n, round(median(d), 5) AS median, round(min(d), 5) AS least, round(quantile_cont(d, 0.05::DOUBLE), 5) AS q05 FROM nn GROUP BY side",
     "hs_generator": f"{WIN}, l AS (SELECT round(sum(x) / count(DISTINCT j), 12) AS r FROM wins WHERE k < 10 GROUP BY w), law AS (SELECT r AS x, row_number() OVER (ORDER BY r) AS i, count(*) OVER () AS m FROM l), a AS (SELECT 0.05::DOUBLE AS alpha) SELECT 'hs' AS label, alpha, round(-max(CASE WHEN i = ceil(alpha * m) THEN x END), 8) AS var, round(-sum(CASE WHEN i <= floor(alpha * m) THEN x / m WHEN i = floor(alpha * m) + 1 THEN (alpha - floor(alpha * m) / m) * x ELSE 0 END) / alpha, 8) AS es, max(m) AS m FROM law, a GROUP BY alpha",
     "buy_hold_pnl": f"{PRICES}, {BH} SELECT w, j, round(pnl, 8) AS pnl FROM bh",
     "static_portfolios": f"{PRICES}, {BH}, wt AS (SELECT p AS portfolio, j, (CASE WHEN (j * p) % 2 = 0 THEN 1 ELSE -1 END) * j / 28::DOUBLE AS weight FROM (SELECT unnest([1, 2]) AS p), (SELECT unnest(range(1, 8)) AS j)) SELECT w, portfolio, round(sum(weight * pnl), 8) AS pnl FROM bh JOIN wt USING (j) GROUP BY 1, 2",
-    "cumulative_windows": f"{PRICES} SELECT w, j, CAST(k AS INT) AS k, round(p, 8) AS p FROM pr WHERE w % 60 = 0",
-    "smoothed_windows": f"{PRICES} SELECT w, j, CAST(k AS INT) AS k, round(CASE WHEN k < 4 THEN p ELSE avg(p) OVER (PARTITION BY w, j ORDER BY k ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) END, 8) AS ma FROM pr WHERE w % 60 = 0",
+    "cumulative_windows": f"{PRICES} SELECT w, j, CAST(k AS INT) AS k, round(p, 8) AS p FROM pr",
+    "smoothed_windows": f"{PRICES} SELECT w, j, CAST(k AS INT) AS k, round(CASE WHEN k < 4 THEN p ELSE avg(p) OVER (PARTITION BY w, j ORDER BY k ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) END, 8) AS ma FROM pr",
     "signal_thresholds": f"{PRICES}, {MR}, {TF} SELECT 'mean_rev' AS strategy, round(quantile_cont(z, 0.31::DOUBLE), 6) AS lo, round(quantile_cont(z, 0.69::DOUBLE), 6) AS hi FROM mr UNION ALL SELECT 'trend', round(quantile_cont(z, 0.31::DOUBLE), 6), round(quantile_cont(z, 0.69::DOUBLE), 6) FROM tf",
     "mean_rev_pnl": f"{PRICES}, {MRP} SELECT w, j, round(pnl, 6) AS pnl FROM mrp",
     "ma_crossover_pnl": f"{PRICES}, {TFP} SELECT w, j, round(pnl, 6) AS pnl FROM tfp",
     "strategy_table": f"{PRICES}, {BH}, {MRP}, {TFP} SELECT strategy, count(*) AS n, round(avg(pnl), 5) AS mean FROM (SELECT 'buy_hold' AS strategy, pnl FROM bh UNION ALL SELECT 'mean_rev', pnl FROM mrp UNION ALL SELECT 'trend', pnl FROM tfp) GROUP BY 1",
     "var_es_score": f"{PRICES}, {BH} SELECT round(avg((CASE WHEN pnl <= -0.6 THEN 1 ELSE 0 END - 0.05::DOUBLE) * (-10 * 0.36::DOUBLE / 2 + 10 * pnl * pnl / 2) - 0.8::DOUBLE * (CASE WHEN pnl <= -0.6 THEN 1 ELSE 0 END) * (-0.6::DOUBLE - pnl) + 0.05::DOUBLE * -0.8 * (-0.8 + 0.6::DOUBLE) - 0.05::DOUBLE * 0.64 / 2), 6) AS score, count(*) AS n FROM bh",
-    "minmax_scale": f"{WIN} SELECT w, CAST(k AS INT) AS k, j, round(y, 8) AS y FROM (SELECT w, k, j, (x - min(x) OVER (PARTITION BY j)) / (max(x) OVER (PARTITION BY j) - min(x) OVER (PARTITION BY j) + 1e-7::DOUBLE) AS y FROM wins) WHERE w % 60 = 0",
-    "symmetric_scale": f"{WIN} SELECT w, CAST(k AS INT) AS k, j, round(y, 8) AS y FROM (SELECT w, k, j, x / (max(abs(x)) OVER (PARTITION BY j) + 1e-12::DOUBLE) AS y FROM wins) WHERE w % 60 = 0",
+    "minmax_scale": f"{WIN} SELECT w, CAST(k AS INT) AS k, j, round(y, 8) AS y FROM (SELECT w, k, j, (x - min(x) OVER (PARTITION BY j)) / (max(x) OVER (PARTITION BY j) - min(x) OVER (PARTITION BY j) + 1e-7::DOUBLE) AS y FROM wins)",
+    "symmetric_scale": f"{WIN} SELECT w, CAST(k AS INT) AS k, j, round(y, 8) AS y FROM (SELECT w, k, j, x / (max(abs(x)) OVER (PARTITION BY j) + 1e-12::DOUBLE) AS y FROM wins)",
 }

@@ -30,6 +30,11 @@ def n_rows(df):
     return df.agg(F.max("t") + 1).first()[0] or 0
 
 
+def first_four_fifths(df):
+    """Whether a row lies in the leading part that models learn from."""
+    return F.col("t") < int((1.0 - 0.2) * n_rows(df))
+
+
 def hashed_split(spark, sf):
     return split.block_split(n_rows(rets(spark, sf)), N, HORIZON, BLOCK, sampling="hashed", seed=7)
 
@@ -61,7 +66,7 @@ def purged_window_starts(spark, sf):
 
 def train_windows(spark, sf):
     r, s = rets(spark, sf), hashed_split(spark, sf)
-    return split.windows(r, split.window_starts(split.split_rows(spark, s), N, stride=6), N)
+    return split.windows(r, split.window_starts(split.split_rows(spark, s), N), N)
 
 
 def sliding_windows(spark, sf):
@@ -178,12 +183,14 @@ QUERIES = {f.__name__: f for f in (
     var_cvar_empirical, window_var_cvar, marginal_var_cvar, weighted_portfolio, backtest_table, pf_table, pf_region, tuff_region, pf_power, pf_max_n, binomial_tails, design_table,
 )}
 
+#: The number of leading rows.
+EARLY = "(SELECT CAST(floor((1.0::DOUBLE - 0.2::DOUBLE) * (max(t) + 1)) AS BIGINT) FROM ret)"
 SPLIT = f"""size AS (SELECT max(t) + 1 AS n, (max(t) + 1) // {BLOCK} AS cand, CAST(round_even(0.2::DOUBLE * ((max(t) + 1) // {BLOCK}), 0) AS BIGINT) AS k FROM ret),
 strata AS (SELECT i, CAST(floor(i * (cand::DOUBLE / k)) AS BIGINT) AS a, CASE WHEN i + 1 = k THEN cand ELSE CAST(floor((i + 1) * (cand::DOUBLE / k)) AS BIGINT) END AS b FROM size, (SELECT unnest(range(0, k)) AS i FROM size)),
 blocks AS (SELECT row_number() OVER (ORDER BY s) - 1 AS b, s FROM (SELECT DISTINCT (a + CAST(floor(CAST(('0x' || substr(md5('7:' || i), 1, 13))::UBIGINT AS DOUBLE) / 4503599627370496 * (b - a)) AS BIGINT)) * {BLOCK} AS s FROM strata WHERE b > a)),
 rows_ AS (SELECT t, t IN (SELECT s + i FROM blocks, (SELECT unnest(range(0, {BLOCK})) AS i)) AS is_test FROM (SELECT unnest(range(0, n)) AS t FROM size))"""
 STARTS = f"starts AS (SELECT t FROM (SELECT t, sum(CASE WHEN is_test THEN 0 ELSE 1 END) OVER (ORDER BY t ROWS BETWEEN CURRENT ROW AND {N - 1} FOLLOWING) AS free FROM rows_) WHERE free = {N})"
-WINDOWS = f"wins AS (SELECT s.t AS w, ret.t - s.t AS k, j, x FROM starts s JOIN ret ON ret.t BETWEEN s.t AND s.t + {N - 1} WHERE s.t % 6 = 0)"
+WINDOWS = f"wins AS (SELECT s.t AS w, ret.t - s.t AS k, j, x FROM starts s JOIN ret ON ret.t BETWEEN s.t AND s.t + {N - 1})"
 CUT = "cut AS (SELECT CAST(floor((1.0::DOUBLE - 0.2::DOUBLE) * (max(t) + 1)) AS BIGINT) AS c FROM pnl), train AS (SELECT * FROM pnl WHERE t < (SELECT c FROM cut)), test AS (SELECT * FROM pnl WHERE t >= (SELECT c FROM cut))"
 LEVELS = "alphas AS (SELECT unnest([1.0::DOUBLE - 0.95::DOUBLE, 1.0::DOUBLE - 0.975::DOUBLE, 1.0::DOUBLE - 0.99::DOUBLE]) AS alpha)"
 LAW = "law AS (SELECT row_number() OVER (ORDER BY r) AS i, r AS x, count(*) OVER () AS m FROM train)"

@@ -12,10 +12,14 @@ from riskspark.functions.tests import uniform
 from riskspark.operators import tails
 from riskspark.session import ship
 
-from .risk_queries import pnl, r8, rets
+from .risk_queries import EARLY, first_four_fifths, n_rows, pnl, r8, rets
 from .sql import BASE, PNL
 
 
+#: Bootstrap samples.
+REPLICATES = 200
+
+
 def r5(c, name=None):
     return F.round(c, 5).alias(name or c)
 
@@ -56,8 +60,9 @@ def rank_recalibrate(spark, sf):
     """Later rows of each feature replaced by the earlier rows' quantile at their own rank."""
     r = rets(spark, sf).withColumn("x", F.round("x", 10))
     w = Window.partitionBy("j").orderBy("x", "t")
-    late = r.where("t >= 1000 AND t < 1400").withColumn("p", F.row_number().over(w) / (F.count("*").over(Window.partitionBy("j")) + 1.0))
-    early = r.where("t < 1000")
+    lead = first_four_fifths(r)
+    late = r.where(~lead).withColumn("p", F.row_number().over(w) / (F.count("*").over(Window.partitionBy("j")) + 1.0))
+    early = r.where(lead)
     place = Window.partitionBy("j").orderBy("x")
     knots = early.select("j", "x", (F.row_number().over(place) - 1.0).alias("i"), F.count("*").over(Window.partitionBy("j")).alias("n")).select("j", (F.col("i") / (F.col("n") - 1)).alias("p"), "x")
     return tails.interpolate(late.select("t", "j", "p"), knots, ["j"], "p", "x", "p", "x").select("t", "j", r8("x"))
@@ -94,9 +99,10 @@ def pit_student(spark, sf):
 
 def risk_interval(spark, sf):
     """VaR and CVaR of hashed bootstrap replicates of the loss, and their 2.5 and 97.5 percentiles."""
-    loss = pnl(spark, sf).where("t < 500").select("t", (-F.col("r")).alias("loss"))
-    draws = loss.select("t", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("b"))
-    at = F.floor(uniform(F.concat_ws(":", F.lit("boot"), F.col("b").cast("string"), F.col("t").cast("string"))) * 500).cast("long")
+    loss = pnl(spark, sf).select("t", (-F.col("r")).alias("loss"))
+    rows = n_rows(loss)
+    draws = loss.select("t", F.explode(F.sequence(F.lit(0), F.lit(REPLICATES - 1))).alias("b"))
+    at = F.floor(uniform(F.concat_ws(":", F.lit("boot"), F.col("b").cast("string"), F.col("t").cast("string"))) * rows).cast("long")
     each = draws.select("b", at.alias("t")).join(loss, "t")
     var = each.groupBy("b").agg(F.percentile("loss", F.lit(0.95)).alias("var"))
     cvar = each.join(var, "b").where("loss >= var").groupBy("b", "var").agg(F.avg("loss").alias("cvar"))
@@ -135,7 +141,7 @@ SQL = {
     "marginal_body_knots": f"{BASE}, {R10} SELECT j, x, round(p, 8) AS p FROM knots",
     "marginal_cdf": f"{BASE}, {FITS}, {R10}, kn AS (SELECT j, x, max(p) AS p FROM (SELECT * FROM knots UNION ALL SELECT j, u_lo, 0.05::DOUBLE FROM th10 UNION ALL SELECT j, u_hi, 1 - 0.05::DOUBLE FROM th10) GROUP BY j, x), seg AS (SELECT j, x AS x0, p AS p0, lead(x) OVER w AS x1, lead(p) OVER w AS p1 FROM kn WINDOW w AS (PARTITION BY j ORDER BY x)), body AS (SELECT r.t, r.j, r.x, CASE WHEN x1 IS NULL OR r.x = x0 THEN p0 ELSE p0 + (r.x - x0) * (p1 - p0) / (x1 - x0) END AS b FROM ret10 r ASOF LEFT JOIN seg ON r.j = seg.j AND r.x >= seg.x0), both_ AS (SELECT body.*, u_lo, u_hi, lo.xi AS xl, lo.beta AS bl, hi.xi AS xh, hi.beta AS bh FROM body JOIN th10 USING (j) JOIN fits lo ON lo.j = body.j AND lo.side = 'lower' JOIN fits hi ON hi.j = body.j AND hi.side = 'upper') SELECT t, j, round(CASE WHEN x < u_lo THEN 0.05 * greatest(1 + xl * (u_lo - x) / bl, 0) ** (-1 / xl) WHEN x > u_hi THEN 1 - 0.05 * greatest(1 + xh * (x - u_hi) / bh, 0) ** (-1 / xh) ELSE b END, 5) AS u FROM both_",
     "marginal_ppf": f"{BASE}, {FITS}, lv AS (SELECT unnest([0.04::DOUBLE, 0.01::DOUBLE, 0.002::DOUBLE]) AS level), e AS (SELECT *, {INV.format(p='level / 0.05::DOUBLE')} AS y FROM fits JOIN th USING (j), lv) SELECT j, side, level, round(CASE WHEN side = 'lower' THEN u_lo - y ELSE u_hi + y END, 5) AS x FROM e",
-    "rank_recalibrate": f"{BASE}, {R10}, late AS (SELECT t, j, row_number() OVER (PARTITION BY j ORDER BY x, t) / (count(*) OVER (PARTITION BY j) + 1.0::DOUBLE) AS p FROM ret10 WHERE t >= 1000 AND t < 1400), kn AS (SELECT j, (row_number() OVER (PARTITION BY j ORDER BY x) - 1.0::DOUBLE) / (count(*) OVER (PARTITION BY j) - 1) AS p, x FROM ret10 WHERE t < 1000), seg AS (SELECT j, p AS p0, x AS x0, lead(p) OVER w AS p1, lead(x) OVER w AS x1 FROM kn WINDOW w AS (PARTITION BY j ORDER BY p)) SELECT t, late.j, round(CASE WHEN p1 IS NULL OR late.p = p0 THEN x0 ELSE x0 + (late.p - p0) * (x1 - x0) / (p1 - p0) END, 8) AS x FROM late ASOF LEFT JOIN seg ON late.j = seg.j AND late.p >= seg.p0",
+    "rank_recalibrate": f"{BASE}, {R10}, late AS (SELECT t, j, row_number() OVER (PARTITION BY j ORDER BY x, t) / (count(*) OVER (PARTITION BY j) + 1.0::DOUBLE) AS p FROM ret10 WHERE t >= {EARLY}), kn AS (SELECT j, (row_number() OVER (PARTITION BY j ORDER BY x) - 1.0::DOUBLE) / (count(*) OVER (PARTITION BY j) - 1) AS p, x FROM ret10 WHERE t < {EARLY}), seg AS (SELECT j, p AS p0, x AS x0, lead(p) OVER w AS p1, lead(x) OVER w AS x1 FROM kn WINDOW w AS (PARTITION BY j ORDER BY p)) SELECT t, late.j, round(CASE WHEN p1 IS NULL OR late.p = p0 THEN x0 ELSE x0 + (late.p - p0) * (x1 - x0) / (p1 - p0) END, 8) AS x FROM late ASOF LEFT JOIN seg ON late.j = seg.j AND late.p >= seg.p0",
     "gpd_var_es_zs": f"{PNL}, losses AS (SELECT -r AS loss FROM pnl), uu AS (SELECT quantile_cont(loss, 0.9::DOUBLE) AS u, count(*) AS nn FROM losses), exc AS (SELECT 1 AS g, loss - u AS y FROM losses, uu WHERE loss > u), {zs_sql('g')}, e AS (SELECT level, n, u, nn, least(xi, 0.95::DOUBLE) AS xi, beta FROM fits, uu, (SELECT unnest([0.95::DOUBLE, 0.99::DOUBLE, 0.995::DOUBLE]) AS level)), v AS (SELECT *, u + {INV.format(p='(1.0 - level) * nn / n')} AS var FROM e) SELECT level, n, round(u, 5) AS u, round(xi, 5) AS xi, round(beta, 5) AS beta, round(var, 5) AS var, round((var + beta - xi * u) / (1 - xi), 5) AS es FROM v",
-    "risk_interval": f"{PNL}, losses AS (SELECT t, -r AS loss FROM pnl WHERE t < 500), draws AS (SELECT b, CAST(floor(CAST(('0x' || substr(md5('boot:' || b || ':' || t), 1, 13))::UBIGINT AS DOUBLE) / 4503599627370496 * 500) AS BIGINT) AS t FROM losses, (SELECT unnest(range(0, 50)) AS b)), e AS (SELECT b, loss FROM draws JOIN losses USING (t)), v AS (SELECT b, quantile_cont(loss, 0.95::DOUBLE) AS var FROM e GROUP BY b), c AS (SELECT b, var, avg(loss) AS cvar FROM e JOIN v USING (b) WHERE loss >= var GROUP BY b, var) SELECT round(quantile_cont(var, 0.025::DOUBLE), 8) AS var_lo, round(quantile_cont(var, 0.975::DOUBLE), 8) AS var_hi, round(quantile_cont(cvar, 0.025::DOUBLE), 8) AS cvar_lo, round(quantile_cont(cvar, 0.975::DOUBLE), 8) AS cvar_hi FROM c",
+    "risk_interval": f"{PNL}, losses AS (SELECT t, -r AS loss FROM pnl), draws AS (SELECT b, CAST(floor(CAST(('0x' || substr(md5('boot:' || b || ':' || t), 1, 13))::UBIGINT AS DOUBLE) / 4503599627370496 * (SELECT max(t) + 1 FROM pnl)) AS BIGINT) AS t FROM losses, (SELECT unnest(range(0, 200)) AS b)), e AS (SELECT b, loss FROM draws JOIN losses USING (t)), v AS (SELECT b, quantile_cont(loss, 0.95::DOUBLE) AS var FROM e GROUP BY b), c AS (SELECT b, var, avg(loss) AS cvar FROM e JOIN v USING (b) WHERE loss >= var GROUP BY b, var) SELECT round(quantile_cont(var, 0.025::DOUBLE), 8) AS var_lo, round(quantile_cont(var, 0.975::DOUBLE), 8) AS var_hi, round(quantile_cont(cvar, 0.025::DOUBLE), 8) AS cvar_lo, round(quantile_cont(cvar, 0.975::DOUBLE), 8) AS cvar_hi FROM c",
 }

@@ -9,14 +9,12 @@ from riskspark.functions.tests import traffic_light
 from riskspark.operators import risk, shortfall, vol
 from riskspark.session import ship
 
-from .risk_queries import ALPHAS, CUT, LAW, LEVELS, VARES, n_rows, pnl, r8, rets, train_pnl
+from .risk_queries import ALPHAS, CUT, LAW, LEVELS, VARES, first_four_fifths, pnl, r8, rets, train_pnl
 from .sql import BASE, PNL
 
 LAM = 0.94
-
-
-def first_four_fifths(df):
-    return F.col("t") < int((1.0 - 0.2) * n_rows(df))
+#: Samples that the p-values of Z1 and Z2 rest on.
+SIMULATIONS = 10_000
 
 
 def filtered(spark, sf):
@@ -103,9 +101,9 @@ def corr_by_regime(spark, sf):
 
 
 def rolling_mean_corr(spark, sf):
-    """Mean correlation of all pairs over 63 rows, every 50 rows."""
+    """Mean correlation of all pairs over 63 rows, every 5 rows."""
     days = rets(spark, sf).select("t").distinct()
-    ends = days.where("t >= 62 AND (t - 62) % 50 = 0").select(F.col("t").alias("g"), F.explode(F.sequence(F.col("t") - 62, F.col("t"))).alias("t"))
+    ends = days.where("t >= 62 AND (t - 62) % 5 = 0").select(F.col("t").alias("g"), F.explode(F.sequence(F.col("t") - 62, F.col("t"))).alias("t"))
     return pair_moments(spark, sf, ends).groupBy("g").agg(F.round(F.avg("c"), 6).alias("c")).withColumnRenamed("g", "t")
 
 
@@ -139,7 +137,7 @@ def z_mc_pvalues(spark, sf):
     train, test = train_pnl(spark, sf)
     law = risk.law(train)
     var = risk.law_var_es(law, [ALPHAS[1]])
-    sims = shortfall.simulated(law, test.count(), 200, train.count(), seed=3)
+    sims = shortfall.simulated(law, test.count(), SIMULATIONS, train.count(), seed=3)
     found = shortfall.z1_z2(sims.join(F.broadcast(var)), ["sim"])  # one row
     return shortfall.p_values(shortfall.z1_z2(risk.exceptions(test, var)), found).select(r8("z1"), r8("z2"), r8("p1"), r8("p2"))
 
@@ -152,8 +150,8 @@ def es_ratio(spark, sf):
 def fhs_scenarios(spark, sf):
     f = vol.standardised(filtered(spark, sf))
     early = first_four_fifths(f)
-    innovations = f.where(early & (F.col("t") % 8 == 0)).select(F.col("t").alias("s"), "j", "e")
-    return vol.fhs_laws(innovations, f.where(~early & (F.col("t") % 4 == 0)).select("t", "j", "sigma"))
+    innovations = f.where(early).select(F.col("t").alias("s"), "j", "e")
+    return vol.fhs_laws(innovations, f.where(~early).select("t", "j", "sigma"))
 
 
 def conditional(spark, sf):
@@ -175,10 +173,10 @@ def fhs_law_h10(spark, sf):
     """Ten-step scenarios, the recursion run along each path; a recursion for each scenario and date has no SQL."""
     f = vol.standardised(filtered(spark, sf))
     early = first_four_fifths(f)
-    days = f.where(early & (F.col("t") % 40 == 0) & (F.col("j") == 1)).select("t")
+    days = f.where(early & (F.col("j") == 1)).select("t")
     places = days.select(F.col("t").alias("w"), F.posexplode(F.sequence("t", F.col("t") + 9)).alias("k", "t"))
     start = f.where(early).groupBy("j").agg(F.var_pop("x").alias("v"))
-    scen = vol.fhs_path_laws(places.join(f, "t").select("w", "k", "j", "e"), f.where(~early & (F.col("t") % 20 == 0)).select("t", "j", "sigma"), start, 10, LAM)
+    scen = vol.fhs_path_laws(places.join(f, "t").select("w", "k", "j", "e"), f.where(~early).select("t", "j", "sigma"), start, 10, LAM)
     return risk.law_var_es(risk.law(scen, ["t"], "x"), ALPHAS, ["t"])
 
 
@@ -206,7 +204,7 @@ reg AS (SELECT t, r, vol, CAST(CASE WHEN vol >= c2 THEN 2 WHEN vol >= c1 THEN 1
 SCORED = f"{CUT}, {LEVELS}, {LAW}, {VARES}, scored AS (SELECT t, r, alpha, var, es, r + var < 0 AS exc FROM test, vares)"
 Z = "z AS (SELECT {by} alpha, count(*) AS n, count_if(r + var < 0) AS n_exc, CASE WHEN count_if(r + var < 0) > 0 THEN sum(CASE WHEN r + var < 0 THEN r / es ELSE 0 END) / count_if(r + var < 0) + 1 END AS z1, sum(CASE WHEN r + var < 0 THEN r / es ELSE 0 END) / (count(*) * alpha) + 1 AS z2 FROM {src} GROUP BY {by} alpha)"
 U = "up AS (SELECT t, sum(CASE WHEN t < (SELECT floor((1.0::DOUBLE - 0.2::DOUBLE) * (max(t) + 1)) FROM ret) THEN 1 ELSE 0 END) OVER (ORDER BY s RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / CAST(floor((1.0::DOUBLE - 0.2::DOUBLE) * (SELECT max(t) + 1 FROM ret)) AS DOUBLE) AS u FROM (SELECT t, round(sigma, 10) AS s FROM filt WHERE j = 1))"
-FHS = f"""scen AS (SELECT a.t, b.t AS s, round(sum(b.x / b.sigma * a.sigma) / count(*), 12) AS x FROM filt a JOIN filt b USING (j) WHERE a.t >= {C5} AND a.t % 4 = 0 AND b.t < {C5} AND b.t % 8 = 0 GROUP BY 1, 2),
+FHS = f"""scen AS (SELECT a.t, b.t AS s, round(sum(b.x / b.sigma * a.sigma) / count(*), 12) AS x FROM filt a JOIN filt b USING (j) WHERE a.t >= {C5} AND b.t < {C5} GROUP BY 1, 2),
 law AS (SELECT t, row_number() OVER (PARTITION BY t ORDER BY x) AS i, x, count(*) OVER (PARTITION BY t) AS m FROM scen), {LEVELS},
 vares AS (SELECT t, alpha, -max(CASE WHEN i = ceil(alpha * m) THEN x END) AS var, -sum(CASE WHEN i <= floor(alpha * m) THEN x / m WHEN i = floor(alpha * m) + 1 THEN (alpha - floor(alpha * m) / m) * x ELSE 0 END) / alpha AS es, max(m) AS m FROM law, alphas GROUP BY t, alpha)"""
 PAIRS = "pc AS (SELECT g, a.j AS i, b.j AS j, corr(a.x, b.x) AS c FROM ret a JOIN ret b ON a.t = b.t AND a.j < b.j JOIN grp ON grp.t = a.t GROUP BY 1, 2, 3)"
@@ -233,13 +231,13 @@ SQL = {
     "regime_band": f"{PNL}, {EWMA}, {U} SELECT count(*) AS n, round(avg(r), 8) AS mean, round(stddev_pop(r), 8) AS sd FROM up JOIN pnl USING (t) WHERE u BETWEEN 0.4::DOUBLE AND 0.6::DOUBLE",
     "rolling_pair_corr": f"{BASE}, two AS (SELECT a.t, a.x AS a, b.x AS b FROM ret a JOIN ret b ON a.t = b.t AND a.j = 1 AND b.j = 2) SELECT t, round(c, 6) AS c FROM (SELECT t, count(*) OVER w AS n, corr(a, b) OVER w AS c FROM two WINDOW w AS (ORDER BY t ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)) WHERE n = 63",
     "corr_by_regime": f"{PNL}, {REG}, grp AS (SELECT t, regime AS g FROM reg WHERE regime IS NOT NULL), {PAIRS} SELECT g AS regime, round(avg(c), 6) AS mean_corr, count(*) AS pairs FROM pc GROUP BY g",
-    "rolling_mean_corr": f"{BASE}, grp AS (SELECT g, unnest(range(g - 62, g + 1)) AS t FROM (SELECT DISTINCT t AS g FROM ret WHERE t >= 62 AND (t - 62) % 50 = 0)), {PAIRS} SELECT g AS t, round(avg(c), 6) AS c FROM pc GROUP BY g",
+    "rolling_mean_corr": f"{BASE}, grp AS (SELECT g, unnest(range(g - 62, g + 1)) AS t FROM (SELECT DISTINCT t AS g FROM ret WHERE t >= 62 AND (t - 62) % 5 = 0)), {PAIRS} SELECT g AS t, round(avg(c), 6) AS c FROM pc GROUP BY g",
     "days_per_year": f"{BASE} SELECT CAST(year(d) AS INT) AS y, count(DISTINCT t) AS n FROM ret GROUP BY 1",
     "acf_squares": f"{BASE} SELECT j, round(corr(a, b), 6) AS c FROM (SELECT j, x * x AS a, lag(x * x) OVER (PARTITION BY j ORDER BY t) AS b FROM ret) WHERE b IS NOT NULL GROUP BY j",
     "z1_z2": f"{PNL}, {SCORED}, {Z.format(by='', src='scored')} SELECT round(alpha, 8) AS alpha, n, n_exc, round(z1, 8) AS z1, round(z2, 8) AS z2 FROM z",
     "z2_traffic_light": f"{PNL}, {SCORED}, {Z.format(by='', src='scored')} SELECT round(alpha, 8) AS alpha, round(z2, 8) AS z2, CASE WHEN z2 < -1.80 THEN 'red' WHEN z2 < -0.70 THEN 'yellow' ELSE 'green' END AS zone FROM z",
     "z3": f"{PNL}, {CUT}, {LAW}, {Z3} SELECT n, m, round(-es / den + 1, 6) AS z3 FROM nm, es, den",
-    "z_mc_pvalues": f"{PNL}, {CUT}, alphas AS (SELECT 1.0::DOUBLE - 0.975::DOUBLE AS alpha), {LAW}, {VARES}, draws AS (SELECT sim, k, CAST(('0x' || substr(md5('3:' || sim || ':' || k), 1, 13))::UBIGINT AS DOUBLE) / 4503599627370496 AS u FROM (SELECT unnest(range(0, 200)) AS sim), (SELECT unnest(range(0, (SELECT count(*) FROM test))) AS k)), sims AS (SELECT sim, x AS r, alpha, var, es FROM draws JOIN law ON law.i = greatest(1, least(m, ceil(greatest(least(u, 1 - 1e-12::DOUBLE), 1e-12::DOUBLE) * m))), vares), {Z.format(by='sim,', src='sims')}, obs AS (SELECT sum(CASE WHEN r + var < 0 THEN r / es ELSE 0 END) / count_if(r + var < 0) + 1 AS z1, sum(CASE WHEN r + var < 0 THEN r / es ELSE 0 END) / (count(*) * any_value(alpha)) + 1 AS z2 FROM test, vares) SELECT round(obs.z1, 8) AS z1, round(obs.z2, 8) AS z2, round(avg(CASE WHEN z.z1 IS NOT NULL THEN CASE WHEN z.z1 < obs.z1 THEN 1 ELSE 0 END END), 8) AS p1, round(avg(CASE WHEN z.z2 < obs.z2 THEN 1 ELSE 0 END), 8) AS p2 FROM z, obs GROUP BY obs.z1, obs.z2",
+    "z_mc_pvalues": f"{PNL}, {CUT}, alphas AS (SELECT 1.0::DOUBLE - 0.975::DOUBLE AS alpha), {LAW}, {VARES}, draws AS (SELECT sim, k, CAST(('0x' || substr(md5('3:' || sim || ':' || k), 1, 13))::UBIGINT AS DOUBLE) / 4503599627370496 AS u FROM (SELECT unnest(range(0, 10000)) AS sim), (SELECT unnest(range(0, (SELECT count(*) FROM test))) AS k)), sims AS (SELECT sim, x AS r, alpha, var, es FROM draws JOIN law ON law.i = greatest(1, least(m, ceil(greatest(least(u, 1 - 1e-12::DOUBLE), 1e-12::DOUBLE) * m))), vares), {Z.format(by='sim,', src='sims')}, obs AS (SELECT sum(CASE WHEN r + var < 0 THEN r / es ELSE 0 END) / nullif(count_if(r + var < 0), 0) + 1 AS z1, sum(CASE WHEN r + var < 0 THEN r / es ELSE 0 END) / (count(*) * any_value(alpha)) + 1 AS z2 FROM test, vares) SELECT round(obs.z1, 8) AS z1, round(obs.z2, 8) AS z2, round(avg(CASE WHEN z.z1 IS NOT NULL AND obs.z1 IS NOT NULL THEN CASE WHEN z.z1 < obs.z1 THEN 1 ELSE 0 END END), 8) AS p1, round(avg(CASE WHEN z.z2 < obs.z2 THEN 1 ELSE 0 END), 8) AS p2 FROM z, obs GROUP BY obs.z1, obs.z2",
     "es_ratio": f"{PNL}, {SCORED} SELECT round(alpha, 8) AS alpha, round(sum(-r) / sum(es), 8) AS ratio, count(*) AS n FROM scored WHERE exc GROUP BY 1",
     "fhs_law_h1": f"{BASE}, {EWMA}, {FHS} SELECT t, round(alpha, 8) AS alpha, round(var, 6) AS var, round(es, 6) AS es, m FROM vares",
     "cond_z_tests": f"{PNL}, {EWMA}, {FHS}, sc AS (SELECT t, r, alpha, var, es FROM vares JOIN pnl USING (t)), {Z.format(by='', src='sc')} SELECT round(alpha, 8) AS alpha, n, n_exc, round(z1, 5) AS z1, round(z2, 5) AS z2 FROM z",
