@@ -170,7 +170,7 @@ def static_portfolios(spark, sf):
 
 
 def cumulative_windows(spark, sf):
-    return window_prices(spark, sf).select("w", "j", "k", r8("p"))
+    return window_prices(spark, sf).select("w", "j", "k", "p")
 
 
 def smoothed_windows(spark, sf):
@@ -288,7 +288,7 @@ SQL = {
     "hs_generator": f"{WIN}, l AS (SELECT round(sum(x) / count(DISTINCT j), 12) AS r FROM wins WHERE k < 10 GROUP BY w), law AS (SELECT r AS x, row_number() OVER (ORDER BY r) AS i, count(*) OVER () AS m FROM l), a AS (SELECT 0.05::DOUBLE AS alpha) SELECT 'hs' AS label, alpha, round(-max(CASE WHEN i = ceil(alpha * m) THEN x END), 8) AS var, round(-sum(CASE WHEN i <= floor(alpha * m) THEN x / m WHEN i = floor(alpha * m) + 1 THEN (alpha - floor(alpha * m) / m) * x ELSE 0 END) / alpha, 8) AS es, max(m) AS m FROM law, a GROUP BY alpha",
     "buy_hold_pnl": f"{PRICES}, {BH} SELECT w, j, round(pnl, 8) AS pnl FROM bh",
     "static_portfolios": f"{PRICES}, {BH}, wt AS (SELECT p AS portfolio, j, (CASE WHEN (j * p) % 2 = 0 THEN 1 ELSE -1 END) * j / 28::DOUBLE AS weight FROM (SELECT unnest([1, 2]) AS p), (SELECT unnest(range(1, 8)) AS j)) SELECT w, portfolio, round(sum(weight * pnl), 8) AS pnl FROM bh JOIN wt USING (j) GROUP BY 1, 2",
-    "cumulative_windows": f"{PRICES} SELECT w, j, CAST(k AS INT) AS k, round(p, 8) AS p FROM pr",
+    "cumulative_windows": f"{PRICES} SELECT w, j, CAST(k AS INT) AS k, p FROM pr",
     "smoothed_windows": f"{PRICES} SELECT w, j, CAST(k AS INT) AS k, round(CASE WHEN k < 4 THEN p ELSE avg(p) OVER (PARTITION BY w, j ORDER BY k ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) END, 8) AS ma FROM pr",
     "signal_thresholds": f"{PRICES}, {MR}, {TF} SELECT 'mean_rev' AS strategy, round(quantile_cont(z, 0.31::DOUBLE), 6) AS lo, round(quantile_cont(z, 0.69::DOUBLE), 6) AS hi FROM mr UNION ALL SELECT 'trend', round(quantile_cont(z, 0.31::DOUBLE), 6), round(quantile_cont(z, 0.69::DOUBLE), 6) FROM tf",
     "mean_rev_pnl": f"{PRICES}, {MRP} SELECT w, j, round(pnl, 6) AS pnl FROM mrp",

@@ -237,7 +237,7 @@ SQL = {
     "z1_z2": f"{PNL}, {SCORED}, {Z.format(by='', src='scored')} SELECT round(alpha, 8) AS alpha, n, n_exc, round(z1, 8) AS z1, round(z2, 8) AS z2 FROM z",
     "z2_traffic_light": f"{PNL}, {SCORED}, {Z.format(by='', src='scored')} SELECT round(alpha, 8) AS alpha, round(z2, 8) AS z2, CASE WHEN z2 < -1.80 THEN 'red' WHEN z2 < -0.70 THEN 'yellow' ELSE 'green' END AS zone FROM z",
     "z3": f"{PNL}, {CUT}, {LAW}, {Z3} SELECT n, m, round(-es / den + 1, 6) AS z3 FROM nm, es, den",
-    "z_mc_pvalues": f"{PNL}, {CUT}, alphas AS (SELECT 1.0::DOUBLE - 0.975::DOUBLE AS alpha), {LAW}, {VARES}, draws AS (SELECT sim, k, CAST(('0x' || substr(md5('3:' || sim || ':' || k), 1, 13))::UBIGINT AS DOUBLE) / 4503599627370496 AS u FROM (SELECT unnest(range(0, 10000)) AS sim), (SELECT unnest(range(0, (SELECT count(*) FROM test))) AS k)), sims AS (SELECT sim, x AS r, alpha, var, es FROM draws JOIN law ON law.i = greatest(1, least(m, ceil(greatest(least(u, 1 - 1e-12::DOUBLE), 1e-12::DOUBLE) * m))), vares), {Z.format(by='sim,', src='sims')}, obs AS (SELECT sum(CASE WHEN r + var < 0 THEN r / es ELSE 0 END) / nullif(count_if(r + var < 0), 0) + 1 AS z1, sum(CASE WHEN r + var < 0 THEN r / es ELSE 0 END) / (count(*) * any_value(alpha)) + 1 AS z2 FROM test, vares) SELECT round(obs.z1, 8) AS z1, round(obs.z2, 8) AS z2, round(avg(CASE WHEN z.z1 IS NOT NULL AND obs.z1 IS NOT NULL THEN CASE WHEN z.z1 < obs.z1 THEN 1 ELSE 0 END END), 8) AS p1, round(avg(CASE WHEN z.z2 < obs.z2 THEN 1 ELSE 0 END), 8) AS p2 FROM z, obs GROUP BY obs.z1, obs.z2",
+    "z_mc_pvalues": f"{PNL}, {CUT}, alphas AS (SELECT 1.0::DOUBLE - 0.975::DOUBLE AS alpha), {LAW}, {VARES}, draws AS (SELECT sim, k, CAST(('0x' || substr(md5('3:' || sim || ':' || k), 1, 13))::UBIGINT AS DOUBLE) / 4503599627370496 AS u, CAST(greatest(1, least(cells, ceil(greatest(least(u, 1 - 1e-12::DOUBLE), 1e-12::DOUBLE) * cells))) AS BIGINT) AS place FROM (SELECT count(*) AS cells FROM train), (SELECT unnest(range(0, 10000)) AS sim), (SELECT unnest(range(0, (SELECT count(*) FROM test))) AS k)), sims AS (SELECT sim, law.x AS r, alpha, var, es FROM draws JOIN law ON law.i = place, vares), {Z.format(by='sim,', src='sims')}, obs AS (SELECT sum(CASE WHEN r + var < 0 THEN r / es ELSE 0 END) / nullif(count_if(r + var < 0), 0) + 1 AS z1, sum(CASE WHEN r + var < 0 THEN r / es ELSE 0 END) / (count(*) * any_value(alpha)) + 1 AS z2 FROM test, vares) SELECT round(obs.z1, 8) AS z1, round(obs.z2, 8) AS z2, round(avg(CASE WHEN z.z1 IS NOT NULL AND obs.z1 IS NOT NULL THEN CASE WHEN z.z1 < obs.z1 THEN 1 ELSE 0 END END), 8) AS p1, round(avg(CASE WHEN z.z2 < obs.z2 THEN 1 ELSE 0 END), 8) AS p2 FROM z, obs GROUP BY obs.z1, obs.z2",
     "es_ratio": f"{PNL}, {SCORED} SELECT round(alpha, 8) AS alpha, round(sum(-r) / sum(es), 8) AS ratio, count(*) AS n FROM scored WHERE exc GROUP BY 1",
     "fhs_law_h1": f"{BASE}, {EWMA}, {FHS} SELECT t, round(alpha, 8) AS alpha, round(var, 6) AS var, round(es, 6) AS es, m FROM vares",
     "cond_z_tests": f"{PNL}, {EWMA}, {FHS}, sc AS (SELECT t, r, alpha, var, es FROM vares JOIN pnl USING (t)), {Z.format(by='', src='sc')} SELECT round(alpha, 8) AS alpha, n, n_exc, round(z1, 5) AS z1, round(z2, 5) AS z2 FROM z",
