@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+from riskspark.functions import special
 
 #: Fixed value: the 95 % quantile of chi-squared with one degree of freedom; and the 90 % one.
 CHI2_95, CHI2_90 = 3.841458820694124, 2.705543454095404
@@ -34,3 +38,15 @@ def traffic_light(z: Column) -> Column:
 def uniform(key: Column) -> Column:
     """A uniform number in [0, 1) that depends on the key alone."""
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+@F.pandas_udf(DoubleType())
+def chi2_p(lr: pd.Series) -> pd.Series:
+    """How often a likelihood ratio is that large by chance."""
+    return pd.Series(special.chi2_sf(lr.to_numpy()))
+
+
+@F.pandas_udf(DoubleType())
+def ks_p(d: pd.Series, n: pd.Series) -> pd.Series:
+    """The limiting p-value of a distance from the uniform law."""
+    return pd.Series(special.ks_sf(d.to_numpy(), n.to_numpy(float)))

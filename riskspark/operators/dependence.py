@@ -115,3 +115,17 @@ def spectrum(pairs: DataFrame, value: str) -> DataFrame:
         m[at[r["i"]], at[r["j"]]] = m[at[r["j"]], at[r["i"]]] = r[value]
     ev = np.linalg.eigvalsh(m)[::-1] if names else np.zeros(0)
     return pairs.sparkSession.createDataFrame([(k, float(e), float(ev[: k + 1].sum() / ev.sum())) for k, e in enumerate(ev)], "k int, eigenvalue double, share double")
+
+
+def dependent_group(pairs: DataFrame, size: int, value: str = "lam") -> DataFrame:
+    """place, j: features chosen greedily. Each step is one small query over the pairs, of which the driver sees the winner alone."""
+    both = pairs.select("i", "j", value).unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), value)).persist()
+    top = both.where("i < j").orderBy(F.desc(value), "i", "j").first()
+    chosen = [top["i"], top["j"]][:size] if top else []
+    while chosen and len(chosen) < size:
+        best = both.where(F.col("i").isin(chosen) & ~F.col("j").isin(chosen)).groupBy("j").agg(F.avg(value).alias("m")).orderBy(F.desc(F.round("m", 10)), "j").first()
+        if best is None:
+            break
+        chosen.append(best["j"])
+    both.unpersist()
+    return pairs.sparkSession.createDataFrame(list(enumerate(chosen)), f"place int, j {pairs.schema['j'].dataType.simpleString()}")

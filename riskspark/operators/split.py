@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import json
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,33 +12,56 @@ from pyspark.sql import functions as F
 from riskspark.functions.tests import uniform
 
 
-@dataclass
+@dataclass(frozen=True)
 class Split:
-    """Test blocks start at test_starts and are `block` rows long; train windows have n rows."""
+    """The rows that are held out: `block` of them from each of `test_starts` on, out of `rows`. `origin` tells how they were drawn and from which data."""
 
     rows: int
-    n: int
     block: int
-    horizon: int
-    test_starts: list[int]
-    sampling: str = "stratified"
-    test_frac: float = 0.2
-    seed: int = 0
-    data_sha1: str = ""
-    train_ranges: list[list[int]] = field(default_factory=list)
+    test_starts: tuple[int, ...]
+    origin: dict = field(default_factory=dict)
+
+    def ranges(self) -> list[tuple[int, int]]:
+        """First row of each held-out range and the row after its last; ranges that touch are one."""
+        out: list[tuple[int, int]] = []
+        for s in sorted(self.test_starts):
+            end = min(s + self.block, self.rows)
+            if out and s <= out[-1][1]:
+                out[-1] = (out[-1][0], max(end, out[-1][1]))
+            else:
+                out.append((s, end))
+        return out
 
     @property
     def id(self) -> str:
-        """Ten hex digits that two splits share only if they cut the same rows of the same data."""
-        own = {k: v for k, v in asdict(self).items() if k not in ("test_frac", "seed") and (k != "train_ranges" or v)}
-        return hashlib.sha1(json.dumps(own, sort_keys=True).encode()).hexdigest()[:10]
+        """Equal for two splits if and only if they hold out the same rows of the same data, however those were drawn."""
+        held = " ".join(f"{a}..{b}" for a, b in self.ranges())
+        return hashlib.sha256(f"{self.rows} rows of {self.origin.get('data', '')}: {held}".encode()).hexdigest()[:16]
 
-    def guard(self, rows: int, data_sha1: str = "") -> None:
-        """Raises if the split was cut from other data."""
+    def guard(self, rows: int, data: str = "", split_id: str = "") -> None:
+        """Raises if the data, or a model's split, are others than this split's."""
         if rows != self.rows:
             raise ValueError(f"the split is of {self.rows} rows, the data have {rows}")
-        if data_sha1 and self.data_sha1 and data_sha1 != self.data_sha1:
+        if data and self.origin.get("data") and data != self.origin["data"]:
             raise ValueError("the split is of other data")
+        if split_id and split_id != self.id:
+            raise ValueError(f"the model was trained on split {split_id}, this is {self.id}")
+
+    def stored(self) -> dict:
+        return {"rows": self.rows, "block": self.block, "test_starts": list(self.test_starts), "origin": self.origin, "id": self.id}
+
+    @staticmethod
+    def restored(stored: dict) -> Split:
+        """From stored(); an id that doesn't fit means that the file was altered."""
+        split = Split(stored["rows"], stored["block"], tuple(stored["test_starts"]), stored["origin"])
+        if split.id != stored["id"]:
+            raise ValueError("the stored split doesn't fit its id")
+        return split
+
+
+def train_all(rows: int, horizon: int) -> Split:
+    """Nothing held out: what is tested lies in the sample."""
+    return Split(rows, horizon, (), {"sampling": "none"})
 
 
 def candidate_blocks(rows: int, block: int, horizon: int, test_frac: float) -> tuple[int, int]:
@@ -63,7 +85,7 @@ def block_split(rows: int, n: int, horizon: int, block: int | None = None, test_
     """Random test blocks, drawn on the driver with numpy's generator; "hashed" draws by MD5, which SQL can repeat."""
     if sampling == "chronological":
         cut = int((1.0 - test_frac) * rows)
-        return Split(rows, n, rows - cut, horizon, [cut], sampling, test_frac, 0)
+        return Split(rows, rows - cut, (cut,), {"sampling": sampling, "test_frac": test_frac, "window": n})
     block = 2 * horizon if block is None else block
     blocks, k = candidate_blocks(rows, block, horizon, test_frac)
     if sampling == "uniform":
@@ -75,7 +97,7 @@ def block_split(rows: int, n: int, horizon: int, block: int | None = None, test_
         picks = [a + int(int(hashlib.md5(f"{seed}:{i}".encode()).hexdigest()[:13], 16) / 2**52 * (b - a)) for i, (a, b) in enumerate(strata(blocks, k))]
     else:
         raise ValueError(f"sampling is {sampling}")
-    return Split(rows, n, block, horizon, sorted({int(i) * block for i in picks}), sampling, test_frac, seed)
+    return Split(rows, block, tuple(sorted({int(i) * block for i in picks})), {"sampling": sampling, "test_frac": test_frac, "seed": seed, "window": n})
 
 
 def blocks_table(spark: SparkSession, split: Split) -> DataFrame:
