@@ -61,8 +61,9 @@ class DigestIndex:
         return (F.min if self.keep == "smallest" else F.max)(column)
 
     def write(self, rows: DataFrame, path: str) -> None:
-        """Sorted by digest in each file, which holds the rows of one task, with a Bloom filter beside."""
-        rows.sortWithinPartitions("run", "digest").write.option("parquet.bloom.filter.enabled#digest", "true").parquet(path)
+        """Sorted by digest in each file, which holds the rows of one task, with a Bloom filter beside, of a size that follows its digests (1 KB to 1 MB)."""
+        bloom = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.candidates.number": "10"}
+        rows.sortWithinPartitions("run", "digest").write.options(**bloom).parquet(path)
 
     def flush(self, docs: DataFrame) -> None:
         """Adds the rows of docs as MEMTABLES runs; the texts are read once."""
