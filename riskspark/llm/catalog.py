@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chunk_store import op1_token_store
 from .exact_dedup import OP10_SQL, op10_exact_dedup
+from .filter_audit import OP12_SQL, op12_filter_audit
 from .language_id import op5_language_id
 from .packing import op9_packing
 from .pii import op8_pii
@@ -12,6 +13,7 @@ from .sharding import op4_sharding
 from .simhash import op3_simhash_near_dedup
 from .url_filter import OP7_SQL, op7_url_filters
 from .weighted_sampling import op6_document_fingerprints
+from .whitening import op13_embedding_whitening
 
 QUERIES = {
     "op1_token_store": op1_token_store,
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
-SQL = {"op7_url_filters": OP7_SQL, "op10_exact_dedup": OP10_SQL}
+SQL = {"op7_url_filters": OP7_SQL, "op10_exact_dedup": OP10_SQL, "op12_filter_audit": OP12_SQL}
