@@ -6,6 +6,7 @@ from .chunk_store import op1_token_store
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .filter_audit import OP12_SQL, op12_filter_audit
 from .language_id import op5_language_id
+from .licenses import op11_license_scans
 from .packing import op9_packing
 from .pii import op8_pii
 from .sentence_pieces import op2_sentencepiece
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_license_scans": op11_license_scans,
     "op12_filter_audit": op12_filter_audit,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
