@@ -33,9 +33,9 @@ def instruments(panel: DataFrame) -> list:
 
 def dense(panel: DataFrame) -> DataFrame:
     """A row for each date and instrument, with null where there is no price."""
-    kind = panel.schema["valor"].dataType
-    names = F.array(*[F.lit(v).cast(kind) for v in instruments(panel)])
-    return panel.select("d").distinct().withColumn("valor", F.explode(names)).join(panel, ["d", "valor"], "left")
+    names = panel.agg(F.collect_set("valor").alias("_names"))  # one row, the dictionary of instruments
+    days = panel.select("d").distinct().join(F.broadcast(names)).select("d", F.explode("_names").alias("valor"))
+    return days.join(panel, ["d", "valor"], "left")
 
 
 def nonpositive_share(panel: DataFrame) -> DataFrame:

@@ -5,8 +5,7 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass, field
 
-import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskspark.functions.tests import uniform
@@ -64,40 +63,40 @@ def train_all(rows: int, horizon: int) -> Split:
     return Split(rows, horizon, (), {"sampling": "none"})
 
 
-def candidate_blocks(rows: int, block: int, horizon: int, test_frac: float) -> tuple[int, int]:
-    """How many blocks there are, and how many of them to test; halves are rounded to even."""
-    if not 0 < test_frac < 1 or horizon < 1 or block < horizon:
-        raise ValueError("test_frac lies between 0 and 1, and a block holds a horizon")
-    blocks = rows // block
-    k = round(test_frac * blocks)
-    if k < 1:
-        raise ValueError("no test block; shorten the blocks")
-    return blocks, k
-
-
-def strata(blocks: int, k: int) -> list[tuple[int, int]]:
-    """Bounds of k strata of near equal width."""
-    edges = [int(e) for e in np.linspace(0, blocks, k + 1)]
-    return [(a, b) for a, b in zip(edges, edges[1:]) if b > a]
-
-
-def block_split(rows: int, n: int, horizon: int, block: int | None = None, test_frac: float = 0.2, seed: int = 0, sampling: str = "stratified") -> Split:
-    """Random test blocks, drawn on the driver with numpy's generator; "hashed" draws by MD5, which SQL can repeat."""
-    if sampling == "chronological":
-        cut = int((1.0 - test_frac) * rows)
-        return Split(rows, rows - cut, (cut,), {"sampling": sampling, "test_frac": test_frac, "window": n})
-    block = 2 * horizon if block is None else block
-    blocks, k = candidate_blocks(rows, block, horizon, test_frac)
-    if sampling == "uniform":
-        picks = np.random.default_rng(seed).choice(blocks, size=k, replace=False).tolist()
-    elif sampling == "stratified":
-        draw = np.random.default_rng(seed)
-        picks = [int(draw.integers(a, b)) for a, b in strata(blocks, k)]
-    elif sampling == "hashed":
-        picks = [a + int(int(hashlib.md5(f"{seed}:{i}".encode()).hexdigest()[:13], 16) / 2**52 * (b - a)) for i, (a, b) in enumerate(strata(blocks, k))]
+def drawn_blocks(spark: SparkSession, rows: int, block: int, test_frac: float, seeds: Column, spread: bool = True) -> DataFrame:
+    """split, b, s: number and first row of each block that a split holds out, for all seeds (an array column) at once.
+
+    Whole blocks are cards that each seed shuffles by a hash of seed and card. If they are to spread over time, the cards in order of time are dealt into as many
+    heaps of near equal size as blocks are wanted, and each heap's top card counts; if not, the first cards of the whole deck. The number wanted is the fraction of the
+    blocks, a half rounded to even.
+    """
+    cards = rows // block if block > 0 else 0
+    wanted = round(test_frac * cards)
+    if not 0 < wanted <= cards:
+        raise ValueError(f"{test_frac} of {rows} rows in blocks of {block} is no block to hold out")
+    deck = spark.range(cards).select(F.explode(seeds).alias("split"), F.col("id").alias("card"))
+    deck = deck.withColumn("u", uniform(F.concat_ws(":", F.col("split").cast("string"), F.col("card").cast("string"))))
+    if spread:
+        top = deck.groupBy("split", F.expr(f"card * {wanted} div {cards}").alias("heap")).agg(F.min_by("card", F.struct("u", "card")).alias("card"))
     else:
-        raise ValueError(f"sampling is {sampling}")
-    return Split(rows, block, tuple(sorted({int(i) * block for i in picks})), {"sampling": sampling, "test_frac": test_frac, "seed": seed, "window": n})
+        top = deck.withColumn("place", F.row_number().over(Window.partitionBy("split").orderBy("u", "card"))).where(F.col("place") <= wanted)
+    number = F.row_number().over(Window.partitionBy("split").orderBy("card")) - 1
+    return top.select("split", number.cast("long").alias("b"), (F.col("card") * block).alias("s"))
+
+
+def drawn_split(spark: SparkSession, rows: int, horizon: int, seed: int, block: int | None = None, test_frac: float = 0.2, spread: bool = True) -> Split:
+    """One split to be stored: blocks of two horizons unless told otherwise. The driver sees a number for each held-out block."""
+    size = 2 * horizon if block is None else block
+    if size < horizon:
+        raise ValueError(f"a block of {size} rows holds no horizon of {horizon}")
+    starts = drawn_blocks(spark, rows, size, test_frac, F.array(F.lit(seed)), spread).select("s").collect()
+    return Split(rows, size, tuple(sorted(r["s"] for r in starts)), {"sampling": "spread" if spread else "uniform", "test_frac": test_frac, "seed": seed})
+
+
+def last_part(rows: int, test_frac: float = 0.2) -> Split:
+    """The end of the series is held out."""
+    cut = int((1.0 - test_frac) * rows)
+    return Split(rows, rows - cut, (cut,), {"sampling": "chronological", "test_frac": test_frac})
 
 
 def blocks_table(spark: SparkSession, split: Split) -> DataFrame:
@@ -144,8 +143,3 @@ def test_blocks(spark: SparkSession, split: Split, horizon: int) -> DataFrame:
     return blocks_table(spark, split).select("b", "s", F.explode(F.sequence(F.lit(0), F.lit(per * horizon - 1))).alias("i")).select(
         (F.col("b") * per + F.expr(f"i div {horizon}")).alias("w"), (F.col("s") + F.col("i")).alias("t")
     )
-
-
-def hashed_rank(df: DataFrame, key: str, seed: int):
-    """A column that puts rows in an order that depends on key and seed alone."""
-    return uniform(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))

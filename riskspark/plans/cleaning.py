@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskspark.functions import parse
 from riskspark.operators import clean
-from riskspark.sources.panels import lineitem_panel, nation_panel, quotes, table
+from riskspark.sources.panels import lineitem_panel, lineitem_returns, nation_panel, quotes, table
 
 from .sql import BASE, DENSE, FILLED, P1, P2
 
@@ -81,17 +81,17 @@ def date_completeness(spark, sf):
 
 
 def log_returns(spark, sf):
-    return clean.returns(lineitem_panel(spark, sf)).select("t", "d", "j", r8("x"))
+    return lineitem_returns(spark, sf).select("t", "d", "j", r8("x"))
 
 
 def zero_fraction(spark, sf):
-    rets = clean.returns(lineitem_panel(spark, sf))
+    rets = lineitem_returns(spark, sf)
     flat = rets.withColumn("x", F.when(F.abs("x") < 0.05, 0.0).otherwise(F.col("x")))
     return clean.zero_share(flat).select("j", r8("share"), (F.col("share") > 0.05).alias("dropped"))
 
 
 def evt_feasibility(spark, sf):
-    return clean.tail_counts(clean.returns(lineitem_panel(spark, sf))).withColumn("kept", F.least("n_lo", "n_hi") >= 30)
+    return clean.tail_counts(lineitem_returns(spark, sf)).withColumn("kept", F.least("n_lo", "n_hi") >= 30)
 
 
 def panel_pivot(spark, sf):
@@ -115,7 +115,7 @@ def date_format_infer(spark, sf):
 
 def panel_checks(spark, sf):
     """Rules of the validator over the return panel: rule, severity, value, passed."""
-    rets = clean.returns(lineitem_panel(spark, sf))
+    rets = lineitem_returns(spark, sf)
     one = rets.agg(F.countDistinct("t").alias("rows"), F.countDistinct("j").alias("features"), F.count_if(F.isnan("x") | F.col("x").isNull()).alias("bad"), F.avg(F.abs("x")).alias("size"), F.max(F.abs("x")).alias("largest"))
     rule = lambda name, severity, value, passed: F.struct(F.lit(name).alias("rule"), F.lit(severity).alias("severity"), value.cast("double").alias("value"), passed.alias("passed"))
     rules = F.array(

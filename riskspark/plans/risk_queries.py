@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskspark.functions.tests import CHI2_90, CHI2_95, pf_lr, tuff_lr
-from riskspark.operators import clean, coverage, risk, split
-from riskspark.sources.panels import lineitem_panel
+from riskspark.operators import coverage, risk, split
+from riskspark.sources.panels import lineitem_returns
 
 from .sql import BASE, PNL
 
@@ -19,7 +19,7 @@ def r8(c, name=None):
 
 
 def rets(spark, sf):
-    return clean.returns(lineitem_panel(spark, sf))
+    return lineitem_returns(spark, sf)
 
 
 def pnl(spark, sf):
@@ -36,7 +36,7 @@ def first_four_fifths(df):
 
 
 def hashed_split(spark, sf):
-    return split.block_split(n_rows(rets(spark, sf)), N, HORIZON, BLOCK, sampling="hashed", seed=7)
+    return split.drawn_split(spark, n_rows(rets(spark, sf)), HORIZON, 7, BLOCK)
 
 
 def split_rows_block(spark, sf):
@@ -44,7 +44,7 @@ def split_rows_block(spark, sf):
 
 
 def split_rows_chrono(spark, sf):
-    s = split.block_split(n_rows(rets(spark, sf)), N, HORIZON, sampling="chronological")
+    s = split.last_part(n_rows(rets(spark, sf)))
     return split.split_rows(spark, s).groupBy("is_test").agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
 
 
@@ -185,9 +185,9 @@ QUERIES = {f.__name__: f for f in (
 
 #: The number of leading rows.
 EARLY = "(SELECT CAST(floor((1.0::DOUBLE - 0.2::DOUBLE) * (max(t) + 1)) AS BIGINT) FROM ret)"
-SPLIT = f"""size AS (SELECT max(t) + 1 AS n, (max(t) + 1) // {BLOCK} AS cand, CAST(round_even(0.2::DOUBLE * ((max(t) + 1) // {BLOCK}), 0) AS BIGINT) AS k FROM ret),
-strata AS (SELECT i, CAST(floor(i * (cand::DOUBLE / k)) AS BIGINT) AS a, CASE WHEN i + 1 = k THEN cand ELSE CAST(floor((i + 1) * (cand::DOUBLE / k)) AS BIGINT) END AS b FROM size, (SELECT unnest(range(0, k)) AS i FROM size)),
-blocks AS (SELECT row_number() OVER (ORDER BY s) - 1 AS b, s FROM (SELECT DISTINCT (a + CAST(floor(CAST(('0x' || substr(md5('7:' || i), 1, 13))::UBIGINT AS DOUBLE) / 4503599627370496 * (b - a)) AS BIGINT)) * {BLOCK} AS s FROM strata WHERE b > a)),
+SPLIT = f"""size AS (SELECT max(t) + 1 AS n, (max(t) + 1) // {BLOCK} AS cards, CAST(round_even(0.2::DOUBLE * ((max(t) + 1) // {BLOCK}), 0) AS BIGINT) AS wanted FROM ret),
+deck AS (SELECT card, card * wanted // cards AS heap, CAST(('0x' || substr(md5('7:' || card), 1, 13))::UBIGINT AS DOUBLE) / 4503599627370496 AS u FROM (SELECT *, unnest(range(0, cards)) AS card FROM size)),
+blocks AS (SELECT row_number() OVER (ORDER BY s) - 1 AS b, s FROM (SELECT arg_min(card, u) * {BLOCK} AS s FROM deck GROUP BY heap)),
 rows_ AS (SELECT t, t IN (SELECT s + i FROM blocks, (SELECT unnest(range(0, {BLOCK})) AS i)) AS is_test FROM (SELECT unnest(range(0, n)) AS t FROM size))"""
 STARTS = f"starts AS (SELECT t FROM (SELECT t, sum(CASE WHEN is_test THEN 0 ELSE 1 END) OVER (ORDER BY t ROWS BETWEEN CURRENT ROW AND {N - 1} FOLLOWING) AS free FROM rows_) WHERE free = {N})"
 WINDOWS = f"wins AS (SELECT s.t AS w, ret.t - s.t AS k, j, x FROM starts s JOIN ret ON ret.t BETWEEN s.t AND s.t + {N - 1})"

@@ -53,10 +53,10 @@ def test_a_fingerprint_depends_on_rows_alone(spark):
     assert text.fingerprint(a) == text.fingerprint(a.repartition(7)) != text.fingerprint(a.where("id > 0"))
 
 
-def test_split_ids_and_guards():
-    a = split.block_split(400, 24, 10, 20, sampling="hashed", seed=7)
+def test_split_ids_and_guards(spark):
+    a = split.drawn_split(spark, 400, 10, 7)
     assert split.Split.restored(a.stored()) == a
-    assert a.id != split.block_split(400, 24, 10, 20, sampling="hashed", seed=8).id
+    assert a.id != split.drawn_split(spark, 400, 10, 8).id
     assert split.Split(400, 10, (0, 10)).id == split.Split(400, 20, (0,)).id
     for wrong in ({"rows": 401}, {"rows": 400, "split_id": "other"}):
         with pytest.raises(ValueError):
@@ -65,6 +65,25 @@ def test_split_ids_and_guards():
         split.Split.restored(a.stored() | {"rows": 500})
 
 
+@pytest.mark.parametrize("spread", [True, False])
+def test_drawn_blocks_hold_out_what_they_should(spark, spread):
+    got = split.drawn_blocks(spark, 409, 20, 0.2, F.sequence(F.lit(0), F.lit(9)), spread).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["split"], []).append((r["b"], r["s"]))
+    assert sorted(by) == list(range(10)) and len({tuple(v) for v in by.values()}) > 5
+    for blocks in by.values():
+        assert sorted(b for b, _ in blocks) == [0, 1, 2, 3] and all(s % 20 == 0 and 0 <= s < 400 for _, s in blocks)
+        assert [s for _, s in sorted(blocks)] == sorted({s for _, s in blocks})
+        if spread:
+            assert sorted(s // 100 for _, s in blocks) == [0, 1, 2, 3]
+    for rows, block, part in ((10, 20, 0.2), (400, 20, 0.01), (400, 0, 0.2)):
+        with pytest.raises(ValueError, match="no block"):
+            split.drawn_blocks(spark, rows, block, part, F.array(F.lit(0)))
+    with pytest.raises(ValueError, match="horizon"):
+        split.drawn_split(spark, 400, 10, 7, block=5)
+
+
 def test_dependent_group_equals_a_plain_search(spark):
     m = np.random.default_rng(3).random((7, 7))
     m = (m + m.T) / 2
