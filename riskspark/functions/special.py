@@ -19,12 +19,15 @@ def betainc(a: float, b: float, x: np.ndarray) -> np.ndarray:
         c, d = np.ones_like(z), 1 / np.where(np.abs(1 - (p + q) * z / (p + 1)) < tiny, tiny, 1 - (p + q) * z / (p + 1))
         h = d.copy()
         for m in range(1, 200):
+            before = h
             for num in (m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))):
                 d = 1 + num * d
                 d = 1 / np.where(np.abs(d) < tiny, tiny, d)
                 c = 1 + num / c
                 c = np.where(np.abs(c) < tiny, tiny, c)
                 h = h * d * c
+            if np.allclose(h, before, rtol=1e-15, atol=0):
+                break
         return front * h
 
     z = np.where(flip, 1 - x, x)

@@ -51,3 +51,10 @@ def kept(spark: SparkSession, tag: str, sources: list[str], build: Callable[[],
         build().write.parquet(path)
         _kept[key] = path
     return spark.read.parquet(path)
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df as a table of its own in the shared folder: its lineage ends there."""
+    path = new_folder(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
