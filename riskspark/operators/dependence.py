@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def pseudo_obs(rets: DataFrame) -> DataFrame:
-    """t, j, u: rank over n + 1 within each feature; equal values in order of t."""
-    w = Window.partitionBy("j").orderBy("x", "t")
-    return rets.select("t", "j", (F.row_number().over(w) / (F.count("*").over(Window.partitionBy("j")) + 1.0)).alias("u"))
+def pseudo_obs(rets: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """by..., t, j, u: rank over n + 1 within each feature of each group; equal values in order of t."""
+    own = [*(by or []), "j"]
+    w = Window.partitionBy(*own).orderBy("x", "t")
+    return rets.select(*(by or []), "t", "j", (F.row_number().over(w) / (F.count("*").over(Window.partitionBy(*own)) + 1.0)).alias("u"))
 
 
 def pairs_on_rows(left: DataFrame, value: str) -> DataFrame:
@@ -20,15 +21,22 @@ def pairs_on_rows(left: DataFrame, value: str) -> DataFrame:
     return a.join(left.select("t", "j", F.col(value).alias("b")), "t").where("i < j")
 
 
-def tail_dependence(u: DataFrame, q: float, upper: bool = False) -> DataFrame:
-    """i, j, lam: how often both are beyond q, over q. Only rows beyond q are paired; pairs without any are put back at zero."""
-    n = u.agg(F.countDistinct("t")).first()[0]
+def pairs_of(names: DataFrame, by: list[str]) -> DataFrame:
+    """by..., i, j: all pairs i < j of the features j of each group."""
+    listed = names.groupBy(*by).agg(F.sort_array(F.collect_set("j")).alias("_f"))  # the features of a group
+    return listed.select(*by, "_f", F.explode("_f").alias("i")).select(*by, "i", F.explode(F.filter("_f", lambda j: j > F.col("i"))).alias("j"))
+
+
+def tail_dependence(u: DataFrame, q: float, upper: bool = False, by: list[str] | None = None) -> DataFrame:
+    """by..., i, j, lam: how often both are beyond q, over q. Only rows beyond q are paired; pairs without any are put back at zero."""
+    by = by or []
+    n = u.groupBy(*by).agg(F.countDistinct("t").alias("_n"))
     beyond = u.where(F.col("u") > 1 - q) if upper else u.where(F.col("u") < q)
-    hits = pairs_on_rows(beyond, "u").groupBy("i", "j").agg(F.count("*").alias("hits"))
-    names = sorted(r[0] for r in u.select("j").distinct().collect())  # the features
-    kind = u.schema["j"].dataType
-    every = u.sparkSession.createDataFrame([(a, b) for k, a in enumerate(names) for b in names[k + 1 :]], f"i {kind.simpleString()}, j {kind.simpleString()}")
-    return every.join(hits, ["i", "j"], "left").select("i", "j", (F.coalesce("hits", F.lit(0)) / n / q).alias("lam"))
+    left = beyond.select(*by, "t", F.col("j").alias("i"))
+    hits = left.join(beyond.select(*by, "t", "j"), [*by, "t"]).where("i < j").groupBy(*by, "i", "j").agg(F.count("*").alias("hits"))
+    every = pairs_of(u.select(*by, "j").distinct(), by).join(hits, [*by, "i", "j"], "left")
+    whole = every.join(F.broadcast(n), by) if by else every.crossJoin(F.broadcast(n))  # one row a group
+    return whole.select(*by, "i", "j", (F.coalesce("hits", F.lit(0)) / F.col("_n") / q).alias("lam"))
 
 
 def anderson_darling(u: DataFrame, by: str = "j") -> DataFrame:
@@ -105,16 +113,75 @@ def gram(rets: DataFrame) -> DataFrame:
     return a.join(rets.select("t", "j", F.col("x").alias("b")), "t").where("i <= j").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("g"))
 
 
-def spectrum(pairs: DataFrame, value: str) -> DataFrame:
-    """k, eigenvalue, share: of a correlation matrix of features given as pairs i < j, largest first."""
-    rows = pairs.select("i", "j", value).collect()  # features by features
-    names = sorted({r["i"] for r in rows} | {r["j"] for r in rows})
-    m = np.eye(len(names))
-    at = {n: k for k, n in enumerate(names)}
-    for r in rows:
-        m[at[r["i"]], at[r["j"]]] = m[at[r["j"]], at[r["i"]]] = r[value]
-    ev = np.linalg.eigvalsh(m)[::-1] if names else np.zeros(0)
-    return pairs.sparkSession.createDataFrame([(k, float(e), float(ev[: k + 1].sum() / ev.sum())) for k, e in enumerate(ev)], "k int, eigenvalue double, share double")
+#: Thresholds over which eigenvalues count, as parts of the largest, and shares of variance.
+RANK_CUTS, SHARES = (1e-1, 1e-2, 1e-3, 1e-4, 1e-6), (0.9, 0.99, 0.999)
+
+
+def moments(rets: DataFrame, rows: int = 4096) -> DataFrame:
+    """block, n, names, mean, m: of each block of rows t, the sums of products of the features less their means, so that nothing but these passes between tasks.
+
+    A row with a feature missing is left out. Features are all of a block's, so blocks without some are an error when they are added up.
+    """
+    kind = rets.schema["j"].dataType.simpleString()
+    vectors = rets.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("j", "x"))).alias("r"))
+    most = vectors.agg(F.max(F.size("r"))).first()[0] or 0
+    vectors = vectors.where(F.size("r") == most).select(F.floor(F.col("t") / rows).alias("block"), F.transform("r", lambda c: c["j"]).alias("names"), F.transform("r", lambda c: c["x"]).alias("x"))
+
+    def add(df: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(df["x"].to_numpy()).astype(float)
+        c = x - x.mean(axis=0)
+        return pd.DataFrame({"block": [df["block"].iloc[0]], "n": [len(x)], "names": [df["names"].iloc[0]], "mean": [x.mean(axis=0)], "m": [(c.T @ c).ravel()]})
+
+    return vectors.groupBy("block").applyInPandas(add, f"block long, n long, names array<{kind}>, mean array<double>, m array<double>")
+
+
+def together(states: DataFrame, fan: int = 16) -> DataFrame:
+    """moments() merged `fan` blocks at a time until one row is left."""
+    top = states.agg(F.max("block")).first()[0]
+    schema = states.schema
+
+    def merge(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+        n, mean, m = 0, 0.0, 0.0
+        for r in df.sort_values("block").to_dict("records"):
+            other, k = np.asarray(r["mean"], float), int(r["n"])
+            apart = other - mean
+            m = m + np.asarray(r["m"], float) + (np.outer(apart, apart).ravel() * (n * k / (n + k)) if n else 0.0)
+            mean, n = mean + apart * (k / (n + k)), n + k
+        return pd.DataFrame({"block": [key[0]], "n": [n], "names": [df["names"].iloc[0]], "mean": [mean], "m": [m]})
+
+    while top:
+        states = states.groupBy(F.floor(F.col("block") / fan).alias("up")).applyInPandas(merge, schema)
+        top //= fan
+    return states
+
+
+def spectrum(rets: DataFrame) -> DataFrame:
+    """kind, k, eigenvalue, share of the covariance and the correlation matrix of the features of rets, largest first. The matrix is decomposed where it is merged."""
+
+    def decompose(frames):
+        for df in frames:
+            for r in df.to_dict("records"):
+                size = len(r["names"])
+                cov = np.asarray(r["m"], float).reshape(size, size) / r["n"]
+                sd = np.sqrt(np.diag(cov))
+                live = sd > 0
+                cor = cov[np.ix_(live, live)] / np.outer(sd[live], sd[live])
+                for kind, matrix in (("covariance", cov), ("correlation", cor)):
+                    ev = np.maximum(np.linalg.eigvalsh(matrix)[::-1], 0.0)
+                    yield pd.DataFrame({"kind": kind, "k": np.arange(len(ev)), "eigenvalue": ev, "share": np.cumsum(ev) / ev.sum()})
+
+    return together(moments(rets)).mapInPandas(decompose, "kind string, k int, eigenvalue double, share double")
+
+
+def effective_rank(eigenvalues: DataFrame) -> DataFrame:
+    """kind, measure, cut, k: how many eigenvalues are above each part of the largest, how many make up each share of the sum, and the participation ratio (sum squared over sum of squares)."""
+    top = F.max("eigenvalue").over(Window.partitionBy("kind"))
+    each = eigenvalues.withColumn("_top", top).withColumn("_before", F.col("share") - F.col("eigenvalue") / F.sum("eigenvalue").over(Window.partitionBy("kind")))
+    record = lambda measure, cut, k: F.struct(F.lit(measure).alias("measure"), F.lit(cut).alias("cut"), k.cast("double").alias("k"))
+    rows = [record("above", c, F.count_if(F.col("eigenvalue") > c * F.col("_top"))) for c in RANK_CUTS]
+    rows += [record("share", c, F.count_if(F.col("_before") < c - 1e-12)) for c in SHARES]
+    rows.append(record("participation", 1.0, F.pow(F.sum("eigenvalue"), F.lit(2.0)) / F.sum(F.col("eigenvalue") * F.col("eigenvalue"))))
+    return each.groupBy("kind").agg(F.array(*rows).alias("r")).select("kind", F.inline("r"))
 
 
 def dependent_group(pairs: DataFrame, size: int, value: str = "lam") -> DataFrame:

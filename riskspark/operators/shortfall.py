@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark.functions.tests import uniform
 
+from .conditional import order_weights
 from .risk import ordinal
 
 
@@ -22,33 +24,17 @@ def z1_z2(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def rank_weights(n: int, m: int, cells: int) -> list[float]:
-    """Weights, by place in a law of so many cells, of the expected mean of the m least of n draws: of W(s), the integral of
-    (n / m) I(1 - p; n - m, m), each cell takes its part. For whole numbers the incomplete beta function is a binomial sum."""
-
-    def tail(p: float, trials: int, below: int) -> float:
-        """Chance of fewer than `below` successes."""
-        if p <= 0:
-            return 1.0
-        if p >= 1:
-            return 0.0 if below <= trials else 1.0
-        return math.fsum(math.exp(math.lgamma(trials + 1) - math.lgamma(k + 1) - math.lgamma(trials - k + 1) + k * math.log(p) + (trials - k) * math.log1p(-p)) for k in range(below))
-
-    def integral(p: float) -> float:
-        """Of (n / m) times the chance of fewer than m successes in n - 1 trials, from 0 to p: sums of binomial tails of n trials."""
-        return math.fsum(1.0 - tail(p, n, k + 1) for k in range(m)) / m
-
-    edges = [integral(k / cells) for k in range(cells + 1)]
-    return [b - a for a, b in zip(edges, edges[1:])]
-
-
 def z3(law: DataFrame, sample: DataFrame, alpha: float, n: int, cells: int) -> DataFrame:
     """n, m, z3 of a sample (t, r) of n rows under one law (i, x, m) of so many cells: the mean of the m least ranks' quantiles over its expectation."""
     m = math.floor(n * alpha)
     if m < 1:
         return law.sparkSession.createDataFrame([(n, m, None)], "n long, m long, z3 double")
-    weights = law.sparkSession.createDataFrame(list(enumerate(rank_weights(n, m, cells), 1)), "i int, w double")
-    denominator = law.join(weights, "i").agg((-F.sum(F.col("w") * F.col("x"))).alias("den"))
+
+    @F.pandas_udf("double")
+    def weight(i: pd.Series) -> pd.Series:
+        return pd.Series(order_weights(n, m, cells)[i.to_numpy() - 1])
+
+    denominator = law.withColumn("_w", weight("i")).agg((-F.sum(F.col("_w") * F.col("x"))).alias("den"))
     least = sample.orderBy("r", "t").limit(m)
     both = law.select("x", F.lit(1).alias("_c"), F.lit(None).cast("long").alias("t")).unionByName(least.select(F.col("r").alias("x"), F.lit(0).alias("_c"), "t"))
     ranks = both.withColumn("_u", F.sum("_c").over(Window.orderBy("x").rangeBetween(Window.unboundedPreceding, 0)) / cells).where("_c = 0")

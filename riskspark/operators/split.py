@@ -143,3 +143,17 @@ def test_blocks(spark: SparkSession, split: Split, horizon: int) -> DataFrame:
     return blocks_table(spark, split).select("b", "s", F.explode(F.sequence(F.lit(0), F.lit(per * horizon - 1))).alias("i")).select(
         (F.col("b") * per + F.expr(f"i div {horizon}")).alias("w"), (F.col("s") + F.col("i")).alias("t")
     )
+
+
+def permuted(df: DataFrame, key: str, seed: int, by: list[str] | None = None, buckets: int = 1024) -> DataFrame:
+    """df with `place`, from 0: its rows, within each group, in the order of a hash of seed and key; equal hashes by key.
+
+    Rows fall into buckets of the hash, buckets are numbered through from their counts, and rows are ordered within their bucket alone: no task sees a whole group.
+    """
+    by = by or []
+    u = uniform(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    dealt = df.withColumn("_u", u).withColumn("_bucket", F.floor(F.col("_u") * buckets))
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
+    starts = dealt.groupBy(*by, "_bucket").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    within = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy("_u", key)) - 1
+    return dealt.join(starts, [*by, "_bucket"]).withColumn("place", F.col("_start") + within).drop("_u", "_bucket", "_start")

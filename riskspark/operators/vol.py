@@ -34,33 +34,6 @@ def ewma(rets: DataFrame, train: Column, lam: float = 0.94, floor: float = 0.05)
     return rets.select("t", "j", "x").join(F.broadcast(start), "j").groupBy("j").applyInPandas(path, f"t long, j {kind}, x double, sigma double")  # start: one row an instrument
 
 
-def gjr(rets: DataFrame, train: Column, floor: float = 0.05) -> DataFrame:
-    """t, j, x, sigma, a, g, b of a GJR recursion with variance targeting; quasi-likelihood of the train rows over a grid picks a, g, b."""
-    grid = np.array([(a, g, b) for a in (0.02, 0.05, 0.1) for g in (0.0, 0.05, 0.1) for b in (0.8, 0.85, 0.9) if a + g / 2 + b < 0.999])
-
-    def paths(x: np.ndarray, v: float, p: np.ndarray) -> np.ndarray:
-        a, g, b = p.T
-        w, low = (1 - a - g / 2 - b) * v, floor**2 * v
-        out = np.empty((len(x), len(p)))
-        out[0] = v
-        for t in range(1, len(x)):
-            out[t] = np.maximum(w + (a + g * (x[t - 1] < 0)) * x[t - 1] ** 2 + b * out[t - 1], low)
-        return out
-
-    def fit(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("t")
-        x, m = df["x"].to_numpy(), df["train"].to_numpy()
-        v = x[m].var()
-        s2 = paths(x, v, grid)
-        ll = -0.5 * (np.log(s2[m]) + x[m, None] ** 2 / s2[m]).sum(axis=0)
-        k = int(ll.argmax())
-        a, g, b = grid[k]
-        return df[["t", "j", "x"]].assign(sigma=np.sqrt(s2[:, k]), a=a, g=g, b=b)
-
-    kind = rets.schema["j"].dataType.simpleString()
-    return rets.select("t", "j", "x", train.alias("train")).groupBy("j").applyInPandas(fit, f"t long, j {kind}, x double, sigma double, a double, g double, b double")
-
-
 def standardised(filtered: DataFrame) -> DataFrame:
     return filtered.withColumn("e", F.col("x") / F.col("sigma"))
 

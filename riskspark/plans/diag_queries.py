@@ -59,9 +59,14 @@ def covariance_sums(spark, sf):
 
 
 def eigen_spectrum(spark, sf):
-    """Of the features' correlation matrix; an eigenvalue problem has no SQL."""
-    c = dependence.pairs_on_rows(rets(spark, sf), "x").groupBy("i", "j").agg(F.corr("a", "b").alias("c"))
-    return dependence.spectrum(c, "c")
+    """Of the features' covariance and correlation matrices; an eigenvalue problem has no SQL."""
+    ship(spark)
+    return dependence.spectrum(rets(spark, sf))
+
+
+def eigen_rank(spark, sf):
+    """Effective ranks of both matrices."""
+    return dependence.effective_rank(eigen_spectrum(spark, sf))
 
 
 def normal_ranks(spark, sf):
@@ -223,7 +228,7 @@ def symmetric_scale(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    pseudo_obs, tail_dep_matrix, tail_dep_curve_top, spearman_pairs, dependence_summary, covariance_sums, eigen_spectrum, ad_stat, ks_uniform, ks_2samp, wasserstein1, sq_acf, window_rms, kurtosis_table,
+    pseudo_obs, tail_dep_matrix, tail_dep_curve_top, spearman_pairs, dependence_summary, covariance_sums, eigen_spectrum, eigen_rank, ad_stat, ks_uniform, ks_2samp, wasserstein1, sq_acf, window_rms, kurtosis_table,
     histogram, kde_grid, survival_curve, qq_points, worst_features, nn_novelty, hs_generator, buy_hold_pnl, static_portfolios, cumulative_windows, smoothed_windows, signal_thresholds, mean_rev_pnl,
     ma_crossover_pnl, strategy_table, var_es_score, minmax_scale, symmetric_scale,
 )}

@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskspark.functions.tests import chi2_p, ks_p, pf_lr, tuff_lr, uniform
-from riskspark.operators import coverage, dependence, risk
+from riskspark.functions.special import t_ppf
+from riskspark.operators import coverage, dependence, risk, split, tails
 from riskspark.session import ship
-from riskspark.sources.shared import new_folder
+from riskspark.sources.shared import kept
 
 from . import diag_queries, tail_queries, vol_queries
 from .diag_queries import lam, obs, r6, rounded
-from .risk_queries import CUT, EARLY, HORIZON, LAW, LEVELS, PMF, SPLIT, STARTS, VARES, WINDOWS, first_four_fifths, pf_sql, pnl, r8, rets, train_windows, tuff_sql
+from .risk_queries import CUT, EARLY, HORIZON, LAW, LEVELS, PMF, SPLIT, STARTS, VARES, WINDOWS, first_four_fifths, hashed_split, n_rows, pf_sql, pnl, r8, rets, train_windows, tuff_sql
 from .sql import BASE, PNL
-from .tail_queries import R10
+from .tail_queries import R10, cdf_sql, zs_sql
 
 #: Ranks among windows by loss from which one window each is shown.
 PICKS = [float(q) for q in np.linspace(0.5, 0.995, 5)]
@@ -51,9 +53,14 @@ def ks_pvalues(spark, sf):
 
 
 def rejection_rates(spark, sf):
-    """Share of features rejected at 5 %: once with an undefined test as not rejected, once without it."""
-    p = ks_pvalues(spark, sf).select("p").unionByName(spark.createDataFrame([(None,)], "p double"))
-    return p.agg(r8(F.avg(F.coalesce(F.col("p") < 0.05, F.lit(False)).cast("int")), "all_tests"), r8(F.avg((F.col("p") < 0.05).cast("int")), "defined_tests"), F.count("*").alias("tests"))
+    """Share of months whose first failure comes too early or too late, by level: a month without a failure has no such test, and counts once as not rejected and once not at all."""
+    ship(spark)
+    month = rets(spark, sf).select("t", F.date_format("d", "yyyy-MM").alias("month")).distinct()
+    each = vol_queries.scored(spark, sf).join(month, "t")
+    first = F.min(F.when(F.col("exc"), F.col("t"))) - F.min("t") + 1
+    p = each.groupBy("alpha", "month").agg(first.alias("v")).withColumn("p", F.when(F.col("v").isNotNull(), chi2_p(tuff_lr(F.col("v"), F.col("alpha")))))
+    hit = F.col("p") < 0.05
+    return p.groupBy(r8("alpha")).agg(r8(F.avg(F.coalesce(hit, F.lit(False)).cast("int")), "all_tests"), r8(F.avg(hit.cast("int")), "defined_tests"), F.count("*").alias("tests"), F.count("p").alias("defined"))
 
 
 def lam_of(rows, q=0.1):
@@ -69,13 +76,50 @@ def pair_slope(spark, sf):
 
 
 def half_split_floor(spark, sf):
-    """What the error of pair_slope would be by chance: rows fall into halves by a hash."""
+    """What the error of pair_slope would be by chance: the dates in a random order, their first half against the second."""
     r = rounded(spark, sf)
-    first = uniform(F.concat(F.lit("11:"), F.col("t").cast("string"))) < 0.5
-    both = lam_of(r.where(first)).join(lam_of(r.where(~first)).withColumnRenamed("lam", "other"), ["i", "j"])
+    days = split.permuted(r.select("t").distinct(), "t", 11)
+    half = n_rows(r) // 2
+    sides = r.join(days.where(F.col("place") < 2 * half), "t").withColumn("side", (F.col("place") >= half).cast("int"))
+    lams = dependence.tail_dependence(dependence.pseudo_obs(sides, ["side"]), 0.1, by=["side"])
+    both = lams.where("side = 0").join(lams.where("side = 1").select("i", "j", F.col("lam").alias("other")), ["i", "j"])
     return both.agg(F.count("*").alias("pairs"), r6(F.avg(F.abs(F.col("lam") - F.col("other"))), "floor"))
 
 
+def labelled_rows(spark, sf):
+    """label, t, j, x: two sources of rows held against the held-out ones: all training rows of the drawn split, and those of its calm and middle days."""
+    flags = split.split_rows(spark, hashed_split(spark, sf))
+    train = rounded(spark, sf).join(flags.where("NOT is_test").select("t"), "t")
+    quiet = train.join(vol_queries.regimes(spark, sf).where("regime < 2").select("t"), "t")
+    return train.withColumn("label", F.lit("all")).unionByName(quiet.withColumn("label", F.lit("quiet"))).select("label", "t", "j", "x")
+
+
+def run_summary(spark, sf):
+    """One row a label: tail dependence against that of the held-out rows (mean, correlation, slope, error), the error of two random halves of the label's own rows, the slope after each
+    feature's rows are shuffled, and VaR and CVaR at 99.5 %."""
+    q = 0.1
+    rows = labelled_rows(spark, sf)
+    flags = split.split_rows(spark, hashed_split(spark, sf))
+    real = lam_of(rounded(spark, sf).join(flags.where("is_test").select("t"), "t"), q).withColumnRenamed("lam", "real")
+    lam = dependence.tail_dependence(dependence.pseudo_obs(rows, ["label"]), q, by=["label"])
+    fit = lam.join(real, ["i", "j"]).groupBy("label").agg(
+        r6(F.avg("lam"), "lam_mean"), r6(F.corr("lam", "real"), "corr"), r6(F.regr_slope("lam", "real"), "slope"), r6(F.avg(F.abs(F.col("lam") - F.col("real"))), "error")
+    )
+    days = rows.select("label", "t").distinct()
+    size = days.groupBy("label").agg(F.floor(F.count("*") / 2).alias("half"), F.count("*").alias("days"))
+    placed = split.permuted(days, "t", 11, ["label"]).join(F.broadcast(size), "label").where("place < 2 * half")  # a row a label
+    sides = rows.join(placed.select("label", "t", (F.col("place") >= F.col("half")).cast("int").alias("side")), ["label", "t"])
+    halves = dependence.tail_dependence(dependence.pseudo_obs(sides, ["label", "side"]), q, by=["label", "side"])
+    floor = halves.groupBy("label", "i", "j").agg(F.abs(F.max("lam") - F.min("lam")).alias("d")).groupBy("label").agg(r6(F.avg("d"), "floor"))
+    cells = rows.withColumn("key", F.concat_ws("/", F.col("j").cast("string"), F.col("t").cast("string")))
+    mixed = split.permuted(cells, "key", 13, ["label", "j"]).select("label", F.col("place").alias("t"), "j", "x")
+    null = dependence.tail_dependence(dependence.pseudo_obs(mixed, ["label"]), q, by=["label"])
+    null = null.join(real, ["i", "j"]).groupBy("label").agg(r6(F.regr_slope("lam", "real"), "null_slope"))
+    loss = rows.groupBy("label", "t").agg(F.round(-F.sum("x") / F.count("*"), 10).alias("loss"))
+    tail = risk.var_cvar(loss, [0.995], by=["label"]).select("label", r8("var"), r8("cvar"))
+    return size.drop("half").join(fit, "label").join(floor, "label").join(null, "label").join(tail, "label")
+
+
 def spread_pairs(spark, sf):
     """Five pairs spread evenly over the ranking by tail dependence."""
     ranked = lam_of(rounded(spark, sf)).withColumn("lam", F.round("lam", 10))
@@ -147,23 +191,43 @@ def level_moments(spark, sf):
     return both.groupBy("side", "level").agg(F.count("*").alias("n"), r6(F.avg("r"), "mean"), r6(F.stddev_pop("r"), "sd"), r6(-F.percentile("r", F.lit(0.05)), "var95"), r6(-F.percentile("r", F.lit(0.01)), "var99"))
 
 
-def pit_report(spark, sf):
-    """Fit of the marginals by feature, earlier and later rows apart, the worst of the later first."""
+def leading_marginals(spark, sf):
+    """t, j, x, u, late: marginals learned from the leading rows alone, for all rows. Written once."""
     ship(spark)
-    path = new_folder(spark, "pit")
-    tail_queries.marginal_cdf(spark, sf).select("t", "j", "u").write.parquet(path)  # read four times
-    u = spark.read.parquet(path)
-    early = first_four_fifths(u)
+
+    def build():
+        r = rounded(spark, sf)
+        lead = r.where(first_four_fifths(r))
+        u = tails.marginal_cdf(r, tails.zhang_stephens(tails.exceedances(lead), ["j", "side"]), sample=lead)
+        return u.join(r.select("t", "j", "x", (~first_four_fifths(r)).alias("late")), ["t", "j"])
+
+    return kept(spark, "leading-marginals", [f"{sf}/lineitem.parquet"], build)
+
+
+def pit_report(spark, sf):
+    """Fit of the marginals by feature, to the rows they were learned from and to the later ones, the worst of the later first."""
+    u = leading_marginals(spark, sf)
     ks = lambda rows, name: dependence.ks_uniform(rows).select("j", r6("ks", f"ks_{name}"), r6(ks_p("ks", "n"), f"p_{name}"))
-    ad = dependence.anderson_darling(u.where(~early)).select("j", F.round("ad", 4).alias("ad_test"))
-    r = rounded(spark, sf)
-    lead = first_four_fifths(r)
-    ends = r.where(lead).groupBy("j").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    beyond = r.where(~lead).join(ends, "j").groupBy("j").agg(F.count_if((F.col("x") < F.col("lo")) | (F.col("x") > F.col("hi"))).alias("n_beyond"))
-    whole = ks(u.where(early), "train").join(ks(u.where(~early), "test"), "j").join(ad, "j").join(beyond, "j")
+    ad = lambda rows, name: dependence.anderson_darling(rows).select("j", F.round("ad", 3).alias(f"ad_{name}"))
+    early, late = u.where("NOT late"), u.where("late")
+    ends = early.groupBy("j").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    beyond = late.join(ends, "j").groupBy("j").agg(F.count_if((F.col("x") < F.col("lo")) | (F.col("x") > F.col("hi"))).alias("n_beyond"))
+    whole = ks(early, "train").join(ks(late, "test"), "j").join(ad(early, "train"), "j").join(ad(late, "test"), "j").join(beyond, "j")
     return whole.withColumn("place", F.row_number().over(Window.orderBy(F.desc("ad_test"), "j")))  # a row for each feature
 
 
+def pit_extremes(spark, sf):
+    """The largest Student-t score (five degrees of freedom) of each feature's earlier and later rows, and the verdict of the validator; no SQL has the quantile function."""
+
+    @F.pandas_udf("double")
+    def score(u):
+        return pd.Series(t_ppf(np.clip(u.to_numpy(), 1e-12, 1 - 1e-12), 5.0))
+
+    z = leading_marginals(spark, sf).withColumn("z", F.abs(score("u")))
+    per = z.groupBy("j").agg(F.max(F.when(~F.col("late"), F.col("z"))).alias("z_train"), F.max(F.when(F.col("late"), F.col("z"))).alias("z_test"))
+    return per.withColumn("verdict", F.when(F.col("z_train") > 100, "fail").when(F.col("z_train") > 50, "warn").otherwise("pass"))
+
+
 def band_labels(spark, sf):
     """The band of levels that labels name, where all those of a set name the same."""
     sets = spark.createDataFrame(SETS, "g int, label string")
@@ -176,8 +240,8 @@ def band_labels(spark, sf):
 SETS = [(0, "windows_u0.90"), (0, "other_u0.90"), (1, "windows_u0.10"), (1, "windows_u0.90"), (2, "windows"), (3, "windows_u0.50"), (3, "plain"), (4, "low_u.02")]
 
 QUERIES = {f.__name__: f for f in (
-    coverage_pvalues, es_test_records, ks_pvalues, rejection_rates, pair_slope, half_split_floor, spread_pairs, dependent_group, matched_windows, seeded_sample, pooled_density,
-    eps_diagnostics, corr_and_level, level_moments, pit_report, band_labels,
+    coverage_pvalues, es_test_records, ks_pvalues, rejection_rates, pair_slope, half_split_floor, run_summary, spread_pairs, dependent_group, matched_windows, seeded_sample, pooled_density,
+    eps_diagnostics, corr_and_level, level_moments, pit_report, pit_extremes, band_labels,
 )}
 
 
@@ -213,9 +277,18 @@ SQL = {
     f"SELECT round(alpha, 8) AS alpha, n, f AS failures, round(f / n, 8) AS rate, round(pf, 6) AS pf, round({chi2_sql('pf')}, 8) AS pf_p, round(coalesce(up, 0), 8) AS p_upper, round(coalesce(low, 0), 8) AS p_lower, v IS NULL AS censored, round(tuff, 6) AS tuff, CASE WHEN v IS NOT NULL THEN round({chi2_sql('tuff')}, 8) END AS tuff_p FROM lrs",
     "es_test_records": f"WITH z AS ({vol_queries.SQL['z1_z2']}) SELECT alpha, n, n_exc, round(n * alpha, 6) AS expected, 'Z1' AS test, CASE WHEN n_exc > 0 THEN z1 END AS statistic, n_exc > 0 AS defined, CASE WHEN n_exc > 0 THEN '' ELSE 'no exception' END AS reason FROM z UNION ALL SELECT alpha, n, n_exc, round(n * alpha, 6), 'Z2', CASE WHEN n > 0 THEN z2 END, n > 0, CASE WHEN n > 0 THEN '' ELSE 'no observation' END FROM z",
     "ks_pvalues": _ks,
-    "rejection_rates": f"SELECT round(avg(CASE WHEN p < 0.05 THEN 1 ELSE 0 END), 8) AS all_tests, round(avg(CAST(p < 0.05 AS INT)), 8) AS defined_tests, count(*) AS tests FROM (SELECT p FROM ({_ks}) UNION ALL SELECT NULL)",
+    "rejection_rates": f"{PNL}, {CUT}, {LEVELS}, {LAW}, {VARES}, v AS (SELECT alpha, strftime(d, '%Y-%m') AS month, min(t) FILTER (r + var < 0) - min(t) + 1 AS v FROM test, vares GROUP BY 1, 2), l AS (SELECT alpha, {tuff_sql('v', 'alpha')} AS tuff FROM v), p AS (SELECT alpha, CASE WHEN tuff IS NOT NULL THEN {chi2_sql('tuff')} END AS p FROM l) SELECT round(alpha, 8) AS alpha, round(avg(CASE WHEN p < 0.05 THEN 1 ELSE 0 END), 8) AS all_tests, round(avg(CAST(p < 0.05 AS INT)), 8) AS defined_tests, count(*) AS tests, count(p) AS defined FROM p GROUP BY 1",
     "pair_slope": f"{BASE}, {R10}, {obs('o', f't < {EARLY}')}, {obs('o2', f't >= {EARLY}')} SELECT count(*) AS pairs, round(avg(a.lam), 6) AS mean, round(corr(a.lam, b.lam), 6) AS corr, round(regr_slope(b.lam, a.lam), 6) AS slope, round(avg(abs(b.lam - a.lam)), 6) AS error FROM {lam('o', '0.1')} a JOIN {lam('o2', '0.1')} b USING (i, j)",
-    "half_split_floor": f"{BASE}, {R10}, {obs('o', hashed_sql('11', 't') + ' < 0.5')}, {obs('o2', hashed_sql('11', 't') + ' >= 0.5')} SELECT count(*) AS pairs, round(avg(abs(a.lam - b.lam)), 6) AS floor FROM {lam('o', '0.1')} a JOIN {lam('o2', '0.1')} b USING (i, j)",
+    "half_split_floor": f"{BASE}, {R10}, placed AS (SELECT t, row_number() OVER (ORDER BY {hashed_sql('11', 't')}, t) - 1 AS place, count(*) OVER () // 2 AS half FROM (SELECT DISTINCT t FROM ret10)), side0 AS (SELECT t FROM placed WHERE place < half), side1 AS (SELECT t FROM placed WHERE place >= half AND place < 2 * half), {obs('o', 't IN (SELECT t FROM side0)')}, {obs('o2', 't IN (SELECT t FROM side1)')} SELECT count(*) AS pairs, round(avg(abs(a.lam - b.lam)), 6) AS floor FROM {lam('o', '0.1')} a JOIN {lam('o2', '0.1')} b USING (i, j)",
+    "run_summary": f"{PNL}, {vol_queries.REG}, {R10}, {SPLIT}, lab AS (SELECT 'all' AS label, ret10.* FROM ret10 JOIN rows_ USING (t) WHERE NOT is_test UNION ALL SELECT 'quiet', ret10.* FROM ret10 JOIN rows_ USING (t) JOIN reg USING (t) WHERE NOT is_test AND regime < 2), "
+    f"{obs('ro', 't IN (SELECT t FROM rows_ WHERE is_test)')}, realv AS {lam('ro', '0.1')}, days AS (SELECT label, t, row_number() OVER (PARTITION BY label ORDER BY {hashed_sql('11', 't')}, t) - 1 AS place, count(*) OVER (PARTITION BY label) AS days FROM (SELECT DISTINCT label, t FROM lab)), "
+    f"hv AS (SELECT label, t, CASE WHEN place >= days // 2 THEN 1 ELSE 0 END AS side FROM days WHERE place < 2 * (days // 2)), mixed AS (SELECT label, j, x, row_number() OVER (PARTITION BY label, j ORDER BY {hashed_sql('13', f"(j || '/' || t)")}, j || '/' || t) - 1 AS t FROM lab), "
+    f"sets AS (SELECT label || '/own' AS s, t, j, x FROM lab UNION ALL SELECT label || '/' || side, t, j, x FROM lab JOIN hv USING (label, t) UNION ALL SELECT label || '/null', t, j, x FROM mixed), u AS (SELECT s, t, j, row_number() OVER (PARTITION BY s, j ORDER BY x, t) / (count(*) OVER (PARTITION BY s, j) + 1.0::DOUBLE) < 0.1 AS h FROM sets), "
+    "l AS (SELECT split_part(a.s, '/', 1) AS label, split_part(a.s, '/', 2) AS part, a.j AS i, b.j AS j, count_if(a.h AND b.h)::DOUBLE / count(*) / 0.1::DOUBLE AS lam FROM u a JOIN u b ON a.s = b.s AND a.t = b.t AND a.j < b.j GROUP BY ALL), "
+    "fit AS (SELECT label, round(avg(l.lam), 6) AS lam_mean, round(corr(l.lam, r.lam), 6) AS corr, round(regr_slope(l.lam, r.lam), 6) AS slope, round(avg(abs(l.lam - r.lam)), 6) AS error FROM l JOIN realv r USING (i, j) WHERE part = 'own' GROUP BY label), "
+    "nul AS (SELECT label, round(regr_slope(l.lam, r.lam), 6) AS null_slope FROM l JOIN realv r USING (i, j) WHERE part = 'null' GROUP BY label), flo AS (SELECT label, round(avg(d), 6) AS floor FROM (SELECT label, i, j, max(lam) - min(lam) AS d FROM l WHERE part IN ('0', '1') GROUP BY ALL) GROUP BY label), "
+    "loss AS (SELECT label, t, round(-sum(x) / count(*), 10) AS loss FROM lab GROUP BY label, t), va AS (SELECT label, quantile_cont(loss, 0.995::DOUBLE) AS var FROM loss GROUP BY label), tl AS (SELECT label, round(var, 8) AS var, round(avg(loss), 8) AS cvar FROM loss JOIN va USING (label) WHERE loss >= var GROUP BY label, var), dn AS (SELECT label, any_value(days) AS days FROM days GROUP BY label) "
+    "SELECT * FROM dn JOIN fit USING (label) JOIN flo USING (label) JOIN nul USING (label) JOIN tl USING (label)",
     "spread_pairs": f"{BASE}, {R10}, {obs('o')}, ranked AS (SELECT i, j, lam, row_number() OVER (ORDER BY round(lam, 10), i, j) - 1 AS k, count(*) OVER () AS n FROM {lam('o', '0.1')}) SELECT i, j, round(lam, 8) AS lam FROM ranked WHERE list_contains([CAST(floor(g * (n - 1) / 4.0::DOUBLE) AS BIGINT) FOR g IN range(0, 5)], k)",
     "matched_windows": f"{BASE}, {SPLIT}, {STARTS}, {WINDOWS}, losses AS (SELECT w, round(-sum(x) / count(DISTINCT j), 10) AS loss FROM wins WHERE k < {HORIZON} GROUP BY w), ranked AS (SELECT w, loss, row_number() OVER (ORDER BY loss, w) - 1 AS k, count(*) OVER () AS n FROM losses) SELECT 'rank' AS side, round(q, 6) AS q, w, round(loss, 8) AS loss FROM ranked, (SELECT unnest([{_picks}]) AS q) WHERE k = floor(q * (n - 1)) UNION ALL SELECT 'worst', NULL, w, round(loss, 8) FROM ranked WHERE k >= n - 5",
     "seeded_sample": f"{BASE} SELECT t, d FROM (SELECT DISTINCT t, d FROM ret) ORDER BY {hashed_sql('5', 't')}, t LIMIT 100",
@@ -223,7 +296,10 @@ SQL = {
     "eps_diagnostics": f"WITH src AS ({vol_queries.SQL['standardised_returns']}), e AS (SELECT t, j, e AS x, CASE WHEN t < {_cut} THEN 'train' ELSE 'held out' END AS side FROM src), p AS (SELECT side, t, avg(x) AS p FROM e GROUP BY ALL), law AS (SELECT side, round(stddev_pop(p), 6) AS sd, round(quantile_cont(p, 0.01::DOUBLE), 6) AS q01, round(quantile_cont(p, 0.05::DOUBLE), 6) AS q05, round(kurtosis_pop(p) + 3, 6) AS kurtosis FROM p GROUP BY side), c AS (SELECT a.side, corr(a.x, b.x) AS c FROM e a JOIN e b ON a.t = b.t AND a.j < b.j GROUP BY a.side, a.j, b.j) SELECT law.*, m.mean_corr FROM law JOIN (SELECT side, round(avg(c), 6) AS mean_corr FROM c GROUP BY side) m USING (side)",
     "corr_and_level": f"WITH c AS ({vol_queries.SQL['rolling_mean_corr']}), v AS ({vol_queries.SQL['relative_vol']}) SELECT count(*) AS n, round(stddev_pop(c), 6) AS sd, round(corr(c, ln(level)), 6) AS corr FROM c JOIN v USING (t)",
     "level_moments": f"{PNL}, {SPLIT}, {STARTS}, us AS (SELECT t, unnest([{', '.join(f'{v}::DOUBLE' for v in LEVELS_U)}]) AS level, u FROM ({vol_queries.SQL['vol_percentile_u']})), near AS (SELECT pnl.t, level, r FROM us JOIN pnl USING (t) WHERE abs(u - level) <= 0.05::DOUBLE), b AS (SELECT 'days' AS side, * FROM near UNION ALL SELECT 'windows', * FROM near WHERE t IN (SELECT t FROM starts)) SELECT side, level, count(*) AS n, round(avg(r), 6) AS mean, round(stddev_pop(r), 6) AS sd, round(-quantile_cont(r, 0.05::DOUBLE), 6) AS var95, round(-quantile_cont(r, 0.01::DOUBLE), 6) AS var99 FROM b GROUP BY side, level",
-    "pit_report": f"{BASE}, {R10}, src AS ({tail_queries.SQL['marginal_cdf']}), tr AS (SELECT j, u FROM src WHERE t < {_cut}), te AS (SELECT j, u FROM src WHERE t >= {_cut}), {fit_sql('tr', 'f1')}, {fit_sql('te', 'f2')}, ends AS (SELECT j, min(x) AS lo, max(x) AS hi FROM ret10 WHERE t < {EARLY} GROUP BY j), beyond AS (SELECT j, count_if(x < lo OR x > hi) AS n_beyond FROM ret10 JOIN ends USING (j) WHERE t >= {EARLY} GROUP BY j) "
-    f"SELECT j, round(f1.ks, 6) AS ks_train, round({ks_p_sql('f1.ks', 'f1.n')}, 6) AS p_train, round(f2.ks, 6) AS ks_test, round({ks_p_sql('f2.ks', 'f2.n')}, 6) AS p_test, round(f2.ad, 4) AS ad_test, n_beyond, row_number() OVER (ORDER BY round(f2.ad, 4) DESC, j) AS place FROM f1 JOIN f2 USING (j) JOIN beyond USING (j)",
+    "pit_report": f"{BASE}, ret10 AS (SELECT t, j, round(x, 10) AS x FROM ret), lead10 AS (SELECT * FROM ret10 WHERE t < {EARLY}), th10 AS (SELECT j, quantile_cont(x, 0.05::DOUBLE) AS u_lo, quantile_cont(x, 1 - 0.05::DOUBLE) AS u_hi FROM lead10 GROUP BY j), "
+    f"knots AS (SELECT j, x, min(p) AS p FROM (SELECT j, x, (row_number() OVER (PARTITION BY j ORDER BY x) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY j) AS p FROM lead10) JOIN th10 USING (j) WHERE x BETWEEN u_lo AND u_hi GROUP BY j, x), "
+    f"exc AS (SELECT j, 'lower' AS side, u_lo - x AS y FROM lead10 JOIN th10 USING (j) WHERE x < u_lo UNION ALL SELECT j, 'upper', x - u_hi FROM lead10 JOIN th10 USING (j) WHERE x > u_hi), {zs_sql('j, side')}, {cdf_sql('fits')}, "
+    f"tr AS (SELECT j, u FROM cdf WHERE t < {EARLY}), te AS (SELECT j, u FROM cdf WHERE t >= {EARLY}), {fit_sql('tr', 'f1')}, {fit_sql('te', 'f2')}, ends AS (SELECT j, min(x) AS lo, max(x) AS hi FROM lead10 GROUP BY j), beyond AS (SELECT j, count_if(x < lo OR x > hi) AS n_beyond FROM ret10 JOIN ends USING (j) WHERE t >= {EARLY} GROUP BY j) "
+    f"SELECT j, round(f1.ks, 6) AS ks_train, round({ks_p_sql('f1.ks', 'f1.n')}, 6) AS p_train, round(f2.ks, 6) AS ks_test, round({ks_p_sql('f2.ks', 'f2.n')}, 6) AS p_test, round(f1.ad, 3) AS ad_train, round(f2.ad, 3) AS ad_test, n_beyond, row_number() OVER (ORDER BY round(f2.ad, 3) DESC, j) AS place FROM f1 JOIN f2 USING (j) JOIN beyond USING (j)",
     "band_labels": f"WITH s AS (SELECT g, try_cast(regexp_extract(label, '_u([0-9]*\\.[0-9]+)', 1) AS DOUBLE) AS u FROM (VALUES {_sets}) v(g, label)), p AS (SELECT g, count(u) = count(*) AND count(DISTINCT u) = 1 AS one, max(u) AS u FROM s GROUP BY g) SELECT g, CASE WHEN one THEN round(greatest(u - 0.05, 0), 8) END AS lo, CASE WHEN one THEN round(least(u + 0.05, 1), 8) END AS hi FROM p",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskspark.functions.tests import traffic_light
-from riskspark.operators import risk, shortfall, vol
+from riskspark.operators import risk, shortfall, vol, volmodels
 from riskspark.session import ship
 
 from .risk_queries import ALPHAS, CUT, LAW, LEVELS, VARES, first_four_fifths, pnl, r8, rets, train_pnl
@@ -128,6 +128,7 @@ def z2_traffic_light(spark, sf):
 
 
 def z3(spark, sf):
+    ship(spark)
     train, test = train_pnl(spark, sf)
     alpha = ALPHAS[1]
     return shortfall.z3(risk.law(train), test, alpha, test.count(), train.count()).select("n", "m", F.round("z3", 6).alias("z3"))
@@ -173,7 +174,7 @@ def fhs_law_h10(spark, sf):
     """Ten-step scenarios, the recursion run along each path; a recursion for each scenario and date has no SQL."""
     f = vol.standardised(filtered(spark, sf))
     early = first_four_fifths(f)
-    days = f.where(early & (F.col("j") == 1)).select("t")
+    days = f.where(early & (F.col("t") + 9 < f.where(early).agg(F.max("t") + 1).first()[0])).select("t").distinct()  # no path runs into the held-out rows
     places = days.select(F.col("t").alias("w"), F.posexplode(F.sequence("t", F.col("t") + 9)).alias("k", "t"))
     start = f.where(early).groupBy("j").agg(F.var_pop("x").alias("v"))
     scen = vol.fhs_path_laws(places.join(f, "t").select("w", "k", "j", "e"), f.where(~early).select("t", "j", "sigma"), start, 10, LAM)
@@ -181,10 +182,12 @@ def fhs_law_h10(spark, sf):
 
 
 def gjr_sigma(spark, sf):
-    """The grid of recursions for each feature has no SQL of reasonable size."""
+    """The asymmetric recursion at each feature's own optimum; an optimiser has no SQL."""
     ship(spark)
     r = rets(spark, sf)
-    return vol.gjr(r, first_four_fifths(r)).select("t", "j", "sigma", "a", "g", "b")
+    late = r.where(~first_four_fifths(r)).agg(F.sort_array(F.collect_set("t")).alias("held")).select(F.lit(0).cast("long").alias("split"), "held")  # the dates held out
+    fit = volmodels.filtered(r, late, ["GJR"])
+    return fit.select("j", "theta", F.posexplode("sigma").alias("t", "sigma")).select(F.col("t").cast("long").alias("t"), "j", "sigma", *[F.col("theta")[k + 2].alias(n) for k, n in enumerate("agb")])
 
 
 QUERIES = {f.__name__: f for f in (
