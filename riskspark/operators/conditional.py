@@ -204,6 +204,28 @@ def laws(rets: DataFrame, pnl: DataFrame, marked: DataFrame, dates: DataFrame, m
     return made if chunks == 1 else made.groupBy(*KEY, "slice").applyInPandas(gathered, LAW)
 
 
+def label_laws(windows: DataFrame, known: DataFrame, alphas: list[float]) -> DataFrame:
+    """The rows of LAW, with labels as models: each label's windows (label, w, k, j, x) give one law for each horizon, the equal-weight sum of a window's first h steps, for all
+    dates. known: split, h, k, t, x, the outcomes. A law is one sample, a number a window, and is sorted as one.
+    """
+    horizons = [r["h"] for r in known.select("h").distinct().collect()]
+    steps = windows.groupBy("label", "w", "k").agg((F.sum("x") / F.count("*")).alias("r"))
+    sums = [F.struct(F.lit(h).alias("h"), F.sum(F.when(F.col("k") < h, F.col("r"))).alias("v"), F.count_if(F.col("k") < h).alias("n")) for h in horizons]
+    runs = steps.groupBy("label", "w").agg(F.array(*sums).alias("s")).select("label", F.inline("s")).where("n = h")
+    counted = known.withColumn("n", F.count("*").over(Window.partitionBy("split", "h")))
+    asked = counted.join(F.broadcast(windows.select(F.col("label").alias("model")).distinct()))  # the labels
+    splits = counted.select("split", "h").distinct()
+    sample = runs.select(F.col("label").alias("model"), "h", "v").join(F.broadcast(splits), "h")
+
+    def describe(key: tuple, both: pd.DataFrame) -> pd.DataFrame:
+        dates, values = both[both["k"].notna()].sort_values("k").astype({"k": "int64", "n": "int64"}), both.loc[both["k"].isna(), "v"].to_numpy(float)
+        if not len(dates) or not len(values):
+            return pd.DataFrame({c.split()[0]: pd.Series([], dtype=object) for c in LAW.split(", ")})
+        return described((*key, 0), dates, values[None, :], alphas)
+
+    return asked.unionByName(sample, allowMissingColumns=True).groupBy(*KEY).applyInPandas(describe, LAW)
+
+
 # ------------------------------------------------------------------------------------------------------------ tests
 
 

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskspark.sources.shared import written
+
 
 def pseudo_obs(rets: DataFrame, by: list[str] | None = None) -> DataFrame:
     """by..., t, j, u: rank over n + 1 within each feature of each group; equal values in order of t."""
@@ -85,26 +87,60 @@ def kde(sample: DataFrame, grid: DataFrame) -> DataFrame:
 
 
 def nearest(queries: DataFrame, base: DataFrame, rows: int = 2048) -> DataFrame:
-    """q, d: distance of each query (q, v) to its nearest row of base (b, v) other than itself.
+    """q, d: distance of each query (q, v) to its nearest row of base (b, v) other than itself (b = q); null if there is no other.
 
-    Both are dealt into blocks of about `rows` rows; each block of queries meets each block of base in a task of its own, as two
-    matrices, and the least distance of each query over blocks is kept.
+    Rows of base are dealt into blocks by their norm. A query meets the block that its own norm falls into first; the distance found there rules out the blocks whose
+    norms all differ by more from its own, since distances are at least the difference of norms. Only those left are met, each with slices of queries in a task of its own.
     """
-    parts, slices = (max(1, -(-df.count() // rows)) for df in (base, queries))
-    dealt = base.withColumn("block", F.pmod(F.xxhash64("b"), F.lit(parts)).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    each = queries.withColumn("slice", F.pmod(F.xxhash64("q"), F.lit(slices)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-
-    def least(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    norm = lambda df: df.withColumn("r", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))
+    parts = max(1, -(-base.count() // rows))
+    measured = norm(base)
+    cuts = measured.agg(F.percentile_approx("r", [k / parts for k in range(1, parts)], max(10_000, 10 * parts)).alias("c")).first()["c"] if parts > 1 else []
+    edges = F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>")  # one number for each block of rows
+    block = F.size(F.filter(edges, lambda c: c <= F.col("r")))
+    dealt = measured.withColumn("block", block)
+    held = dealt.groupBy("block").agg(F.min("r").alias("lo"), F.max("r").alias("hi"))
+    spans = held.agg(F.collect_list(F.struct("block", "lo", "hi")).alias("spans"))  # one row
+    slices = max(1, -(-queries.count() // rows))
+    asked = norm(queries).withColumn("block", block).withColumn("slice", F.pmod(F.xxhash64("q"), F.lit(slices)))
+
+    def least(key: tuple, both: pd.DataFrame) -> pd.DataFrame:
+        left, right = both[both["q"].notna()], both[both["q"].isna()]
         if left.empty or right.empty:
-            return pd.DataFrame({"q": pd.Series([], dtype="int64"), "d2": pd.Series([], dtype="float64")})
-        b, ids = np.stack(right["v"].to_numpy()).astype(float), right["b"].to_numpy()
-        a, own = np.stack(left["v"].to_numpy()).astype(float), left["q"].to_numpy()
-        d2 = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
+            return pd.DataFrame({"q": left["q"].astype("int64"), "d2": np.full(len(left), np.inf)})
+        b, ids = np.stack(right["v"].to_numpy()).astype(float), right["b"].to_numpy(np.int64)
+        a, own = np.stack(left["v"].to_numpy()).astype(float), left["q"].to_numpy(np.int64)
+        d2 = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0.0)
         d2[own[:, None] == ids[None, :]] = np.inf
         return pd.DataFrame({"q": own, "d2": d2.min(axis=1)})
 
-    met = each.groupBy("block", "slice").cogroup(dealt.groupBy("block", "slice")).applyInPandas(least, "q long, d2 double")
-    return met.groupBy("q").agg(F.sqrt(F.greatest(F.min("d2"), F.lit(0.0))).alias("d"))
+    def met(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select("block", "slice").distinct()
+        both = pairs.select("block", "slice", "q", "v").unionByName(dealt.join(wanted, "block").select("block", "slice", "b", "v"), allowMissingColumns=True)
+        return both.groupBy("block", "slice").applyInPandas(least, "q long, d2 double")
+
+    first = written(met(asked), "nearest-first")
+    near = asked.join(first, "q").join(F.broadcast(spans))  # one row
+    reach = F.sqrt("d2") * (1 + 1e-9) + 1e-9
+    close = F.filter("spans", lambda s: (s["block"] != F.col("block")) & (s["lo"] <= F.col("r") + reach) & (s["hi"] >= F.col("r") - reach))
+    more = near.withColumn("block", F.explode(F.transform(close, lambda s: s["block"]))).select("q", "v", "block", "slice")
+    best = first.unionByName(met(more)).groupBy("q").agg(F.min("d2").alias("d2"))
+    return best.select("q", F.when(F.col("d2") < float("inf"), F.sqrt("d2")).alias("d"))
+
+
+def novelty(samples: DataFrame, real: DataFrame) -> DataFrame:
+    """sample, n, median, ratio, least, q05, close: distances of vectors (sample, q, v) to their nearest real one (b, v), against those of the real ones to one another, the sample
+    "real": ratio of medians, and share of vectors closer than half the real median."""
+    own = nearest(real.select(F.col("b").alias("q"), "v"), real).withColumn("sample", F.lit("real"))
+    # a sample's vectors are no rows of the real table, so none is left out as itself
+    keyed = samples.withColumn("q", -1 - F.xxhash64("sample", "q").bitwiseAND(F.lit((1 << 62) - 1)))
+    other = nearest(keyed.select("q", "v"), real).join(keyed.select("q", "sample"), "q").select("q", "d", "sample")
+    every = own.unionByName(other)
+    mid = own.agg(F.median("d").alias("_m"))
+    return every.join(F.broadcast(mid)).groupBy("sample", "_m").agg(  # one row
+        F.count("*").alias("n"), F.median("d").alias("median"), (F.median("d") / F.first("_m")).alias("ratio"), F.min("d").alias("least"), F.percentile("d", F.lit(0.05)).alias("q05"),
+        F.avg((F.col("d") < 0.5 * F.col("_m")).cast("int")).alias("close"),
+    ).drop("_m")
 
 
 def gram(rets: DataFrame) -> DataFrame:

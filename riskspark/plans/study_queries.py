@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskspark.operators import conditional, split, volmodels
+from riskspark.operators import conditional, dependence, generators, split, tails, volmodels
 from riskspark.session import ship
 from riskspark.sources.shared import kept
 
-from .risk_queries import BLOCK, HORIZON, N, n_rows, pf_sql, pnl, r8, rets
-from .report_queries import chi2_sql
-from .sql import PNL
+from . import vol_queries
+from .risk_queries import BLOCK, HORIZON, N, SPLIT, STARTS, WINDOWS, first_four_fifths, hashed_split, n_rows, pf_sql, pnl, r8, rets, train_windows
+from .report_queries import chi2_sql, hashed_sql
+from .sql import BASE, PNL
 
 #: Tail probabilities, and the places of those that coverage and expected shortfall are tested at.
 ALPHAS = [1.0 - 0.95, 1.0 - 0.975, 1.0 - 0.99]
@@ -118,7 +119,90 @@ def conditional_es_tests(spark, sf):
     return out.select("model", r8("alpha"), "n", "n_exc", "test", r5("statistic"), r8("p"))
 
 
-QUERIES = {f.__name__: f for f in (placebo_rates, placebo_regimes, placebo_rates_h10, vol_model_rates, vol_model_tests, vol_model_comparison, conditional_es_tests)}
+def labelled_backtest(spark, sf, windows, horizons, tag):
+    """Tests of every label's laws on the held-out blocks of the drawn split, and coverage by the first failure."""
+    made = hashed_split(spark, sf)
+    draws = split.blocks_table(spark, made).select(F.lit(0).cast("long").alias("split"), "b", "s")
+    known = conditional.forecast_dates(draws, made.block, horizons).join(conditional.horizon_sums(pnl(spark, sf), horizons), ["t", "h"])
+    found = kept(spark, f"{tag}-laws", [f"{sf}/lineitem.parquet"], lambda: conditional.label_laws(windows, known, ALPHAS))
+    each = conditional.forecasts(found)
+    first = each.groupBy(*conditional.KEY, "a").agg((F.min(F.when(F.col("exc"), F.col("k"))) + 1).alias("first_failure"), F.first("var").alias("var"), F.first("es").alias("es"))
+    records = conditional.tests(found, ALPHAS, PLACEBO_SIMS, SEED, SHORT)
+    first = first.withColumn("alpha", conditional.per_level(ALPHAS)).drop("a")
+    return records.join(first, [*conditional.KEY, "alpha"]).select(F.col("model").alias("label"), "h", r8("alpha"), r8("var"), r8("es"), "n", "n_exc", "first_failure", "test", r5("statistic"), r8("p"))
+
+
+def historical_labels(spark, sf):
+    """Two labels: all training windows, and those that start on calm or middle days."""
+    w = train_windows(spark, sf)
+    quiet = vol_queries.regimes(spark, sf).where("regime < 2").select(F.col("t").alias("w"))
+    return generators.historical(w, "hs").unionByName(generators.historical(w.join(quiet, "w"), "hs_quiet"))
+
+
+def label_backtest(spark, sf):
+    """All tests for two labelled generators, ten steps ahead."""
+    ship(spark)
+    return labelled_backtest(spark, sf, historical_labels(spark, sf), [HORIZON], "labels-h10")
+
+
+def generated(spark, sf):
+    """Windows of every generator: history, and 5,000 of a Student-t source carried by a flow that has the training rows' means and covariance, mixed by window or by step. Written once."""
+    ship(spark)
+
+    def build():
+        flags = split.split_rows(spark, hashed_split(spark, sf))
+        train = rets(spark, sf).join(flags.where("NOT is_test").select("t"), "t")
+        names, a, b = generators.fitted_flow(dependence.together(dependence.moments(train)))
+        flow = [generators.flow_windows(spark, f"flow_{mix}", 5000, N, names, a, b, seed=SEED, mix=mix) for mix in ("window", "step")]
+        return generators.historical(train_windows(spark, sf), "hs").unionByName(flow[0]).unionByName(flow[1])
+
+    return kept(spark, "generated", [f"{sf}/lineitem.parquet"], build)
+
+
+def generator_backtest(spark, sf):
+    """All tests for every generator, one and ten steps ahead; numbers drawn by numpy have no SQL."""
+    return labelled_backtest(spark, sf, generated(spark, sf), [1, HORIZON], "generators")
+
+
+def generator_moments(spark, sf):
+    """label, j: mean, sd, kurtosis and 1 % quantile of every generator's cells."""
+    g = generated(spark, sf).groupBy("label", "j")
+    return g.agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"), (F.kurtosis("x") + 3).alias("kurtosis"), F.percentile("x", F.lit(0.01)).alias("q01"))
+
+
+def window_vectors(windows, scale):
+    """w, v: each window as one vector, over the training rows' standard deviations."""
+    cells = windows.join(F.broadcast(scale), "j").select("w", "k", "j", (F.col("x") / F.col("sd")).alias("x"))  # a row a feature
+    return cells.groupBy("w").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "j", "x"))), lambda c: c["x"]).alias("v"))
+
+
+def novelty_windows(spark, sf):
+    """Distances to the nearest training window: of training windows to the others, of a bootstrap copy, and of the windows that touch held-out rows."""
+    ship(spark)
+    r, flags = rets(spark, sf), split.split_rows(spark, hashed_split(spark, sf))
+    sd = r.join(flags.where("NOT is_test").select("t"), "t").groupBy("j").agg(F.stddev_pop("x").alias("sd")).withColumn("sd", F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0))
+    starts = split.window_starts(flags, N)
+    every = flags.select("t").where(F.col("t") <= n_rows(r) - N)
+    real = window_vectors(split.windows(r, starts, N), sd).select(F.col("w").alias("b"), "v")
+    other = window_vectors(split.windows(r, every.join(starts, "t", "left_anti"), N), sd).select(F.lit("touching").alias("sample"), F.col("w").alias("q"), "v")
+    count = starts.count()
+    places = split.permuted(starts, "t", 0).select(F.col("t").alias("b"), "place")
+    at = F.floor(conditional.uniform(F.concat(F.lit("novelty:"), F.col("id").cast("string"))) * count)
+    copies = spark.range(count).select(F.col("id").alias("q"), at.alias("place")).join(places, "place").join(real, "b").select(F.lit("bootstrap").alias("sample"), "q", "v")
+    found = dependence.novelty(other.unionByName(copies), real)
+    return found.select("sample", "n", *[F.round(c, 4).alias(c) for c in ("median", "ratio", "least", "q05", "close")])
+
+
+def mixture_recalibrated(spark, sf):
+    """Standardised later returns, mapped so that the earlier ones have Student-t marginals with four degrees of freedom; beyond their range with the slope of their outer hundredth."""
+    e = vol_queries.standardised_returns(spark, sf).withColumnRenamed("e", "x")
+    lead = first_four_fifths(e)
+    found = tails.recalibrated(e.where(~lead).select("t", "j", "x"), e.where(lead).select("j", "x"), tails.student4)
+    return found.select("t", "j", "x", r5("y"))
+
+
+QUERIES = {f.__name__: f for f in (placebo_rates, placebo_regimes, placebo_rates_h10, vol_model_rates, vol_model_tests, vol_model_comparison, conditional_es_tests, label_backtest, generator_backtest, generator_moments, novelty_windows, mixture_recalibrated)}
+
 _LAMS = {"EWMA 0.90": 0.90, "EWMA 0.94": 0.94, "EWMA 0.97": 0.97}
 _HASH = "CAST(('0x' || substr(md5({key}), 1, 13))::UBIGINT AS DOUBLE) / 4503599627370496"
 _PLACE = "CAST(least(greatest(ceil(least(greatest({p}, 1e-12::DOUBLE), 1 - 1e-12::DOUBLE) * cells), 1), cells) AS BIGINT)"
@@ -135,26 +219,28 @@ blocks AS (SELECT split, arg_min(card, u) * {BLOCK} AS s FROM deck GROUP BY spli
 LATE_SQL = "cutoff AS (SELECT CAST(floor((1.0::DOUBLE - 0.2::DOUBLE) * (max(t) + 1)) AS BIGINT) AS s, max(t) + 1 AS e FROM ret), blocks AS (SELECT 0 AS split, s FROM cutoff), len AS (SELECT e - s AS len FROM cutoff)"
 
 
-def study_sql(blocks: str, models: list[str], sims: int, window: int) -> str:
-    """The records of all tests one step ahead, as the table rec; a law is a sorted list."""
+def study_sql(blocks: str, models: list[str], sims: int, window: int, h: int = 1, laws: str = "") -> str:
+    """The records of all tests h steps ahead, as the table rec; a law is a sorted list. Laws that don't follow from the models, one step ahead, are given."""
     lams = ", ".join(f"('{m}', {_LAMS[m]!r}::DOUBLE)" for m in models if m != "HS")
     hs = "UNION ALL SELECT split, 'HS' AS model, k, t, n, xs FROM dates JOIN (SELECT split, list_sort(list(round(r, 12))) AS xs FROM starts JOIN pnl USING (t) GROUP BY split) USING (split)" if "HS" in models else ""
+    source = laws or f"""var0 AS (SELECT split, j, greatest(var_pop(x), 1e-12::DOUBLE) AS v FROM ret JOIN rows_ USING (t) WHERE NOT is_test GROUP BY split, j),
+sig AS (SELECT 0::BIGINT AS t, split, model, lam, j, v, v AS s2 FROM var0, (VALUES {lams}) q(model, lam)
+  UNION ALL SELECT sig.t + 1, sig.split, sig.model, sig.lam, sig.j, sig.v, greatest(sig.lam * sig.s2 + (1 - sig.lam) * ret.x * ret.x, (0.05::DOUBLE * 0.05::DOUBLE) * sig.v)
+  FROM sig JOIN ret ON ret.t = sig.t AND ret.j = sig.j WHERE sig.t + 1 <= (SELECT max(t) FROM ret)),
+vec AS (SELECT split, model, t, list(sqrt(s2) ORDER BY j) AS sg, list(x / sqrt(s2) ORDER BY j) AS e FROM sig JOIN ret USING (t, j) GROUP BY split, model, t),
+runs AS (SELECT split, model, e FROM vec JOIN starts USING (split, t)),
+laws AS (SELECT d.split, v.model, d.k, d.t, d.n, list_sort(list(round(list_inner_product(r.e, v.sg) / len(r.e), 12))) AS xs FROM dates d JOIN vec v ON v.split = d.split AND v.t = d.t JOIN runs r ON r.split = v.split AND r.model = v.model GROUP BY ALL {hs})"""
     levels = ", ".join(f"({k}, {a!r}::DOUBLE)" for k, a in enumerate(ALPHAS))
     short = ", ".join(map(str, SHORT))
     return f"""{PNL}, {blocks},
 test AS (SELECT DISTINCT split, s + i AS t FROM (SELECT split, s, unnest(range(0, len)) AS i FROM blocks, len) WHERE s + i <= (SELECT max(t) FROM ret)),
 rows_ AS (SELECT p.split, d.t, tt.t IS NOT NULL AS is_test FROM (SELECT DISTINCT split FROM blocks) p CROSS JOIN (SELECT DISTINCT t FROM ret) d LEFT JOIN test tt ON tt.split = p.split AND tt.t = d.t),
 starts AS (SELECT split, t FROM (SELECT split, t, sum(CASE WHEN is_test THEN 0 ELSE 1 END) OVER (PARTITION BY split ORDER BY t ROWS BETWEEN CURRENT ROW AND {window - 1} FOLLOWING) AS free FROM rows_) WHERE free = {window}),
-dates AS (SELECT split, t, row_number() OVER (PARTITION BY split ORDER BY t) - 1 AS k, count(*) OVER (PARTITION BY split) AS n FROM test),
-var0 AS (SELECT split, j, greatest(var_pop(x), 1e-12::DOUBLE) AS v FROM ret JOIN rows_ USING (t) WHERE NOT is_test GROUP BY split, j),
-sig AS (SELECT 0::BIGINT AS t, split, model, lam, j, v, v AS s2 FROM var0, (VALUES {lams}) q(model, lam)
-  UNION ALL SELECT sig.t + 1, sig.split, sig.model, sig.lam, sig.j, sig.v, greatest(sig.lam * sig.s2 + (1 - sig.lam) * ret.x * ret.x, (0.05::DOUBLE * 0.05::DOUBLE) * sig.v)
-  FROM sig JOIN ret ON ret.t = sig.t AND ret.j = sig.j WHERE sig.t + 1 <= (SELECT max(t) FROM ret)),
-vec AS (SELECT split, model, t, list(sqrt(s2) ORDER BY j) AS sg, list(x / sqrt(s2) ORDER BY j) AS e FROM sig JOIN ret USING (t, j) GROUP BY split, model, t),
-runs AS (SELECT split, model, e FROM vec JOIN starts USING (split, t)),
-laws AS (SELECT d.split, v.model, d.k, d.t, d.n, list_sort(list(round(list_inner_product(r.e, v.sg) / len(r.e), 12))) AS xs FROM dates d JOIN vec v ON v.split = d.split AND v.t = d.t JOIN runs r ON r.split = v.split AND r.model = v.model GROUP BY ALL {hs}),
+fwd AS (SELECT t, round(r, 12) AS r FROM (SELECT t, sum(r) OVER w AS r, count(*) OVER w AS c FROM pnl WINDOW w AS (ORDER BY t ROWS BETWEEN CURRENT ROW AND {h - 1} FOLLOWING)) WHERE c = {h}),
+dates AS (SELECT split, t, row_number() OVER (PARTITION BY split ORDER BY t) - 1 AS k, count(*) OVER (PARTITION BY split) AS n FROM (SELECT split, s + i * {h} AS t FROM (SELECT split, s, unnest(range(0, len // {h})) AS i FROM blocks, len)) JOIN fwd USING (t)),
+{source},
 levels AS (SELECT * FROM (VALUES {levels}) q(a, alpha)),
-law AS (SELECT laws.*, r AS x, len(xs) AS cells, least(greatest(len(list_filter(xs, lambda y: y <= r)) / len(xs)::DOUBLE, 0.5 / len(xs)), 1 - 0.5 / len(xs)) AS u FROM laws JOIN pnl USING (t)),
+law AS (SELECT laws.*, r AS x, len(xs) AS cells, least(greatest(len(list_filter(xs, lambda y: y <= r)) / len(xs)::DOUBLE, 0.5 / len(xs)), 1 - 0.5 / len(xs)) AS u FROM laws JOIN fwd USING (t)),
 sc AS (SELECT split, model, k, t, n, x, cells, u, a, alpha, -xs[{_PLACE.format(p='alpha')}] AS var, -(coalesce(list_sum(xs[1:CAST(floor(alpha * cells) AS BIGINT)]), 0) / cells + (alpha - floor(alpha * cells) / cells) * xs[CAST(floor(alpha * cells) AS BIGINT) + 1]) / alpha AS es, CAST(floor(n * alpha) AS BIGINT) AS m FROM law, levels),
 shape AS (SELECT DISTINCT n, cells, a, m FROM sc WHERE m > 0),
 edge AS (SELECT n, cells, a, m, i, unnest(range(0, m)) AS q FROM (SELECT *, unnest(range(1, cells)) AS i FROM shape)),
@@ -184,6 +270,10 @@ REGIMES_SQL = """, tv AS (SELECT t, CASE WHEN count(r) OVER w = 63 THEN round(st
 cuts AS (SELECT split, quantile_cont(vol, 1 / 3::DOUBLE) AS c1, quantile_cont(vol, 2 / 3::DOUBLE) AS c2 FROM rows_ JOIN tv USING (t) WHERE NOT is_test GROUP BY split),
 zones AS (SELECT model, alpha, a, CAST(CASE WHEN vol >= c2 THEN 2 WHEN vol >= c1 THEN 1 ELSE 0 END AS INT) AS regime, count(*) AS days, count_if(x + var < 0) AS exceptions FROM sc JOIN tv USING (t) JOIN cuts USING (split) WHERE vol IS NOT NULL GROUP BY ALL)"""
 _placebo, _ewma = study_sql(random_splits_sql(PLACEBO_SPLITS), PLACEBO_MODELS, PLACEBO_SIMS, N), study_sql(random_splits_sql(MODEL_SPLITS), MODEL_NAMES, MODEL_SIMS, N)
+_drawn = SPLIT.replace("blocks AS (SELECT row_number() OVER (ORDER BY s) - 1 AS b, s FROM", "blocks AS (SELECT 0 AS split, row_number() OVER (ORDER BY s) - 1 AS b, s FROM").rpartition("rows_ AS (")[0].rstrip().rstrip(",") + f", len AS (SELECT {BLOCK} AS len)"
+_labels = f"""tv AS (SELECT t, CASE WHEN count(r) OVER w = 63 THEN round(stddev_pop(r) OVER w, 10) END AS vol FROM pnl WINDOW w AS (ORDER BY t ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING)), tc AS (SELECT quantile_cont(vol, 2 / 3::DOUBLE) AS c2 FROM tv),
+gen AS (SELECT 'hs' AS model, t FROM starts UNION ALL SELECT 'hs_quiet', t FROM starts JOIN tv USING (t), tc WHERE vol < c2),
+laws AS (SELECT split, model, k, t, n, xs FROM dates, (SELECT model, list_sort(list(round(r, 12))) AS xs FROM gen JOIN fwd USING (t) GROUP BY model))"""
 
 SQL = {
     "placebo_rates": f"{_placebo} {RATES_SQL}",
@@ -193,4 +283,13 @@ SQL = {
     "pooled AS (SELECT model, round(sum(n_exc) FILTER (a = 0) / sum(n) FILTER (a = 0), 8) AS exc95, round(sum(n_exc) FILTER (a = 2) / sum(n) FILTER (a = 2), 8) AS exc99, round(sum(loss) FILTER (a = 1) / sum(shortfall) FILTER (a = 1), 5) AS es_ratio FROM obs GROUP BY model), "
     "z AS (SELECT model, round(max(exceptions / days) FILTER (regime = 0), 8) AS calm95, round(max(exceptions / days) FILTER (regime = 1), 8) AS middle95, round(max(exceptions / days) FILTER (regime = 2), 8) AS stressed95 FROM zones WHERE a = 0 GROUP BY model) SELECT model, 1 AS h, exc95, exc99, es_ratio, exc_after_exc, calm95, middle95, stressed95 FROM pooled JOIN again USING (model) JOIN z USING (model)",
     "conditional_es_tests": f"{study_sql(LATE_SQL, PLACEBO_MODELS, PLACEBO_SIMS, 1)} SELECT model, round(alpha, 8) AS alpha, n, n_exc, test, round(statistic, 5) AS statistic, round(p, 8) AS p FROM rec",
+    "label_backtest": f"{study_sql(_drawn, [], PLACEBO_SIMS, N, HORIZON, _labels)}, ff AS (SELECT model, a, min(k) FILTER (x + var < 0) + 1 AS first_failure, any_value(var) AS var, any_value(es) AS es FROM sc GROUP BY model, a) SELECT model AS label, {HORIZON} AS h, round(alpha, 8) AS alpha, round(var, 8) AS var, round(es, 8) AS es, n, n_exc, first_failure, test, round(statistic, 5) AS statistic, round(p, 8) AS p FROM rec JOIN ff USING (model, a)",
+    "novelty_windows": f"{BASE}, {SPLIT}, {STARTS}, sds AS (SELECT j, stddev_pop(x) AS sd FROM ret JOIN rows_ USING (t) WHERE NOT is_test GROUP BY j), firsts AS (SELECT t AS w, t IN (SELECT t FROM starts) AS own FROM rows_ WHERE t <= (SELECT max(t) + 1 FROM ret) - {N}), vecs AS (SELECT w, own, list(x / sd ORDER BY ret.t, j) AS v FROM firsts JOIN ret ON ret.t BETWEEN w AND w + {N - 1} JOIN sds USING (j) GROUP BY w, own), "
+    f"perm AS (SELECT t AS w, row_number() OVER (ORDER BY {hashed_sql('0', 't')}, t) - 1 AS place, count(*) OVER () AS n FROM starts), boot AS (SELECT p.w FROM (SELECT unnest(range(0, (SELECT count(*) FROM starts))) AS id) i JOIN perm p ON p.place = floor({hashed_sql('novelty', 'id')} * p.n)), "
+    "nn AS (SELECT a.w, a.own, min(list_distance(a.v, b.v)) AS d FROM vecs a JOIN vecs b ON b.own AND a.w <> b.w GROUP BY a.w, a.own), ds AS (SELECT 'real' AS sample, d FROM nn WHERE own UNION ALL SELECT 'touching', d FROM nn WHERE NOT own UNION ALL SELECT 'bootstrap', 0.0 FROM boot), mid AS (SELECT median(d) AS m FROM ds WHERE sample = 'real') "
+    "SELECT sample, count(*) AS n, round(median(d), 4) AS median, round(median(d) / any_value(m), 4) AS ratio, round(min(d), 4) AS least, round(quantile_cont(d, 0.05::DOUBLE), 4) AS q05, round(avg(CASE WHEN d < 0.5 * m THEN 1 ELSE 0 END), 4) AS close FROM ds, mid GROUP BY sample",
+    "mixture_recalibrated": f"WITH src AS ({vol_queries.SQL['standardised_returns']}), cutoff AS (SELECT CAST(floor((1.0::DOUBLE - 0.2::DOUBLE) * (max(t) + 1)) AS BIGINT) AS c FROM src), kn AS (SELECT j, x, i, n, sign(p - 0.5) * 2.0 * sqrt(greatest(cos(acos(least(sqrt(4.0 * p * (1.0 - p)), 1.0)) / 3.0) / sqrt(4.0 * p * (1.0 - p)) - 1.0, 0.0)) AS y FROM (SELECT j, e AS x, row_number() OVER w AS i, count(*) OVER (PARTITION BY j) AS n, row_number() OVER w / (count(*) OVER (PARTITION BY j) + 1.0::DOUBLE) AS p FROM src WHERE t < (SELECT c FROM cutoff) WINDOW w AS (PARTITION BY j ORDER BY e))), "
+    "one AS (SELECT j, x, min(y) AS y FROM kn GROUP BY j, x), seg AS (SELECT j, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM one WINDOW w AS (PARTITION BY j ORDER BY x)), m AS (SELECT *, greatest(CAST(floor(n * 0.01::DOUBLE) AS BIGINT), 1) AS m FROM kn), "
+    "ends AS (SELECT j, max(x) FILTER (i = 1) AS xa, max(y) FILTER (i = 1) AS ya, max(x) FILTER (i = m + 1) AS xb, max(y) FILTER (i = m + 1) AS yb, max(x) FILTER (i = n - m) AS xc, max(y) FILTER (i = n - m) AS yc, max(x) FILTER (i = n) AS xd, max(y) FILTER (i = n) AS yd FROM m GROUP BY j), late AS (SELECT t, j, e AS x FROM src WHERE t >= (SELECT c FROM cutoff)) "
+    "SELECT l.t, l.j, l.x, round(CASE WHEN l.x < xa THEN ya + (l.x - xa) * (yb - ya) / (xb - xa) WHEN l.x > xd THEN yd + (l.x - xd) * (yd - yc) / (xd - xc) WHEN x1 IS NULL OR l.x = x0 THEN y0 ELSE y0 + (l.x - x0) * (y1 - y0) / (x1 - x0) END, 5) AS y FROM late l JOIN ends USING (j) ASOF LEFT JOIN seg ON l.j = seg.j AND l.x >= seg.x0",
 }
