@@ -105,18 +105,18 @@ def nearest(queries: DataFrame, base: DataFrame, rows: int = 2048) -> DataFrame:
     asked = norm(queries).withColumn("block", block).withColumn("slice", F.pmod(F.xxhash64("q"), F.lit(slices)))
 
     def least(key: tuple, both: pd.DataFrame) -> pd.DataFrame:
-        left, right = both[both["q"].notna()], both[both["q"].isna()]
+        left, right = both[both["asks"]], both[~both["asks"]]
         if left.empty or right.empty:
-            return pd.DataFrame({"q": left["q"].astype("int64"), "d2": np.full(len(left), np.inf)})
-        b, ids = np.stack(right["v"].to_numpy()).astype(float), right["b"].to_numpy(np.int64)
-        a, own = np.stack(left["v"].to_numpy()).astype(float), left["q"].to_numpy(np.int64)
+            return pd.DataFrame({"q": left["id"], "d2": np.full(len(left), np.inf)})
+        b, ids = np.stack(right["v"].to_numpy()).astype(float), right["id"].to_numpy()
+        a, own = np.stack(left["v"].to_numpy()).astype(float), left["id"].to_numpy()
         d2 = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0.0)
         d2[own[:, None] == ids[None, :]] = np.inf
         return pd.DataFrame({"q": own, "d2": d2.min(axis=1)})
 
     def met(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select("block", "slice").distinct()
-        both = pairs.select("block", "slice", "q", "v").unionByName(dealt.join(wanted, "block").select("block", "slice", "b", "v"), allowMissingColumns=True)
+        both = pairs.select("block", "slice", F.col("q").alias("id"), "v", F.lit(True).alias("asks")).unionByName(dealt.join(wanted, "block").select("block", "slice", F.col("b").alias("id"), "v", F.lit(False).alias("asks")))
         return both.groupBy("block", "slice").applyInPandas(least, "q long, d2 double")
 
     first = written(met(asked), "nearest-first")
