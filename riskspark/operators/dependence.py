@@ -77,10 +77,13 @@ def window_acf(windows: DataFrame, lags: int) -> DataFrame:
     return per.groupBy("j", "lag").agg(F.avg("r").alias("acf"))
 
 
-def kde(sample: DataFrame, grid: DataFrame) -> DataFrame:
-    """g, density at grid points (g) of a sample (x), which is summed up by value first; Scott's bandwidth."""
-    stats = sample.agg(F.stddev_samp("x").alias("sd"), F.count("*").alias("n"))
-    h = stats.withColumn("h", F.col("sd") * F.pow("n", F.lit(-0.2))).select("h", "n")
+def kde(sample: DataFrame, grid: DataFrame, rule: str = "scott") -> DataFrame:
+    """g, density at grid points (g) of a sample (x). The bandwidth follows Scott's rule, or a robust one, from the smaller of standard deviation and quartile distance."""
+    if rule not in ("scott", "robust"):
+        raise ValueError(f"rule is {rule}")
+    stats = sample.agg(F.stddev_samp("x").alias("sd"), F.count("*").alias("n"), F.percentile("x", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    spread = F.col("sd") if rule == "scott" else 0.9 * F.least(F.col("sd"), (F.col("q")[1] - F.col("q")[0]) / 1.349)
+    h = stats.withColumn("h", spread * F.pow("n", F.lit(-0.2))).select("h", "n")
     each = sample.join(F.broadcast(grid)).join(F.broadcast(h))  # the grid has a set size, h one row
     z = (F.col("g") - F.col("x")) / F.col("h")
     return each.groupBy("g", "h", "n").agg((F.sum(F.exp(-0.5 * z * z)) / (F.col("n") * F.col("h") * F.lit((2 * np.pi) ** 0.5))).alias("density")).select("g", "density")

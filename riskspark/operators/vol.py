@@ -50,12 +50,12 @@ def terciles(df: DataFrame, column: str) -> DataFrame:
     return df.join(F.broadcast(c)).withColumn("regime", F.when(F.col(column) >= F.col("c")[1], 2).when(F.col(column) >= F.col("c")[0], 1).when(F.col(column).isNotNull(), 0)).drop("c")  # one row
 
 
-def percentile_rank(df: DataFrame, column: str, train: Column, name: str = "u") -> DataFrame:
-    """df with the share of train rows that are not above: running counts over the sorted union, no lookup for each row."""
+def percentile_rank(df: DataFrame, column: str, train: Column, by: list[str], name: str = "u") -> DataFrame:
+    """df with the share of the group's train rows that are not above: running counts over the sorted union, no lookup for each row. Null for a group without train rows."""
     marked = df.withColumn("_train", train.cast("int"))
-    up_to = Window.orderBy(column).rangeBetween(Window.unboundedPreceding, 0)
-    total = marked.agg(F.sum("_train").alias("_n"))
-    return marked.join(F.broadcast(total)).withColumn(name, F.sum("_train").over(up_to) / F.col("_n")).drop("_train", "_n")  # one row
+    up_to = Window.partitionBy(*by).orderBy(column).rangeBetween(Window.unboundedPreceding, 0)
+    total = F.sum("_train").over(Window.partitionBy(*by))
+    return marked.withColumn(name, F.try_divide(F.sum("_train").over(up_to), total)).drop("_train")
 
 
 def episodes(days: DataFrame, gap: int = 5) -> DataFrame:

@@ -13,6 +13,10 @@ from .risk_queries import EARLY, SPLIT, STARTS, WINDOWS, first_four_fifths, pnl,
 from .sql import BASE, PNL
 
 
+#: Where tail dependence is shown.
+Q_GRID = (0.01, 0.02, 0.03, 0.05, 0.075, 0.1, 0.15, 0.2)
+
+
 def r6(c, name=None):
     return F.round(c, 6).alias(name or c)
 
@@ -39,7 +43,7 @@ def tail_dep_curve_top(spark, sf):
     first, last = dependence.tail_dependence(u, 0.1), dependence.tail_dependence(v, 0.1).withColumnRenamed("lam", "other")
     top = first.join(last, ["i", "j"]).withColumn("gap", F.round(F.abs(F.col("lam") - F.col("other")), 10)).orderBy(F.desc("gap"), "i", "j").limit(5).select("i", "j")
     curves = None
-    for q in (0.02, 0.05, 0.1):
+    for q in Q_GRID:
         part = dependence.tail_dependence(u, q).join(F.broadcast(top), ["i", "j"], "left_semi").withColumn("q", F.lit(q))  # five rows
         curves = part if curves is None else curves.unionByName(part)
     return curves.select("i", "j", "q", r8("lam"))
@@ -122,7 +126,8 @@ def histogram(spark, sf):
 def kde_grid(spark, sf):
     p = pnl(spark, sf).select(F.col("r").alias("x"))
     grid = spark.range(512).select((F.lit(-1.0) + F.col("id") * 2.0 / 511).alias("g"))
-    return dependence.kde(p, grid).select(r8("g"), r6("density"))
+    curves = [dependence.kde(p, grid, rule).select(F.lit(rule).alias("bandwidth"), r8("g"), r6("density")) for rule in ("scott", "robust")]
+    return curves[0].unionByName(curves[1])
 
 
 def survival_curve(spark, sf):
@@ -131,8 +136,9 @@ def survival_curve(spark, sf):
 
 
 def qq_points(spark, sf):
+    """Quantiles of earlier and later rows by feature, and of all features together as feature 0."""
     ps = [0.001 + k * (0.049 / 149) for k in range(150)]
-    r = rets(spark, sf)
+    r = rets(spark, sf).withColumn("j", F.explode(F.array(F.col("j"), F.lit(0))))
     early = first_four_fifths(r)
     two = r.groupBy("j").agg(*[F.percentile(F.when(c, F.col("x")), F.array(*[F.lit(p) for p in ps])).alias(n) for n, c in (("a", early), ("b", ~early))])
     places = two.select("j", "a", "b", F.explode(F.sequence(F.lit(0), F.lit(149))).alias("k"))  # a sample without rows has nulls
@@ -195,21 +201,27 @@ def signal_thresholds(spark, sf):
 
 
 def mean_rev_pnl(spark, sf):
-    held = strategies.positions(signal(spark, sf, False), -20.0, 20.0, trend=False)
+    """Bought below the low threshold of the signal and sold above the high one."""
+    z = signal(spark, sf, False)
+    low, high = (round(c, 6) for c in strategies.thresholds(z))
+    held = strategies.positions(z, low, high, trend=False)
     return strategies.strategy_pnl(held).select("w", "j", r6("pnl"))
 
 
 def ma_crossover_pnl(spark, sf):
-    held = strategies.positions(signal(spark, sf, True), 5.0, -5.0, trend=True)
+    """Bought above the high threshold of the signal and sold below the low one."""
+    z = signal(spark, sf, True)
+    low, high = (round(c, 6) for c in strategies.thresholds(z))
+    held = strategies.positions(z, high, low, trend=True)
     return strategies.strategy_pnl(held).select("w", "j", r6("pnl"))
 
 
 def strategy_table(spark, sf):
     """All strategies under one key."""
-    parts = [("buy_hold", buy_hold_pnl), ("mean_rev", mean_rev_pnl), ("trend", ma_crossover_pnl)]
+    parts = [("buy_hold", buy_hold_pnl), ("static", static_portfolios), ("mean_rev", mean_rev_pnl), ("trend", ma_crossover_pnl)]
     both = None
     for name, f in parts:
-        part = f(spark, sf).withColumn("strategy", F.lit(name))
+        part = f(spark, sf).select("w", "pnl", F.lit(name).alias("strategy"))
         both = part if both is None else both.unionByName(part)
     return both.groupBy("strategy").agg(F.count("*").alias("n"), F.round(F.avg("pnl"), 5).alias("mean"))
 
@@ -254,7 +266,7 @@ MR = "mr AS (SELECT pr.w, pr.j, pr.k, p, round((p - m) / 0.01::DOUBLE, 6) AS z F
 TF = "tf AS (SELECT w, j, k, p, round(((CASE WHEN k < 4 THEN p ELSE avg(p) OVER (PARTITION BY w, j ORDER BY k ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) END) - (CASE WHEN k < 9 THEN p ELSE avg(p) OVER (PARTITION BY w, j ORDER BY k ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) END)) / 0.01::DOUBLE, 6) AS z FROM pr)"
 
 
-def held(src: str, long_at: float, short_at: float, trend: bool, out: str) -> str:
+def held(src: str, long_at: str, short_at: str, trend: bool, out: str) -> str:
     up, down = "coalesce(b < {a} AND z >= {a}, false)", "coalesce(b > {a} AND z <= {a}, false)"
     short, long = (down.format(a=short_at), up.format(a=long_at)) if trend else (up.format(a=short_at), down.format(a=long_at))
     o = out
@@ -266,14 +278,19 @@ def held(src: str, long_at: float, short_at: float, trend: bool, out: str) -> st
 {o} AS (SELECT w, j, sum(pos * (nx - p)) AS pnl FROM {o}4 GROUP BY w, j)"""
 
 
-MRP, TFP = f"{MR}, {held('mr', -20.0, 20.0, False, 'mrp')}", f"{TF}, {held('tf', 5.0, -5.0, True, 'tfp')}"
+def cut_at(src: str, p: float) -> str:
+    return f"(SELECT round(quantile_cont(z, {p}::DOUBLE), 6) FROM {src})"
+
+
+STATIC = "wt AS (SELECT p AS portfolio, j, (CASE WHEN (j * p) % 2 = 0 THEN 1 ELSE -1 END) * j / 28::DOUBLE AS weight FROM (SELECT unnest([1, 2]) AS p), (SELECT unnest(range(1, 8)) AS j)), st AS (SELECT w, portfolio, sum(weight * pnl) AS pnl FROM bh JOIN wt USING (j) GROUP BY 1, 2)"
+MRP, TFP = f"{MR}, {held('mr', cut_at('mr', 0.31), cut_at('mr', 0.69), False, 'mrp')}", f"{TF}, {held('tf', cut_at('tf', 0.69), cut_at('tf', 0.31), True, 'tfp')}"
 _ps = ", ".join(f"{0.001 + k * (0.049 / 149)!r}::DOUBLE" for k in range(150))
 NN = "e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), nn AS (SELECT 'real' AS side, a.vec_id, min(list_distance(a.v, b.v)) AS d FROM e a JOIN e b ON b.vec_id % 2 = 1 AND a.vec_id % 2 = 1 AND a.vec_id <> b.vec_id GROUP BY 2 UNION ALL SELECT 'new', a.vec_id, min(list_distance(a.v, b.v)) FROM e a JOIN e b ON b.vec_id % 2 = 1 AND a.vec_id % 2 = 0 GROUP BY 2)"
 
 SQL = {
     "pseudo_obs": f"{BASE}, {R10}, {obs('o')} SELECT t, j, round(u, 8) AS u FROM o",
     "tail_dep_matrix": f"{BASE}, {R10}, {obs('o')} SELECT i, j, round(a.lam, 8) AS lower, round(b.lam, 8) AS upper FROM {lam('o', '0.05')} a JOIN {lam('o', '0.05', True)} b USING (i, j)",
-    "tail_dep_curve_top": f"{BASE}, {R10}, {obs('o', f't < {EARLY}')}, {obs('o2', f't >= {EARLY}')}, top AS (SELECT i, j FROM {lam('o', '0.1')} a JOIN {lam('o2', '0.1')} b USING (i, j) ORDER BY round(abs(a.lam - b.lam), 10) DESC, i, j LIMIT 5) SELECT i, j, q, round(lam, 8) AS lam FROM (" + " UNION ALL ".join(f"SELECT *, {q}::DOUBLE AS q FROM {lam('o', q)}" for q in ("0.02", "0.05", "0.1")) + ") SEMI JOIN top USING (i, j)",
+    "tail_dep_curve_top": f"{BASE}, {R10}, {obs('o', f't < {EARLY}')}, {obs('o2', f't >= {EARLY}')}, top AS (SELECT i, j FROM {lam('o', '0.1')} a JOIN {lam('o2', '0.1')} b USING (i, j) ORDER BY round(abs(a.lam - b.lam), 10) DESC, i, j LIMIT 5) SELECT i, j, q, round(lam, 8) AS lam FROM (" + " UNION ALL ".join(f"SELECT *, {q}::DOUBLE AS q FROM {lam('o', q)}" for q in map(str, Q_GRID)) + ") SEMI JOIN top USING (i, j)",
     "spearman_pairs": f"{BASE}, {R10}, {obs('o')} SELECT a.j AS i, b.j AS j, round(corr(a.u, b.u), 6) AS rho FROM o a JOIN o b ON a.t = b.t AND a.j < b.j GROUP BY 1, 2",
     "dependence_summary": f"{BASE}, c AS (SELECT a.j AS i, b.j AS j, corr(a.x, b.x) AS c FROM ret a JOIN ret b ON a.t = b.t AND a.j < b.j GROUP BY 1, 2) SELECT count(*) AS pairs, round(avg(c), 6) AS mean, round(quantile_cont(c, 0.95::DOUBLE), 6) AS q95, round(max(c), 6) AS largest, count_if(abs(c) > 0.02) AS n_over FROM c",
     "covariance_sums": f"{BASE} SELECT a.j AS i, b.j AS j, round(sum(a.x * b.x), 6) AS g FROM ret a JOIN ret b ON a.t = b.t AND a.j <= b.j GROUP BY 1, 2",
@@ -285,20 +302,20 @@ SQL = {
     "window_rms": f"{WIN} SELECT j, round(stddev_pop(m), 6) AS sd, round(avg(m), 6) AS mean FROM (SELECT w, j, sqrt(avg(x * x)) AS m FROM wins GROUP BY w, j) GROUP BY j",
     "kurtosis_table": f"{BASE} SELECT j, round(kurtosis_pop(x) + 3, 6) AS kurtosis, round(stddev_pop(x), 6) AS sd, round(quantile_cont(x, 0.01::DOUBLE), 8) AS q01, round(quantile_cont(x, 0.05::DOUBLE), 8) AS q05 FROM ret GROUP BY j",
     "histogram": f"{PNL} SELECT CAST(least(floor((r - lo) / (hi - lo) * 80), 79) AS INT) AS bin, count(*) AS n FROM pnl, (SELECT min(r) AS lo, max(r) AS hi FROM pnl) GROUP BY 1",
-    "kde_grid": f"{PNL}, h AS (SELECT stddev_samp(r) * count(*) ** (-0.2::DOUBLE) AS h, count(*) AS n FROM pnl) SELECT round(g, 8) AS g, round(sum(exp(-0.5 * ((g - r) / h) ** 2)) / (n * h * sqrt(2 * pi())), 6) AS density FROM pnl, h, (SELECT -1.0 + i * 2.0::DOUBLE / 511 AS g FROM range(0, 512) q(i)) GROUP BY g, n, h",
+    "kde_grid": f"{PNL}, h AS (SELECT 'scott' AS bandwidth, stddev_samp(r) * count(*) ** (-0.2::DOUBLE) AS h, count(*) AS n FROM pnl UNION ALL SELECT 'robust', 0.9 * least(stddev_samp(r), (quantile_cont(r, 0.75::DOUBLE) - quantile_cont(r, 0.25::DOUBLE)) / 1.349) * count(*) ** (-0.2::DOUBLE), count(*) FROM pnl) SELECT bandwidth, round(g, 8) AS g, round(sum(exp(-0.5 * ((g - r) / h) ** 2)) / (n * h * sqrt(2 * pi())), 6) AS density FROM pnl, h, (SELECT -1.0 + i * 2.0::DOUBLE / 511 AS g FROM range(0, 512) q(i)) GROUP BY bandwidth, g, n, h",
     "survival_curve": f"{PNL} SELECT round(r, 8) AS r, round(1 - row_number() OVER (ORDER BY r) / (count(*) OVER () + 1.0::DOUBLE), 8) AS s FROM pnl",
-    "qq_points": f"{BASE}, q AS (SELECT j, quantile_cont(x, [{_ps}]) FILTER (t < {EARLY}) AS a, quantile_cont(x, [{_ps}]) FILTER (t >= {EARLY}) AS b FROM ret GROUP BY j) SELECT j, CAST(k AS INT) AS k, round(a[k + 1], 8) AS first, round(b[k + 1], 8) AS last FROM q, range(0, 150) r(k)",
+    "qq_points": f"{BASE}, q AS (SELECT j, quantile_cont(x, [{_ps}]) FILTER (t < {EARLY}) AS a, quantile_cont(x, [{_ps}]) FILTER (t >= {EARLY}) AS b FROM (SELECT t, j, x FROM ret UNION ALL SELECT t, 0, x FROM ret) GROUP BY j) SELECT j, CAST(k AS INT) AS k, round(a[k + 1], 8) AS first, round(b[k + 1], 8) AS last FROM q, range(0, 150) r(k)",
     "worst_features": f"{BASE} SELECT j, round(quantile_cont(-x, 0.99::DOUBLE), 8) AS loss FROM ret GROUP BY j ORDER BY loss DESC, j LIMIT 3",
     "nn_novelty": f"WITH {NN} SELECT side, count(*) AS n, round(median(d), 5) AS median, round(min(d), 5) AS least, round(quantile_cont(d, 0.05::DOUBLE), 5) AS q05 FROM nn GROUP BY side",
     "hs_generator": f"{WIN}, l AS (SELECT round(sum(x) / count(DISTINCT j), 12) AS r FROM wins WHERE k < 10 GROUP BY w), law AS (SELECT r AS x, row_number() OVER (ORDER BY r) AS i, count(*) OVER () AS m FROM l), a AS (SELECT 0.05::DOUBLE AS alpha) SELECT 'hs' AS label, alpha, round(-max(CASE WHEN i = ceil(alpha * m) THEN x END), 8) AS var, round(-sum(CASE WHEN i <= floor(alpha * m) THEN x / m WHEN i = floor(alpha * m) + 1 THEN (alpha - floor(alpha * m) / m) * x ELSE 0 END) / alpha, 8) AS es, max(m) AS m FROM law, a GROUP BY alpha",
     "buy_hold_pnl": f"{PRICES}, {BH} SELECT w, j, round(pnl, 8) AS pnl FROM bh",
-    "static_portfolios": f"{PRICES}, {BH}, wt AS (SELECT p AS portfolio, j, (CASE WHEN (j * p) % 2 = 0 THEN 1 ELSE -1 END) * j / 28::DOUBLE AS weight FROM (SELECT unnest([1, 2]) AS p), (SELECT unnest(range(1, 8)) AS j)) SELECT w, portfolio, round(sum(weight * pnl), 8) AS pnl FROM bh JOIN wt USING (j) GROUP BY 1, 2",
+    "static_portfolios": f"{PRICES}, {BH}, {STATIC} SELECT w, portfolio, round(pnl, 8) AS pnl FROM st",
     "cumulative_windows": f"{PRICES} SELECT w, j, CAST(k AS INT) AS k, p FROM pr",
     "smoothed_windows": f"{PRICES} SELECT w, j, CAST(k AS INT) AS k, round(CASE WHEN k < 4 THEN p ELSE avg(p) OVER (PARTITION BY w, j ORDER BY k ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) END, 8) AS ma FROM pr",
     "signal_thresholds": f"{PRICES}, {MR}, {TF} SELECT 'mean_rev' AS strategy, round(quantile_cont(z, 0.31::DOUBLE), 6) AS lo, round(quantile_cont(z, 0.69::DOUBLE), 6) AS hi FROM mr UNION ALL SELECT 'trend', round(quantile_cont(z, 0.31::DOUBLE), 6), round(quantile_cont(z, 0.69::DOUBLE), 6) FROM tf",
     "mean_rev_pnl": f"{PRICES}, {MRP} SELECT w, j, round(pnl, 6) AS pnl FROM mrp",
     "ma_crossover_pnl": f"{PRICES}, {TFP} SELECT w, j, round(pnl, 6) AS pnl FROM tfp",
-    "strategy_table": f"{PRICES}, {BH}, {MRP}, {TFP} SELECT strategy, count(*) AS n, round(avg(pnl), 5) AS mean FROM (SELECT 'buy_hold' AS strategy, pnl FROM bh UNION ALL SELECT 'mean_rev', pnl FROM mrp UNION ALL SELECT 'trend', pnl FROM tfp) GROUP BY 1",
+    "strategy_table": f"{PRICES}, {BH}, {STATIC}, {MRP}, {TFP} SELECT strategy, count(*) AS n, round(avg(pnl), 5) AS mean FROM (SELECT 'buy_hold' AS strategy, pnl FROM bh UNION ALL SELECT 'static', pnl FROM st UNION ALL SELECT 'mean_rev', pnl FROM mrp UNION ALL SELECT 'trend', pnl FROM tfp) GROUP BY 1",
     "var_es_score": f"{PRICES}, {BH} SELECT round(avg((CASE WHEN pnl <= -0.6 THEN 1 ELSE 0 END - 0.05::DOUBLE) * (-10 * 0.36::DOUBLE / 2 + 10 * pnl * pnl / 2) - 0.8::DOUBLE * (CASE WHEN pnl <= -0.6 THEN 1 ELSE 0 END) * (-0.6::DOUBLE - pnl) + 0.05::DOUBLE * -0.8 * (-0.8 + 0.6::DOUBLE) - 0.05::DOUBLE * 0.64 / 2), 6) AS score, count(*) AS n FROM bh",
     "minmax_scale": f"{WIN} SELECT w, CAST(k AS INT) AS k, j, round(y, 8) AS y FROM (SELECT w, k, j, (x - min(x) OVER (PARTITION BY j)) / (max(x) OVER (PARTITION BY j) - min(x) OVER (PARTITION BY j) + 1e-7::DOUBLE) AS y FROM wins)",
     "symmetric_scale": f"{WIN} SELECT w, CAST(k AS INT) AS k, j, round(y, 8) AS y FROM (SELECT w, k, j, x / (max(abs(x)) OVER (PARTITION BY j) + 1e-12::DOUBLE) AS y FROM wins)",

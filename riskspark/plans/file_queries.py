@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from riskspark.operators import clean, split
+from riskspark.operators import clean, split, tails, vol
 from riskspark.sources import sinks, text
 from riskspark.sources.panels import lineitem_panel, quotes
 from riskspark.sources.shared import new_folder
 
-from . import cleaning, risk_queries, tail_queries, vol_queries
+from . import cleaning, report_queries, risk_queries, tail_queries, vol_queries
 from .risk_queries import BLOCK, N, SPLIT, STARTS, WINDOWS, hashed_split, rets, train_windows
 from .sql import BASE, P1
 
@@ -117,18 +118,36 @@ def labelled_sources(spark, sf):
     return both.groupBy("label", "w").agg(F.count("*").alias("cells"), F.round(F.sum("x"), 6).alias("total"))
 
 
-def stored(name, part):
-    def query(spark, sf):
-        path = new_folder(spark, name)
-        part.QUERIES[name](spark, sf).write.parquet(path)
-        return spark.read.parquet(path)
+def marginal_store(spark, sf):
+    """Marginals written whole and read back: the distribution function of every row follows from the stored tables alone."""
+    path = new_folder(spark, "marginals")
+    r = rets(spark, sf).withColumn("x", F.round("x", 10))
+    sinks.write_marginals(*tails.marginal_tables(r, tail_queries.fits(spark, sf)), path)
+    return tails.cdf_of(r, *sinks.read_marginals(spark, path)).select("t", "j", F.round("u", 5).alias("u"))
 
-    return query
+
+def regime_store(spark, sf):
+    """Ranks of volatility and the sorted volatilities that they refer to, written and read back; a rank is the share of those not above."""
+    path = new_folder(spark, "regime")
+    f = vol_queries.filtered(spark, sf).withColumn("sigma", F.round("sigma", 10))
+    lead = risk_queries.first_four_fifths(f)
+    order = Window.partitionBy("j").orderBy("sigma", "t")
+    sinks.write_regime(vol.percentile_rank(f, "sigma", lead, ["j"]).select("j", "t", "u"), f.where(lead).select("j", F.row_number().over(order).cast("long").alias("i"), "sigma"), path)
+    u, reference = spark.read.parquet(f"{path}/u"), spark.read.parquet(f"{path}/reference")
+    return u.select(F.lit("u").alias("part"), "j", F.col("t").alias("i"), F.round("u", 8).alias("value")).unionByName(reference.select(F.lit("reference").alias("part"), "j", "i", F.col("sigma").alias("value")))
+
+
+def report_store(spark, sf):
+    """The report on marginals as text, read back."""
+    path = new_folder(spark, "report")
+    report = report_queries.pit_report(spark, sf)
+    sinks.write_report(report, path)
+    return spark.read.csv(path, header=True, schema=report.schema)
 
 
 QUERIES = {f.__name__: f for f in (
-    separator_sniff, quote_extract, selection_audit, wide_prices, wide_dates, matrix_scan, matrix_log_returns, listed_valors, split_store, train_all_starts, panel_fingerprint, window_store, labelled_sources,
-)} | {"marginal_store": stored("gpd_zhang_stephens", tail_queries), "regime_store": stored("vol_percentile_u", vol_queries)}
+    separator_sniff, quote_extract, selection_audit, wide_prices, wide_dates, matrix_scan, matrix_log_returns, listed_valors, split_store, train_all_starts, panel_fingerprint, window_store, labelled_sources, marginal_store, regime_store, report_store,
+)}
 
 _long = "SELECT CAST(valor AS VARCHAR) AS valor, d, CAST(printf('%.8f', value) AS DOUBLE) AS value FROM dense"
 
@@ -145,6 +164,7 @@ SQL = {
     "train_all_starts": f"{BASE} SELECT DISTINCT t FROM ret WHERE t <= (SELECT max(t) FROM ret) - {N - 1}",
     "window_store": f"{BASE}, {SPLIT}, {STARTS}, {WINDOWS} SELECT 'train' AS label, w, CAST(k AS INT) AS k, j, round(x, 8) AS x FROM wins",
     "labelled_sources": f"{BASE}, {SPLIT}, {STARTS}, {WINDOWS} SELECT CASE WHEN w % 2 = 0 THEN 'even' ELSE 'odd' END AS label, w, count(*) AS cells, round(sum(x), 6) AS total FROM wins GROUP BY 1, 2",
-    "marginal_store": tail_queries.SQL["gpd_zhang_stephens"],
-    "regime_store": vol_queries.SQL["vol_percentile_u"],
+    "marginal_store": tail_queries.SQL["marginal_cdf"],
+    "regime_store": f"{BASE}, {vol_queries.EWMA}, {vol_queries.U} SELECT 'u' AS part, j, t AS i, round(u, 8) AS value FROM up UNION ALL SELECT 'reference', j, row_number() OVER (PARTITION BY j ORDER BY s, t), s FROM (SELECT t, j, round(sigma, 10) AS s FROM filt WHERE t < {vol_queries.C5})",
+    "report_store": report_queries.SQL["pit_report"],
 }

@@ -11,11 +11,12 @@ from riskspark.functions.tests import chi2_p, ks_p, pf_lr, tuff_lr, uniform
 from riskspark.functions.special import t_ppf
 from riskspark.operators import coverage, dependence, risk, split, tails
 from riskspark.session import ship
+from riskspark.sources.panels import lineitem_panel
 from riskspark.sources.shared import kept
 
 from . import diag_queries, tail_queries, vol_queries
 from .diag_queries import lam, obs, r6, rounded
-from .risk_queries import CUT, EARLY, HORIZON, LAW, LEVELS, PMF, SPLIT, STARTS, VARES, WINDOWS, first_four_fifths, hashed_split, n_rows, pf_sql, pnl, r8, rets, train_windows, tuff_sql
+from .risk_queries import CUT, EARLY, HORIZON, LAW, LEVELS, N, PMF, SPLIT, STARTS, VARES, WINDOWS, first_four_fifths, hashed_split, n_rows, pf_sql, pnl, r8, rets, train_windows, tuff_sql
 from .sql import BASE, PNL
 from .tail_queries import R10, cdf_sql, zs_sql
 
@@ -165,14 +166,15 @@ def pooled_density(spark, sf):
 
 
 def eps_diagnostics(spark, sf):
-    """Standardised returns of earlier and later rows: the equal-weight sum's law, and the mean correlation of pairs."""
+    """Standardised returns of earlier and later rows: the equal-weight sum's law, the mean correlation of pairs, and how the size of the sum varies between stretches of a window's length."""
     e = vol_queries.standardised_returns(spark, sf).withColumnRenamed("e", "x")
     e = e.withColumn("side", F.when(first_four_fifths(e), "train").otherwise("held out"))
     p = e.groupBy("side", "t").agg(F.avg("x").alias("p"))
     law = p.groupBy("side").agg(r6(F.stddev_pop("p"), "sd"), r6(F.percentile("p", F.lit(0.01)), "q01"), r6(F.percentile("p", F.lit(0.05)), "q05"), r6(F.kurtosis("p") + 3, "kurtosis"))
     pairs = e.select("side", "t", F.col("j").alias("i"), F.col("x").alias("a")).join(e.select("t", "j", F.col("x").alias("b")), "t").where("i < j")
     mean = pairs.groupBy("side", "i", "j").agg(F.corr("a", "b").alias("c")).groupBy("side").agg(r6(F.avg("c"), "mean_corr"))
-    return law.join(mean, "side")
+    rms = p.groupBy("side", F.floor(F.col("t") / N).alias("w")).agg(F.sqrt(F.avg(F.col("p") * F.col("p"))).alias("rms")).groupBy("side").agg(r6(F.stddev_pop("rms"), "rms_sd"))
+    return law.join(mean, "side").join(rms, "side")
 
 
 def corr_and_level(spark, sf):
@@ -182,13 +184,13 @@ def corr_and_level(spark, sf):
 
 
 def level_moments(spark, sf):
-    """Returns near a level of volatility: all days of it, and the first days of training windows that start there."""
-    u = vol_queries.vol_percentile_u(spark, sf).withColumn("level", F.explode(F.array(*[F.lit(v) for v in LEVELS_U]))).where("abs(u - level) <= 0.05").select("t", "level")
+    """Returns near a level of each instrument's volatility: all days of it, and the first days of training windows that start there."""
+    u = vol_queries.vol_percentile_u(spark, sf).withColumn("level", F.explode(F.array(*[F.lit(v) for v in LEVELS_U]))).where("abs(u - level) <= 0.05").select("t", "j", "level")
     days = pnl(spark, sf).select("t", "r")
     starts = train_windows(spark, sf).where("k = 0").select(F.col("w").alias("t")).distinct()
     near = u.join(days, "t")
     both = near.withColumn("side", F.lit("days")).unionByName(near.join(starts, "t").withColumn("side", F.lit("windows")))
-    return both.groupBy("side", "level").agg(F.count("*").alias("n"), r6(F.avg("r"), "mean"), r6(F.stddev_pop("r"), "sd"), r6(-F.percentile("r", F.lit(0.05)), "var95"), r6(-F.percentile("r", F.lit(0.01)), "var99"))
+    return both.groupBy("side", "j", "level").agg(F.count("*").alias("n"), r6(F.avg("r"), "mean"), r6(F.stddev_pop("r"), "sd"), r6(-F.percentile("r", F.lit(0.05)), "var95"), r6(-F.percentile("r", F.lit(0.01)), "var99"))
 
 
 def leading_marginals(spark, sf):
@@ -228,6 +230,31 @@ def pit_extremes(spark, sf):
     return per.withColumn("verdict", F.when(F.col("z_train") > 100, "fail").when(F.col("z_train") > 50, "warn").otherwise("pass"))
 
 
+def panel_validation(spark, sf):
+    """The validator over prices, returns and fitted marginals: rule, severity, value, passed. Scores are Student-t with four degrees of freedom, whose quantiles have a closed form."""
+    prices, r = lineitem_panel(spark, sf), rounded(spark, sf)
+    exc = tails.exceedances(r)
+    fits = tails.zhang_stephens(exc, ["j", "side"])
+    u = tails.marginal_cdf(r, fits).withColumn("z", F.abs(tails.student4(F.least(F.greatest("u", F.lit(1e-12)), F.lit(1 - 1e-12)))))
+    per = u.groupBy("j").agg(F.max("z").alias("z"))
+    name = F.col("valor").cast("string")
+    rule = lambda name, severity, value, passed: F.struct(F.lit(name).alias("rule"), F.lit(severity).alias("severity"), F.round(value.cast("double"), 4).alias("value"), passed.alias("passed"))
+    parts = [
+        prices.agg(F.count_if(F.coalesce(name, F.lit("")) == "").alias("a"), F.count_distinct(F.when(name.rlike(r"^[0-9.\-]+$"), name)).alias("b"), F.count_if(F.col("value") <= 0).alias("c"), F.avg(F.abs("value")).alias("d"))
+        .select(F.array(rule("names", "fail", F.col("a"), F.col("a") == 0), rule("numeric names", "warn", F.col("b"), F.col("b") == 0), rule("positive prices", "fail", F.col("c"), F.col("c") == 0), rule("price level", "warn", F.col("d"), F.col("d") >= 0.5)).alias("r")),
+        r.agg(F.count_if(F.col("x").isNull() | F.isnan("x") | (F.abs("x") == float("inf"))).alias("a"), F.avg(F.abs("x")).alias("b"), F.max(F.abs("x")).alias("c"))
+        .select(F.array(rule("finite", "fail", F.col("a"), F.col("a") == 0), rule("mean size", "fail", F.col("b"), F.col("b") <= 1), rule("largest", "warn", F.col("c"), F.col("c") <= 1)).alias("r")),
+        fits.agg(F.min("n").alias("a"), F.count("*").alias("b"), F.count_if(F.col("xi") > 1).alias("c"), F.count_if(F.col("xi") < 0).alias("d"))
+        .select(F.array(rule("exceedances", "fail", F.col("a"), F.col("a") >= tails.LEAST), rule("fits", "fail", F.col("b"), F.col("b") > 0), rule("shapes over 1", "warn", F.col("c"), F.col("c") == 0), rule("shapes under 0", "info", F.col("d"), F.lit(True))).alias("r")),
+        per.agg(F.max("z").alias("a"), F.count_if(F.col("z") > 100).alias("b"), F.count_if((F.col("z") > 50) & (F.col("z") <= 100)).alias("c"))
+        .select(F.array(rule("largest score", "info", F.col("a"), F.lit(True)), rule("scores over 100", "fail", F.col("b"), F.col("b") == 0), rule("scores over 50", "warn", F.col("c"), F.col("c") == 0)).alias("r")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select(F.inline("r"))
+
+
 def band_labels(spark, sf):
     """The band of levels that labels name, where all those of a set name the same."""
     sets = spark.createDataFrame(SETS, "g int, label string")
@@ -241,7 +268,7 @@ SETS = [(0, "windows_u0.90"), (0, "other_u0.90"), (1, "windows_u0.10"), (1, "win
 
 QUERIES = {f.__name__: f for f in (
     coverage_pvalues, es_test_records, ks_pvalues, rejection_rates, pair_slope, half_split_floor, run_summary, spread_pairs, dependent_group, matched_windows, seeded_sample, pooled_density,
-    eps_diagnostics, corr_and_level, level_moments, pit_report, pit_extremes, band_labels,
+    eps_diagnostics, corr_and_level, level_moments, pit_report, pit_extremes, panel_validation, band_labels,
 )}
 
 
@@ -293,13 +320,18 @@ SQL = {
     "matched_windows": f"{BASE}, {SPLIT}, {STARTS}, {WINDOWS}, losses AS (SELECT w, round(-sum(x) / count(DISTINCT j), 10) AS loss FROM wins WHERE k < {HORIZON} GROUP BY w), ranked AS (SELECT w, loss, row_number() OVER (ORDER BY loss, w) - 1 AS k, count(*) OVER () AS n FROM losses) SELECT 'rank' AS side, round(q, 6) AS q, w, round(loss, 8) AS loss FROM ranked, (SELECT unnest([{_picks}]) AS q) WHERE k = floor(q * (n - 1)) UNION ALL SELECT 'worst', NULL, w, round(loss, 8) FROM ranked WHERE k >= n - 5",
     "seeded_sample": f"{BASE} SELECT t, d FROM (SELECT DISTINCT t, d FROM ret) ORDER BY {hashed_sql('5', 't')}, t LIMIT 100",
     "pooled_density": f"{BASE}, {R10}, s AS (SELECT j, x, CASE WHEN t < {EARLY} THEN 'early' ELSE 'late' END AS side, min(x) OVER (PARTITION BY j) AS lo, max(x) OVER (PARTITION BY j) AS hi FROM ret10), b AS (SELECT j, side, lo, hi, least(CAST(floor((x - lo) / (hi - lo) * 119) AS BIGINT), 118) AS bin, count(*) OVER (PARTITION BY j, side) AS n FROM s) SELECT j, side, bin, count(*) AS count, round(count(*) / any_value(n) / ((any_value(hi) - any_value(lo)) / 119), 6) AS density FROM b GROUP BY j, side, bin",
-    "eps_diagnostics": f"WITH src AS ({vol_queries.SQL['standardised_returns']}), e AS (SELECT t, j, e AS x, CASE WHEN t < {_cut} THEN 'train' ELSE 'held out' END AS side FROM src), p AS (SELECT side, t, avg(x) AS p FROM e GROUP BY ALL), law AS (SELECT side, round(stddev_pop(p), 6) AS sd, round(quantile_cont(p, 0.01::DOUBLE), 6) AS q01, round(quantile_cont(p, 0.05::DOUBLE), 6) AS q05, round(kurtosis_pop(p) + 3, 6) AS kurtosis FROM p GROUP BY side), c AS (SELECT a.side, corr(a.x, b.x) AS c FROM e a JOIN e b ON a.t = b.t AND a.j < b.j GROUP BY a.side, a.j, b.j) SELECT law.*, m.mean_corr FROM law JOIN (SELECT side, round(avg(c), 6) AS mean_corr FROM c GROUP BY side) m USING (side)",
+    "eps_diagnostics": f"WITH src AS ({vol_queries.SQL['standardised_returns']}), e AS (SELECT t, j, e AS x, CASE WHEN t < {_cut} THEN 'train' ELSE 'held out' END AS side FROM src), p AS (SELECT side, t, avg(x) AS p FROM e GROUP BY ALL), law AS (SELECT side, round(stddev_pop(p), 6) AS sd, round(quantile_cont(p, 0.01::DOUBLE), 6) AS q01, round(quantile_cont(p, 0.05::DOUBLE), 6) AS q05, round(kurtosis_pop(p) + 3, 6) AS kurtosis FROM p GROUP BY side), c AS (SELECT a.side, corr(a.x, b.x) AS c FROM e a JOIN e b ON a.t = b.t AND a.j < b.j GROUP BY a.side, a.j, b.j) SELECT law.*, m.mean_corr, q.rms_sd FROM law JOIN (SELECT side, round(avg(c), 6) AS mean_corr FROM c GROUP BY side) m USING (side) JOIN (SELECT side, round(stddev_pop(rms), 6) AS rms_sd FROM (SELECT side, t // {N} AS w, sqrt(avg(p * p)) AS rms FROM p GROUP BY 1, 2) GROUP BY side) q USING (side)",
     "corr_and_level": f"WITH c AS ({vol_queries.SQL['rolling_mean_corr']}), v AS ({vol_queries.SQL['relative_vol']}) SELECT count(*) AS n, round(stddev_pop(c), 6) AS sd, round(corr(c, ln(level)), 6) AS corr FROM c JOIN v USING (t)",
-    "level_moments": f"{PNL}, {SPLIT}, {STARTS}, us AS (SELECT t, unnest([{', '.join(f'{v}::DOUBLE' for v in LEVELS_U)}]) AS level, u FROM ({vol_queries.SQL['vol_percentile_u']})), near AS (SELECT pnl.t, level, r FROM us JOIN pnl USING (t) WHERE abs(u - level) <= 0.05::DOUBLE), b AS (SELECT 'days' AS side, * FROM near UNION ALL SELECT 'windows', * FROM near WHERE t IN (SELECT t FROM starts)) SELECT side, level, count(*) AS n, round(avg(r), 6) AS mean, round(stddev_pop(r), 6) AS sd, round(-quantile_cont(r, 0.05::DOUBLE), 6) AS var95, round(-quantile_cont(r, 0.01::DOUBLE), 6) AS var99 FROM b GROUP BY side, level",
+    "level_moments": f"{PNL}, {SPLIT}, {STARTS}, us AS (SELECT t, j, unnest([{', '.join(f'{v}::DOUBLE' for v in LEVELS_U)}]) AS level, u FROM ({vol_queries.SQL['vol_percentile_u']})), near AS (SELECT pnl.t, j, level, r FROM us JOIN pnl USING (t) WHERE abs(u - level) <= 0.05::DOUBLE), b AS (SELECT 'days' AS side, * FROM near UNION ALL SELECT 'windows', * FROM near WHERE t IN (SELECT t FROM starts)) SELECT side, j, level, count(*) AS n, round(avg(r), 6) AS mean, round(stddev_pop(r), 6) AS sd, round(-quantile_cont(r, 0.05::DOUBLE), 6) AS var95, round(-quantile_cont(r, 0.01::DOUBLE), 6) AS var99 FROM b GROUP BY side, j, level",
     "pit_report": f"{BASE}, ret10 AS (SELECT t, j, round(x, 10) AS x FROM ret), lead10 AS (SELECT * FROM ret10 WHERE t < {EARLY}), th10 AS (SELECT j, quantile_cont(x, 0.05::DOUBLE) AS u_lo, quantile_cont(x, 1 - 0.05::DOUBLE) AS u_hi FROM lead10 GROUP BY j), "
     f"knots AS (SELECT j, x, min(p) AS p FROM (SELECT j, x, (row_number() OVER (PARTITION BY j ORDER BY x) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY j) AS p FROM lead10) JOIN th10 USING (j) WHERE x BETWEEN u_lo AND u_hi GROUP BY j, x), "
     f"exc AS (SELECT j, 'lower' AS side, u_lo - x AS y FROM lead10 JOIN th10 USING (j) WHERE x < u_lo UNION ALL SELECT j, 'upper', x - u_hi FROM lead10 JOIN th10 USING (j) WHERE x > u_hi), {zs_sql('j, side')}, {cdf_sql('fits')}, "
     f"tr AS (SELECT j, u FROM cdf WHERE t < {EARLY}), te AS (SELECT j, u FROM cdf WHERE t >= {EARLY}), {fit_sql('tr', 'f1')}, {fit_sql('te', 'f2')}, ends AS (SELECT j, min(x) AS lo, max(x) AS hi FROM lead10 GROUP BY j), beyond AS (SELECT j, count_if(x < lo OR x > hi) AS n_beyond FROM ret10 JOIN ends USING (j) WHERE t >= {EARLY} GROUP BY j) "
     f"SELECT j, round(f1.ks, 6) AS ks_train, round({ks_p_sql('f1.ks', 'f1.n')}, 6) AS p_train, round(f2.ks, 6) AS ks_test, round({ks_p_sql('f2.ks', 'f2.n')}, 6) AS p_test, round(f1.ad, 3) AS ad_train, round(f2.ad, 3) AS ad_test, n_beyond, row_number() OVER (ORDER BY round(f2.ad, 3) DESC, j) AS place FROM f1 JOIN f2 USING (j) JOIN beyond USING (j)",
+    "panel_validation": f"{BASE}, {R10}, exc AS (SELECT j, 'lower' AS side, u_lo - x AS y FROM ret10 JOIN th10 USING (j) WHERE x < u_lo UNION ALL SELECT j, 'upper', x - u_hi FROM ret10 JOIN th10 USING (j) WHERE x > u_hi), {zs_sql('j, side')}, {cdf_sql('fits')}, "
+    "pz AS (SELECT j, max(abs(sign(p - 0.5) * 2.0 * sqrt(greatest(cos(acos(least(sqrt(4.0 * p * (1.0 - p)), 1.0)) / 3.0) / sqrt(4.0 * p * (1.0 - p)) - 1.0, 0.0)))) AS z FROM (SELECT j, least(greatest(u, 1e-12::DOUBLE), 1 - 1e-12::DOUBLE) AS p FROM cdf) GROUP BY j), "
+    "v AS (SELECT count_if(valor IS NULL) AS a, count(DISTINCT valor) AS b, count_if(value <= 0) AS c, avg(abs(value)) AS d FROM p1), w AS (SELECT count_if(x IS NULL OR isnan(x) OR isinf(x)) AS a, avg(abs(x)) AS b, max(abs(x)) AS c FROM ret10), f AS (SELECT min(n) AS a, count(*) AS b, count_if(xi > 1) AS c, count_if(xi < 0) AS d FROM fits), g AS (SELECT max(z) AS a, count_if(z > 100) AS b, count_if(z > 50 AND z <= 100) AS c FROM pz), "
+    "rules AS (SELECT 'names' AS rule, 'fail' AS severity, a::DOUBLE AS value, a = 0 AS passed FROM v UNION ALL SELECT 'numeric names', 'warn', b, b = 0 FROM v UNION ALL SELECT 'positive prices', 'fail', c, c = 0 FROM v UNION ALL SELECT 'price level', 'warn', d, d >= 0.5 FROM v UNION ALL SELECT 'finite', 'fail', a, a = 0 FROM w UNION ALL SELECT 'mean size', 'fail', b, b <= 1 FROM w UNION ALL SELECT 'largest', 'warn', c, c <= 1 FROM w "
+    "UNION ALL SELECT 'exceedances', 'fail', a, a >= 5 FROM f UNION ALL SELECT 'fits', 'fail', b, b > 0 FROM f UNION ALL SELECT 'shapes over 1', 'warn', c, c = 0 FROM f UNION ALL SELECT 'shapes under 0', 'info', d, true FROM f UNION ALL SELECT 'largest score', 'info', a, true FROM g UNION ALL SELECT 'scores over 100', 'fail', b, b = 0 FROM g UNION ALL SELECT 'scores over 50', 'warn', c, c = 0 FROM g) SELECT rule, severity, round(value, 4) AS value, passed FROM rules",
     "band_labels": f"WITH s AS (SELECT g, try_cast(regexp_extract(label, '_u([0-9]*\\.[0-9]+)', 1) AS DOUBLE) AS u FROM (VALUES {_sets}) v(g, label)), p AS (SELECT g, count(u) = count(*) AND count(DISTINCT u) = 1 AS one, max(u) AS u FROM s GROUP BY g) SELECT g, CASE WHEN one THEN round(greatest(u - 0.05, 0), 8) END AS lo, CASE WHEN one THEN round(least(u + 0.05, 1), 8) END AS hi FROM p",
 }

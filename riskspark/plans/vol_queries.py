@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskspark.functions.tests import traffic_light
-from riskspark.operators import risk, shortfall, vol, volmodels
+from riskspark.operators import dependence, risk, shortfall, vol, volmodels
 from riskspark.session import ship
 
 from .risk_queries import ALPHAS, CUT, LAW, LEVELS, VARES, first_four_fifths, pnl, r8, rets, train_pnl
@@ -38,9 +38,10 @@ def relative_vol(spark, sf):
 
 
 def vol_percentile_u(spark, sf):
-    f = filtered(spark, sf).where("j = 1")
-    ranked = vol.percentile_rank(f.withColumn("sigma", F.round("sigma", 10)), "sigma", first_four_fifths(f))
-    return ranked.select("t", r8("u"))
+    """Rank of each instrument's volatility among its earlier rows."""
+    f = filtered(spark, sf)
+    ranked = vol.percentile_rank(f.withColumn("sigma", F.round("sigma", 10)), "sigma", first_four_fifths(f), ["j"])
+    return ranked.select("t", "j", r8("u"))
 
 
 def regimes(spark, sf):
@@ -74,17 +75,17 @@ def regime_episodes(spark, sf):
 
 
 def regime_band(spark, sf):
-    """Days whose rank of volatility lies in a band, both ends inside."""
-    f = filtered(spark, sf).where("j = 1").withColumn("sigma", F.round("sigma", 10))
-    u = vol.percentile_rank(f, "sigma", first_four_fifths(f)).where(F.col("u").between(0.4, 0.6))
-    return u.join(pnl(spark, sf), "t").agg(F.count("*").alias("n"), r8(F.avg("r"), "mean"), r8(F.stddev_pop("r"), "sd"))
+    """Days on which an instrument's rank of volatility lies in a band, both ends inside."""
+    f = filtered(spark, sf).withColumn("sigma", F.round("sigma", 10))
+    u = vol.percentile_rank(f, "sigma", first_four_fifths(f), ["j"]).where(F.col("u").between(0.4, 0.6))
+    return u.join(pnl(spark, sf), "t").groupBy("j").agg(F.count("*").alias("n"), r8(F.avg("r"), "mean"), r8(F.stddev_pop("r"), "sd"))
 
 
 def rolling_pair_corr(spark, sf):
-    r = rets(spark, sf)
-    two = r.where("j = 1").select("t", F.col("x").alias("a")).join(r.where("j = 2").select("t", F.col("x").alias("b")), "t")
-    w = Window.orderBy("t").rowsBetween(-62, 0)
-    return two.withColumn("n", F.count("*").over(w)).withColumn("c", F.corr("a", "b").over(w)).where("n = 63").select("t", F.round("c", 6).alias("c"))
+    """Of every pair of instruments over 63 rows."""
+    two = dependence.pairs_on_rows(rets(spark, sf), "x")
+    w = Window.partitionBy("i", "j").orderBy("t").rowsBetween(-62, 0)
+    return two.withColumn("n", F.count("*").over(w)).withColumn("c", F.corr("a", "b").over(w)).where("n = 63").select("i", "j", "t", F.round("c", 6).alias("c"))
 
 
 def pair_moments(spark, sf, group):
@@ -206,7 +207,7 @@ tc AS (SELECT quantile_cont(vol, 1 / 3::DOUBLE) AS c1, quantile_cont(vol, 2 / 3:
 reg AS (SELECT t, r, vol, CAST(CASE WHEN vol >= c2 THEN 2 WHEN vol >= c1 THEN 1 WHEN vol IS NOT NULL THEN 0 END AS INT) AS regime FROM tv, tc)"""
 SCORED = f"{CUT}, {LEVELS}, {LAW}, {VARES}, scored AS (SELECT t, r, alpha, var, es, r + var < 0 AS exc FROM test, vares)"
 Z = "z AS (SELECT {by} alpha, count(*) AS n, count_if(r + var < 0) AS n_exc, CASE WHEN count_if(r + var < 0) > 0 THEN sum(CASE WHEN r + var < 0 THEN r / es ELSE 0 END) / count_if(r + var < 0) + 1 END AS z1, sum(CASE WHEN r + var < 0 THEN r / es ELSE 0 END) / (count(*) * alpha) + 1 AS z2 FROM {src} GROUP BY {by} alpha)"
-U = "up AS (SELECT t, sum(CASE WHEN t < (SELECT floor((1.0::DOUBLE - 0.2::DOUBLE) * (max(t) + 1)) FROM ret) THEN 1 ELSE 0 END) OVER (ORDER BY s RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / CAST(floor((1.0::DOUBLE - 0.2::DOUBLE) * (SELECT max(t) + 1 FROM ret)) AS DOUBLE) AS u FROM (SELECT t, round(sigma, 10) AS s FROM filt WHERE j = 1))"
+U = "up AS (SELECT t, j, sum(CASE WHEN t < (SELECT floor((1.0::DOUBLE - 0.2::DOUBLE) * (max(t) + 1)) FROM ret) THEN 1 ELSE 0 END) OVER (PARTITION BY j ORDER BY s RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / CAST(floor((1.0::DOUBLE - 0.2::DOUBLE) * (SELECT max(t) + 1 FROM ret)) AS DOUBLE) AS u FROM (SELECT t, j, round(sigma, 10) AS s FROM filt))"
 FHS = f"""scen AS (SELECT a.t, b.t AS s, round(sum(b.x / b.sigma * a.sigma) / count(*), 12) AS x FROM filt a JOIN filt b USING (j) WHERE a.t >= {C5} AND b.t < {C5} GROUP BY 1, 2),
 law AS (SELECT t, row_number() OVER (PARTITION BY t ORDER BY x) AS i, x, count(*) OVER (PARTITION BY t) AS m FROM scen), {LEVELS},
 vares AS (SELECT t, alpha, -max(CASE WHEN i = ceil(alpha * m) THEN x END) AS var, -sum(CASE WHEN i <= floor(alpha * m) THEN x / m WHEN i = floor(alpha * m) + 1 THEN (alpha - floor(alpha * m) / m) * x ELSE 0 END) / alpha AS es, max(m) AS m FROM law, alphas GROUP BY t, alpha)"""
@@ -226,13 +227,13 @@ SQL = {
     "ewma_sigma": f"{BASE}, {EWMA} SELECT t, j, round(sigma, 8) AS sigma FROM filt",
     "standardised_returns": f"{BASE}, {EWMA} SELECT t, j, round(x / sigma, 6) AS e FROM filt",
     "relative_vol": f"{BASE}, {EWMA}, mids AS (SELECT j, median(sigma) AS mid FROM filt GROUP BY j) SELECT t, round(median(sigma / mid), 6) AS level FROM filt JOIN mids USING (j) GROUP BY t",
-    "vol_percentile_u": f"{BASE}, {EWMA}, {U} SELECT t, round(u, 8) AS u FROM up",
+    "vol_percentile_u": f"{BASE}, {EWMA}, {U} SELECT t, j, round(u, 8) AS u FROM up",
     "trailing_vol_regime": f"{PNL}, {REG} SELECT t, vol, regime FROM reg",
     "exceptions_by_regime": f"{PNL}, {REG}, {SCORED} SELECT round(alpha, 8) AS alpha, regime, count(*) AS n, count_if(exc) AS x FROM scored JOIN reg USING (t) GROUP BY 1, 2",
     "exc_given_prev": f"{PNL}, {SCORED} SELECT round(alpha, 8) AS alpha, count_if(b) AS n_before, count_if(b AND exc) AS n_both FROM (SELECT alpha, exc, CASE WHEN lag(t) OVER w = t - 1 THEN lag(exc) OVER w END AS b FROM scored WINDOW w AS (PARTITION BY alpha ORDER BY t)) GROUP BY 1",
     "regime_episodes": f"{PNL}, {REG} SELECT min(t) AS first_t, max(t) AS last_t, count(*) AS n FROM (SELECT t, sum(nw) OVER (ORDER BY t) AS run FROM (SELECT t, CASE WHEN t - lag(t) OVER (ORDER BY t) > 5 THEN 1 ELSE 0 END AS nw FROM reg WHERE regime = 0)) GROUP BY run ORDER BY n DESC, first_t LIMIT 8",
-    "regime_band": f"{PNL}, {EWMA}, {U} SELECT count(*) AS n, round(avg(r), 8) AS mean, round(stddev_pop(r), 8) AS sd FROM up JOIN pnl USING (t) WHERE u BETWEEN 0.4::DOUBLE AND 0.6::DOUBLE",
-    "rolling_pair_corr": f"{BASE}, two AS (SELECT a.t, a.x AS a, b.x AS b FROM ret a JOIN ret b ON a.t = b.t AND a.j = 1 AND b.j = 2) SELECT t, round(c, 6) AS c FROM (SELECT t, count(*) OVER w AS n, corr(a, b) OVER w AS c FROM two WINDOW w AS (ORDER BY t ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)) WHERE n = 63",
+    "regime_band": f"{PNL}, {EWMA}, {U} SELECT j, count(*) AS n, round(avg(r), 8) AS mean, round(stddev_pop(r), 8) AS sd FROM up JOIN pnl USING (t) WHERE u BETWEEN 0.4::DOUBLE AND 0.6::DOUBLE GROUP BY j",
+    "rolling_pair_corr": f"{BASE}, two AS (SELECT a.t, a.j AS i, b.j AS j, a.x AS a, b.x AS b FROM ret a JOIN ret b ON a.t = b.t AND a.j < b.j) SELECT i, j, t, round(c, 6) AS c FROM (SELECT i, j, t, count(*) OVER w AS n, corr(a, b) OVER w AS c FROM two WINDOW w AS (PARTITION BY i, j ORDER BY t ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)) WHERE n = 63",
     "corr_by_regime": f"{PNL}, {REG}, grp AS (SELECT t, regime AS g FROM reg WHERE regime IS NOT NULL), {PAIRS} SELECT g AS regime, round(avg(c), 6) AS mean_corr, count(*) AS pairs FROM pc GROUP BY g",
     "rolling_mean_corr": f"{BASE}, grp AS (SELECT g, unnest(range(g - 62, g + 1)) AS t FROM (SELECT DISTINCT t AS g FROM ret WHERE t >= 62 AND (t - 62) % 5 = 0)), {PAIRS} SELECT g AS t, round(avg(c), 6) AS c FROM pc GROUP BY g",
     "days_per_year": f"{BASE} SELECT CAST(year(d) AS INT) AS y, count(DISTINCT t) AS n FROM ret GROUP BY 1",

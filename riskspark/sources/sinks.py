@@ -41,6 +41,22 @@ def read_split(spark: SparkSession, path: str) -> Split:
     return Split.restored(json.loads(spark.read.text(path).first()[0]))
 
 
+def write_marginals(ends: DataFrame, knots: DataFrame, path: str) -> None:
+    """The two tables of marginals, from which the distribution function can be read back whole."""
+    ends.write.parquet(f"{path}/tails")
+    knots.write.parquet(f"{path}/body")
+
+
+def read_marginals(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/tails"), spark.read.parquet(f"{path}/body")
+
+
+def write_regime(ranks: DataFrame, reference: DataFrame, path: str) -> None:
+    """The rank of volatility of each row, and the earlier volatilities in order that it refers to."""
+    ranks.write.parquet(f"{path}/u")
+    reference.write.parquet(f"{path}/reference")
+
+
 def write_report(table: DataFrame, path: str) -> None:
     """A small report as text with a header."""
     table.write.csv(path, header=True)
