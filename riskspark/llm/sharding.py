@@ -1,22 +1,27 @@
 """Shards along a Hilbert curve over document metadata.
 
-Language, source and size are quantised by quantiles, the cells numbered along a Hilbert curve, and the documents
+Language, source and size are quantised by how many rows have smaller values, the cells numbered along a Hilbert curve, and the documents
 ranked by that number; runs of the ranking make shards of equal row counts. Each shard then spans a compact box
 in all dimensions, so that readers can skip files by the minima and maxima of several columns.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from riskspark.session import ship
 
-from .common import in_one, read_table, saved, with_running_total
+from .common import in_one, new_dir, read_table, saved, with_running_total
 
 BITS = 5
+#: Bytes of text that one range of the order holds, about.
+RANGE_BYTES = 1 << 27
 
 
 def hilbert_index(cells: list[np.ndarray], bits: int) -> np.ndarray:
@@ -43,66 +48,101 @@ def hilbert_index(cells: list[np.ndarray], bits: int) -> np.ndarray:
     return out
 
 
-def leading_bytes(text: Column) -> Column:
-    """The first six bytes as a number that sorts like the string; null is -1."""
-    digits = F.rpad(F.substring(F.hex(F.encode(text, "UTF-8")), 1, 12), 12, "0")
-    return F.coalesce(F.conv(digits, 16, 10).cast("long"), F.lit(-1))
+def string_cuts(rows: DataFrame, column: str, cells: int) -> list[str]:
+    """The values at the quantiles that part a string column's rows into cells of near equal numbers of rows; a frequent value is there more than once. Distinct values are
+    counted and put in order, whole, range by range; the driver sees one value a cell."""
+    counted = rows.groupBy(column).agg(F.count("*").alias("_n"))
+    placed = with_running_total(counted, [column], F.col("_n"), "_before", "shard-values")
+    total = rows.count()
+    first, last = (F.expr(f"({c} * {cells} + {max(total, 1) - 1}) div {max(total, 1)}") for c in ("_before", "(_before + _n)"))
+    held = placed.select(F.col(column).alias("v"), F.greatest(first, F.lit(1)).alias("a"), (last - 1).alias("b")).where("a <= b")
+    return sorted(r["v"] for r in held.select("v", F.explode(F.sequence("a", "b")).alias("k")).where(F.col("k") < cells).collect())
+
 
+def cell_cuts(rows: DataFrame, strings: list[str], numbers: list[str], bits: int = BITS) -> dict[str, list]:
+    """Of each dimension the values that part rows, which are saved, into 2 ** bits cells of near equal numbers of rows."""
+    cells = 2**bits
+    steps = [k / cells for k in range(1, cells)]
+    found = rows.agg(*[F.percentile_approx(c, steps, 10_000).alias(c) for c in numbers]).first()
+    return {c: string_cuts(rows, c, cells) for c in strings} | {c: list(found[c] or []) for c in numbers}
 
-def hilbert_ranked(rows: DataFrame, dims: list[str], ties: list[str], bits: int = BITS) -> DataFrame:
-    """rows, which are saved, with their place along the curve in the column rank; dims: columns of whole numbers."""
-    steps = [k / 2**bits for k in range(1, 2**bits)]
-    cuts = rows.agg(*[F.percentile_approx(c, steps, 10_000).alias(c) for c in dims]).first()
+
+def with_curve(rows: DataFrame, cuts: dict[str, list], bits: int = BITS) -> DataFrame:
+    """rows with their cell's number along the curve in the column curve; equal values share a cell."""
 
     def cell(c: str) -> Column:
-        edges = F.array(*[F.lit(int(x)).cast("long") for x in cuts[c] or [0]])
-        return F.size(F.filter(edges, lambda e: e <= F.col(c)))
+        kind = "string" if cuts[c] and isinstance(cuts[c][0], str) else "bigint"
+        edges = F.array(*[F.lit(x) for x in cuts[c]]).cast(f"array<{kind}>")
+        return F.size(F.filter(edges, lambda e: e <= F.col(c))) if cuts[c] else F.lit(0)
 
     @F.pandas_udf("long")
-    def index(*cells: pd.Series) -> pd.Series:
-        return pd.Series(hilbert_index([c.to_numpy() for c in cells], bits))
+    def index(*found: pd.Series) -> pd.Series:
+        return pd.Series(hilbert_index([c.to_numpy() for c in found], bits))
+
+    return rows.withColumn("curve", index(*[cell(c) for c in cuts]))
+
+
+STRINGS, NUMBERS = ["_lang", "_source"], ["size"]
+
 
-    placed = rows.withColumn("curve", index(*[cell(c) for c in dims]))
-    return with_running_total(placed, ["curve", *ties], F.lit(1), "rank", "shard-order")
+def metadata(of: str = "") -> list[Column]:
+    """id, size, crc, lang and source of documents, in columns or in the struct `of`; a null text has no bytes, null metadata count as empty."""
+    text = F.coalesce(F.col(f"{of}text"), F.lit(""))
+    return [
+        F.col(f"{of}doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
+        F.coalesce(F.col(f"{of}lang"), F.lit("")).alias("_lang"), F.coalesce(F.col(f"{of}source"), F.lit("")).alias("_source"),
+    ]
+
+
+def shard_and_slot(rows: DataFrame, shards: int, n: int) -> DataFrame:
+    shard = F.expr(f"cast(rank * {shards} div {max(n, 1)} as int)")
+    return rows.withColumn("shard", shard).withColumn("slot", F.expr(f"rank - (cast(shard as long) * {n} + {shards - 1}) div {shards}"))
 
 
 def assign_shards(docs: DataFrame, shards: int) -> DataFrame:
     """A row for each row of docs: doc_id, size, text_crc32, curve, rank, shard, slot.
 
-    The law is `rows`: counts of any two shards differ by one at most. A null text has no bytes, null metadata sort first,
-    repeated rows take neighbouring places, an empty table gives no rows. Other columns of docs are not read.
+    The law is `rows`: counts of any two shards differ by one at most. A null text has no bytes, null metadata count as empty and sort first,
+    repeated rows take neighbouring places, an empty table gives no rows. Other columns of docs are not read. Texts of any length are read for their size and crc alone.
     """
     ship(docs.sparkSession)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    thin = saved(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-            leading_bytes(F.col("lang")).alias("_lang"), leading_bytes(F.col("source")).alias("_source"),
-        ), "shard-rows",
-    )
-    n = thin.count()
-    ranked = hilbert_ranked(thin, ["_lang", "_source", "size"], ["doc_id", "text_crc32"])
-    shard = F.expr(f"cast(rank * {shards} div {max(n, 1)} as int)")
-    return ranked.withColumn("shard", shard).withColumn("slot", F.expr(f"rank - (cast(shard as long) * {n} + {shards - 1}) div {shards}")).drop("_lang", "_source")
+    thin = saved(docs.select(*metadata()), "shard-rows")
+    placed = with_running_total(with_curve(thin, cell_cuts(thin, STRINGS, NUMBERS)), ["curve", "doc_id", "text_crc32"], F.lit(1), "rank", "shard-order")
+    return shard_and_slot(placed, shards, thin.count()).drop("_lang", "_source")
 
 
-def write_shards(docs: DataFrame, shards: int, path: str) -> DataFrame:
-    """Writes docs with shard and slot, one folder a shard in the order of slots, and returns the assignment.
+def write_shards(docs: DataFrame, shards: int, path: str) -> None:
+    """Writes docs, all columns, with shard and slot (gapless from 0 in each shard), one folder a shard, its files in the order of slots.
 
-    Rows that repeat an identifier and a text take the slots of their number among themselves, any of them the first; columns of docs called shard or slot
-    are replaced; an empty table writes no shard.
+    Whole rows are shuffled once, into ranges of the curve's order that hold RANGE_BYTES of text, about; a row's place is its range's start and its place in the range, so
+    that rows are neither joined back nor numbered in one task, and a shard is written by as many tasks as it has ranges. Rows that repeat an identifier and a text take neighbouring
+    slots; columns of docs called shard or slot are replaced; an empty table writes no shard.
     """
-    placed = saved(assign_shards(docs, shards).select("doc_id", "text_crc32", "shard", "slot"), "shard-plan")
-    numbered = placed.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "text_crc32").orderBy("slot")))
-    crc = F.crc32(F.encode(F.coalesce(F.col("row.text"), F.lit("")), "UTF-8"))
-    own = in_one(docs.drop("shard", "slot")).select("row", F.col("row.doc_id").cast("long").alias("id"), crc.alias("crc"))
-    own = own.withColumn("own", F.row_number().over(Window.partitionBy("id", "crc").orderBy("crc")))
-    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("crc") == F.col("text_crc32")) & (F.col("own") == F.col("k"))
-    whole = own.join(numbered, same).select("row.*", "shard", "slot")
-    whole.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
-    return placed
+    ship(docs.sparkSession)
+    whole = docs.drop("shard", "slot")
+    thin = saved(docs.select(*metadata()), "shard-rows")
+    total = thin.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
+    ranges = max(1, math.ceil((total["bytes"] or 0) / RANGE_BYTES))
+    keyed = with_curve(in_one(whole).select("row", *metadata("row.")), cell_cuts(thin, STRINGS, NUMBERS))
+    order = ["curve", "doc_id", "text_crc32"]
+    dealt = keyed.repartitionByRange(ranges, *[F.col(c).asc_nulls_first() for c in order]).sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order])
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    kept = saved(dealt.select("row", F.spark_partition_id().alias("_range"), at.alias("_at")), "shard-ranges")
+    starts, before = [], 0
+    for r in sorted(kept.groupBy("_range").agg(F.count("*").alias("n")).collect(), key=lambda r: r["_range"]):  # one row a range
+        starts.append((r["_range"], before))
+        before += r["n"]
+    offsets = docs.sparkSession.createDataFrame(starts, "_range int, _start long")
+    placed = kept.join(F.broadcast(offsets), "_range").withColumn("rank", F.col("_start") + F.col("_at"))  # one row a range
+    shard_and_slot(placed, shards, total["n"]).select("row.*", "shard", "slot").write.option("compression", "zstd").partitionBy("shard").parquet(path)
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = assign_shards(read_table(spark, sf_dir, "documents"), 24)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    """From the shards that were written."""
+    docs, path = read_table(spark, sf_dir, "documents"), new_dir(spark, "shards")
+    write_shards(docs, 24, path)
+    schema = StructType([*docs.schema.fields, StructField("slot", LongType()), StructField("shard", IntegerType())])
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return spark.read.schema(schema).parquet(path).select(
+        "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )

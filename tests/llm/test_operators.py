@@ -516,16 +516,47 @@ def test_stages_leave_columns_of_any_name(docs, empty, stage):
     assert stage(with_clashes(empty)).count() == 0
 
 
-def test_shards_written_are_gapless(docs, empty, tmp_path):
-    sharding.write_shards(docs, 4, f"file://{tmp_path}/s")
+@pytest.mark.parametrize("range_bytes", [1 << 27, 2000])
+def test_shards_written_are_gapless_and_along_the_curve(docs, empty, tmp_path, monkeypatch, range_bytes):
+    """Places in the files are those of a plain sort by the curve's number, identifier and crc."""
+    monkeypatch.setattr(sharding, "RANGE_BYTES", range_bytes)
+    sharding.write_shards(docs.withColumn("slot", F.lit("clash")), 4, f"file://{tmp_path}/s")
     spark = docs.sparkSession
-    got = spark.read.parquet(f"file://{tmp_path}/s").collect()
+    got = spark.read.parquet(f"file://{tmp_path}/s")
+    assert set(got.columns) == {*docs.columns, "slot", "shard"}
+    got = got.collect()
     assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((r[0], r[1]) for r in rows())
     for k in range(4):
         assert sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sum(r["shard"] == k for r in got)))
+    of = {name: [r[c] or "" for r in rows()] for name, c in (("_lang", 2), ("_source", 3))} | {"size": [len((r[1] or "").encode()) + 8 for r in rows()]}
+    thin = docs.select(*sharding.metadata())
+    cuts = sharding.cell_cuts(thin, sharding.STRINGS, sharding.NUMBERS)
+    assert all(sorted(v) == v and set(v) <= set(of[c]) for c, v in cuts.items())
+    curve = sharding.hilbert_index([np.array([sum(e <= v for e in cuts[c]) for v in of[c]]) for c in ("_lang", "_source", "size")], sharding.BITS)
+    none = lambda i: -1 if i is None else i
+    want = sorted((int(c), none(r[0]), zlib.crc32((r[1] or "").encode())) for c, r in zip(curve, rows()))
+    found = [(none(r["doc_id"]), zlib.crc32((r["text"] or "").encode())) for r in sorted(got, key=lambda r: (r["shard"], r["slot"]))]
+    assert found == [w[1:] for w in want]
     sharding.write_shards(empty, 4, f"file://{tmp_path}/none")
 
 
+def test_string_cells_tell_long_values_apart(spark):
+    table = spark.createDataFrame([(k, "x", f"https://www.example.org/{k % 40:02d}", "en") for k in range(800)], "doc_id long, text string, source string, lang string").select(*sharding.metadata())
+    cuts = sharding.cell_cuts(table, sharding.STRINGS, sharding.NUMBERS)
+    assert len(set(cuts["_source"])) > 25 and cuts["_lang"] == ["en"] * 31
+
+
+def test_a_reader_of_one_source_skips_most_shards(spark, tmp_path):
+    """Least and largest values of the files rule out shards in each dimension."""
+    rng = np.random.default_rng(3)
+    table = [(k, "w" * int(rng.integers(1, 900)), f"common_crawl_{int(rng.integers(30)):02d}", "de en es fr".split()[int(rng.integers(4))]) for k in range(3000)]
+    sharding.write_shards(spark.createDataFrame(table, "doc_id long, text string, source string, lang string"), 24, f"file://{tmp_path}/s")
+    ends = spark.read.parquet(f"file://{tmp_path}/s").groupBy("shard").agg(F.min("source").alias("a"), F.max("source").alias("b"), F.min("lang").alias("c"), F.max("lang").alias("d")).collect()
+    assert len(ends) == 24
+    assert np.mean([sum(r["a"] <= f"common_crawl_{k:02d}" <= r["b"] for r in ends) for k in range(30)]) < 14
+    assert np.mean([sum(r["c"] <= x <= r["d"] for r in ends) for x in ("de", "en", "es", "fr")]) < 16
+
+
 def test_segment_counts_bound_the_bits_that_differ(spark):
     rng = np.random.default_rng(5)
     a = rng.integers(-(1 << 63), 1 << 63, 300)
