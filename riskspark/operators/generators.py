@@ -49,8 +49,9 @@ def affine_flow(a: np.ndarray, b: np.ndarray) -> Callable[[np.ndarray, float], n
     return velocity
 
 
-def flow_windows(spark: SparkSession, label: str, count: int, n: int, names: list, a: np.ndarray, b: np.ndarray, nu: float = 5.0, seed: int = 0, steps: int = 50, mix: str = "window", scale: float = 1.0) -> DataFrame:
-    """label, w, k, j, x: count windows of the Student-t source carried by affine_flow(), times scale. a, b, names: of the features, so of their number squared."""
+def flow_windows(spark: SparkSession, label: str, count: int, n: int, names: list, a: np.ndarray, b: np.ndarray, nu: float = 5.0, seed: int = 0, steps: int = 50, mix: str = "window", scale: float = 1.0, draw: Callable[..., np.ndarray] = source) -> DataFrame:
+    """label, w, k, j, x: count windows of the source carried by affine_flow(), times scale. a, b, names: of the features, so of their number squared. draw: another source, called as
+    source() is; what it gives may depend on its arguments alone."""
     kind = "int" if names and isinstance(names[0], int) else "string"
     velocity = affine_flow(a, b)
 
@@ -58,7 +59,7 @@ def flow_windows(spark: SparkSession, label: str, count: int, n: int, names: lis
         for frame in frames:
             for at in range(0, len(frame), BATCH):
                 ids = frame["id"].to_numpy()[at : at + BATCH]
-                x = integrate(velocity, np.stack([source(seed, int(w), n, len(names), nu, mix) for w in ids]), steps) * scale
+                x = integrate(velocity, np.stack([draw(seed, int(w), n, len(names), nu, mix) for w in ids]), steps) * scale
                 yield pd.DataFrame({"w": ids, "x": [v.ravel() for v in x]})
 
     windows = spark.range(count).mapInPandas(make, "w long, x array<double>")
@@ -80,3 +81,14 @@ def fitted_flow(moments: DataFrame, nu: float = 5.0) -> tuple[list, np.ndarray,
 def historical(windows: DataFrame, label: str) -> DataFrame:
     """Training windows as scenarios."""
     return windows.select(F.lit(label).alias("label"), "w", "k", "j", "x")
+
+
+def level_of(label):
+    """The level that a label names after _u, like flow_u0.90; null if it names none."""
+    return F.regexp_extract(label, r"_u(\d*\.\d+)", 1).try_cast("double")
+
+
+def bands(labels: DataFrame, width: float = 0.05) -> DataFrame:
+    """label, level, lo, hi: the band of levels that each label names, within 0 and 1; labels that name none are left out."""
+    named = labels.select("label", level_of(F.col("label")).alias("level")).where("level IS NOT NULL")
+    return named.select("label", "level", F.greatest(F.col("level") - width, F.lit(0.0)).alias("lo"), F.least(F.col("level") + width, F.lit(1.0)).alias("hi"))

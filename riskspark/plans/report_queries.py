@@ -7,14 +7,14 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from riskspark.functions.tests import chi2_p, ks_p, pf_lr, tuff_lr, uniform
+from riskspark.functions.tests import CHI2_95, chi2_p, ks_p, pf_lr, tuff_lr, uniform
 from riskspark.functions.special import t_ppf
 from riskspark.operators import coverage, dependence, risk, split, tails
 from riskspark.session import ship
 from riskspark.sources.panels import lineitem_panel
 from riskspark.sources.shared import kept
 
-from . import diag_queries, tail_queries, vol_queries
+from . import diag_queries, risk_queries, tail_queries, vol_queries
 from .diag_queries import lam, obs, r6, rounded
 from .risk_queries import CUT, EARLY, HORIZON, LAW, LEVELS, N, PMF, SPLIT, STARTS, VARES, WINDOWS, first_four_fifths, hashed_split, n_rows, pf_sql, pnl, r8, rets, train_windows, tuff_sql
 from .sql import BASE, PNL
@@ -255,6 +255,34 @@ def panel_validation(spark, sf):
     return out.select(F.inline("r"))
 
 
+def coverage_exhibits(spark, sf):
+    """For the held-out days and failures of each year and level: the coverage ratio, the failures that are not rejected, and the largest sample in which so many failures still reject."""
+    year = rets(spark, sf).select("t", F.year("d").alias("year")).distinct()
+    cases = vol_queries.scored(spark, sf).join(year, "t").groupBy("year", "alpha").agg(F.count("*").alias("n"), F.count_if("exc").cast("int").alias("x")).withColumn("p", F.round("alpha", 6))
+    region = coverage.pf_region(cases.select("n", "p").distinct())
+    most = coverage.pf_max_n(cases.where("x > 0").select("x", "p").distinct()).withColumnRenamed("n", "max_n")
+    lr = pf_lr(F.col("x"), F.col("n"), F.col("p"))
+    return cases.join(region, ["n", "p"], "left").join(most, ["x", "p"], "left").select("year", "p", "n", "x", r6(lr, "lr"), "lo", "hi", "max_n")
+
+
+#: Queries that the full report puts together: what each row is known by, and its numbers.
+REPORT = {
+    "hill_index": (["j", "side"], ["alpha"]), "tail_dep_matrix": (["i", "j"], ["lower", "upper"]), "tail_dep_curve_top": (["i", "j", "q"], ["lam"]),
+    "marginal_var_cvar": (["j", "level"], ["var", "cvar"]), "sq_acf": (["j", "lag"], ["acf"]),
+}
+
+
+def full_report(spark, sf):
+    """All diagnostics of the returns in one long table: section, key, measure, value."""
+    out = None
+    for name, (keys, measures) in REPORT.items():
+        query = next(p.QUERIES[name] for p in (diag_queries, tail_queries, risk_queries) if name in p.QUERIES)
+        key = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
+        part = query(spark, sf).select(key.alias("key"), *measures).unpivot("key", measures, "measure", "value").select(F.lit(name).alias("section"), "key", "measure", "value")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def band_labels(spark, sf):
     """The band of levels that labels name, where all those of a set name the same."""
     sets = spark.createDataFrame(SETS, "g int, label string")
@@ -268,7 +296,7 @@ SETS = [(0, "windows_u0.90"), (0, "other_u0.90"), (1, "windows_u0.10"), (1, "win
 
 QUERIES = {f.__name__: f for f in (
     coverage_pvalues, es_test_records, ks_pvalues, rejection_rates, pair_slope, half_split_floor, run_summary, spread_pairs, dependent_group, matched_windows, seeded_sample, pooled_density,
-    eps_diagnostics, corr_and_level, level_moments, pit_report, pit_extremes, panel_validation, band_labels,
+    eps_diagnostics, corr_and_level, level_moments, pit_report, pit_extremes, panel_validation, coverage_exhibits, full_report, band_labels,
 )}
 
 
@@ -298,6 +326,15 @@ _cut = "(SELECT CAST(floor((1.0::DOUBLE - 0.2::DOUBLE) * (max(t) + 1)) AS BIGINT
 _picks = ", ".join(f"{q!r}::DOUBLE" for q in PICKS)
 _sets = ", ".join(f"({g}, '{s}')" for g, s in SETS)
 
+def report_sql() -> str:
+    parts = []
+    for name, (keys, measures) in REPORT.items():
+        sql = next(p.SQL[name] for p in (diag_queries, tail_queries, risk_queries) if name in p.SQL)
+        key = " || '/' || ".join(f"CAST({k} AS VARCHAR)" for k in keys)
+        parts += [f"SELECT '{name}' AS section, {key} AS key, '{m}' AS measure, {m} AS value FROM ({sql})" for m in measures]
+    return " UNION ALL ".join(parts)
+
+
 SQL = {
     "coverage_pvalues": f"{PNL}, {CUT}, {LEVELS}, {LAW}, {VARES}, cnt AS (SELECT alpha, count(*) AS n, count_if(r + var < 0) AS f, min(t) FILTER (r + var < 0) - min(t) + 1 AS v FROM test, vares GROUP BY alpha), {_cases}, {PMF.format(p='p')}, "
     f"tails AS (SELECT alpha, sum(pmf) FILTER (x >= f) AS up, sum(pmf) FILTER (x <= f) AS low FROM cnt JOIN pmf ON cnt.n = pmf.n AND cnt.alpha = pmf.p GROUP BY alpha), lrs AS (SELECT *, {pf_sql('f', 'n', 'alpha')} AS pf, {tuff_sql('v', 'alpha')} AS tuff FROM cnt JOIN tails USING (alpha)) "
@@ -333,5 +370,8 @@ SQL = {
     "v AS (SELECT count_if(valor IS NULL) AS a, count(DISTINCT valor) AS b, count_if(value <= 0) AS c, avg(abs(value)) AS d FROM p1), w AS (SELECT count_if(x IS NULL OR isnan(x) OR isinf(x)) AS a, avg(abs(x)) AS b, max(abs(x)) AS c FROM ret10), f AS (SELECT min(n) AS a, count(*) AS b, count_if(xi > 1) AS c, count_if(xi < 0) AS d FROM fits), g AS (SELECT max(z) AS a, count_if(z > 100) AS b, count_if(z > 50 AND z <= 100) AS c FROM pz), "
     "rules AS (SELECT 'names' AS rule, 'fail' AS severity, a::DOUBLE AS value, a = 0 AS passed FROM v UNION ALL SELECT 'numeric names', 'warn', b, b = 0 FROM v UNION ALL SELECT 'positive prices', 'fail', c, c = 0 FROM v UNION ALL SELECT 'price level', 'warn', d, d >= 0.5 FROM v UNION ALL SELECT 'finite', 'fail', a, a = 0 FROM w UNION ALL SELECT 'mean size', 'fail', b, b <= 1 FROM w UNION ALL SELECT 'largest', 'warn', c, c <= 1 FROM w "
     "UNION ALL SELECT 'exceedances', 'fail', a, a >= 5 FROM f UNION ALL SELECT 'fits', 'fail', b, b > 0 FROM f UNION ALL SELECT 'shapes over 1', 'warn', c, c = 0 FROM f UNION ALL SELECT 'shapes under 0', 'info', d, true FROM f UNION ALL SELECT 'largest score', 'info', a, true FROM g UNION ALL SELECT 'scores over 100', 'fail', b, b = 0 FROM g UNION ALL SELECT 'scores over 50', 'warn', c, c = 0 FROM g) SELECT rule, severity, round(value, 4) AS value, passed FROM rules",
+    "full_report": report_sql(),
+    "coverage_exhibits": f"{PNL}, {CUT}, {LEVELS}, {LAW}, {VARES}, c AS (SELECT CAST(year(d) AS INT) AS year, round(alpha, 6) AS p, count(*) AS n, CAST(count_if(r + var < 0) AS INT) AS x FROM test, vares GROUP BY 1, alpha), xs AS (SELECT *, unnest(range(0, n + 1)) AS q FROM (SELECT DISTINCT n, p FROM c)), reg AS (SELECT n, p, CAST(min(q) AS INT) AS lo, CAST(max(q) AS INT) AS hi FROM xs WHERE {pf_sql('q', 'n', 'p')} <= {CHI2_95}::DOUBLE GROUP BY n, p), "
+    f"ns AS (SELECT *, unnest(range(x, 2001)) AS q FROM (SELECT DISTINCT x, p FROM c WHERE x > 0)), mx AS (SELECT x, p, CAST(max(q) AS INT) AS max_n FROM ns WHERE {pf_sql('x', 'q', 'p')} > {CHI2_95}::DOUBLE AND x / q > p GROUP BY x, p) SELECT year, p, n, x, round({pf_sql('x', 'n', 'p')}, 6) AS lr, lo, hi, max_n FROM c LEFT JOIN reg USING (n, p) LEFT JOIN mx USING (x, p)",
     "band_labels": f"WITH s AS (SELECT g, try_cast(regexp_extract(label, '_u([0-9]*\\.[0-9]+)', 1) AS DOUBLE) AS u FROM (VALUES {_sets}) v(g, label)), p AS (SELECT g, count(u) = count(*) AND count(DISTINCT u) = 1 AS one, max(u) AS u FROM s GROUP BY g) SELECT g, CASE WHEN one THEN round(greatest(u - 0.05, 0), 8) END AS lo, CASE WHEN one THEN round(least(u + 0.05, 1), 8) END AS hi FROM p",
 }

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskspark.operators import conditional, dependence, generators, split, tails, volmodels
+from riskspark.operators import conditional, dependence, generators, split, tails, vol, volmodels
 from riskspark.session import ship
-from riskspark.sources.shared import kept
+from riskspark.sources import sinks
+from riskspark.sources.shared import kept, new_folder
 
 from . import vol_queries
 from .risk_queries import BLOCK, HORIZON, N, SPLIT, STARTS, WINDOWS, first_four_fifths, hashed_split, n_rows, pf_sql, pnl, r8, rets, train_windows
@@ -201,7 +202,65 @@ def mixture_recalibrated(spark, sf):
     return found.select("t", "j", "x", r5("y"))
 
 
-QUERIES = {f.__name__: f for f in (placebo_rates, placebo_regimes, placebo_rates_h10, vol_model_rates, vol_model_tests, vol_model_comparison, conditional_es_tests, label_backtest, generator_backtest, generator_moments, novelty_windows, mixture_recalibrated)}
+def generated_store(spark, sf):
+    """Two labels written with their split, read back under a guard that all were made under one, and counted."""
+    base, made = new_folder(spark, "generated"), hashed_split(spark, sf)
+    w = historical_labels(spark, sf)
+    for label in ("hs", "hs_quiet"):
+        sinks.write_generated(w.where(F.col("label") == label).drop("label"), made, f"{base}/{label}")
+    again, one = sinks.read_generated(spark, [f"{label}={base}/{label}" for label in ("hs", "hs_quiet")], n_rows(rets(spark, sf)))
+    return again.groupBy("label").agg(F.count_distinct("w").alias("windows"), F.count("*").alias("cells"), r5(F.sum("x"), "total")).withColumn("blocks", F.lit(len(one.test_starts)).cast("long"))
+
+
+def market_rank(spark, sf):
+    """t, u: rank of the market's relative volatility among the earlier rows."""
+    level = vol_queries.relative_vol(spark, sf).withColumn("all", F.lit(1))
+    return vol.percentile_rank(level, "level", first_four_fifths(level), ["all"]).select("t", F.round("u", 10).alias("u"), "level")
+
+
+LEVELS_U = [0.1, 0.5, 0.9]
+
+
+def level_labels(spark, sf):
+    """Training windows under the label of each level that their first day is within 0.05 of."""
+    at = F.explode(F.array(*map(F.lit, LEVELS_U)))
+    near = market_rank(spark, sf).withColumn("level", at).where("abs(u - level) <= 0.05").select(F.col("t").alias("w"), F.concat(F.lit("hs_u"), F.format_string("%.2f", "level")).alias("label"))
+    return train_windows(spark, sf).join(near, "w").select("label", "w", "k", "j", "x")
+
+
+def band_windows(spark, sf):
+    """The band of levels that each label names, the label's windows, and the days that lie in its band."""
+    w = level_labels(spark, sf)
+    found = generators.bands(w.select("label").distinct())
+    days = market_rank(spark, sf).join(F.broadcast(found), F.col("u").between(F.col("lo"), F.col("hi"))).groupBy("label").agg(F.count("*").alias("days"))  # a row a label
+    count = w.groupBy("label").agg(F.count_distinct("w").alias("windows"))
+    return found.join(count, "label").join(days, "label").select("label", r8("lo"), r8("hi"), "windows", "days")
+
+
+def moments_of(rows, by):
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("r").alias("mean"), F.stddev_pop("r").alias("sd"), (-F.percentile("r", F.lit(0.05))).alias("var95"), (-F.percentile("r", F.lit(0.01))).alias("var99"))
+
+
+def conditional_moments(spark, sf):
+    """Days in the band of each level against the first days of windows generated for it: the flow, scaled by the volatility that the level stands for. Numpy's numbers have no SQL."""
+    ship(spark)
+    rank = market_rank(spark, sf)
+    flags = split.split_rows(spark, hashed_split(spark, sf))
+    e = vol_queries.standardised_returns(spark, sf).withColumnRenamed("e", "x").join(flags.where("NOT is_test").select("t"), "t")
+    names, a, b = generators.fitted_flow(dependence.together(dependence.moments(e)))
+    sigma = vol_queries.filtered(spark, sf).join(rank.select("t", "u"), "t")
+    windows = None
+    for level in LEVELS_U:
+        near = sigma.where(F.abs(F.col("u") - level) <= 0.05).groupBy("j").agg(F.avg("sigma").alias("s"))
+        one = generators.flow_windows(spark, f"flow_u{level:.2f}", 3000, 1, names, a, b, seed=SEED).join(F.broadcast(near), "j").select("label", "w", (F.col("x") * F.col("s")).alias("x"))  # a row a feature
+        windows = one if windows is None else windows.unionByName(one)
+    drawn = windows.groupBy("label", "w").agg(F.avg("x").alias("r"))
+    found = generators.bands(drawn.select("label").distinct())
+    real = rank.join(F.broadcast(found), F.col("u").between(F.col("lo"), F.col("hi"))).join(pnl(spark, sf), "t")  # a row a label
+    return moments_of(real, ["label"]).withColumn("side", F.lit("days")).unionByName(moments_of(drawn, ["label"]).withColumn("side", F.lit("generated")))
+
+
+QUERIES = {f.__name__: f for f in (placebo_rates, placebo_regimes, placebo_rates_h10, vol_model_rates, vol_model_tests, vol_model_comparison, conditional_es_tests, label_backtest, generator_backtest, generator_moments, novelty_windows, mixture_recalibrated, generated_store, band_windows, conditional_moments)}
 
 _LAMS = {"EWMA 0.90": 0.90, "EWMA 0.94": 0.94, "EWMA 0.97": 0.97}
 _HASH = "CAST(('0x' || substr(md5({key}), 1, 13))::UBIGINT AS DOUBLE) / 4503599627370496"
@@ -292,4 +351,7 @@ SQL = {
     "one AS (SELECT j, x, min(y) AS y FROM kn GROUP BY j, x), seg AS (SELECT j, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM one WINDOW w AS (PARTITION BY j ORDER BY x)), m AS (SELECT *, greatest(CAST(floor(n * 0.01::DOUBLE) AS BIGINT), 1) AS m FROM kn), "
     "ends AS (SELECT j, max(x) FILTER (i = 1) AS xa, max(y) FILTER (i = 1) AS ya, max(x) FILTER (i = m + 1) AS xb, max(y) FILTER (i = m + 1) AS yb, max(x) FILTER (i = n - m) AS xc, max(y) FILTER (i = n - m) AS yc, max(x) FILTER (i = n) AS xd, max(y) FILTER (i = n) AS yd FROM m GROUP BY j), late AS (SELECT t, j, e AS x FROM src WHERE t >= (SELECT c FROM cutoff)) "
     "SELECT l.t, l.j, l.x, round(CASE WHEN l.x < xa THEN ya + (l.x - xa) * (yb - ya) / (xb - xa) WHEN l.x > xd THEN yd + (l.x - xd) * (yd - yc) / (xd - xc) WHEN x1 IS NULL OR l.x = x0 THEN y0 ELSE y0 + (l.x - x0) * (y1 - y0) / (x1 - x0) END, 5) AS y FROM late l JOIN ends USING (j) ASOF LEFT JOIN seg ON l.j = seg.j AND l.x >= seg.x0",
+    "generated_store": f"{PNL}, {SPLIT}, {STARTS}, {WINDOWS}, {vol_queries.REG}, both_ AS (SELECT 'hs' AS label, * FROM wins UNION ALL SELECT 'hs_quiet', wins.* FROM wins JOIN reg ON reg.t = wins.w WHERE regime < 2) SELECT label, count(DISTINCT w) AS windows, count(*) AS cells, round(sum(x), 5) AS total, (SELECT count(*) FROM blocks) AS blocks FROM both_ GROUP BY label",
+    "band_windows": f"{BASE}, {SPLIT}, {STARTS}, lv AS ({vol_queries.SQL['relative_vol']}), rk AS (SELECT t, round(sum(CASE WHEN t < (SELECT CAST(floor((1.0::DOUBLE - 0.2::DOUBLE) * (max(t) + 1)) AS BIGINT) FROM lv) THEN 1 ELSE 0 END) OVER (ORDER BY level RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / (SELECT CAST(floor((1.0::DOUBLE - 0.2::DOUBLE) * (max(t) + 1)) AS BIGINT) FROM lv)::DOUBLE, 10) AS u FROM lv), "
+    f"ls AS (SELECT unnest([{', '.join(f'{v}::DOUBLE' for v in LEVELS_U)}]) AS level), b AS (SELECT level, 'hs_u' || printf('%.2f', level) AS label, greatest(level - 0.05, 0) AS lo, least(level + 0.05, 1) AS hi FROM ls), w AS (SELECT label, count(*) AS windows FROM starts JOIN rk USING (t), b WHERE abs(u - level) <= 0.05 GROUP BY label), d AS (SELECT label, count(*) AS days FROM rk, b WHERE u BETWEEN lo AND hi GROUP BY label) SELECT label, round(lo, 8) AS lo, round(hi, 8) AS hi, windows, days FROM b JOIN w USING (label) JOIN d USING (label)",
 }

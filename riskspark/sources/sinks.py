@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from riskspark.operators.clean import instruments
 from riskspark.operators.split import Split
 
+from .shared import file_system
+from .text import label_and_path, labelled_windows
+
 #: The forms that prices and returns have in text.
 PRICE_FORM, RETURN_FORM = "%.8f", "%.8e"
 
@@ -41,6 +44,35 @@ def read_split(spark: SparkSession, path: str) -> Split:
     return Split.restored(json.loads(spark.read.text(path).first()[0]))
 
 
+def write_generated(windows: DataFrame, split: Split, path: str) -> None:
+    """One label's windows with the split that they were made under beside them."""
+    windows.write.parquet(f"{path}/windows")
+    write_split(windows.sparkSession, split, f"{path}/split")
+
+
+def read_generated(spark: SparkSession, specs: list[str], rows: int, allow_missing: bool = False) -> tuple[DataFrame, Split | None]:
+    """label, w, k, j, x of LABEL=PATH specs that write_generated() wrote, and the one split that all were made under.
+
+    Sources of several splits are an error, and so are sources without one, unless that is allowed, and a split of other data than these rows.
+    """
+    found: dict[str, Split] = {}
+    missing, paths = [], []
+    for label, path in map(label_and_path, specs):
+        fs, at = file_system(spark, f"{path}/split")
+        if fs.exists(at):
+            split = read_split(spark, f"{path}/split")
+            split.guard(rows)
+            found[split.id] = split
+        else:
+            missing.append(path)
+        paths.append(f"{label}={path}/windows")
+    if len(found) > 1:
+        raise ValueError(f"the sources were made under {len(found)} splits: {', '.join(sorted(found))}")
+    if missing and not allow_missing:
+        raise ValueError(("no source has" if not found else f"{', '.join(missing)} has no") + " split beside it")
+    return labelled_windows(spark, paths), next(iter(found.values()), None)
+
+
 def write_marginals(ends: DataFrame, knots: DataFrame, path: str) -> None:
     """The two tables of marginals, from which the distribution function can be read back whole."""
     ends.write.parquet(f"{path}/tails")

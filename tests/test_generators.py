@@ -103,3 +103,39 @@ def test_the_closed_quantile(spark):
     p = [0.001, 0.2, 0.5, 0.77, 0.9999]
     got = [r["y"] for r in spark.createDataFrame([(v,) for v in p], "p double").select(tails.student4(F.col("p")).alias("y")).collect()]
     assert got == pytest.approx(t_ppf(np.array(p), 4.0).tolist(), abs=1e-6)
+
+
+def test_sources_have_to_share_one_split(spark, tmp_path):
+    from riskspark.operators import split
+    from riskspark.sources import sinks
+
+    w = spark.createDataFrame([(0, 0, 1, 0.5)], "w long, k int, j int, x double")
+    one, other = split.Split(100, 10, (20,)), split.Split(100, 10, (30,))
+    for name, s in (("a", one), ("b", one), ("c", other)):
+        sinks.write_generated(w, s, f"{tmp_path}/{name}")
+    w.write.parquet(f"{tmp_path}/bare/windows")
+    spec = lambda *names: [f"{n}={tmp_path}/{n}" for n in names]
+    table, found = sinks.read_generated(spark, spec("a", "b"), 100)
+    assert found == one and sorted(r["label"] for r in table.collect()) == ["a", "b"]
+    with pytest.raises(ValueError, match="2 splits"):
+        sinks.read_generated(spark, spec("a", "c"), 100)
+    with pytest.raises(ValueError, match="no source has"):
+        sinks.read_generated(spark, spec("bare"), 100)
+    with pytest.raises(ValueError, match="bare has no"):
+        sinks.read_generated(spark, spec("a", "bare"), 100)
+    with pytest.raises(ValueError, match="rows"):
+        sinks.read_generated(spark, spec("a"), 99)
+    assert sinks.read_generated(spark, spec("bare"), 100, allow_missing=True)[1] is None
+    assert sinks.read_generated(spark, spec("a", "bare"), 100, allow_missing=True)[1] == one
+
+
+def test_bands_follow_from_labels(spark):
+    labels = spark.createDataFrame([("flow_u0.90",), ("x_u.02",), ("plain",), ("a_u0.5_b",), ("u1.00",)], "label string")
+    got = {r["label"]: (r["level"], round(r["lo"], 6), round(r["hi"], 6)) for r in generators.bands(labels).collect()}
+    assert got == {"flow_u0.90": (0.9, 0.85, 0.95), "x_u.02": (0.02, 0.0, 0.07), "a_u0.5_b": (0.5, 0.45, 0.55)}
+
+
+def test_another_source_takes_the_place_of_the_default(spark):
+    ones = lambda seed, w, n, width, nu, mix: np.full((n, width), float(w))
+    got = generators.flow_windows(spark, "x", 3, 2, ["a", "b"], 2 * np.eye(2), np.array([1.0, 0.0]), draw=ones, steps=5, scale=10.0).collect()
+    assert {(r["w"], r["k"], r["j"]): round(r["x"], 6) for r in got} == {(w, k, j): 10 * (2 * w + (j == "a")) for w in range(3) for k in range(2) for j in "ab"}
