@@ -67,16 +67,10 @@ def panel_dates(spark: SparkSession, path: str, separator: str = ",") -> DataFra
     return raw.select(F.to_date(F.col(quoted(raw.columns[0]))).alias("d"))
 
 
-def is_number(token: str) -> bool:
-    try:
-        float(token)
-    except ValueError:
-        return False
-    return True
-
-
-def has_header(line: str, separator: str = ",") -> bool:
-    return any(t.strip() and not is_number(t) for t in line.split(separator))
+def has_header(spark: SparkSession, line: str, separator: str = ",") -> bool:
+    """Whether a line has an entry, other than a blank, that is no number."""
+    entries = F.split(F.lit(line), re.escape(separator))
+    return spark.range(1).select(F.exists(entries, lambda t: (F.trim(t) != "") & F.trim(t).try_cast("double").isNull())).first()[0]
 
 
 def numeric_matrix(spark: SparkSession, path: str, separator: str = ",") -> tuple[DataFrame, list[str]]:
@@ -86,7 +80,7 @@ def numeric_matrix(spark: SparkSession, path: str, separator: str = ",") -> tupl
     by adding up the row counts of the pieces that Spark reads: no task sees more than its piece. The matrix is never turned.
     """
     line = first_line(spark, path)
-    header = has_header(line, separator)
+    header = has_header(spark, line, separator)
     raw = spark.read.csv(path, sep=separator, header=header)
     columns = [F.trim(F.col(quoted(c))) for c in raw.columns]
     strange = [F.count_if((c != "") & c.try_cast("double").isNull()).alias(f"c{k}") for k, c in enumerate(columns)]
@@ -100,13 +94,8 @@ def numeric_matrix(spark: SparkSession, path: str, separator: str = ",") -> tupl
     pieces = rows.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))  # one row for each piece of a file
     pieces = pieces.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     cells = rows.join(pieces, ["_file", "_block"]).select((F.col("_start") + F.col("_id") - F.col("_first")).alias("t"), F.posexplode("_x").alias("j", "x"))
-    return cells, feature_names(line if header else "", len(keep), separator)
-
-
-def feature_names(header: str, n: int, separator: str = ",") -> list[str]:
-    """The header without its date column, or numbered names where there is no header or it doesn't fit."""
-    names = [c.strip() for c in header.split(separator) if c.strip().lower() != "date"] if header else []
-    return names if len(names) == n else [f"feat{k}" for k in range(n)]
+    titles = [t for t in (c.strip() for c in raw.columns) if t.casefold() != "date"] if header else []
+    return cells, titles if len(titles) == len(keep) else [f"feat{k}" for k in range(len(keep))]
 
 
 def matrix_returns(cells: DataFrame) -> DataFrame:
