@@ -267,3 +267,38 @@ def test_tail_dependence_by_group(spark):
         for i in range(WIDTH):
             for j in range(i + 1, WIDTH):
                 assert got[g, i, j] == pytest.approx((u[:, i] & u[:, j]).sum() / n / 0.1)
+
+
+def test_ten_step_laws_are_plain_recursions(spark):
+    from riskspark.operators import vol
+
+    x, lam, floor, h = panel(), 0.94, 0.05, 4
+    v = x[:100].var(axis=0)
+    sigma = np.stack([np.sqrt(vol.ewma_path(x[:, j], lam, v[j], floor**2 * v[j])) for j in range(WIDTH)], axis=1)
+    e = x / sigma
+    cells = lambda rows, names: spark.createDataFrame(rows, names)
+    paths = cells([(w, k, j, float(e[w + k, j])) for w in range(100 - h + 1) for k in range(h) for j in range(WIDTH)], "w long, k int, j int, e double")
+    states = cells([(t, j, float(sigma[t, j])) for t in range(100, 110) for j in range(WIDTH)], "t long, j int, sigma double")
+    start = cells([(j, float(v[j])) for j in range(WIDTH)], "j int, v double")
+    got = {(r["t"], r["w"]): r["x"] for r in vol.fhs_path_laws(paths, states, start, h, lam, floor).collect()}
+    assert len(got) == 10 * (100 - h + 1)
+    for t in (100, 104, 109):
+        for w in (0, 37, 96):
+            s2, total = sigma[t] ** 2, 0.0
+            for k in range(h):
+                r = np.sqrt(s2) * e[w + k]
+                total += r.mean()
+                s2 = np.maximum(lam * s2 + (1 - lam) * r**2, floor**2 * v)
+            assert got[t, w] == pytest.approx(total)
+
+
+def test_student_scores_go_there_and_back():
+    from riskspark.functions.special import t_cdf, t_ppf
+
+    p = np.concatenate([10.0 ** -np.arange(2, 12), np.linspace(0.01, 0.99, 99), 1 - 10.0 ** -np.arange(2, 9)])
+    for nu in (2.0, 4.0, 5.0, 30.0):
+        assert np.allclose(t_cdf(t_ppf(p, nu), nu), p, rtol=1e-9)
+    assert np.allclose(t_ppf(p, 2.0), (2 * p - 1) / np.sqrt(2 * p * (1 - p)), rtol=1e-6, atol=1e-7)
+    z = np.linspace(-20, 20, 81)  # five degrees of freedom have a closed form
+    a = np.arctan(z / np.sqrt(5))
+    assert np.allclose(t_cdf(z, 5.0), 0.5 + (a + np.sin(a) * np.cos(a) * (1 + 2 / 3 * np.cos(a) ** 2)) / np.pi, atol=1e-12)
