@@ -267,6 +267,10 @@ _HASH = "CAST(('0x' || substr(md5({key}), 1, 13))::UBIGINT AS DOUBLE) / 45035996
 _PLACE = "CAST(least(greatest(ceil(least(greatest({p}, 1e-12::DOUBLE), 1 - 1e-12::DOUBLE) * cells), 1), cells) AS BIGINT)"
 
 
+#: Orders of a law that the SQL keeps beside its sums; a rank beyond them would leave a statistic null, and so differ.
+LOW = 400
+
+
 def random_splits_sql(splits: int) -> str:
     """blocks (split, s) as drawn_blocks() draws them."""
     key = _HASH.format(key="split || ':' || card")
@@ -278,17 +282,19 @@ blocks AS (SELECT split, arg_min(card, u) * {BLOCK} AS s FROM deck GROUP BY spli
 LATE_SQL = "cutoff AS (SELECT CAST(floor((1.0::DOUBLE - 0.2::DOUBLE) * (max(t) + 1)) AS BIGINT) AS s, max(t) + 1 AS e FROM ret), blocks AS (SELECT 0 AS split, s FROM cutoff), len AS (SELECT e - s AS len FROM cutoff)"
 
 
-def study_sql(blocks: str, models: list[str], sims: int, window: int, h: int = 1, laws: str = "") -> str:
+def study_sql(blocks: str, models: list[str], sims: int, window: int, h: int = 1, laws: str = "", sizes: str = "") -> str:
     """The records of all tests h steps ahead, as the table rec; a law is a sorted list. Laws that don't follow from the models, one step ahead, are given."""
     lams = ", ".join(f"('{m}', {_LAMS[m]!r}::DOUBLE)" for m in models if m != "HS")
     hs = "UNION ALL SELECT split, 'HS' AS model, k, t, n, xs FROM dates JOIN (SELECT split, list_sort(list(round(r, 12))) AS xs FROM starts JOIN pnl USING (t) GROUP BY split) USING (split)" if "HS" in models else ""
+    sizes = sizes or "SELECT DISTINCT n, cells FROM dates JOIN (SELECT split, count(*) AS cells FROM starts GROUP BY split) USING (split)"
     source = laws or f"""var0 AS (SELECT split, j, greatest(var_pop(x), 1e-12::DOUBLE) AS v FROM ret JOIN rows_ USING (t) WHERE NOT is_test GROUP BY split, j),
 sig AS (SELECT 0::BIGINT AS t, split, model, lam, j, v, v AS s2 FROM var0, (VALUES {lams}) q(model, lam)
   UNION ALL SELECT sig.t + 1, sig.split, sig.model, sig.lam, sig.j, sig.v, greatest(sig.lam * sig.s2 + (1 - sig.lam) * ret.x * ret.x, (0.05::DOUBLE * 0.05::DOUBLE) * sig.v)
   FROM sig JOIN ret ON ret.t = sig.t AND ret.j = sig.j WHERE sig.t + 1 <= (SELECT max(t) FROM ret)),
 vec AS (SELECT split, model, t, list(sqrt(s2) ORDER BY j) AS sg, list(x / sqrt(s2) ORDER BY j) AS e FROM sig JOIN ret USING (t, j) GROUP BY split, model, t),
-runs AS (SELECT split, model, e FROM vec JOIN starts USING (split, t)),
-laws AS (SELECT d.split, v.model, d.k, d.t, d.n, list_sort(list(round(list_inner_product(r.e, v.sg) / len(r.e), 12))) AS xs FROM dates d JOIN vec v ON v.split = d.split AND v.t = d.t JOIN runs r ON r.split = v.split AND r.model = v.model GROUP BY ALL {hs})"""
+runs AS MATERIALIZED (SELECT split, model, e FROM vec JOIN starts USING (split, t)),
+asked AS MATERIALIZED (SELECT d.split, v.model, d.k, d.t, d.n, v.sg FROM dates d JOIN vec v ON v.split = d.split AND v.t = d.t),
+laws AS (SELECT d.split, d.model, d.k, d.t, d.n, list_sort(list(round(list_inner_product(r.e, d.sg) / len(r.e), 12))) AS xs FROM asked d JOIN runs r ON r.split = d.split AND r.model = d.model GROUP BY d.split, d.model, d.k, d.t, d.n {hs})"""
     levels = ", ".join(f"({k}, {a!r}::DOUBLE)" for k, a in enumerate(ALPHAS))
     short = ", ".join(map(str, SHORT))
     return f"""{PNL}, {blocks},
@@ -299,14 +305,15 @@ fwd AS (SELECT t, round(r, 12) AS r FROM (SELECT t, sum(r) OVER w AS r, count(*)
 dates AS (SELECT split, t, row_number() OVER (PARTITION BY split ORDER BY t) - 1 AS k, count(*) OVER (PARTITION BY split) AS n FROM (SELECT split, s + i * {h} AS t FROM (SELECT split, s, unnest(range(0, len // {h})) AS i FROM blocks, len)) JOIN fwd USING (t)),
 {source},
 levels AS (SELECT * FROM (VALUES {levels}) q(a, alpha)),
-law AS (SELECT laws.*, r AS x, len(xs) AS cells, least(greatest(len(list_filter(xs, lambda y: y <= r)) / len(xs)::DOUBLE, 0.5 / len(xs)), 1 - 0.5 / len(xs)) AS u FROM laws JOIN fwd USING (t)),
-sc AS (SELECT split, model, k, t, n, x, cells, u, a, alpha, -xs[{_PLACE.format(p='alpha')}] AS var, -(coalesce(list_sum(xs[1:CAST(floor(alpha * cells) AS BIGINT)]), 0) / cells + (alpha - floor(alpha * cells) / cells) * xs[CAST(floor(alpha * cells) AS BIGINT) + 1]) / alpha AS es, CAST(floor(n * alpha) AS BIGINT) AS m FROM law, levels),
-shape AS (SELECT DISTINCT n, cells, a, m FROM sc WHERE m > 0),
+shape AS (SELECT DISTINCT n, cells, a, CAST(floor(n * alpha) AS BIGINT) AS m FROM ({sizes}), levels WHERE floor(n * alpha) >= 1),
 edge AS (SELECT n, cells, a, m, i, unnest(range(0, m)) AS q FROM (SELECT *, unnest(range(1, cells)) AS i FROM shape)),
 cum AS (SELECT n, cells, a, m, i, 1 - sum(exp(lgamma(n + 1) - lgamma(q + 1) - lgamma(n - q + 1) + q * ln(i / cells::DOUBLE) + (n - q) * ln(1 - i / cells::DOUBLE))) OVER (PARTITION BY n, cells, a, i ORDER BY q) AS tail FROM edge),
 upto AS (SELECT n, cells, a, i, sum(tail) / m AS w FROM cum GROUP BY n, cells, a, m, i UNION ALL SELECT n, cells, a, 0, 0.0 FROM shape UNION ALL SELECT n, cells, a, cells, 1.0 FROM shape),
 wt AS (SELECT n, cells, a, list(w ORDER BY i) AS w FROM (SELECT n, cells, a, i, w - lag(w) OVER (PARTITION BY n, cells, a ORDER BY i) AS w FROM upto) WHERE i > 0 GROUP BY n, cells, a),
-den AS (SELECT split, model, k, a, -list_inner_product(wt.w, xs) AS den FROM law JOIN wt ON wt.n = law.n AND wt.cells = law.cells),
+weights AS (SELECT n, cells, any_value(w) FILTER (a = 0) AS w0, any_value(w) FILTER (a = 1) AS w1, any_value(w) FILTER (a = 2) AS w2 FROM wt GROUP BY n, cells),
+law AS MATERIALIZED (SELECT split, model, k, t, laws.n, r AS x, len(xs) AS cells, least(greatest(len(list_filter(xs, lambda y: y <= r)) / len(xs)::DOUBLE, 0.5 / len(xs)), 1 - 0.5 / len(xs)) AS u, [-list_inner_product(w0, xs), -list_inner_product(w1, xs), -list_inner_product(w2, xs)] AS dens, xs[1:{LOW}] AS xs FROM laws JOIN fwd USING (t) LEFT JOIN weights ON weights.n = laws.n AND weights.cells = len(xs)),
+sc AS (SELECT split, model, k, t, n, x, cells, u, a, alpha, -xs[{_PLACE.format(p='alpha')}] AS var, -(coalesce(list_sum(xs[1:CAST(floor(alpha * cells) AS BIGINT)]), 0) / cells + (alpha - floor(alpha * cells) / cells) * xs[CAST(floor(alpha * cells) AS BIGINT) + 1]) / alpha AS es, CAST(floor(n * alpha) AS BIGINT) AS m FROM law, levels),
+den AS (SELECT split, model, k, a, dens[a + 1] AS den FROM law, levels WHERE dens[a + 1] IS NOT NULL),
 seen_o AS (SELECT split, model, a, {_PLACE.format(p='u')} AS o FROM (SELECT *, row_number() OVER (PARTITION BY split, model, a ORDER BY u, k) AS i FROM sc) WHERE i <= m),
 ranks AS (SELECT *, row_number() OVER (PARTITION BY n, sim ORDER BY u, k) AS rnk FROM (SELECT n, sim, k, {_HASH.format(key=f"'{SEED}:' || sim || ':' || k")} AS u FROM (SELECT *, unnest(range(0, n)) AS k FROM (SELECT n, unnest(range(0, {sims})) AS sim FROM (SELECT DISTINCT n FROM dates))))),
 draws AS (SELECT * FROM ranks WHERE u <= {ALPHAS[SHORT[0]]!r}::DOUBLE OR rnk <= floor(n * {ALPHAS[SHORT[0]]!r}::DOUBLE)),
@@ -342,7 +349,7 @@ SQL = {
     "pooled AS (SELECT model, round(sum(n_exc) FILTER (a = 0) / sum(n) FILTER (a = 0), 8) AS exc95, round(sum(n_exc) FILTER (a = 2) / sum(n) FILTER (a = 2), 8) AS exc99, round(sum(loss) FILTER (a = 1) / sum(shortfall) FILTER (a = 1), 5) AS es_ratio FROM obs GROUP BY model), "
     "z AS (SELECT model, round(max(exceptions / days) FILTER (regime = 0), 8) AS calm95, round(max(exceptions / days) FILTER (regime = 1), 8) AS middle95, round(max(exceptions / days) FILTER (regime = 2), 8) AS stressed95 FROM zones WHERE a = 0 GROUP BY model) SELECT model, 1 AS h, exc95, exc99, es_ratio, exc_after_exc, calm95, middle95, stressed95 FROM pooled JOIN again USING (model) JOIN z USING (model)",
     "conditional_es_tests": f"{study_sql(LATE_SQL, PLACEBO_MODELS, PLACEBO_SIMS, 1)} SELECT model, round(alpha, 8) AS alpha, n, n_exc, test, round(statistic, 5) AS statistic, round(p, 8) AS p FROM rec",
-    "label_backtest": f"{study_sql(_drawn, [], PLACEBO_SIMS, N, HORIZON, _labels)}, ff AS (SELECT model, a, min(k) FILTER (x + var < 0) + 1 AS first_failure, any_value(var) AS var, any_value(es) AS es FROM sc GROUP BY model, a) SELECT model AS label, {HORIZON} AS h, round(alpha, 8) AS alpha, round(var, 8) AS var, round(es, 8) AS es, n, n_exc, first_failure, test, round(statistic, 5) AS statistic, round(p, 8) AS p FROM rec JOIN ff USING (model, a)",
+    "label_backtest": f"{study_sql(_drawn, [], PLACEBO_SIMS, N, HORIZON, _labels, 'SELECT DISTINCT n, cells FROM dates, (SELECT model, count(*) AS cells FROM gen JOIN fwd USING (t) GROUP BY model)')}, ff AS (SELECT model, a, min(k) FILTER (x + var < 0) + 1 AS first_failure, any_value(var) AS var, any_value(es) AS es FROM sc GROUP BY model, a) SELECT model AS label, {HORIZON} AS h, round(alpha, 8) AS alpha, round(var, 8) AS var, round(es, 8) AS es, n, n_exc, first_failure, test, round(statistic, 5) AS statistic, round(p, 8) AS p FROM rec JOIN ff USING (model, a)",
     "novelty_windows": f"{BASE}, {SPLIT}, {STARTS}, sds AS (SELECT j, stddev_pop(x) AS sd FROM ret JOIN rows_ USING (t) WHERE NOT is_test GROUP BY j), firsts AS (SELECT t AS w, t IN (SELECT t FROM starts) AS own FROM rows_ WHERE t <= (SELECT max(t) + 1 FROM ret) - {N}), vecs AS (SELECT w, own, list(x / sd ORDER BY ret.t, j) AS v FROM firsts JOIN ret ON ret.t BETWEEN w AND w + {N - 1} JOIN sds USING (j) GROUP BY w, own), "
     f"perm AS (SELECT t AS w, row_number() OVER (ORDER BY {hashed_sql('0', 't')}, t) - 1 AS place, count(*) OVER () AS n FROM starts), boot AS (SELECT p.w FROM (SELECT unnest(range(0, (SELECT count(*) FROM starts))) AS id) i JOIN perm p ON p.place = floor({hashed_sql('novelty', 'id')} * p.n)), "
     "nn AS (SELECT a.w, a.own, min(list_distance(a.v, b.v)) AS d FROM vecs a JOIN vecs b ON b.own AND a.w <> b.w GROUP BY a.w, a.own), ds AS (SELECT 'real' AS sample, d FROM nn WHERE own UNION ALL SELECT 'touching', d FROM nn WHERE NOT own UNION ALL SELECT 'bootstrap', 0.0 FROM boot), mid AS (SELECT median(d) AS m FROM ds WHERE sample = 'real') "
