@@ -324,7 +324,8 @@ low AS (SELECT law.split, law.model, k, unnest(range(1, far + 1)) AS o, unnest(x
 means AS (SELECT low.split, low.model, a, o, avg(y / den) AS g FROM low JOIN den ON den.split = low.split AND den.model = low.model AND den.k = low.k GROUP BY ALL),
 third AS (SELECT split, model, a, avg(g) + 1 AS z3 FROM seen_o JOIN means USING (split, model, a, o) GROUP BY ALL),
 obs AS (SELECT base.*, CASE WHEN n_exc > 0 THEN ratio / n_exc + 1 END AS z1, ratio / n / alpha + 1 AS z2, z3, {pf_sql('n_exc', 'n', 'alpha')} AS lr FROM base LEFT JOIN third USING (split, model, a)),
-hit AS (SELECT sc.split, sc.model, sc.a, d.sim, low.y / sc.es AS q FROM draws d JOIN sc ON sc.n = d.n AND sc.k = d.k AND d.u <= sc.alpha JOIN low ON low.split = sc.split AND low.model = sc.model AND low.k = sc.k AND low.o = {_PLACE.format(p='d.u')} WHERE sc.a IN ({short}) AND low.y + sc.var < 0),
+picked AS MATERIALIZED (SELECT sc.split, sc.model, sc.a, sc.k, sc.var, sc.es, d.sim, CAST(least(greatest(ceil(least(greatest(d.u, 1e-12::DOUBLE), 1 - 1e-12::DOUBLE) * sc.cells), 1), sc.cells) AS BIGINT) AS o FROM draws d JOIN sc ON sc.n = d.n AND sc.k = d.k AND d.u <= sc.alpha WHERE sc.a IN ({short})),
+hit AS (SELECT split, model, a, sim, y / es AS q FROM picked JOIN low USING (split, model, k, o) WHERE y + var < 0),
 two AS (SELECT obs.split, obs.model, obs.a, count(*) AS w, count_if(q / c + 1 < z1) AS l1, count_if(q / (n * alpha) + 1 < z2) AS l2 FROM (SELECT split, model, a, sim, count(*) AS c, sum(q) AS q FROM hit GROUP BY ALL) h JOIN obs ON obs.split = h.split AND obs.model = h.model AND obs.a = h.a GROUP BY obs.split, obs.model, obs.a),
 three AS (SELECT h.split, h.model, h.a, count_if(z < z3) / {sims} AS p3 FROM (SELECT split, model, a, sim, avg(g) + 1 AS z FROM deep JOIN means USING (split, model, a, o) GROUP BY ALL) h JOIN obs ON obs.split = h.split AND obs.model = h.model AND obs.a = h.a GROUP BY h.split, h.model, h.a),
 ps AS (SELECT obs.*, {chi2_sql('lr')} AS p0, CASE WHEN z1 IS NOT NULL THEN l1 / w END AS p1, CASE WHEN obs.a IN ({short}) THEN (coalesce(l2, 0) + CASE WHEN 1.0 < z2 THEN {sims} - coalesce(w, 0) ELSE 0 END) / {sims}::DOUBLE END AS p2, p3 FROM obs LEFT JOIN two USING (split, model, a) LEFT JOIN three USING (split, model, a)),
