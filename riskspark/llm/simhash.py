@@ -151,96 +151,156 @@ def shingle_set(text: bytes, words_each: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in whole), np.uint64, len(whole))).view(np.int64)
 
 
-def crossing(active: DataFrame, slices: int) -> tuple[DataFrame, DataFrame]:
-    """Of active (bucket, key, root): pivots (bucket, pivot, pivot_root), the least key of each of so many slices of a bucket, and the pairs (a, b), a > b, of a pivot with members of its bucket in other components."""
-    part = F.pmod(F.xxhash64("key"), F.lit(slices))
-    pivots = active.groupBy("bucket", part.alias("slice")).agg(F.min(F.struct("key", "root")).alias("p")).select("bucket", F.col("p.key").alias("pivot"), F.col("p.root").alias("pivot_root"))
-    pivots = saved(pivots, "near-pivots")
-    met = active.join(pivots, "bucket").where("root != pivot_root")
-    return pivots, met.select(F.greatest("key", "pivot").alias("a"), F.least("key", "pivot").alias("b")).distinct()
-
-
-def near_components(nodes: DataFrame, places: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """nodes (node, least) with root, by the links that verified() finds among the pairs that share a bucket of places (bucket, key).
-
-    Pairs that links already connect need no check. First each member is held against one other only, the least that it shares a bucket with, which connects most
-    copies. Then in each round every bucket that still spans several components has some of its members, the pivots, held
-    against all of its members in other components, and then the pivots are done; with sixteen times as many pivots a round, a bucket ends when its rest is one
-    component. So no pair is left out, a bucket of copies costs its size only, and one of unrelated texts its pairs.
+def prefixes(active: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """active: (key, root); sets: (key, shingles). The first shingles of each active text, rarest among active texts first: token, key, root, size, pos, main, often.
+
+    Two sets of Jaccard similarity `similarity` have at least ceil(similarity * size) shingles in common, so in any order that all texts share they meet within the
+    first size - ceil(similarity * size) + 1 of each. Only shingles that texts of several components have are returned, with the component that most of them are in, main, and the number of texts.
+    """
+    tokens = active.join(sets, "key").select("key", "root", F.size("shingles").alias("size"), F.explode("shingles").alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    ordered = tokens.join(often, "token", "left").groupBy("key", "root", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "token"))).alias("all"))
+    length = (F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1).cast("int")
+    first = ordered.select("key", "root", "size", F.posexplode(F.slice("all", F.lit(1), length)).alias("pos", "one")).where("one.n > 1")
+    first = saved(first.select(F.col("one.token").alias("token"), "key", "root", "size", "pos"), "near-first")
+    roots = first.groupBy("token", "root").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("often"), F.count("*").alias("of"))
+    return saved(first.join(roots.where("of > 1").drop("of"), "token"), "near-prefixes")
+
+
+def crossing(found: DataFrame, similarity: float) -> DataFrame:
+    """Of prefixes(): pairs (a, b, score), a > b, of different components that may be of Jaccard similarity `similarity`; none that is, is left out.
+
+    With the first common shingle at places i and j, two sets have at most the lesser of size - i and size - j in common; score is what that exceeds the needed number
+    by. One of two texts of different components is not in the main one of a shingle, so that the many copies in that are not held against one another.
+    """
+    x = found.where("root != main").select("token", F.col("key").alias("k"), F.col("root").alias("r"), F.col("size").alias("s"), F.col("pos").alias("i"))
+    need = (F.col("s") + F.col("size")) * (similarity / (1 + similarity)) - 1e-9
+    most = F.least(F.col("s") - F.col("i"), F.col("size") - F.col("pos"))
+    met = x.join(found, "token").where("r != root").where(most >= need)
+    return met.groupBy(F.greatest("key", "k").alias("a"), F.least("key", "k").alias("b")).agg(F.max(most - need).alias("score"))
+
+
+#: Texts and shingles that a block of texts holds, about.
+BLOCK, BLOCK_SHINGLES = 64, 1 << 16
+
+
+def in_blocks(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """pairs (a, b) with the blocks p and q of their texts. Texts of prefixes() with the same most frequent shingle lie together, dealt into blocks of about BLOCK texts."""
+    homes = found.groupBy("key").agg(F.max_by("token", F.struct("often", "token")).alias("home"), F.first("size").alias("size"))
+    number = homes.groupBy("home").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).alias("blocks"))
+    blocks = saved(homes.join(number, "home").select("key", F.xxhash64("home", F.pmod(F.xxhash64("key"), "blocks")).alias("block")), "near-blocks")
+    block = lambda k, name: blocks.select(F.col("key").alias(k), F.col("block").alias(name))
+    return pairs.join(block("a", "p"), "a").join(block("b", "q"), "b").select("p", "q", "a", "b")
+
+
+def similar(s: np.ndarray, t: np.ndarray, similarity: float) -> bool:
+    both = len(np.intersect1d(s, t, assume_unique=True))
+    return both >= similarity * (len(s) + len(t) - both)
+
+
+def verified_in_blocks(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of in_blocks(): the pairs (a, b) of Jaccard similarity `similarity` or more. The shingles of a text travel once for each pair of blocks, not for each pair of texts."""
+
+    def verify(held: pa.Table, texts: pa.Table) -> pa.Table:
+        shingles = {k: x.values.to_numpy() for k, x in zip(texts["key"].to_pylist(), texts["shingles"])}
+        keep = [similar(shingles[a], shingles[b], similarity) for a, b in zip(held["a"].to_pylist(), held["b"].to_pylist())]
+        return held.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    texts = pairs.select("p", "q", F.explode(F.array("a", "b")).alias("key")).distinct().join(sets, "key").select(F.col("p").alias("u"), F.col("q").alias("v"), "key", "shingles")
+    return pairs.groupBy("p", "q").cogroup(texts.groupBy("u", "v")).applyInArrow(verify, "a long, b long")
+
+
+def near_components(nodes: DataFrame, places: DataFrame, sets: DataFrame, similarity: float, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """nodes (node) with root, by the links that verified() finds among texts that share a bucket. places: (bucket, key, first), first the least key of the bucket.
+
+    Pairs that links already connect need no check. Each member is held against one other first, the least that it shares a bucket with, which connects most
+    copies. The members of buckets that still span several components, the active ones, are then joined by their rarest shingles. Of the pairs found, each text's best is
+    checked, and then those that are still of different components, all of them. So no pair of a bucket is left out, and texts that share most of their words
+    without being near copies are told apart before they are paired.
     """
-    least = saved(places.groupBy("bucket").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "near-shared")
-    near = places.join(least, "bucket").groupBy("key").agg(F.min("first").alias("b")).where("key > b").select(F.col("key").alias("a"), "b")
+    near = places.groupBy("key").agg(F.min("first").alias("b")).where("key > b").select(F.col("key").alias("a"), "b")
     edges = saved(verified(saved(near, "near-pairs")), "near-links")
     rooted = saved(with_component(nodes, edges), "near-roots")
-    placed = places.join(least, "bucket", "left_semi").join(rooted.select(F.col("node").alias("key"), "root"), "key").select("bucket", "key", "root")
-    mixed_ones = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
-    active, slices = saved(placed.join(mixed_ones, "bucket", "left_semi"), "near-places"), 1
-    if active.isEmpty():
-        return rooted
-    while True:
-        pivots, pairs = crossing(active, slices)
-        new = saved(verified(saved(pairs, "near-pairs")), "near-links")
-        edges = edges.unionByName(new)
-        rooted = saved(with_component(nodes, edges), "near-roots")
-        rest = active.drop("root").join(pivots.select("bucket", F.col("pivot").alias("key")), ["bucket", "key"], "left_anti")
-        rest = rest.join(rooted.select(F.col("node").alias("key"), "root"), "key").select("bucket", "key", "root")
-        rest = saved(rest, "near-rest")
-        mixed_ones = rest.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
-        active = saved(rest.join(mixed_ones, "bucket", "left_semi"), "near-places")
-        if active.isEmpty():
-            return rooted
-        slices *= 16
+    placed = places.join(rooted.select(F.col("node").alias("key"), "root"), "key")
+    spans = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
+    active = saved(placed.join(spans, "bucket", "left_semi").select("key", "root").distinct(), "near-active")
+    found = prefixes(active, sets, similarity)
+    pairs = saved(crossing(found, similarity), "near-pairs")
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("key"), "score", "a", "b"), F.struct(F.col("b").alias("key"), "score", "a", "b"))).alias("e"))
+    best = saved(ends.groupBy("e.key").agg(F.max(F.struct("e.score", "e.a", "e.b")).alias("m")).select("m.a", "m.b").distinct(), "near-best")
+    active, linked = joined(active, verified(best))
+    rest = across(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), active).select("a", "b")
+    _, more = joined(active, verified_in_blocks(saved(in_blocks(rest, found), "near-rest"), sets, similarity))
+    for step in (linked, more):
+        rooted = rooted.join(step, "root", "left").select("node", F.coalesce("joint", "root").alias("root"))
+    return saved(rooted, "near-roots")
+
+
+def across(pairs: DataFrame, active: DataFrame) -> DataFrame:
+    """pairs (a, b) whose ends are of different components of active (key, root), with the components, a_root and b_root."""
+    root = lambda k: active.select(F.col("key").alias(k), F.col("root").alias(f"{k}_root"))
+    return pairs.join(root("a"), "a").join(root("b"), "b").where("a_root != b_root")
+
+
+def joined(active: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """active (key, root) with the components that links (a, b) join as one, and (root, joint): which each of them became."""
+    edges = saved(across(links, active).select(F.greatest("a_root", "b_root").alias("a"), F.least("a_root", "b_root").alias("b")).distinct(), "near-links")
+    became = saved(with_component(active.select(F.col("root").alias("node")).distinct(), edges).select(F.col("node").alias("root"), F.col("root").alias("joint")), "near-joint")
+    return active.join(became, "root").select("key", F.col("joint").alias("root")), became
 
 
 def drop_near_copies(docs: DataFrame, words_each: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs, all its columns, with one row, that of the least doc_id, of each group of near copies.
 
     Two texts are linked if their sets of word shingles have a Jaccard similarity of `similarity` or more, which is verified on the whole sets; groups are
-    what links connect. Candidates share one of TABLES codes of their shingles, see there for the chance; of those none is left out. Rows with equal text are one
-    node; of rows that repeat an identifier and a text one stays. A null text has no words and is linked to others without words; null identifiers sort first.
+    what links connect. Candidates share one of TABLES codes of their shingles, see there for the chance; of those none is left out. Rows with equal text, told by its SHA-256,
+    are one node; of rows that repeat an identifier and a text one stays. A null text has no words and is linked to others without words; null identifiers sort first.
+    A very long text takes time in proportion to its length; its shingles, eight bytes each, are held by one task at a time.
     """
     ship(docs.sparkSession)
     rows_in = in_one(docs)
     text = F.encode(F.coalesce(F.col("row.text"), F.lit("")), "UTF-8")
-    keyed = rows_in.select("row", F.col("row.doc_id").cast("long").alias("id"), F.xxhash64(text, F.length(text), F.crc32(text)).alias("key"))
+    keyed = rows_in.select("row", F.col("row.doc_id").cast("long").alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
             codes = [min_codes(shingle_set(t, words_each)).tolist() for t in b.column(2).to_pylist()]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(codes, pa.list_(pa.int64()))], ["doc_id", "key", "codes"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(codes, pa.list_(pa.int64()))], ["doc_id", "digest", "codes"])
 
-    rows = saved(keyed.select(F.col("id").alias("doc_id"), "key", text.alias("text")).mapInArrow(compute, "doc_id long, key long, codes array<long>"), "near-codes")
-    nodes = rows.groupBy("key").agg(F.min(F.struct("doc_id"))["doc_id"].alias("least"), F.first("codes").alias("codes"))
-    nodes = saved(nodes, "near-nodes")
+    rows = saved(keyed.select(F.col("id").alias("doc_id"), "digest", text.alias("text")).mapInArrow(compute, "doc_id long, digest binary, codes array<long>"), "near-codes")
+    nodes = rows.groupBy("digest").agg(F.min(F.struct("doc_id"))["doc_id"].alias("least"), F.first("codes").alias("codes"))
+    nodes = saved(nodes.withColumn("key", F.monotonically_increasing_id()), "near-nodes")
     places = nodes.select("key", F.explode("codes").alias("bucket"))
+    least = places.groupBy("bucket").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    places = saved(places.join(least, "bucket"), "near-places")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
             yield pa.record_batch([b.column(0), pa.array([shingle_set(t, words_each) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], ["key", "shingles"])
 
+    crowd = places.select("key").distinct().join(nodes.select("key", "digest", "least"), "key").withColumnRenamed("digest", "wanted")
+    texts = keyed.select("digest", "id", text.alias("text")).join(crowd, (F.col("digest") == F.col("wanted")) & F.col("id").eqNullSafe(F.col("least")))
+    sets = saved(texts.select("key", "text").mapInArrow(shingles, "key long, shingles array<long>").dropDuplicates(["key"]), "near-sets")
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
             for k in range(b.num_rows):
                 s, t = (b.column(c)[k].values.to_numpy() for c in (2, 3))
-                shared_ones = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(shared_ones >= similarity * (len(s) + len(t) - shared_ones))
+                keep.append(similar(s, t, similarity))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        firsts = nodes.join(wanted, "key").select(F.col("key").alias("wanted"), "least")
-        texts = keyed.select("key", "id", text.alias("text")).join(firsts, (F.col("key") == F.col("wanted")) & F.col("id").eqNullSafe(F.col("least")), "left_semi")
-        sets = saved(texts.select("key", "text").mapInArrow(shingles, "key long, shingles array<long>").dropDuplicates(["key"]), "near-sets")
         held = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("t")), "b")
         return held.select("a", "b", "s", "t").mapInArrow(verify, "a long, b long")
 
-    rooted = near_components(nodes.select(F.col("key").alias("node"), "least"), places, verified)
-    stays = rooted.groupBy("root").agg(F.min(F.struct("least", "node")).alias("m")).select(F.col("m.node").alias("node"), F.col("m.least").alias("least"))
-    kept = keyed.join(stays, (F.col("key") == F.col("node")) & F.col("id").eqNullSafe(F.col("least")))
-    again = rows.groupBy("key", "doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    rooted = near_components(nodes.select(F.col("key").alias("node")), places, sets, similarity, verified)
+    named = rooted.join(nodes.select(F.col("key").alias("node"), F.col("digest").alias("wanted"), "least"), "node")
+    stays = named.groupBy("root").agg(F.min(F.struct("least", "wanted")).alias("m")).select("m.wanted", "m.least")
+    kept = keyed.join(stays, (F.col("digest") == F.col("wanted")) & F.col("id").eqNullSafe(F.col("least")))
+    again = rows.groupBy("digest", "doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if not again.isEmpty():
-        kept = kept.dropDuplicates(["key", "least"])
+        kept = kept.dropDuplicates(["digest", "least"])
     return kept.select("row.*")
 
 
