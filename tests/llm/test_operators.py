@@ -221,6 +221,26 @@ def test_near_copies_edited_in_one_block_are_found(spark):
     one_of_each_is_kept(spark, texts)
 
 
+def test_edits_of_one_text_are_grouped_as_by_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 4)  # so that the last pairs lie in many blocks
+    rng = np.random.default_rng(7)
+    base, texts = [f"w{k}" for k in range(100)], []
+    for k in range(120):
+        edited = list(base)
+        for n, at in enumerate(rng.integers(0, 100, int(rng.integers(1, 7)))):
+            edited[at] = f"x{int(rng.integers(0, 4))}" if n % 2 else f"own{k}-{n}"
+        texts.append(" ".join(edited))
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if jaccard(texts[a], texts[b]) >= 0.8:
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    assert 1 < len(set(root)) < len(texts)
+    kept = simhash.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    assert {r["doc_id"] for r in kept.collect()} == set(root)
+
+
 def test_near_copies_among_texts_of_one_word_set_are_found(spark):
     rng = np.random.default_rng(6)
     words, texts = [f"w{k}" for k in range(400)], []
