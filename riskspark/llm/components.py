@@ -13,13 +13,14 @@ def stars(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps: neighbours above a node are hung on the least of its neighbourhood, then
     those below. Each step is a minimum for each node, written to the shared folder, and a join of edges with it; a node with very
-    many edges is met in a join only, whose large partitions Spark can split.
+    many edges is met in a join only, whose large partitions Spark can split. The tables grow with the graph and hold few distinct values, so that their
+    files are far smaller than their rows: by its size a file would still be broadcast where its rows don't fit the driver. Hence joins by merging.
     """
 
     def hung(pairs: DataFrame, tag: str) -> DataFrame:
         """Of pairs (u, v): each v, and u, on the least of v and u for that u."""
         least = saved(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{tag}-least")
-        moved = pairs.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        moved = pairs.join(least.hint("merge"), "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         own = least.select(F.col("u").alias("a"), F.col("m").alias("b"))
         return moved.unionByName(own).where("a > b").distinct()
 
@@ -27,7 +28,7 @@ def stars(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "large-least")
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         large = saved(large, "large")
         edges = saved(hung(large.select(F.col("a").alias("u"), F.col("b").alias("v")), "small"), "small")
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -41,4 +42,4 @@ def with_component(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     if edges.isEmpty():
         return nodes.withColumn("root", F.col("node"))
     hung = stars(edges)
-    return nodes.join(hung.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return nodes.join(hung.select(F.col("a").alias("node"), F.col("b").alias("root")).hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))

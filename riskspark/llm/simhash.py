@@ -95,17 +95,20 @@ DENSE = 8
 
 
 def links(fps: DataFrame, bits: int = 2) -> DataFrame:
-    """fps: fp, distinct, and cell, its embedding. Edges (a, b), a > b, that connect any fps at Hamming distance one or two."""
+    """fps: fp, distinct, and cell, its embedding. Edges (a, b), a > b, that connect any fps at Hamming distance one or two.
+
+    No table is broadcast: the files hold few distinct values and are far smaller than their rows, which would go through the driver.
+    """
     placed = fps.select("fp", F.explode(cells(F.col("cell"))).alias("at"))
     crowd = placed.groupBy("at").agg(F.count("*").alias("n")).where("n > 1")
-    near = saved(placed.join(crowd, "at").select("at", "fp", "n"), "simhash-near")
+    near = saved(placed.join(crowd.hint("merge"), "at").select("at", "fp", "n"), "simhash-near")
     few = near.where(F.col("n") <= DENSE)
-    pairs = few.select("at", F.col("fp").alias("a")).join(few.select("at", F.col("fp").alias("b")), "at").where("a > b").select("a", "b").distinct()
+    pairs = few.select("at", F.col("fp").alias("a")).join(few.select("at", F.col("fp").alias("b")).hint("merge"), "at").where("a > b").select("a", "b").distinct()
     found = pairs.where(manhattan(embedding(F.col("a")), embedding(F.col("b"))) <= bits).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
     flips = [F.col("fp"), *(F.col("fp").bitwiseXOR(signed(1 << k)) for k in range(BITS))]
     hubs = near.where(F.col("n") > DENSE).select("fp").distinct().select("fp", F.explode(F.array(*flips)).alias("hub"))
     least = saved(hubs.groupBy("hub").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n"), "simhash-hubs")
-    return found.unionByName(hubs.join(least, "hub").where("fp > b").select(F.col("fp").alias("a"), "b")).distinct()
+    return found.unionByName(hubs.join(least.hint("merge"), "hub").where("fp > b").select(F.col("fp").alias("a"), "b")).distinct()
 
 
 def near_groups(docs: DataFrame, words_each: int = 3) -> DataFrame:
@@ -119,8 +122,8 @@ def near_groups(docs: DataFrame, words_each: int = 3) -> DataFrame:
     edges = saved(links(nodes.select("fp", "cell")), "simhash-links")
     rooted = with_component(nodes.select(F.col("fp").alias("node"), "least"), edges)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(least.hint("merge"), "root").select(F.col("node").alias("fp"), "component_id")
+    return rows.join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 #: A text's shingles give TABLES codes of MINIMA smallest hashes each. Two texts of Jaccard similarity J share a code with chance 1 - (1 - J**MINIMA)**TABLES:

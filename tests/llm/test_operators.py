@@ -169,6 +169,16 @@ def test_simhash_links_every_near_pair(spark):
     assert components(range(len(fps)), lambda i, j: (j, i) in made) == components(range(len(fps)), lambda i, j: bin(fps[i] ^ fps[j]).count("1") <= 2)
 
 
+def test_components_and_links_broadcast_no_growing_table(spark):
+    """The tables of a graph are small as files and large as rows: broadcast, they fill the driver."""
+    fps = spark.createDataFrame([(k, "t" + " w" * k) for k in range(40)], "doc_id long, text string")
+    plan = simhash.near_groups(fps)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    crowd = spark.createDataFrame([(k,) for k in range(1 << 10)], "fp long").withColumn("cell", simhash.embedding(F.col("fp")))
+    plan = simhash.links(crowd)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_near_copies_one_of_each_group_stays(docs, empty):
     def sims(t):
         words = t.translate(TRANS).split()
