@@ -50,17 +50,17 @@ def fingerprint_of(text: bytes, words_each: int) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words_each: int = 3) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed 64-bit integer. A null text has no words, and so fingerprint zero."""
+def fingerprints(docs: DataFrame, words_each: int = 3, *more: str) -> DataFrame:
+    """doc_id, fp, the fingerprint as a signed 64-bit integer, and the binary columns `more` as they are. A null text has no words, and so fingerprint zero."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
             fps = np.array([fingerprint_of(t, words_each) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.record_batch([b.column(0), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.record_batch([b.column(0), pa.array(fps), *b.columns[2:]], ["doc_id", "fp", *more])
 
     ship(docs.sparkSession)
-    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
-    return thin.mapInArrow(compute, "doc_id long, fp long")
+    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"), *more)
+    return thin.mapInArrow(compute, ", ".join(["doc_id long", "fp long", *(f"{c} binary" for c in more)]))
 
 
 def embedding(fp: Column) -> Column:
@@ -307,6 +307,25 @@ def drop_near_copies(docs: DataFrame, words_each: int = 5, similarity: float = 0
     return kept.select("row.*")
 
 
+def one_of_each_group(docs: DataFrame, words_each: int = 3) -> DataFrame:
+    """docs, all its columns, with one row, that of the least doc_id, of each group of near_groups(): fingerprints within two bits, and what such links connect.
+
+    Null identifiers sort first; rows of the least identifier are told apart by their text's SHA-256, and of rows that repeat an identifier and a text one stays.
+    """
+    ship(docs.sparkSession)
+    text = F.encode(F.coalesce(F.col("row.text"), F.lit("")), "UTF-8")
+    keyed = in_one(docs).select("row", F.col("row.doc_id").cast("long").alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    rows = saved(fingerprints(keyed.select(F.col("id").alias("doc_id"), F.col("row.text").alias("text"), "digest"), words_each, "digest"), "near-rows")
+    nodes = saved(rows.groupBy("fp").agg(F.min(F.struct("doc_id", "digest")).alias("m")).withColumn("cell", embedding(F.col("fp"))), "near-nodes")
+    edges = saved(links(nodes.select("fp", "cell")), "near-links")
+    stays = with_component(nodes.select(F.col("fp").alias("node"), "m"), edges).groupBy("root").agg(F.min("m").alias("m")).select(F.col("m.doc_id").alias("least"), F.col("m.digest").alias("wanted"))
+    kept = keyed.join(stays.hint("merge"), (F.col("digest") == F.col("wanted")) & F.col("id").eqNullSafe(F.col("least")))
+    again = rows.groupBy("digest", "doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if not again.isEmpty():
+        kept = kept.dropDuplicates(["digest", "least"])
+    return kept.select("row.*")
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_groups(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
