@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark.sources.shared import written
@@ -89,45 +92,70 @@ def kde(sample: DataFrame, grid: DataFrame, rule: str = "scott") -> DataFrame:
     return each.groupBy("g", "h", "n").agg((F.sum(F.exp(-0.5 * z * z)) / (F.col("n") * F.col("h") * F.lit((2 * np.pi) ** 0.5))).alias("density")).select("g", "density")
 
 
+def packed_blocks(vectors: DataFrame, rows: int) -> DataFrame:
+    """vectors (id, v) in the order of their norms, `rows` of them a row: block, ids and v as bytes, lo and hi, the least and largest norm, and mid, the middle one's."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, n, ids, vs, rs = TaskContext.get().partitionId(), 0, [], [], []
+
+        def full(k: int) -> pa.RecordBatch:
+            cells = [(part << 32) + n], [np.array(ids[:k], np.int64).tobytes()], [np.array(vs[:k], float).tobytes()], [rs[0]], [rs[k - 1]], [rs[(k - 1) // 2]]
+            del ids[:k], vs[:k], rs[:k]
+            return pa.record_batch([pa.array(c) for c in cells], ["block", "ids", "v", "lo", "hi", "mid"])
+
+        for b in batches:
+            for i in range(0, b.num_rows, rows):
+                some = b.slice(i, rows)
+                ids += some.column(0).to_pylist()
+                vs += some.column(1).to_pylist()
+                rs += some.column(2).to_pylist()
+                while len(ids) >= rows:
+                    yield full(rows)
+                    n += 1
+        if ids:
+            yield full(len(ids))
+
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    parts = max(1, -(-vectors.count() // (16 * rows)))
+    ranged = vectors.select("id", "v", norm.alias("r")).repartitionByRange(parts, "r", F.xxhash64("id")).sortWithinPartitions("r")
+    return written(ranged.mapInArrow(pack, "block long, ids binary, v binary, lo double, hi double, mid double"), "nearest-blocks")
+
+
 def nearest(queries: DataFrame, base: DataFrame, rows: int = 2048) -> DataFrame:
     """q, d: distance of each query (q, v) to its nearest row of base (b, v) other than itself (b = q); null if there is no other.
 
-    Rows of base are dealt into blocks by their norm. A query meets the block that its own norm falls into first; the distance found there rules out the blocks whose
-    norms all differ by more from its own, since distances are at least the difference of norms. Only those left are met, each with slices of queries in a task of its own.
+    Both are put in blocks by their norm. A block of queries meets the block of base that its middle norm falls into first; the distances found there rule out the blocks whose
+    norms all differ by more from its own, since distances are at least the difference of norms. Only those left are met. Blocks meet by replication, not by a shuffle: a vector
+    is shuffled once, when blocks are made, and then only minima are.
     """
-    norm = lambda df: df.withColumn("r", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))
-    parts = max(1, -(-base.count() // rows))
-    measured = norm(base)
-    cuts = measured.agg(F.percentile_approx("r", [k / parts for k in range(1, parts)], max(10_000, 10 * parts)).alias("c")).first()["c"] if parts > 1 else []
-    edges = F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>")  # one number for each block of rows
-    block = F.size(F.filter(edges, lambda c: c <= F.col("r")))
-    dealt = measured.withColumn("block", block)
-    held = dealt.groupBy("block").agg(F.min("r").alias("lo"), F.max("r").alias("hi"))
-    spans = held.agg(F.collect_list(F.struct("block", "lo", "hi")).alias("spans"))  # one row
-    slices = max(1, -(-queries.count() // rows))
-    asked = norm(queries).withColumn("block", block).withColumn("slice", F.pmod(F.xxhash64("q"), F.lit(slices)))
-
-    def least(key: tuple, both: pd.DataFrame) -> pd.DataFrame:
-        left, right = both[both["asks"]], both[~both["asks"]]
-        if left.empty or right.empty:
-            return pd.DataFrame({"q": left["id"], "d2": np.full(len(left), np.inf)})
-        b, ids = np.stack(right["v"].to_numpy()).astype(float), right["id"].to_numpy()
-        a, own = np.stack(left["v"].to_numpy()).astype(float), left["id"].to_numpy()
-        d2 = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0.0)
-        d2[own[:, None] == ids[None, :]] = np.inf
-        return pd.DataFrame({"q": own, "d2": d2.min(axis=1)})
-
-    def met(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select("block", "slice").distinct()
-        both = pairs.select("block", "slice", F.col("q").alias("id"), "v", F.lit(True).alias("asks")).unionByName(dealt.join(wanted, "block").select("block", "slice", F.col("b").alias("id"), "v", F.lit(False).alias("asks")))
-        return both.groupBy("block", "slice").applyInPandas(least, "q long, d2 double")
-
-    first = written(met(asked), "nearest-first")
-    near = asked.join(first, "q").join(F.broadcast(spans))  # one row
-    reach = F.sqrt("d2") * (1 + 1e-9) + 1e-9
-    close = F.filter("spans", lambda s: (s["block"] != F.col("block")) & (s["lo"] <= F.col("r") + reach) & (s["hi"] >= F.col("r") - reach))
-    more = near.withColumn("block", F.explode(F.transform(close, lambda s: s["block"]))).select("q", "v", "block", "slice")
-    best = first.unionByName(met(more)).groupBy("q").agg(F.min("d2").alias("d2"))
+    asked = packed_blocks(queries.select(F.col("q").alias("id"), "v"), rows).select(F.col("block").alias("slice"), F.col("ids").alias("qs"), F.col("v").alias("a"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"), "mid")
+    held = packed_blocks(base.select(F.col("b").alias("id"), "v"), rows).select("block", "ids", "v", "lo", "hi")
+    homes = asked.select("slice", "mid").join(held.select("block", "lo", "hi").hint("shuffle_replicate_nl"))
+    away = F.greatest(F.lit(0.0), F.col("lo") - F.col("mid"), F.col("mid") - F.col("hi"))
+    home = written(homes.groupBy("slice").agg(F.min_by("block", F.struct(away, "block")).alias("home")), "nearest-homes")  # one row a block
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for one in (b.slice(k, 1).to_pylist()[0] for b in batches for k in range(b.num_rows)):
+            own, ids = np.frombuffer(one["qs"], np.int64), np.frombuffer(one["ids"], np.int64)
+            a, b = np.frombuffer(one["a"]).reshape(len(own), -1), np.frombuffer(one["v"]).reshape(len(ids), -1)
+            d2 = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0.0)
+            if np.isin(own, ids).any():
+                d2[own[:, None] == ids[None, :]] = np.inf
+            yield pa.record_batch([pa.array(np.full(len(own), one["slice"])), pa.array(own), pa.array(d2.min(axis=1))], ["slice", "q", "d2"])
+
+    def met(left: DataFrame, on: Column) -> DataFrame:
+        pairs = left.join(held.hint("shuffle_replicate_nl"), on).select("slice", "qs", "a", "ids", "v")
+        return pairs.mapInArrow(least, "slice long, q long, d2 double").groupBy("slice", "q").agg(F.min("d2").alias("d2"))
+
+    at_home = asked.join(F.broadcast(home), "slice")  # one row a block
+    first = written(met(at_home, F.col("home") == F.col("block")), "nearest-first")
+    reach = first.groupBy("slice").agg((F.sqrt(F.max("d2")) * (1 + 1e-9) + 1e-9).alias("reach"))
+    close = (F.col("home") != F.col("block")) & (F.col("lo") <= F.col("a_hi") + F.col("reach")) & (F.col("hi") >= F.col("a_lo") - F.col("reach"))
+    more = met(at_home.join(F.broadcast(reach), "slice"), close)  # one row a block
+    every = queries.select("q", F.lit(float("inf")).alias("d2"))  # also where base has no rows
+    best = every.unionByName(first.unionByName(more).select("q", "d2")).groupBy("q").agg(F.min("d2").alias("d2"))
     return best.select("q", F.when(F.col("d2") < float("inf"), F.sqrt("d2")).alias("d"))
 
 

@@ -80,6 +80,17 @@ def test_nearest_is_exact(spark, rows):
     assert [(r["q"], r["d"]) for r in lone] == [(0, None)]
 
 
+def test_nearest_shuffles_no_vector_for_each_block(spark):
+    """Blocks meet by replication; what is shuffled afterwards are minima. A base without rows leaves every query, without a distance."""
+    rng = np.random.default_rng(8)
+    table = lambda c, n: spark.createDataFrame([(k, [float(v) for v in rng.normal(size=4)]) for k in range(n)], f"{c} long, v array<double>")
+    found = dependence.nearest(table("q", 60), table("b", 70), 10)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "FlatMapGroupsInPandas" not in plan
+    none = dependence.nearest(table("q", 5), table("b", 1).where("b < 0"), 10).collect()
+    assert sorted((r["q"], r["d"]) for r in none) == [(k, None) for k in range(5)]
+
+
 def test_recalibration_is_the_plain_map(spark):
     rng = np.random.default_rng(7)
     mix = {1: rng.normal(size=400), 2: rng.exponential(size=90), 3: np.array([0.3])}
