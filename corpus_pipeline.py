@@ -1,6 +1,6 @@
 """A corpus pipeline: STAGES run one after another, each over all documents that the one before kept.
 
-Language ID drops documents that are in no learned language, exact dedup keeps the last of equal texts, near-dedup one of each of op3's groups,
+Language ID drops documents that are in no learned language, exact dedup keeps the last of equal texts, near-dedup one of each group of near copies, by op3's fingerprints and by shingle sets,
 PII masks personal data, and packing cuts what is left into sequences.
 """
 
@@ -13,7 +13,7 @@ from riskspark.llm.exact_dedup import drop_copies
 from riskspark.llm.language_id import accept_language
 from riskspark.llm.packing import pack
 from riskspark.llm.pii import masked
-from riskspark.llm.simhash import one_of_each_group
+from riskspark.llm.simhash import drop_near_copies
 from riskspark.session import ship
 
 
@@ -28,7 +28,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return one_of_each_group(docs)
+    return drop_near_copies(docs, fingerprint_words=3)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

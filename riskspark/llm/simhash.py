@@ -213,8 +213,8 @@ def verified_in_blocks(pairs: DataFrame, sets: DataFrame, similarity: float) ->
     return pairs.groupBy("p", "q").cogroup(texts.groupBy("u", "v")).applyInArrow(verify, "a long, b long")
 
 
-def near_components(nodes: DataFrame, places: DataFrame, sets: DataFrame, similarity: float, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """nodes (node) with root, by the links that verified() finds among texts that share a bucket. places: (bucket, key, first), first the least key of the bucket.
+def near_components(nodes: DataFrame, places: DataFrame, sets: DataFrame, similarity: float, verified: Callable[[DataFrame], DataFrame], linked: DataFrame | None = None) -> DataFrame:
+    """nodes (node) with root, by the links that verified() finds among texts that share a bucket, and by linked (a, b), a > b, if given. places: (bucket, key, first), first the least key of the bucket.
 
     Pairs that links already connect need no check. Each member is held against one other first, the least that it shares a bucket with, which connects most
     copies. The members of buckets that still span several components, the active ones, are then joined by their rarest shingles. Of the pairs found, each text's best is
@@ -222,7 +222,8 @@ def near_components(nodes: DataFrame, places: DataFrame, sets: DataFrame, simila
     without being near copies are told apart before they are paired.
     """
     near = places.groupBy("key").agg(F.min("first").alias("b")).where("key > b").select(F.col("key").alias("a"), "b")
-    edges = saved(verified(saved(near, "near-pairs")), "near-links")
+    found = verified(saved(near, "near-pairs"))
+    edges = saved(found if linked is None else found.unionByName(linked).distinct(), "near-links")
     rooted = saved(with_component(nodes, edges), "near-roots")
     placed = places.join(rooted.select(F.col("node").alias("key"), "root"), "key")
     spans = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
@@ -252,11 +253,22 @@ def joined(active: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     return active.join(became, "root").select("key", F.col("joint").alias("root")), became
 
 
-def drop_near_copies(docs: DataFrame, words_each: int = 5, similarity: float = 0.8) -> DataFrame:
+def fingerprint_links(keyed: DataFrame, nodes: DataFrame, words_each: int) -> DataFrame:
+    """keyed: (doc_id, text, digest); nodes: (key, digest). Edges (a, b), a > b, that hang each text on the least key of its group by op3's method."""
+    rows = saved(fingerprints(keyed, words_each, "digest").dropDuplicates(["digest"]).select("digest", "fp"), "near-fps")
+    fps = saved(nodes.join(rows.hint("merge"), "digest").select("key", "fp"), "near-fps")
+    cells_of = saved(fps.groupBy("fp").agg(F.min("key").alias("least")).withColumn("cell", embedding(F.col("fp"))), "near-fp-nodes")
+    rooted = with_component(cells_of.select(F.col("fp").alias("node"), "least"), saved(links(cells_of.select("fp", "cell")), "near-fp-links"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("b"))
+    named = rooted.join(least.hint("merge"), "root").select(F.col("node").alias("fp"), "b")
+    return fps.join(named.hint("merge"), "fp").where("key > b").select(F.col("key").alias("a"), "b")
+
+
+def drop_near_copies(docs: DataFrame, words_each: int = 5, similarity: float = 0.8, fingerprint_words: int | None = None) -> DataFrame:
     """docs, all its columns, with one row, that of the least doc_id, of each group of near copies.
 
     Two texts are linked if their sets of word shingles have a Jaccard similarity of `similarity` or more, which is verified on the whole sets; groups are
-    what links connect. Candidates share one of TABLES codes of their shingles, see there for the chance; of those none is left out. Rows with equal text, told by its SHA-256,
+    what links connect. With fingerprint_words, texts that op3's method links by fingerprints of so many words a shingle are linked as well. Candidates share one of TABLES codes of their shingles, see there for the chance; of those none is left out. Rows with equal text, told by its SHA-256,
     are one node; of rows that repeat an identifier and a text one stays. A null text has no words and is linked to others without words; null identifiers sort first.
     A very long text takes time in proportion to its length; its shingles, eight bytes each, are held by one task at a time.
     """
@@ -297,7 +309,8 @@ def drop_near_copies(docs: DataFrame, words_each: int = 5, similarity: float = 0
         held = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("t")), "b")
         return held.select("a", "b", "s", "t").mapInArrow(verify, "a long, b long")
 
-    rooted = near_components(nodes.select(F.col("key").alias("node")), places, sets, similarity, verified)
+    linked = fingerprint_links(keyed.select(F.col("id").alias("doc_id"), F.col("row.text").alias("text"), "digest"), nodes.select("key", "digest"), fingerprint_words) if fingerprint_words else None
+    rooted = near_components(nodes.select(F.col("key").alias("node")), places, sets, similarity, verified, linked)
     named = rooted.join(nodes.select(F.col("key").alias("node"), F.col("digest").alias("wanted"), "least"), "node")
     stays = named.groupBy("root").agg(F.min(F.struct("least", "wanted")).alias("m")).select("m.wanted", "m.least")
     kept = keyed.join(stays, (F.col("digest") == F.col("wanted")) & F.col("id").eqNullSafe(F.col("least")))
@@ -307,25 +320,6 @@ def drop_near_copies(docs: DataFrame, words_each: int = 5, similarity: float = 0
     return kept.select("row.*")
 
 
-def one_of_each_group(docs: DataFrame, words_each: int = 3) -> DataFrame:
-    """docs, all its columns, with one row, that of the least doc_id, of each group of near_groups(): fingerprints within two bits, and what such links connect.
-
-    Null identifiers sort first; rows of the least identifier are told apart by their text's SHA-256, and of rows that repeat an identifier and a text one stays.
-    """
-    ship(docs.sparkSession)
-    text = F.encode(F.coalesce(F.col("row.text"), F.lit("")), "UTF-8")
-    keyed = in_one(docs).select("row", F.col("row.doc_id").cast("long").alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"))
-    rows = saved(fingerprints(keyed.select(F.col("id").alias("doc_id"), F.col("row.text").alias("text"), "digest"), words_each, "digest"), "near-rows")
-    nodes = saved(rows.groupBy("fp").agg(F.min(F.struct("doc_id", "digest")).alias("m")).withColumn("cell", embedding(F.col("fp"))), "near-nodes")
-    edges = saved(links(nodes.select("fp", "cell")), "near-links")
-    stays = with_component(nodes.select(F.col("fp").alias("node"), "m"), edges).groupBy("root").agg(F.min("m").alias("m")).select(F.col("m.doc_id").alias("least"), F.col("m.digest").alias("wanted"))
-    kept = keyed.join(stays.hint("merge"), (F.col("digest") == F.col("wanted")) & F.col("id").eqNullSafe(F.col("least")))
-    again = rows.groupBy("digest", "doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    if not again.isEmpty():
-        kept = kept.dropDuplicates(["digest", "least"])
-    return kept.select("row.*")
-
-
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_groups(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
