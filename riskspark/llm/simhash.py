@@ -155,32 +155,54 @@ def shingle_set(text: bytes, words_each: int) -> np.ndarray:
 
 
 def prefixes(active: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """active: (key, root); sets: (key, shingles). The first shingles of each active text, rarest among active texts first: token, key, root, size, pos, main, often.
+    """active: (key, root); sets: (key, shingles). The first shingles of each active text, rarest among active texts first: token, key, size, pos.
 
     Two sets of Jaccard similarity `similarity` have at least ceil(similarity * size) shingles in common, so in any order that all texts share they meet within the
-    first size - ceil(similarity * size) + 1 of each. Only shingles that texts of several components have are returned, with the component that most of them are in, main, and the number of texts.
+    first size - ceil(similarity * size) + 1 of each. Shingles that one text alone has are counted in pos and left out.
     """
-    tokens = active.join(sets, "key").select("key", "root", F.size("shingles").alias("size"), F.explode("shingles").alias("token"))
+    tokens = active.join(sets, "key").select("key", F.size("shingles").alias("size"), F.explode("shingles").alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    ordered = tokens.join(often, "token", "left").groupBy("key", "root", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "token"))).alias("all"))
+    ordered = tokens.join(often, "token", "left").groupBy("key", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "token"))).alias("all"))
     length = (F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1).cast("int")
-    first = ordered.select("key", "root", "size", F.posexplode(F.slice("all", F.lit(1), length)).alias("pos", "one")).where("one.n > 1")
-    first = saved(first.select(F.col("one.token").alias("token"), "key", "root", "size", "pos"), "near-first")
-    roots = first.groupBy("token", "root").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("often"), F.count("*").alias("of"))
-    return saved(first.join(roots.where("of > 1").drop("of"), "token"), "near-prefixes")
+    first = ordered.select("key", "size", F.posexplode(F.slice("all", F.lit(1), length)).alias("pos", "one")).where("one.n > 1")
+    return saved(first.select(F.col("one.token").alias("token"), "key", "size", "pos"), "near-first")
+
+
+def spanning(first: DataFrame, active: DataFrame) -> DataFrame:
+    """Of prefixes(), or of what this gave for other components: the shingles that texts of several components of active (key, root) have, with root, the component that most of them are in, main, and the number of texts, often."""
+    rooted = saved(first.select("token", "key", "size", "pos").join(active, "key"), "near-rooted")
+    roots = rooted.groupBy("token", "root").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("often"), F.count("*").alias("of"))
+    return saved(rooted.join(roots.where("of > 1").drop("of"), "token"), "near-prefixes")
+
+
+def may_be(pos: Column, size: Column, pos_b: Column, size_b: Column, similarity: float) -> Column:
+    """Whether two sets may be of Jaccard similarity `similarity` if their first common shingle has these places; they have at most the lesser of size - pos in common."""
+    return F.least(size - pos, size_b - pos_b) >= (size + size_b) * (similarity / (1 + similarity)) - 1e-9
+
+
+def central(found: DataFrame, similarity: float) -> DataFrame:
+    """Of spanning(): for each text a pair (a, b), a > b, with the most central text of another component that it shares a first shingle with; texts that can't be near copies are not paired.
+
+    The fewer rare shingles stand before a shared one, the more central is a text. Edits of one text are mostly near copies of the least edited ones, far
+    more seldom of each other, so that these pairs, one a text, connect what all pairs of a group connect or nearly so.
+    """
+    each = found.groupBy("token", "root").agg(F.min(F.struct("pos", "key", "size")).alias("m")).select("token", F.struct("m.pos", "m.key", "m.size", "root").alias("m"))
+    one = each.groupBy("token").agg(F.min("m").alias("one"))
+    two = each.join(one, "token").where("m.root != one.root").groupBy("token", "one").agg(F.min("m").alias("two"))
+    met = found.join(saved(two, "near-centres"), "token").withColumn("c", F.when(F.col("root") != F.col("one.root"), F.col("one")).otherwise(F.col("two")))
+    met = met.where(may_be(F.col("pos"), F.col("size"), F.col("c.pos"), F.col("c.size"), similarity))
+    pair = F.struct((F.col("pos") + F.col("c.pos")).alias("pos"), F.greatest("key", "c.key").alias("a"), F.least("key", "c.key").alias("b"))
+    return met.groupBy("key").agg(F.min(pair).alias("p")).select("p.a", "p.b").distinct()
 
 
 def crossing(found: DataFrame, similarity: float) -> DataFrame:
-    """Of prefixes(): pairs (a, b, score), a > b, of different components that may be of Jaccard similarity `similarity`; none that is, is left out.
+    """Of spanning(): pairs (a, b), a > b, of different components that may be of Jaccard similarity `similarity`; none that is, is left out.
 
-    With the first common shingle at places i and j, two sets have at most the lesser of size - i and size - j in common; score is what that exceeds the needed number
-    by. One of two texts of different components is not in the main one of a shingle, so that the many copies in that are not held against one another.
+    One of two texts of different components is not in the main one of a shingle, so that the many copies in that are not held against one another.
     """
     x = found.where("root != main").select("token", F.col("key").alias("k"), F.col("root").alias("r"), F.col("size").alias("s"), F.col("pos").alias("i"))
-    need = (F.col("s") + F.col("size")) * (similarity / (1 + similarity)) - 1e-9
-    most = F.least(F.col("s") - F.col("i"), F.col("size") - F.col("pos"))
-    met = x.join(found, "token").where("r != root").where(most >= need)
-    return met.groupBy(F.greatest("key", "k").alias("a"), F.least("key", "k").alias("b")).agg(F.max(most - need).alias("score"))
+    met = x.join(found, "token").where("r != root").where(may_be(F.col("i"), F.col("s"), F.col("pos"), F.col("size"), similarity))
+    return met.select(F.greatest("key", "k").alias("a"), F.least("key", "k").alias("b")).distinct()
 
 
 #: Texts and shingles that a block of texts holds, about.
@@ -188,7 +210,7 @@ BLOCK, BLOCK_SHINGLES = 64, 1 << 16
 
 
 def in_blocks(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """pairs (a, b) with the blocks p and q of their texts. Texts of prefixes() with the same most frequent shingle lie together, dealt into blocks of about BLOCK texts."""
+    """pairs (a, b) with the blocks p and q of their texts. Texts of spanning() with the same most frequent shingle lie together, dealt into blocks of about BLOCK texts."""
     homes = found.groupBy("key").agg(F.max_by("token", F.struct("often", "token")).alias("home"), F.first("size").alias("size"))
     number = homes.groupBy("home").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).alias("blocks"))
     blocks = saved(homes.join(number, "home").select("key", F.xxhash64("home", F.pmod(F.xxhash64("key"), "blocks")).alias("block")), "near-blocks")
@@ -213,13 +235,17 @@ def verified_in_blocks(pairs: DataFrame, sets: DataFrame, similarity: float) ->
     return pairs.groupBy("p", "q").cogroup(texts.groupBy("u", "v")).applyInArrow(verify, "a long, b long")
 
 
+#: Times that texts are held against central ones before all that are left are joined.
+CENTRES = 2
+
+
 def near_components(nodes: DataFrame, places: DataFrame, sets: DataFrame, similarity: float, verified: Callable[[DataFrame], DataFrame], linked: DataFrame | None = None) -> DataFrame:
     """nodes (node) with root, by the links that verified() finds among texts that share a bucket, and by linked (a, b), a > b, if given. places: (bucket, key, first), first the least key of the bucket.
 
     Pairs that links already connect need no check. Each member is held against one other first, the least that it shares a bucket with, which connects most
-    copies. The members of buckets that still span several components, the active ones, are then joined by their rarest shingles. Of the pairs found, each text's best is
-    checked, and then those that are still of different components, all of them. So no pair of a bucket is left out, and texts that share most of their words
-    without being near copies are told apart before they are paired.
+    copies. The members of buckets that still span several components, the active ones, are then held against the most central text that they share one of their
+    rarest shingles with, one each and CENTRES times at most. Those still of different components are joined by their rarest shingles, and all pairs found are checked.
+    So no pair of a bucket is left out, and texts that share most of their words are mostly one component, or told apart, before they are paired.
     """
     near = places.groupBy("key").agg(F.min("first").alias("b")).where("key > b").select(F.col("key").alias("a"), "b")
     found = verified(saved(near, "near-pairs"))
@@ -228,14 +254,17 @@ def near_components(nodes: DataFrame, places: DataFrame, sets: DataFrame, simila
     placed = places.join(rooted.select(F.col("node").alias("key"), "root"), "key")
     spans = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
     active = saved(placed.join(spans, "bucket", "left_semi").select("key", "root").distinct(), "near-active")
-    found = prefixes(active, sets, similarity)
+    found, steps = spanning(prefixes(active, sets, similarity), active), []
+    for _ in range(CENTRES):
+        links = saved(verified(saved(central(found, similarity), "near-central")), "near-links")
+        if links.isEmpty():
+            break
+        active, step = joined(active, links)
+        steps.append(step)
+        found = spanning(found, active)
     pairs = saved(crossing(found, similarity), "near-pairs")
-    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("key"), "score", "a", "b"), F.struct(F.col("b").alias("key"), "score", "a", "b"))).alias("e"))
-    best = saved(ends.groupBy("e.key").agg(F.max(F.struct("e.score", "e.a", "e.b")).alias("m")).select("m.a", "m.b").distinct(), "near-best")
-    active, linked = joined(active, verified(best))
-    rest = across(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), active).select("a", "b")
-    _, more = joined(active, verified_in_blocks(saved(in_blocks(rest, found), "near-rest"), sets, similarity))
-    for step in (linked, more):
+    _, step = joined(active, verified_in_blocks(saved(in_blocks(pairs, found), "near-rest"), sets, similarity))
+    for step in (*steps, step):
         rooted = rooted.join(step, "root", "left").select("node", F.coalesce("joint", "root").alias("root"))
     return saved(rooted, "near-roots")
 

@@ -286,6 +286,22 @@ def test_a_large_group_with_pairs_on_both_sides_of_the_bound(spark):
     one_of_each_is_kept(spark, texts)
 
 
+def test_edits_of_one_text_are_not_paired_all_with_all(spark, monkeypatch):
+    """The text they are edits of is among them and connects those that can be near copies of any; most pairs are below the bound and need not be made."""
+    made, blocks = [], simhash.in_blocks
+    monkeypatch.setattr(simhash, "in_blocks", lambda pairs, found: made.append(pairs.count()) or blocks(pairs, found))
+    rng = np.random.default_rng(11)
+    base = [f"w{k}" for k in range(150)]
+    texts = [" ".join(base)]
+    for k in range(200):
+        edited = list(base)
+        for at in rng.choice(150, int(rng.integers(1, 7)), replace=False):
+            edited[at] = f"x{k}y{at}"
+        texts.append(" ".join(edited))
+    one_of_each_is_kept(spark, texts)
+    assert len(made) == 1 and made[0] < len(texts)
+
+
 def test_a_chain_that_only_its_neighbours_link(spark):
     one_of_each_is_kept(spark, [" ".join(f"w{k}" for k in range(9 * s, 9 * s + 100)) for s in range(30)] + [" ".join(f"w{k}" for k in range(1000 + 15 * s, 1100 + 15 * s)) for s in range(8)])
 
