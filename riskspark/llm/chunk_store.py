@@ -38,14 +38,22 @@ GEAR = mixed(np.arange(1 << 16)).astype(np.uint32)
 CHUNK_BYTES_A_TASK = 16 << 20
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one document. The hash at a place depends on the 32 ids before it only."""
+#: Ids that are cut at a time, about.
+CUT_IDS = 1 << 20
+
+
+def marks_of(ids: np.ndarray) -> np.ndarray:
+    """Places after which a chunk may end. The hash at a place depends on the 32 ids before it only."""
     h = GEAR[ids & 0xFFFF]
     for k in (1, 2, 4, 8, 16):
         h[k:] += h[:-k] << np.uint32(k)
-    marks = np.flatnonzero(h >> np.uint32(32 - CUT_BITS) == 0) + 1
-    out, last, n = [], 0, len(ids)
-    for m in [*marks.tolist(), n]:
+    return np.flatnonzero(h >> np.uint32(32 - CUT_BITS) == 0) + 1
+
+
+def ends_of(marks: list[int], last: int, n: int) -> list[int]:
+    """Ends of the chunks of a document from last to n, of the marks that lie in it."""
+    out = []
+    for m in [*marks, n]:
         while m - last > LONGEST:
             last += LONGEST
             out.append(last)
@@ -55,6 +63,36 @@ def cuts(ids: np.ndarray) -> list[int]:
     return out
 
 
+def cuts(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of one document."""
+    return ends_of(marks_of(ids).tolist(), 0, len(ids))
+
+
+def chunked(docs: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """The number of ids and the packed chunks of each document, whose ids are given at 32 bits each.
+
+    Documents are hashed together: a first chunk has more than the 32 ids that a hash depends on, so that no cut depends on the document before.
+    """
+    at = 0
+    while at < len(docs):
+        to, size = at, 0
+        while to < len(docs) and (to == at or size + len(docs[to]) <= 4 * CUT_IDS):
+            size += len(docs[to])
+            to += 1
+        whole = np.frombuffer(b"".join(docs[at:to]), "<u4")
+        marks, width = marks_of(whole), 2 if whole.max(initial=0) < 65536 else 4
+        data = whole.astype("<u2").tobytes() if width == 2 else b""
+        begins = np.append(0, np.cumsum([len(d) // 4 for d in docs[at:to]]))
+        first, places, begins = np.searchsorted(marks, begins, "right").tolist(), marks.tolist(), begins.tolist()
+        for k in range(to - at):
+            last, n, parts = begins[k], begins[k + 1], []
+            for e in ends_of(places[first[k] : first[k + 1]], last, n):
+                parts.append(b"\2" + data[2 * last : 2 * e] if width == 2 else packed(whole[last:e]))
+                last = e
+            yield n - begins[k], parts
+        at = to
+
+
 def digest_of(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
@@ -108,17 +146,15 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json"
         enc, sent = encoder(spec.value), set()
         for b in small(batches):
             out = []
-            for x in enc.encode(b.column(1).to_pylist()):
-                ids = np.frombuffer(x + end, "<u4")
-                parts = [packed(p) for p in np.split(ids, cuts(ids)[:-1])]
+            for n, parts in chunked([x + end for x in enc.encode(b.column(1).to_pylist())]):
                 digests, own = [digest_of(p) for p in parts], []
                 for d, p in zip(digests, parts):
                     own.append(None if d in sent else p)
                     if len(sent) < 200_000:  # a task sends a chunk once, or as often as it likes when it has sent many
                         sent.add(d)
-                out.append((len(ids), merkle_root(digests), digests, own))
-            n, root, digests, own = zip(*out) if out else ((), (), (), ())
-            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(root, pa.binary()), pa.array(digests, pa.list_(pa.binary())), pa.array(own, pa.list_(pa.binary()))], ["doc_id", "n_tokens", "root", "digests", "chunks"])
+                out.append((n, merkle_root(digests), digests, own))
+            sizes, root, digests, own = zip(*out) if out else ((), (), (), ())
+            yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), pa.array(root, pa.binary()), pa.array(digests, pa.list_(pa.binary())), pa.array(own, pa.list_(pa.binary()))], ["doc_id", "n_tokens", "root", "digests", "chunks"])
 
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ship(docs.sparkSession)

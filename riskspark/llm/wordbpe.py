@@ -13,6 +13,8 @@ import numpy as np
 
 MEMO_WORDS = 600_000
 MEMO_LETTERS = 48
+#: Marks after a word that are looked up apart from it, up to so many.
+TAIL_MARKS = 4
 
 
 def tokenizer_file(name: str) -> str:
@@ -35,8 +37,8 @@ def byte_letters() -> dict[int, str]:
 class Encoder:
     """encode() gives ids as little-endian unsigned 32-bit integers. The memo is cleared when it holds MEMO_WORDS words.
 
-    New words that are all Latin letters go to the library's model directly, as lower case in byte letters; others through all of it. What the
-    tokenizer does with white space, full stops and letters is tried out first, and where it differs texts go through it whole.
+    New words that are all Latin letters, with a few marks after them or none, go to the library's model directly, as lower case in byte letters; others through all
+    of it. What the tokenizer does with white space, marks and letters is tried out first, and where it differs texts go through it whole.
     """
 
     def __init__(self, spec: str) -> None:
@@ -51,12 +53,22 @@ class Encoder:
         parts = [self._ids(x) for x in probe]
         self.by_word = self._ids("ab cd\nef . ,.  ") == b"".join(parts)
         self.by_tail = self._ids("ab,.") == parts[0] + parts[4] and self._ids("ab.cd") == parts[0] + parts[3] + parts[1]
-        self.tails = {c: self._ids(c) for c in ".,"} if self.by_tail else {}
+        self.marks = "".join(self._own_marks()) if self.by_tail else ""
+        self.tails: dict[str, bytes] = {}
         self.by_model = all(self._of_model(w) == self._ids(w) for w in ("the", "Reading", "Éléphantö", "straßenñ", "QuizzicallY", "xqzj"))
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _own_marks(self) -> list[str]:
+        """The ASCII marks that stand apart from letters before them, whichever mark follows."""
+        marks = [c for c in map(chr, range(33, 127)) if not c.isalnum()]
+        letters, runs = self._ids("ab"), [c + d for c in marks for d in ("", *marks)]
+        plain = {c: True for c in marks}
+        for run, whole, alone in zip(runs, *(self.tokenizer.encode_batch([x + r for r in runs], add_special_tokens=False) for x in ("ab", ""))):
+            plain[run[0]] &= np.array(whole.ids, "<u4").tobytes() == letters + np.array(alone.ids, "<u4").tobytes()
+        return [c for c in marks if plain[c]]
+
     def _of_model(self, word: str) -> bytes:
         low = word.lower()
         if not low.isascii():
@@ -83,19 +95,23 @@ class Encoder:
         return out
 
     def _learn(self, words: Iterable[str]) -> None:
-        memo, tails, by_model, odd = self.memo, self.tails, self.by_model, []
+        memo, tails, marks, by_model, odd = self.memo, self.tails, self.marks, self.by_model, []
         for w in words:
-            body, tail = (w[:-1], tails[w[-1]]) if w and w[-1] in tails else (w, None)
-            if not by_model or not body.isalpha() or not (body.isascii() or max(body) < "\u0130"):
+            body = w.rstrip(marks) if marks else w
+            if not by_model or len(w) > len(body) + TAIL_MARKS or not body.isalpha() or not (body.isascii() or max(body) < "\u0130"):
                 odd.append(w)
-            elif tail is None:
+            elif len(w) == len(body):
                 if w not in memo:
                     memo[w] = self._of_model(w)
             else:
-                ids = memo.get(body)
+                ids, tail = memo.get(body), w[len(body) :]
                 if ids is None:
                     ids = memo[body] = self._of_model(body)
-                memo[w] = ids + tail
+                if tail not in tails:
+                    if len(tails) > MEMO_WORDS // 10:
+                        tails.clear()
+                    tails[tail] = self._ids(tail)
+                memo[w] = ids + tails[tail]
         for w, e in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False)):
             memo[w] = np.array(e.ids, "<u4").tobytes()
 

@@ -80,6 +80,36 @@ def test_a_damaged_chunk_is_noticed(spark, docs, tmp_path):
         chunk_store.read_sums(spark, path).collect()
 
 
+@pytest.mark.parametrize("at_once", [1, 500, 1 << 20])
+def test_documents_hashed_together_are_cut_as_alone(monkeypatch, at_once):
+    monkeypatch.setattr(chunk_store, "CUT_IDS", at_once)
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(0, 70_000 if k == 4 else 49_000, n).astype("<u4") for k, n in enumerate((1, 63, 64, 65, 900, 5000, 1, 20_000, 1023, 1024, 1025, 3000))]
+    alone = [(len(d), [chunk_store.packed(x) for x in np.split(d, chunk_store.cuts(d)[:-1])]) for d in docs]
+    assert list(chunk_store.chunked([d.tobytes() for d in docs])) == alone
+    assert list(chunk_store.chunked([])) == []
+
+
+def test_words_with_marks_after_them_go_to_the_model():
+    from riskspark.llm import wordbpe
+
+    texts = ["mentoupa&&& Onth***", "haing,$$$ ERNDNDST,!! don't we' ab's it's' (x) a_b b__ x-- \u0131a.. 12,. end..... ab<|x|> \u00e9!!", "erlich\u00fc%%% a a. a.. ''s"]
+    enc = wordbpe.Encoder(wordbpe.tokenizer_file("word_bpe_49k.json"))
+    library, sent = enc.tokenizer, []
+
+    class Seen:
+        def encode_batch(self, words, **more):
+            sent.extend(words)
+            return library.encode_batch(words, **more)
+
+        def encode(self, text, **more):
+            return library.encode(text, **more)
+
+    enc.tokenizer = Seen()
+    assert enc.encode(texts) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert "don't" in sent and "end....." in sent and not {"mentoupa&&&", "Onth***", "haing,$$$", "ERNDNDST,!!", "erlich\u00fc%%%"} & set(sent)
+
+
 def test_sentence_pieces_are_the_library_s(docs, empty):
     import public_tokenizers
     from sentencepiece import SentencePieceProcessor
